@@ -328,7 +328,7 @@ def compare(piece_df: DataFrame, plan: Plan, earlier: Callable[[np.ndarray, list
         yield places(COVERED, entries[old])
         kept = np.flatnonzero(~old)
         entries, strings = entries[kept], [strings[i] for i in order[kept]]
-        seen = earlier(entries, strings)
+        seen = in_batches(entries, strings, earlier)
         # runs of such windows within each super-k-mer
         at = np.concatenate([[0], np.cumsum(entries["n"], dtype=np.int64)])
         edge = np.diff(np.concatenate([[0], seen.astype(np.int8), [0]]))
@@ -350,6 +350,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key().alias("did"), text_tag().alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def in_batches(entries: np.ndarray, strings: list[bytes], earlier: Callable[[np.ndarray, list[bytes]], np.ndarray], target: int = 1 << 18) -> np.ndarray:
+    """`earlier` over runs of whole minimisers of about `target` bytes: windows of different minimisers are never equal."""
+    order = np.argsort(entries["key"], kind="stable")
+    key = entries["key"][order]
+    n = entries["n"].astype(np.int64)
+    first = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), bool)
+    at, size = 0, 0
+    for i in range(len(order) + 1):
+        if i == len(order) or (size > target and key[i] != key[i - 1]):
+            some = order[at:i]
+            out[ranges(first[some], n[some])] = earlier(entries[some], [strings[k] for k in some])
+            at, size = i, 0
+        if i < len(order):
+            size += len(strings[order[i]])
+    return out
+
+
 def covered(docs: DataFrame, plan: Plan, earlier: Callable[[np.ndarray, list[bytes]], np.ndarray], name: str) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and by (did, tag) `spans`: runs (start, n) of windows that stand earlier, in no order."""
     spark = docs.sparkSession

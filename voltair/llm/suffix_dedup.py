@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, fresh, ranges, text_tag, texts_of
+from .common import U64, doc_key, fresh, ranges, text_tag, texts_of
 from .segments import Plan, covered, mask_of, span_lists
 
 LENGTH = 100
@@ -39,50 +39,61 @@ def plan(length: int = LENGTH) -> Plan:
 def suffix_array(text: np.ndarray, at: np.ndarray, position: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Order of the suffixes that start at `at`, by their first `depth` bytes and then by position; and rank tables by prefix length.
 
-    Prefix doubling: the rank of a 2h-byte prefix is that of the pair of ranks of its h-byte halves.
+    Prefix doubling: the first seven bytes are ranked as one number, then the rank of a
+    2h-byte prefix is that of the pair of ranks of its h-byte halves.
     """
     n = len(text)
-    rank = text.astype(np.int64)
-    tables, have = [(1, rank)], 1
-    while have < depth:
-        step = min(have, depth - have)
-        second = np.full(n, -1, np.int64)
-        second[: n - step] = rank[step:]
-        pair = rank * (n + 256) + second
-        order = np.argsort(pair, kind="stable")
+    tables = [(1, text.astype(np.int64))]
+    pair = np.zeros(n, U64)  # the first bytes as one number, with an end mark below all bytes
+    have = min(7, depth)
+    for i in range(have):
+        pair[: n - i] += (text[i:].astype(U64) + U64(1)) << U64(9 * (6 - i))
+    while True:
+        order = np.argsort(pair)
         new = np.ones(n, np.int64)
         new[1:] = pair[order][1:] != pair[order][:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        have += step
         tables.append((have, rank))
-    order = np.lexsort((position, tables[-1][1][at]))
-    return order, tables
+        if have == depth:
+            break
+        step = min(have, depth - have)
+        second = np.zeros(n, np.int64)
+        second[: n - step] = rank[step:]
+        pair, have = rank * (n + 1) + second, have + step
+    return np.argsort(rank[at] << 32 | position), tables
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value before each, -1 where none: pointers over larger ones are followed until all stand."""
-    at = np.arange(len(values)) - 1
-    while True:
-        bad = np.flatnonzero((at >= 0) & (values[np.maximum(at, 0)] > values))
-        if not len(bad):
-            return at
-        at[bad] = at[at[bad]]
+    """Index of the nearest smaller value before each, -1 where none."""
+    out, stack, held = [], [-1], [-1]
+    for i, v in enumerate(values.tolist()):
+        while held[-1] > v:
+            held.pop()
+            stack.pop()
+        out.append(stack[-1])
+        stack.append(i)
+        held.append(v)
+    return np.array(out, np.int64)
 
 
 def common_prefix(tables: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of suffixes a and b, up to depth."""
-    out = np.zeros(len(a), np.int64)
-    same = tables[-1][1][a] == tables[-1][1][b]
     n = len(tables[0][1])
-    powers_of_two = [t for t in tables if t[0] & (t[0] - 1) == 0 and t[0] <= depth]
-    for length, rank in reversed(powers_of_two):
-        for _ in range(2 if length == powers_of_two[-1][0] else 1):
-            i, j = a + out, b + out
-            fits = (i < n) & (j < n)
-            hit = fits & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
-            out += length * hit
-    return np.where(same, depth, np.minimum(out, depth - 1))
+    out = np.zeros(len(a), np.int64)
+    open_ = np.flatnonzero(tables[-1][1][a] != tables[-1][1][b])
+    for length, rank in reversed(tables[:-1]):
+        more = open_
+        while len(more):
+            i, j = a[more] + out[more], b[more] + out[more]
+            fits = np.maximum(i, j) < n
+            hit = fits & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)]) & (np.maximum(i, j) + length <= n)
+            more = more[hit]
+            out[more] += length
+    closed = np.ones(len(a), bool)
+    closed[open_] = False
+    out[closed] = depth
+    return out
 
 
 def longest_previous_factor(text: np.ndarray, at: np.ndarray, position: np.ndarray, depth: int) -> np.ndarray:
