@@ -16,8 +16,8 @@ shard asks only for what its own texts need:
 1. a shard counts the n-grams of its documents and sends each distinct one once,
    packed by bucket (hash, count in training), so frequent n-grams are
    pre-aggregated to one entry a shard;
-2. the bucket sums the counts and returns to each shard the totals that differ from
-   what the shard knows itself, with the bucket's share of N and V;
+2. the bucket sums the counts and returns to each shard the totals of the n-grams it
+   sent, in its order and so without their hashes, with the bucket's share of N and V;
 3. the shard has now exact corpus-wide counts of all n-grams it holds, builds its
    part of the automaton and runs its documents through it.
 
@@ -107,6 +107,15 @@ def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     return len(hashes).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view(np.int64).ravel()
+
+
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8).reshape(2, 8, n)
@@ -115,9 +124,9 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 REQUEST = "bucket int, shard int, n int, blob binary"
-REPLY = "shard int, n int, tokens long, types long, blob binary"
+REPLY = "shard int, bucket int, n int, tokens long, types long, blob binary"
 _REQUEST = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
-_REPLY = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
+_REPLY = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
@@ -159,7 +168,7 @@ def replies(asked: DataFrame) -> DataFrame:
             for bucket, shard, n, blob in zip(*(b[c].to_pylist() for c in ("bucket", "shard", "n", "blob")), strict=True):
                 held.setdefault((bucket, n), []).append((shard, blob))
         while held:
-            (_, n), sent = held.popitem()
+            (bucket, n), sent = held.popitem()
             parts = [unpack(blob) for _, blob in sent]
             hashes = np.concatenate([h for h, _ in parts])
             counts = np.concatenate([c for _, c in parts])
@@ -174,22 +183,18 @@ def replies(asked: DataFrame) -> DataFrame:
             word = g[at] != BEGIN
             tokens, types = (int(sums[word].sum()), int((sums[word] > 0).sum())) if n == 1 else (0, 0)
             ends, rows = np.cumsum([len(h) for h, _ in parts]), []
-            for (shard, _), (h, mine), z in zip(sent, parts, ends.tolist(), strict=True):
-                whole = total[z - len(h) : z]
-                more = whole != mine
-                rows.append((shard, n, tokens, types, pack(h[more], whole[more])))
+            for (shard, _), (h, _), z in zip(sent, parts, ends.tolist(), strict=True):
+                rows.append((shard, bucket, n, tokens, types, pack_counts(total[z - len(h) : z])))
                 tokens = types = 0  # once a bucket
             yield pa.record_batch([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True), _REPLY, strict=True)], schema=_REPLY)
 
     return asked.mapInArrow(run, REPLY)
 
 
-def corrected(known: tuple[np.ndarray, np.ndarray], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's own counts with the bucket's totals put in."""
-    hashes, counts = known[0], known[1].copy()
-    for h, c in map(unpack, blobs):
-        counts[np.searchsorted(hashes, h)] = c
-    return hashes, counts
+def corrected(hashes: np.ndarray, blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's own n-grams, ordered, with the totals of the buckets, which are ranges of that order."""
+    counts = [unpack_counts(blob) for _, blob in sorted(blobs)]
+    return hashes, np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
 def count_of(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
@@ -235,9 +240,9 @@ def scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int
     parts = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out(folds, fold).alias("held_out"))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * parts)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     sharded = rows.select(shard.alias("shard"), "doc_id", "text", "held_out").repartition(parts, "shard")
-    asked = requests(sharded, 4 * parts, order).repartition(parts, "bucket")
+    asked = requests(sharded, parts, order).repartition(parts, "bucket")
     answered = replies(asked)
     totals = answered.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"))  # one row
     answered = answered.crossJoin(F.broadcast(totals)).repartition(parts, "shard")
@@ -246,9 +251,9 @@ def scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int
     def run(documents: pa.Table, reply: pa.Table) -> pa.Table:
         texts = texts_of(documents["text"])
         held = documents["held_out"].to_numpy()
-        n_of, blobs = reply["n"].to_pylist(), reply["blob"].to_pylist()
+        told = list(zip(*(reply[c].to_pylist() for c in ("n", "bucket", "blob")), strict=True))
         own = shard_counts(texts, held, order)
-        tables = [corrected(known, [b for m, b in zip(n_of, blobs, strict=True) if m == n]) for n, known in enumerate(own, 1)]
+        tables = [corrected(hashes, [(k, b) for m, k, b in told if m == n]) for n, (hashes, _) in enumerate(own, 1)]
         tokens, types = (reply[c][0].as_py() if len(reply) else 0 for c in ("all_tokens", "all_types"))
         count, known, base, score = traverse(texts, tables, tokens, types, prior)
         return pa.table([documents["doc_id"], documents["held_out"], pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(texts), tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], schema=fields)
