@@ -138,24 +138,31 @@ class Forest:
         return i != j
 
 
-def small_pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs among rows, ordered by key, whose keys are equal: coordinates first, survivors verified."""
+def small_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among rows, ordered by key, whose keys are equal: coordinates first, survivors verified; pairs that are connected already are not compared."""
     references = mix(REFERENCES[:, None] + np.arange(fp.shape[1], dtype=U64)[None, :])
     table = np.stack([distance(fp, r[None, :]) for r in references], 1)
-    left, right = [], []
+    forest, root = Forest(len(key)), np.arange(len(key))
+    left: list[int] = []
+    right: list[int] = []
     for shift in range(1, len(key)):
         i = np.flatnonzero(key[shift:] == key[:-shift])
         if not len(i):
             break
+        i = i[root[i] != root[i + shift]]
         j = i + shift
         for c in range(0, len(REFERENCES), 8):  # maximum coordinate difference, eight at a time
             near = (np.abs(table[i, c : c + 8] - table[j, c : c + 8]) <= radius).all(1)
             i, j = i[near], j[near]
         near = distance(fp[i], fp[j]) <= radius
-        left.append(i[near])
-        right.append(j[near])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        new = [(x, y) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True) if forest.join(x, y)]
+        if new:
+            left += [x for x, _ in new]
+            right += [y for _, y in new]
+            root = np.array(forest.up)
+            while (root[root] != root).any():
+                root = root[root]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def star_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -246,7 +253,7 @@ def bucket_links(rows: np.ndarray, radius: int) -> np.ndarray:
     some = rows[(each > 1) & (each <= SMALL)]
     out = [np.zeros((0, 2), U64)]
     if len(some):
-        i, j = small_pairs(some["key"], some["wide"], radius)
+        i, j = small_links(some["key"], some["wide"], radius)
         out.append(np.stack([some["node"][i], some["node"][j]], 1))
     for a in np.flatnonzero(size > SMALL):
         part = rows[at[a] : at[a] + size[a]]
