@@ -10,6 +10,7 @@ sums are combined by a grouped aggregate.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,25 @@ from .signals import mad_scale
 TINY = np.exp(-700.0)
 
 
-def forward_backward(x: np.ndarray, templates: np.ndarray, p: np.ndarray, precision: float) -> np.ndarray:
-    """Posterior (states, samples) of one channel. templates: (rings, length), the silent sample not among them."""
-    n, length = templates.shape
-    means = np.concatenate([[0.0], templates.ravel()])
+def by_channel(templates: np.ndarray) -> np.ndarray:
+    """(rings, channels, length); templates of one channel may lack the middle."""
+    return templates if templates.ndim == 3 else templates[:, None, :]
+
+
+def misfit(x: np.ndarray, means: np.ndarray, precision: float | np.ndarray) -> np.ndarray:
+    """(states, samples): half the squared distance of x (samples[, channels]) from means (states, channels). precision: the noise's inverse covariance."""
+    x, c = x.reshape(len(x), -1), np.atleast_2d(precision)
+    weighted = means @ c
+    return 0.5 * (((x @ c) * x).sum(1)[None, :] - 2 * weighted @ x.T + (weighted * means).sum(1)[:, None])
+
+
+def forward_backward(x: np.ndarray, templates: np.ndarray, p: np.ndarray, precision: float | np.ndarray) -> np.ndarray:
+    """Posterior (states, samples) of one recording. templates: (rings[, channels], length), the silent sample not among them."""
+    t = by_channel(templates)
+    n, channels, length = t.shape
+    means = np.concatenate([np.zeros((1, channels)), t.transpose(0, 2, 1).reshape(-1, channels)])
     first, last = 1 + np.arange(n) * length, (1 + np.arange(n)) * length
-    emit = np.exp(-0.5 * precision * (x[None, :] - means[:, None]) ** 2) + TINY
+    emit = np.exp(-misfit(x, means, precision)) + TINY
     emit /= emit.sum(0)
     f = np.zeros_like(emit)
     f[0, 0] = 1.0  # starts silent
@@ -64,13 +78,32 @@ def posterior_sums(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precisi
     return partial.groupBy("state").agg(*[F.sum(c).alias(c) for c in ("g", "gx", "gxx", "samples")])
 
 
-def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3, seed: int = 1234, update_p: bool = False, start: float = 1e-8) -> tuple[np.ndarray, np.ndarray, float]:
-    """(templates, p, precision) by expectation maximisation. Only sums by state, a fixed number, come to the driver."""
+def split_sparse(templates: np.ndarray, p: np.ndarray, precision: float, below: float, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The first template rarer than `below` becomes a slightly smaller copy of a frequent, large one, and both share its rate."""
+    rare = np.flatnonzero(p < below)
+    donors = np.flatnonzero((p >= np.median(p)) & (p > 4 * below) & (precision * (templates**2).max(1) > 10))
+    if len(rare) and len(donors):
+        templates, p = templates.copy(), p.copy()
+        i, j = rare[0], r.choice(donors)
+        templates[i] = 0.98 * templates[j]
+        p[[i, j]] = p[j] / 2
+    return templates, p
+
+
+def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3, seed: int = 1234, update_p: bool = False, start: float = 1e-8, known: tuple[np.ndarray, np.ndarray, float] | None = None, split_below: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(templates, p, precision) by expectation maximisation. Only sums by state, a fixed number, come to the driver.
+
+    known: a set to go on from; split_below: the rate under which a template is replaced after an iteration.
+    """
     r = np.random.default_rng(seed)
-    scale = float(mad_scale(sig).agg({"scale": "avg"}).first()[0] or 1.0)
-    templates = np.sin(np.linspace(0, 3 * np.pi, length))[None, :] * r.uniform(0.5, 1.5, (rings, 1)) * scale
-    p0 = np.full(rings, start)
-    p, precision = p0, 1 / scale**2
+    if known is not None:
+        templates, p0, precision = known
+        rings, length = templates.shape
+    else:
+        scale = float(mad_scale(sig).agg({"scale": "avg"}).first()[0] or 1.0)
+        templates = np.sin(np.linspace(0, 3 * np.pi, length))[None, :] * r.uniform(0.5, 1.5, (rings, 1)) * scale
+        p0, precision = np.full(rings, start), 1 / scale**2
+    p = p0
     for _ in range(iterations):
         s = posterior_sums(sig, templates, p if update_p else p0, precision).toPandas().sort_values("state")
         g, gx, gxx, samples = (s[c].to_numpy(float) for c in ("g", "gx", "gxx", "samples"))
@@ -80,6 +113,8 @@ def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3,
         p = g[1 + np.arange(rings) * length] / samples[0]
         residual = (gxx - 2 * mean * gx + mean**2 * g).sum() / samples[0]
         precision = 1 / residual if residual > 0 else precision
+        if split_below is not None:
+            templates, p = split_sparse(templates, p, precision, split_below, r)
     return templates, p, precision
 
 
@@ -138,19 +173,27 @@ def predecessors(states: np.ndarray, length: int, p: np.ndarray) -> tuple[np.nda
     return who, log_p
 
 
-def viterbi(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarray, templates: np.ndarray, precision: float) -> tuple[np.ndarray, float]:
-    """Best path (indices of joint states) from silence, and its score; the first sample isn't scored. Overlapping waveforms add up."""
-    padded = np.concatenate([np.zeros((len(templates), 1)), templates], 1)
-    means = padded[np.arange(len(templates))[None, :], states].sum(1)
+def columns(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarray, templates: np.ndarray, precision: float | np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the second sample on: (t, ways into each state, the best of them, score). It starts in silence; overlapping waveforms add up."""
+    t = by_channel(templates)
+    padded = np.concatenate([np.zeros((*t.shape[:2], 1)), t], 2)
+    means = padded[np.arange(len(t))[None, :], :, states].sum(1)
     score = np.full(len(states), -np.inf)
     score[0] = 0.0
-    back = np.zeros((len(x), len(states)), np.int16 if len(states) < 2**15 else np.int32)
     row = np.arange(len(states))
-    for t in range(1, len(x)):
+    for at in range(1, len(x)):
         options = score[who] + log_p
         pick = options.argmax(1)
+        score = options[row, pick] - misfit(x[at : at + 1], means, precision)[:, 0]
+        yield at, options, pick, score
+
+
+def viterbi(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarray, templates: np.ndarray, precision: float | np.ndarray) -> tuple[np.ndarray, float]:
+    """Best path (indices of joint states) and its score; the first sample isn't scored."""
+    back = np.zeros((len(x), len(states)), np.int16 if len(states) < 2**15 else np.int32)
+    row, score = np.arange(len(states)), np.where(np.arange(len(states)) == 0, 0.0, -np.inf)
+    for t, _, pick, score in columns(x, states, who, log_p, templates, precision):  # noqa: B007
         back[t] = who[row, pick]
-        score = options[row, pick] - 0.5 * precision * (x[t] - means) ** 2
     path = np.empty(len(x), np.int64)
     path[-1] = int(score.argmax())
     for t in range(len(x) - 1, 0, -1):
@@ -158,22 +201,41 @@ def viterbi(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarra
     return path, float(score.max())
 
 
+def path_margins(x: np.ndarray, path: np.ndarray, *model) -> np.ndarray:
+    """How much better the way taken into each state of the path was than the second best; infinite without another."""
+    out = np.full(len(x), np.inf)
+    for t, options, pick, _ in columns(x, *model):
+        ways, taken = options[path[t]], pick[path[t]]
+        if len(ways) > 1:
+            out[t] = ways[taken] - np.delete(ways, taken).max()
+    return out
+
+
+def path_of(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarray, templates: np.ndarray, precision: float | np.ndarray, patch: int, margins: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Best path, in patches that restart at the last silent sample of the one before, and its margins (on request)."""
+    model = (states, who, log_p, templates, precision)
+    path, margin, at = np.zeros(len(x), np.int64), np.full(len(x), np.inf), 0
+    while at < len(x):
+        part, _ = viterbi(x[at : at + patch], *model)
+        path[at : at + len(part)] = part
+        if margins:
+            margin[at : at + len(part)] = path_margins(x[at : at + patch], part, *model)
+        if at + len(part) >= len(x):
+            break
+        silent = np.flatnonzero(part[1:] == 0)
+        at += int(silent[-1]) + 1 if len(silent) else len(part)
+    return path, margin
+
+
 def decode(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, active: int = 2, patch: int = 20_000) -> DataFrame:
-    """(ch, template_id, t, state), states above 0 only. A channel is decoded in patches that restart at the last silent sample of the one before."""
+    """(ch, template_id, t, state), states above 0 only, of each channel by itself."""
     states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
     who, log_p = predecessors(states, templates.shape[1], p)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         x, t = rows["x"].to_numpy(float), rows["t"].to_numpy()
-        path, at = np.zeros(len(x), np.int64), 0
-        while at < len(x):
-            part, _ = viterbi(x[at : at + patch], states, who, log_p, templates, precision)
-            path[at : at + len(part)] = part
-            if at + len(part) >= len(x):
-                break
-            silent = np.flatnonzero(part[1:] == 0)
-            at += int(silent[-1]) + 1 if len(silent) else len(part)
+        path, _ = path_of(x, states, who, log_p, templates, precision, patch)
         ring = states[path]
         where, template = np.nonzero(ring)
         return pd.DataFrame({"ch": rows["ch"].iloc[0], "template_id": template, "t": t[where], "state": ring[where, template]})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bin_of
-from .bandjoin import band_anti_join, band_join
+from .bandjoin import band_join, near_other
 
 
 def intervals(train: DataFrame) -> DataFrame:
@@ -47,11 +47,12 @@ def correlogram(train: DataFrame, width: int, bin_us: int, auto: bool = False) -
 
 def isolated(train: DataFrame, width: int) -> DataFrame:
     """Spikes without one of another unit closer than width."""
-    return band_anti_join(train, train, "us", width, "spike", F.col("l_unit") != F.col("r_unit"))
+    return near_other(train, "us", width, "unit").where("NOT near").drop("near")
 
 
 def overlapping(train: DataFrame, width: int) -> DataFrame:
-    return train.join(isolated(train, width).select("spike"), "spike", "left_anti").select(*train.columns)
+    """The other spikes."""
+    return near_other(train, "us", width, "unit").where("near").drop("near")
 
 
 def merge_units(train: DataFrame, merged: dict[str, str]) -> DataFrame:

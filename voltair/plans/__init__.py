@@ -284,3 +284,6 @@ def fft_bandpass(s, d):
 @query()
 def highpass(s, d):
     return signals.highpass(v.sig(s, d))
+
+
+from . import selection  # noqa: E402, F401  (registers its queries here)
