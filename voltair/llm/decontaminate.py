@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, chunks, mix, texts_of, word_table
+from .common import BASE, U64, Words, chunks, mix, slices, texts_of, word_table
 from .suffix_dedup import renew_length
 
 NGRAM = 10
@@ -159,7 +159,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_wind
         shared = docs.sparkSession.sparkContext.broadcast(block_windows(items, block, len(several), n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 raws, texts = texts_of(b["text"]), b["text"].to_pylist()
                 for i, (_, start, stop, names) in enumerate(hits(raws, shared.value)):
                     if names:

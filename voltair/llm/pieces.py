@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODE, U64, chunks, fresh, prefix_hash, ranges, span_hash, texts_of
+from .common import BYTE_CODE, U64, chunks, fresh, prefix_hash, ranges, slices, span_hash, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Spans up to this many bytes are decoded side by side.
@@ -232,7 +232,7 @@ def tokenise(docs: DataFrame, model: str = MODEL, ids_name: str = "ids", keep_te
     source = source if keep_text else source.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = list(encode(texts_of(b[scratch]), shared.value))
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
@@ -250,7 +250,7 @@ def detokenise(df: DataFrame, model: str = MODEL, ids_name: str = "ids", text_na
     name = fresh(df.columns, text_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             column = b[ids_name]
             offsets, flat, valid = column.offsets.to_numpy(), column.values.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
             texts = [decode(flat[a:z], shared.value).decode() if ok else "" for a, z, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)]
@@ -266,7 +266,7 @@ def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_sha256 string, n_bytes long, decoded_sha256 string, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, texts, rows = b["ids"], texts_of(b["text"]), []
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
             for i, text in enumerate(texts):

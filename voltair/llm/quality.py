@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ranges, texts_of
+from .common import fresh, ranges, slices, texts_of
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 PAD = 256
@@ -195,7 +195,7 @@ def scored(docs: DataFrame, net: Net, name: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = [n.lower() for n in b.schema.names].index("text")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(texts_of(b.column(at))), pa.float64())], names=[*b.schema.names, name])
 

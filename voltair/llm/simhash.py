@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks, fresh, materialise, mix, shuffle_partitions, texts_of
+from .common import U64, Words, chunks, fresh, materialise, mix, shuffle_partitions, slices, texts_of
 
 SHINGLE, RADIUS, CHOOSE, SEED = 4, 4, 2, 42
 #: References for small buckets: fixed pseudo-random fingerprints.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, word
     """(doc_id, fp long, wide binary) per document. wide: 64 * words bits; fp: the same for one word, else a hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             wide = fingerprints_of(texts_of(b["text"]), shingle, seed, words)
             fp = wide[:, 0] if words == 1 else folded(wide)
             yield pa.record_batch([b["doc_id"], pa.array(fp.view(np.int64)), pa.array([w.tobytes() for w in wide], pa.binary())], names=["doc_id", "fp", "wide"])
