@@ -185,10 +185,12 @@ class Words:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that a task's copies of texts are bounded by few rows."""
+    """The same rows in smaller batches, so that a task's copies of texts are bounded by few rows; Arrow hands back the memory of batches that are done."""
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
