@@ -187,3 +187,59 @@ def test_near_copies_leave_one(spark):
     other = [f"u{r.randrange(5000)}" for _ in range(300)]
     df = spark.createDataFrame([(5, " ".join(text), "x"), (6, " ".join(near), "x"), (7, " ".join(text), "x"), (5, " ".join(text), "x"), (8, " ".join(other), "x")], "doc_id long, text string, did string")
     assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == [5, 8]
+
+
+def similarity_corpus():
+    """Pairs of texts of 200 to 300 different words with a known similarity of their five-word shingles, and a chain."""
+    r = random.Random(21)
+    docs, sets = [], []
+    for k in range(160):
+        text = [f"d{k}x{i}" for i in range(r.randint(200, 300))]
+        near = list(text)
+        edits = r.randint(0, 12)
+        for i in r.sample(range(len(text) // 6), edits):
+            near[6 * i] = f"e{k}x{i}"
+        docs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
+    for _, t in docs:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    return docs, [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(160)]
+
+
+def test_near_copies_are_those_of_the_similarity(spark):
+    docs, similarity = similarity_corpus()
+    stay = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()}
+    dropped = [2 * k + 1 not in stay for k in range(160)]
+    assert all(2 * k in stay for k in range(160))
+    assert not any(d for d, j in zip(dropped, similarity, strict=True) if j < 0.8)
+    alike = [d for d, j in zip(dropped, similarity, strict=True) if j >= 0.8]
+    assert sum(0.8 <= j < 0.85 for j in similarity) >= 10 and sum(0.6 < j < 0.8 for j in similarity) >= 20
+    assert sum(alike) >= len(alike) - 1  # a pair at 0.8 is missed in about one of fifty cases
+
+
+def test_a_failed_link_hides_no_other(spark, monkeypatch):
+    """Where a forest's link fails, the links it stood for are found in the second round."""
+    r = random.Random(22)
+    docs, sets = [], []
+    base = [f"w{i}" for i in range(240)]
+    for k in range(60):
+        x = list(base)
+        for i in r.sample(range(40), r.randint(0, 7)):
+            x[6 * i] = f"c{k}x{i}" if r.random() < 0.3 else f"c{i}"
+        docs.append((k, " ".join(x)))
+        sets.append({tuple(x[i : i + 5]) for i in range(236)})
+    forest = simhash.Forest(60)
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                forest.join(i, j)
+    monkeypatch.setattr(simhash, "bit_samples", lambda radius, words, rows: np.zeros((1, words), np.uint64))  # one bucket
+    got = {x.doc_id: x.component_id for x in simhash.alike(spark.createDataFrame(docs, SCHEMA), radius=110).collect()}
+    assert len(set(got.values())) > 1
+    assert got == {k: forest.root(k) for k in range(60)}
+
+
+def test_equal_fingerprints_of_different_texts_stay(spark):
+    line = "the same five words "
+    df = spark.createDataFrame([(k, line * 300 + " ".join(f"t{k}x{i}" for i in range(60))) for k in range(3)], SCHEMA)
+    assert simhash.keep_one(df).count() == 3

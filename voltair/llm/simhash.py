@@ -8,7 +8,7 @@
    (pigeonhole; no link is lost). A wide radius, as a similarity of 0.8 needs, has
    no such split; there buckets are keyed by samples of bits, as many bits as keep
    unrelated fingerprints few in a bucket at any corpus size, and as many samples
-   as find a link at similarity 0.8 with probability `recall`.
+   as find a link at the radius with probability `recall`.
 3. In a bucket, pairs are settled by pivot distance tables. Distances to many
    reference fingerprints are computed once for every member; by the triangle
    inequality |d(a, p) - d(b, p)| <= d(a, b), so a pair is discarded as soon as one
@@ -20,6 +20,13 @@
 4. Buckets send a spanning forest of their links, and components are found by
    alternating large-star and small-star steps, written to the shared folder.
 
+Where links need a similarity (`alike`, the pipeline's stage), every link is checked by
+the exact Jaccard similarity of the shingle sets, in two rounds. The first checks the
+buckets' forests, which joins most of a group of copies of any size. A forest leaves
+links out, so a link that fails there may have stood for others; in the second round
+the fingerprints whose forest did not hold meet again, and buckets send all pairs
+within the radius that the first round has not joined.
+
 Defined cases: null or wordless text has fingerprint zero, linked like any other;
 fewer words than a shingle: the whole sequence is the one shingle; null doc_ids are
 members of their component but never name it (a component of null ids alone has a
@@ -38,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks, fresh, materialise, mix, shuffle_partitions, slices, texts_of
+from .common import NULL_ID, U64, Words, chunks, doc_key, fresh, materialise, mix, shuffle_partitions, slices, texts_of
 
 SHINGLE, RADIUS, CHOOSE, SEED = 4, 4, 2, 42
 #: References for small buckets: fixed pseudo-random fingerprints.
@@ -47,8 +54,11 @@ REFERENCES = mix(np.arange(1, 33, dtype=U64) * U64(0xD6E8FEB86659FD93))
 SMALL = 64
 
 
-def fingerprints_of(texts: list[bytes], shingle: int, seed: int, words_: int = 1) -> np.ndarray:
-    """(documents, words_) fingerprints; the first word is that of the plain hash, the others of hashes derived from it."""
+def fingerprints_of(texts: list[bytes], shingle: int, seed: int, words_: int = 1, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """(documents, words_) fingerprints; the first word is that of the plain hash, the others of hashes derived from it.
+
+    sets: takes each document's different shingle hashes, sorted; bits then count each of them once.
+    """
     out = np.zeros((len(texts), words_), U64)
     digest = xxhash.xxh64_intdigest
     for a, z in chunks(texts):
@@ -65,6 +75,11 @@ def fingerprints_of(texts: list[bytes], shingle: int, seed: int, words_: int = 1
         last = np.minimum(at + shingle - 1, first[owner] + count[owner] - 1)
         h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(start[at].tolist(), stop[last].tolist(), strict=True)), U64, len(at))
         ends = np.cumsum(shingles)
+        if sets is not None:
+            own = [np.unique(x) for x in np.split(h, ends[:-1])]
+            sets += own
+            h, shingles = np.concatenate(own), np.array([len(x) for x in own])
+            ends = np.cumsum(shingles)
         for k in range(words_):
             hk = h if k == 0 else mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64))
             for d in np.flatnonzero(shingles).tolist():
@@ -107,10 +122,10 @@ def block_choices(radius: int, choose: int, words: int) -> np.ndarray:
     return np.array([[(sum(c) >> (64 * k)) & (2**64 - 1) for k in range(words)] for c in itertools.combinations(blocks, choose)], U64)
 
 
-def bit_samples(radius: int, words: int, rows: int, recall: float = 0.99, seed: int = 11) -> np.ndarray:
-    """Masks (tables, words) of sampled bits: enough bits that few of `rows` unrelated rows meet, enough samples that a pair within 5/6 of the radius meets with probability `recall`."""
+def bit_samples(radius: int, words: int, rows: int, recall: float = 0.95, seed: int = 11) -> np.ndarray:
+    """Masks (tables, words) of sampled bits: enough bits that few of `rows` unrelated rows meet, enough samples that a pair at the radius meets with probability `recall`, and a closer one with a higher."""
     bits = max(16, math.ceil(math.log2(max(rows, 2))) - 2)
-    meet = (1 - 5 / 6 * radius / (64 * words)) ** bits
+    meet = (1 - radius / (64 * words)) ** bits
     tables = math.ceil(math.log(1 - recall) / math.log(1 - meet))
     r = np.random.default_rng(seed)
     out = np.zeros((tables, words), U64)
@@ -302,12 +317,158 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, choose
 
 
 #: For a similarity of 0.8 of five-word shingles: 256 bits, of which such pairs differ in 39 on average, with a deviation of 6.
-WIDE_WORDS, WIDE_RADIUS = 4, 44
+WIDE_WORDS, WIDE_RADIUS, SIMILARITY = 4, 52, 0.8
+
+
+def set_nodes(wide: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each shingle set, from its fingerprint and a 32-bit hash of the set."""
+    return mix(folded(wide) + tag.astype(U64))
+
+
+def set_tags(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([mix(np.atleast_1d(x.sum(dtype=U64) + U64(len(x))))[0] >> U64(32) for x in sets], np.uint32)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, words: int, seed: int = SEED, full: bool = False) -> DataFrame:
+    """(doc_id, node, tag, wide) per document; full: (node, shingles array<long>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200 if full else 1000):
+            sets: list[np.ndarray] = []
+            wide = fingerprints_of(texts_of(b["text"]), shingle, seed, words, sets)
+            tag = set_tags(sets)
+            node = pa.array(set_nodes(wide, tag).view(np.int64))
+            if full:
+                yield pa.record_batch([node, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            else:
+                yield pa.record_batch([b["doc_id"], node, pa.array(tag.view(np.int32)), pa.array([w.tobytes() for w in wide], pa.binary())], names=["doc_id", "node", "tag", "wide"])
+
+    schema = "node long, shingles array<long>" if full else "doc_id long, node long, tag int, wide binary"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def candidates(nodes: DataFrame, masks: np.ndarray, radius: int) -> DataFrame:
+    """(a long, b long): pairs within the radius, from nodes (tag int, wide binary); with a column `label long`, all pairs of different labels, else a spanning forest of each bucket.
+
+    As links, but a row travels without its key and name, which are computed again.
+    """
+    parts = shuffle_partitions(nodes.sparkSession)
+    words, every = masks.shape[1], "label" in nodes.columns
+    row = np.dtype([("table", "u2"), ("tag", "u4"), ("wide", "u8", (words,)), *([("label", "i8")] if every else [])])
+    tables = np.arange(len(masks)).astype(U64)
 
+    def keys(rows: np.ndarray) -> np.ndarray:
+        return mix(folded(rows["wide"] & masks[rows["table"]]) + tables[rows["table"]])
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, choose: int | None = None, words: int = WIDE_WORDS) -> DataFrame:
-    """documents, one of each group: the smallest doc_id stays (of rows that share it, the smallest text). Groups of null ids alone keep all rows."""
-    found = groups(docs, shingle, radius, choose, words=words)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = np.empty((len(masks), b.num_rows), row)
+            out["table"] = np.arange(len(masks))[:, None]
+            out["tag"] = b["tag"].to_numpy().view(np.uint32)
+            out["wide"] = np.frombuffer(b"".join(b["wide"].to_pylist()), U64).reshape(-1, words)
+            if every:
+                out["label"] = b["label"].to_numpy()
+            out = out.ravel()
+            bucket = ((keys(out) >> U64(32)) * U64(4 * parts) >> U64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            out, bucket = out[order], bucket[order]
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(bucket[at]), pa.array([out[i:j].tobytes() for i, j in zip(at, [*at[1:], len(out)], strict=True)], pa.binary())], names=["bucket", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for bucket, blob in zip(b["bucket"].to_pylist(), b["blob"].to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(blob)
+        forest: dict[int, int] = {}
+        while held:
+            rows = np.frombuffer(b"".join(held.popitem()[1]), row)
+            key = keys(rows)
+            order = np.argsort(key, kind="stable")
+            rows, key = rows[order], key[order]
+            node = set_nodes(rows["wide"], rows["tag"])
+            if every:
+                for pairs in differing(key, node, rows["wide"], rows["label"], radius):
+                    yield pa.record_batch([pa.array(pairs[:, k].view(np.int64)) for k in (0, 1)], names=["a", "b"])
+                continue
+            named = np.empty(len(rows), np.dtype([("key", "u8"), ("node", "u8"), ("wide", "u8", (words,))]))
+            named["key"], named["node"], named["wide"] = key, node, rows["wide"]
+            pairs = np.array([p for p in bucket_links(named, radius).tolist() if joined(forest, *p)], U64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(pairs[:, k].view(np.int64)) for k in (0, 1)], names=["a", "b"])
+
+    dealt = nodes.select("tag", "wide", *(["label"] if every else [])).mapInArrow(deal, "bucket int, blob binary")
+    return dealt.repartition(parts, "bucket").mapInArrow(run, "a long, b long")
+
+
+def joined(up: dict[int, int], i: int, j: int) -> bool:
+    """Join i and j in a forest that grows; whether they were apart."""
+    roots = []
+    for x in (i, j):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        roots.append(x)
+    up[max(roots)] = min(roots)
+    return roots[0] != roots[1]
+
+
+def differing(key: np.ndarray, node: np.ndarray, wide: np.ndarray, label: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """All pairs of nodes within the radius that share a key and differ in label, among rows ordered by key."""
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
+    found, held = [], 0
+    for s, e in itertools.pairwise(edges):
+        if e - s < 2 or (label[s:e] == label[s]).all():
+            continue
+        for i in range(s, e - 1):
+            j = np.flatnonzero(label[i + 1 : e] != label[i]) + i + 1
+            j = j[distance(wide[j], wide[i]) <= radius]
+            if len(j):
+                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+                held += len(j)
+        if held > 1 << 16:
+            yield np.unique(np.concatenate(found), axis=0)
+            found, held = [], 0
+    if found:
+        yield np.unique(np.concatenate(found), axis=0)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity. nodes: (node, smallest), one document of each set."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    did = fresh(docs.columns, "did")
+    wanted = nodes.join(ends, "node", "left_semi").select(F.coalesce("smallest", F.lit(NULL_ID)).alias(did)).distinct()
+    texts = docs.withColumn(did, doc_key()).join(wanted, did, "left_semi")
+    sets = shingle_sets(texts, shingle, words, full=True).join(ends, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialise(sets, "shingle-sets")
+    a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return both.where(F.col("same") >= F.lit(similarity) * (F.col("sizes") - F.col("same")) - F.lit(1e-9)).select("a", "b")
+
+
+def alike(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, choose: int | None = None, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id long, node long, component_id long) per document: components of links of at least this similarity. node: one for each shingle set."""
+    docs_nodes = materialise(shingle_sets(docs, shingle, words), "shingle-nodes")
+    nodes = docs_nodes.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("tag").alias("tag"), F.min("wide").alias("wide"))
+    masks = block_choices(radius, choose, words) if choose else bit_samples(radius, words, nodes.count())
+    loose = materialise(candidates(nodes, masks, radius).distinct(), "loose")
+    sure = materialise(verified(loose, docs, nodes, shingle, words, similarity), "sure")
+    strict = components(sure)
+    # components of the forest that fell apart, of more than one pair
+    at = components(loose).withColumnRenamed("root", "within")
+    at = at.union(at.select("within", "within")).distinct()  # a root is no node of its own component
+    label = at.join(strict, "node", "left").select("node", "within", F.coalesce("root", "node").alias("label"))
+    apart = label.groupBy("within").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("apart")).where("apart AND n > 2").select("within")
+    again = materialise(label.join(apart, "within", "left_semi").join(nodes, "node").select("label", "tag", "wide"), "again")
+    if again.count():
+        more = materialise(candidates(again, masks, radius).distinct(), "more")
+        strict = components(sure.union(verified(more, docs, nodes, shingle, words, similarity)))
+    rooted = nodes.join(strict, "node", "left").select("node", "smallest", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("node", "component_id")
+    return docs_nodes.join(named, "node").select("doc_id", "node", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, choose: int | None = None, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """documents, one of each group of `alike`: the smallest doc_id stays (of rows that share it, the smallest text). Groups of null ids alone keep all rows."""
+    found = alike(docs, shingle, radius, choose, words, similarity)
     stay = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     did, rank = (fresh(docs.columns, c) for c in ("did", "rank"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
