@@ -159,6 +159,20 @@ def test_benchmark_passages_are_cut(spark):
     assert decontaminate.scan(df, items.where("false")).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("windows", [1_000_000, 8, 3])
+def test_cuts_do_not_depend_on_blocks(spark, windows):
+    words = [f"w{i}" for i in range(1, 31)]
+    # overlapping items; and one that would match only where a cut made neighbours
+    items = [(k, " ".join(words[a:b])) for k, (a, b) in enumerate([(0, 20), (10, 30), (4, 16), (19, 29)])] + [(9, "left " + " ".join(words[25:30]))]
+    docs = [(1, " ".join(words[:25]), 3), (2, "x " + ", ".join(words) + " y", 3), (3, "left " + " ".join(words[:20]) + " " + " ".join(words[25:30]), 3), (4, None, 3), (5, TEXT, 3), (6, " ".join(words[12:28]), 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars int")
+    many = spark.createDataFrame([*items, *ITEMS], "item_id long, text string")
+    out = decontaminate.remove_spans(df, many, max_windows=windows)
+    got = {x.doc_id: x.text for x in out.collect()}
+    assert out.columns == df.columns
+    assert got == {1: "", 2: "x  y", 3: "left  " + " ".join(words[25:30]), 4: None, 5: "x  stays. , again", 6: ""}
+
+
 def test_quality_learns_and_scores_whole_texts(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.predictions(docs, labels).join(labels, "doc_id").where("held_out").toPandas()

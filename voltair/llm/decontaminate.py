@@ -7,8 +7,8 @@ window length; each document's windows are looked up in it, and every hit is
 verified word by word before it counts.
 
 The set is broadcast only below `max_windows` windows. A larger benchmark is taken
-in blocks of items below that bound, one scan of the documents each, and the hits
-of all blocks are merged by document.
+in blocks of items below that bound, one scan of the documents each. The hits of all
+blocks in the text as it came are merged by document, and what is cut is cut once.
 
 Defined cases: null text has no words; items without words match nothing; items
 with equal windows all count; a null item_id is listed as an empty string; repeated
@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BASE, U64, Words, chunks, mix, slices, texts_of, word_table
+from .common import BASE, U64, Words, chunks, fresh, mix, slices, texts_of, word_table
 from .suffix_dedup import renew_length
 
 NGRAM = 10
@@ -150,25 +151,38 @@ def merged(rows: DataFrame, items: DataFrame, several: list[int], n: int) -> Dat
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """documents with every run of hit words, and what stands between them, cut out of `text`."""
+    """documents with every run of hit words, and what stands between them, cut out of `text`.
+
+    Hits of all blocks are found in the text as it came and cut once: each block adds its
+    hit words to a column that travels with the row.
+    """
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     several = blocks(items, n, max_windows)
     at = [c.lower() for c in docs.columns].index("text")
+    columns, span = docs.columns, fresh(docs.columns, "spans")
+    with_span = StructType([*docs.schema.fields, StructField(span, BinaryType())])
     out = docs
     for block in several:
         shared = docs.sparkSession.sparkContext.broadcast(block_windows(items, block, len(several), n))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=block == 0, last=block == several[-1]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                raws, texts = texts_of(b["text"]), b["text"].to_pylist()
+                raws, arrays = texts_of(b["text"]), list(b.columns)
+                held = [b""] * len(raws) if first else arrays.pop().to_pylist()
                 for i, (_, start, stop, names) in enumerate(hits(raws, shared.value)):
                     if names:
-                        texts[i] = cut(raws[i], start, stop).decode()
-                arrays = list(b.columns)
-                arrays[at] = pa.array(texts, b.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+                        held[i] += np.stack([start, stop], 1).astype(np.int64).tobytes()
+                if last:
+                    texts = b["text"].to_pylist()
+                    for i, spans in enumerate(held):
+                        if spans:
+                            texts[i] = cut(raws[i], *np.unique(np.frombuffer(spans, np.int64).reshape(-1, 2), axis=0).T).decode()
+                    arrays[at] = pa.array(texts, b.schema.field(at).type)
+                else:
+                    arrays.append(pa.array(held, pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *([] if last else [span])])
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(run, docs.schema if block == several[-1] else with_span)
     return renew_length(out)
 
 
