@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltair.operators import bandjoin, channels, groups, hmm, templates
+from voltair.operators import bandjoin, channels, groups, hmm, templates, waves
 
 
 def test_channel_lists():
@@ -103,3 +103,9 @@ def test_groups_learn_from_a_rough_guess(spark):
     assert ((got - WAVES) ** 2).sum() < 0.05 * (WAVES**2).sum()
     assert p.sum() == pytest.approx(len(onset) / 1500, rel=0.15)
     np.testing.assert_allclose(np.linalg.inv(precision), np.eye(2) * 0.09, atol=0.02)
+
+
+def test_projection_searches_all_positions(spark):
+    rows = [(k, k % 2, pos, float((k % 2) * {3: 1, 40: 5, 50: 4, 63: 3}.get(pos, 0))) for k in range(4) for pos in range(64)]
+    got = waves.best_projection_all(spark.createDataFrame(rows, "spike long, unit long, pos long, v double")).collect()
+    assert [tuple(x) for x in got] == [(0, 1, 40, 50, 63)]

@@ -66,6 +66,16 @@ def best_projection(wave: DataFrame, positions: int = 6) -> DataFrame:
     return triples.groupBy("unit1", "unit2").agg(best.alias("b")).select("unit1", "unit2", "b.p1", "b.p2", "b.p3")
 
 
+def best_projection_all(wave: DataFrame) -> DataFrame:
+    """As best_projection, over all positions: since the differences add up, the three largest make the best triple."""
+    t = template_band(wave).select("unit", "pos", "mean")
+    a, b = (t.select("pos", F.col("unit").alias(f"unit{k}"), F.col("mean").alias(f"m{k}")) for k in (1, 2))
+    d = a.join(b, "pos").where("unit1 < unit2").select("unit1", "unit2", "pos", F.round(F.pow(F.col("m1") - F.col("m2"), 2), 9).alias("d"))
+    rank = F.row_number().over(Window.partitionBy("unit1", "unit2").orderBy(F.desc("d"), "pos"))
+    three = d.withColumn("r", rank).where("r <= 3").groupBy("unit1", "unit2").agg(F.array_sort(F.collect_list("pos")).alias("p")).where("size(p) = 3")
+    return three.select("unit1", "unit2", *[F.col("p")[k].alias(f"p{k + 1}") for k in range(3)])
+
+
 def resolve_overlaps(wave: DataFrame, unresolved: int = 0, shift: int = 3) -> DataFrame:
     """Per spike of the unresolved unit: the pair of templates, one shifted by at most `shift`, with the least squared error."""
     t = template_band(wave).where(F.col("unit") != unresolved).select("unit", "pos", "mean")

@@ -203,6 +203,11 @@ def best_projection(s, d):
     return waves.best_projection(v.wave(s, d))
 
 
+@query(BAND + ", q AS (SELECT a.unit AS unit1, b.unit AS unit2, a.pos, round((a.mean - b.mean) ** 2, 9) AS d FROM band a JOIN band b ON a.pos = b.pos AND a.unit < b.unit), three AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY unit1, unit2 ORDER BY d DESC, pos) <= 3) SELECT unit1, unit2, min(pos) AS p1, sum(pos)::BIGINT - min(pos) - max(pos) AS p2, max(pos) AS p3 FROM three GROUP BY unit1, unit2 HAVING count(*) = 3", "wave")
+def best_projection_all(s, d):
+    return waves.best_projection_all(v.wave(s, d))
+
+
 @query(BAND + ", t AS (SELECT * FROM band WHERE unit <> 0), m AS (SELECT a.unit AS unit1, b.unit AS unit2, s, a.pos, a.mean + b.mean AS m FROM t a JOIN t b ON a.unit < b.unit, range(-3, 4) r(s) WHERE a.pos = b.pos + s), e AS (SELECT spike, unit1, unit2, s AS shift, round(avg((v - m) ** 2), 9) AS sse FROM wave JOIN m ON wave.pos = m.pos WHERE wave.unit = 0 GROUP BY ALL) SELECT spike, unit1, unit2, shift, sse FROM e QUALIFY row_number() OVER (PARTITION BY spike ORDER BY sse, unit1, unit2, shift) = 1", "wave")
 def resolve_overlaps(s, d):
     return waves.resolve_overlaps(v.wave(s, d))
