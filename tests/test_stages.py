@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voltair import plans
 from voltair.operators import bandjoin, channels, groups, hmm, templates, waves
 
 
@@ -109,3 +110,9 @@ def test_projection_searches_all_positions(spark):
     rows = [(k, k % 2, pos, float((k % 2) * {3: 1, 40: 5, 50: 4, 63: 3}.get(pos, 0))) for k in range(4) for pos in range(64)]
     got = waves.best_projection_all(spark.createDataFrame(rows, "spike long, unit long, pos long, v double")).collect()
     assert [tuple(x) for x in got] == [(0, 1, 40, 50, 63)]
+
+
+@pytest.mark.parametrize("name", ["noise_cov_all", "pooled_cov_all"])
+def test_covariances_have_all_positions(spark, sf, name):
+    got = {(x.i, x.j) for x in plans.QUERIES[name](spark, sf).collect()}
+    assert got == {(i, j) for i in range(64) for j in range(i, 64)}

@@ -36,6 +36,13 @@ def noise_covariance(wave: DataFrame, positions: int) -> DataFrame:
     return a.join(b, "spike").where("i <= j").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
 
 
+def position_pairs(shapes: DataFrame) -> DataFrame:
+    """(unit, i, j, x, y), i <= j, of all positions of each waveform (unit, v array<double>); no join."""
+    first = shapes.select("unit", "v", F.posexplode("v").alias("i", "x"))
+    pairs = first.select("unit", "i", "x", F.posexplode(F.expr("slice(v, i + 1, size(v))")).alias("k", "y"))
+    return pairs.select("unit", F.col("i").cast("long").alias("i"), (F.col("i") + F.col("k")).cast("long").alias("j"), "x", "y")
+
+
 def merge_statistic(wave: DataFrame, max_p: float = 12.0) -> DataFrame:
     """Squared difference of two templates over the variance of their means (noise: identity)."""
     t = template_band(wave).select("unit", "pos", "mean", "n")

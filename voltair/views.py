@@ -36,6 +36,11 @@ def wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("spike"), F.col("label").alias("unit"), F.posexplode("embedding").alias("pos", "v")).select("spike", "unit", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, v array<double>): a row for each spike of wave."""
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("unit"), F.col("embedding").cast("array<double>").alias("v"))
+
+
 def chan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ch_nr, gr_nr, active)."""
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ch_nr"), F.col("n_regionkey").alias("gr_nr"), (F.col("n_nationkey") % 7 != 3).alias("active"))
