@@ -1,23 +1,30 @@
 """SentencePiece encoding and decoding by streaming Viterbi over a given vocabulary.
 
 The vocabulary (pieces and scores) is read from a public model file; nothing is
-trained. A text is coded as the sequence of pieces with the greatest sum of scores;
+trained. A text is coded as the sequence of pieces with the greatest sum of scores
+(the segmentation of a unigram model; with a BPE model's file, whose scores are
+merge ranks, the ids are those of this path and not of that library's merge order);
 among equal sums the one whose last piece is longest, applied at every boundary.
 Spaces stand for the word mark of the pieces, and a space is put before the text as
 SentencePiece does. Bytes that no piece covers are coded by byte pieces at a
 penalty, so every text decodes to itself; a literal word mark in a text is coded by
 its bytes.
 
-Streaming: the search keeps scores and backpointers for a window as long as the
-longest piece. Whenever the backpointer paths of all boundaries in the window meet
-in one boundary, the ids up to there are final: they are committed and the window
-moves on, so memory is bounded by the piece length and not by the text. Between two
-bytes that stand side by side in no piece every path has a boundary; these
-convergence points are known beforehand. Texts fall apart there into short spans,
-and equal spans of a batch are decoded once, side by side; long spans run through
-the streaming window.
-
-Defined cases: null and empty texts have no ids; other columns pass through.
+Streaming: pieces are matched by a byte trie, so a match is exact. The search reads
+a text byte by byte and retains, for the boundaries in the window of the longest
+piece, the score, the trie walks that are still open, and the boundaries on the best
+path. Every few bytes the paths of all boundaries that can still begin or end a
+piece are intersected; where they meet in a boundary, the ids up to it are final:
+they are committed and the window moves on.
+
+The same search runs for many texts side by side, one byte a step. A long text is
+several lanes: between two bytes that stand side by side in no piece every path has
+a boundary, so lanes begin there. A lane whose paths don't meet within the window's
+64 boundaries (or that outlasts the others) goes on alone from its last commit, with
+backpointers for as long as its paths stay apart.
+
+Defined cases: null and empty texts have no ids; other columns pass through; very
+long texts are coded in runs of about a megabyte, cut where a lane may begin.
 """
 
 from __future__ import annotations
@@ -31,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODE, U64, chunks, fresh, prefix_hash, ranges, slices, span_hash, texts_of
+from .common import U64, fresh, slices, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Spans up to this many bytes are decoded side by side.
-SHORT = 24
+#: Boundaries whose backpointers a lane retains (bits of a word), bytes between two looks for a common boundary, bytes of a lane, lanes below which each goes on alone.
+WINDOW, LOOK, LANE, FEW = 64, 8, 128, 24
+#: Bytes of texts coded at once.
+RUN = 1 << 20
 #: Added to the worst piece score for each byte coded by its byte piece.
 PENALTY = -10.0
 
@@ -51,16 +60,27 @@ class Vocabulary:
         for p in pieces:
             for a, b in zip(p, p[1:], strict=False):
                 self.glued[a, b] = True
-        hashes, ids, scores = [], [], []
-        for p, (i, s) in pieces.items():
-            code = BYTE_CODE[np.frombuffer(p, np.uint8)]
-            hashes.append(span_hash(prefix_hash(code), np.array([0]), np.array([len(p)]))[0])
-            ids.append(i)
-            scores.append(s)
-        order = np.argsort(np.array(hashes, U64)) if hashes else np.zeros(0, np.int64)
-        self.hashes, self.ids, self.scores = np.array(hashes, U64)[order], np.array(ids, np.int32)[order], np.array(scores)[order]
         self.strings = {i: p for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(child of node and byte, 0: none; score of node, -inf: no piece; id of node; nodes below this number have children). Built once a process, not shipped."""
+        if not hasattr(self, "_trie"):
+            inner = sorted({p[:i] for p in self.pieces for i in range(len(p))} | {b""})  # the root is first, and no node's child
+            names = inner + sorted(set(self.pieces) - set(inner))
+            number = {p: i for i, p in enumerate(names)}
+            child = np.zeros((len(inner), 256), np.int32)
+            score, ids = np.full(len(names), -np.inf), np.zeros(len(names), np.int32)
+            for p, i in number.items():
+                if p:
+                    child[number[p[:-1]], p[-1]] = i
+                if p in self.pieces:
+                    ids[i], score[i] = self.pieces[p]
+            self._trie = child, score, ids, len(inner)
+        return self._trie
+
+    def __getstate__(self) -> dict:
+        return {k: x for k, x in self.__dict__.items() if k != "_trie"}
+
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         import sentencepiece
@@ -131,91 +151,151 @@ def path(end: int, back: dict[int, tuple[int, int]], done: int) -> list[int]:
     return ids[::-1]
 
 
-def decode_spans(buf: np.ndarray, prefix: np.ndarray, start: np.ndarray, length: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of many short spans side by side: (ids, how many each)."""
-    n, longest = len(start), int(length.max())
-    best = np.full((longest + 1, n), -np.inf)
-    best[0] = 0
-    step = np.zeros((longest + 1, n), np.int8)
-    token = np.zeros((longest + 1, n), np.int32)
+def ring_bits(first: int, last: int) -> int:
+    """The bits of the boundaries first .. last, fewer than WINDOW, by position modulo WINDOW."""
+    bits = ((1 << (last - first + 1)) - 1) << (first % WINDOW)
+    return (bits | bits >> WINDOW) & ((1 << WINDOW) - 1)
+
+
+def encode_lanes(buf: np.ndarray, start: np.ndarray, length: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """The streaming search over many lanes side by side, longest first; for each byte of buf the id + 1 of the piece that ends with it, or 0."""
+    child, piece_score, piece_id, inner = v.trie()
     byte_ids = np.array(v.byte_ids, np.int32)
-    for end in range(1, longest + 1):
-        live = np.flatnonzero(length >= end)  # spans are ordered by length: a tail
-        at = start[live] + end
-        for size in range(min(end, v.longest), 0, -1):
-            h = span_hash(prefix, at - size, at)
-            k = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            hit = v.hashes[k] == h
-            score = np.where(hit, best[end - size, live] + v.scores[k], -np.inf)
-            better = score > best[end, live]
-            some = live[better]
-            best[end, some], step[end, some], token[end, some] = score[better], size, v.ids[k[better]]
-        score = best[end - 1, live] + v.byte_score
-        better = score > best[end, live]
-        some = live[better]
-        best[end, some], step[end, some], token[end, some] = score[better], 1, byte_ids[buf[at[better] - 1]]
-    place, count = length.copy(), np.zeros(n, np.int64)
-    trail = []
-    while True:
-        live = np.flatnonzero(place > 0)
-        if not len(live):
-            break
-        trail.append((live, token[place[live], live]))
-        count[live] += 1
-        place[live] -= step[place[live], live]
-    ids = np.empty(int(count.sum()), np.int32)
-    last = np.cumsum(count) - 1
-    for live, t in trail:
-        ids[last[live]] = t
-        last[live] -= 1
-    return ids, count
-
-
-def encode_run(texts: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a run of documents and how many each."""
-    lead = b" " if v.prefix else b""
-    texts = [lead + t if t else t for t in texts]
-    raw = b"".join(texts)
-    counts = np.zeros(len(texts), np.int64)
-    if not raw:
-        return np.zeros(0, np.int32), counts
-    buf = np.frombuffer(raw, np.uint8)
-    doc_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-    edge = np.empty(len(buf), bool)
-    edge[0] = True
-    edge[1:] = ~v.glued[buf[:-1], buf[1:]]
-    edge[doc_at[:-1][np.diff(doc_at) > 0]] = True
-    start = np.flatnonzero(edge)
+    out = np.zeros(len(buf), np.int32)
+    lanes = len(start)
+    every = np.arange(lanes)
+    best = np.zeros((WINDOW, lanes))
+    step, token = np.zeros((WINDOW, lanes), np.int64), np.zeros((WINDOW, lanes), np.int32)
+    trail = np.zeros((WINDOW, lanes), U64)  # boundaries on the best path, by position modulo WINDOW
+    trail[0] = 1
+    done, lost = np.zeros(lanes, np.int64), np.zeros(lanes, bool)
+    walks: list[tuple[int, np.ndarray, np.ndarray]] = []  # (boundary, lanes, nodes) of open trie walks, oldest first
+
+    def commit(some: np.ndarray, upto: np.ndarray) -> None:
+        place, floor = upto.copy(), done[some]
+        done[some] = upto
+        while len(some):
+            row = place % WINDOW
+            out[start[some] + place - 1] = token[row, some] + 1
+            place -= step[row, some]
+            more = place > floor
+            some, place, floor = some[more], place[more], floor[more]
+
+    active = np.searchsorted(-length, -np.arange(int(length.max(initial=0)) + 2), side="right")  # lanes of at least t bytes
+    t = 0
+    while active[t + 1] > FEW if t + 1 < len(active) else False:
+        t += 1
+        n, row = int(active[t]), t % WINDOW
+        byte = buf[start[:n] + (t - 1)]
+        now, ended, using = best[row], step[row], token[row]
+        now[:n] = -np.inf
+        walks.append((t - 1, every[:n], np.zeros(n, np.int32)))
+        still = []
+        for begun, lane, node in walks:
+            if active[t - 1] != n and len(lane) and lane[-1] >= n:
+                lane = lane[: np.searchsorted(lane, n)]
+                node = node[: len(lane)]
+            node = child[node, byte[lane]]
+            on = np.flatnonzero(node)
+            lane, node = lane[on], node[on]
+            total = best[begun % WINDOW][lane] + piece_score[node]
+            better = np.flatnonzero(total > now[lane])
+            some = lane[better]
+            now[some], ended[some], using[some] = total[better], t - begun, piece_id[node[better]]
+            open_ = np.flatnonzero(node < inner)
+            if len(open_):
+                still.append((begun, lane[open_], node[open_]))
+        walks = still
+        alone = best[(t - 1) % WINDOW][:n] + v.byte_score
+        some = np.flatnonzero(alone > now[:n])
+        now[some], ended[some], using[some] = alone[some], 1, byte_ids[byte[some]]
+        # bits of the boundaries that the piece steps over stood for older ones
+        kept = np.array([ring_bits(t - k + 1, t) ^ (2**64 - 1) for k in range(v.longest + 1)], U64)
+        trail[row, :n] = trail[(t - ended[:n]) % WINDOW, every[:n]] & kept[ended[:n]] | U64(1 << row)
+        if t % LOOK == 0:
+            common = trail[row, :n].copy()
+            for begun, lane, _ in walks:
+                common[lane] &= trail[begun % WINDOW][lane] & U64(ring_bits(begun + 1, t) ^ (2**64 - 1))
+            turned = common << U64(63 - row) | common >> U64(row + 1) if row < 63 else common  # this boundary as the highest bit
+            high = np.frexp((turned & ~(turned >> U64(1))).astype(np.float64))[1] - 1
+            meet = np.where(turned > 0, t - 63 + high, 0)
+            fresh_ = np.flatnonzero((meet > done[:n]) & ~lost[:n])
+            commit(fresh_, meet[fresh_])
+            lost[:n] |= t + LOOK - done[:n] > WINDOW
+        over = every[active[t + 1] : n] if t + 1 < len(active) else every[:n]
+        over = over[~lost[over]]
+        if len(over):
+            commit(over, np.full(len(over), t))
+    raw = None
+    for lane in np.flatnonzero(done < length).tolist():  # alone, from the last commit
+        raw = buf.tobytes() if raw is None else raw
+        at = int(start[lane] + done[lane])
+        for i in stream(raw[at : int(start[lane] + length[lane])], v):
+            at += len(v.strings[i])
+            out[at - 1] = i + 1
+    return out
+
+
+def runs(texts: list[bytes], v: Vocabulary) -> Iterator[tuple[list[bytes], list[int]]]:
+    """(parts, index of each part's text): parts of about RUN bytes together; a longer text is cut where a lane may begin."""
+    parts, owner, size = [], [], 0
+    for i, text in enumerate(texts):
+        text = b" " + text if v.prefix and text else text
+        at = 0
+        while at < len(text):
+            stop = len(text)
+            if stop - at > 2 * RUN:
+                look = at + RUN
+                while look < stop - 1 and v.glued[text[look - 1], text[look]]:
+                    look += 1
+                stop = look
+            parts.append(text[at:stop])
+            owner.append(i)
+            size += stop - at
+            at = stop
+            if size >= RUN:
+                yield parts, owner
+                parts, owner, size = [], [], 0
+    if parts:
+        yield parts, owner
+
+
+def encode_run(parts: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the parts, none of them empty, and how many each."""
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    part_at = np.cumsum([0, *map(len, parts)])
+    free = np.empty(len(buf), bool)  # a lane may begin here
+    free[0] = True
+    free[1:] = ~v.glued[buf[:-1], buf[1:]]
+    free[part_at[:-1]] = True
+    spots = np.flatnonzero(free)
+    # parts, cut at the first such place after each LANE bytes
+    grid = np.concatenate([np.arange(a, b, LANE) for a, b in zip(part_at[:-1], part_at[1:], strict=True)])
+    start = np.unique(spots[np.minimum(np.searchsorted(spots, grid), len(spots) - 1)])
     length = np.diff(np.append(start, len(buf)))
-    prefix = prefix_hash(BYTE_CODE[buf])
-    # equal spans once, shorter ones first
-    _, one, which = np.unique(span_hash(prefix, start, start + length), return_index=True, return_inverse=True)
-    by_length = np.argsort(length[one], kind="stable")
-    place = np.empty(len(one), np.int64)
-    place[by_length] = np.arange(len(one))
-    one, which = one[by_length], place[which]
-    short = int(np.searchsorted(length[one], SHORT, side="right"))
-    ids, count = [], np.zeros(len(one), np.int64)
-    for a in range(0, short, 20_000):
-        some = one[a : min(a + 20_000, short)]
-        got, count[a : a + len(some)] = decode_spans(buf, prefix, start[some], length[some], v)
-        ids.append(got)
-    for k in range(short, len(one)):
-        s = start[one[k]]
-        got = np.fromiter(stream(raw[s : s + length[one[k]]], v), np.int32)
-        count[k] = len(got)
-        ids.append(got)
-    flat = np.concatenate(ids)
-    first = np.cumsum(count) - count
-    out = flat[ranges(first[which], count[which])]
-    np.add.at(counts, np.searchsorted(doc_at, start, side="right") - 1, count[which])
-    return out, counts
+    order = np.argsort(-length, kind="stable")
+    out = encode_lanes(buf, start[order], length[order], v)
+    ends = np.flatnonzero(out)
+    return out[ends] - 1, np.diff(np.searchsorted(ends, part_at))
 
 
 def encode(texts: list[bytes], v: Vocabulary) -> Iterator[np.ndarray]:
-    for a, z in chunks(texts, 1 << 20):
-        ids, counts = encode_run(texts[a:z], v)
-        yield from np.split(ids, np.cumsum(counts)[:-1])
+    held: list[list[np.ndarray]] = [[] for _ in texts]
+    at = 0
+    for parts, owner in runs(texts, v):
+        ids, counts = encode_run(parts, v)
+        for i, mine in zip(owner, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            while at < i:  # texts before this one are complete
+                yield joined_ids(held[at])
+                held[at] = []
+                at += 1
+            held[i].append(mine)
+    for h in held[at:]:
+        yield joined_ids(h)
+
+
+def joined_ids(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> bytes:
