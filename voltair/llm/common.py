@@ -47,8 +47,8 @@ def doc_key(column: str = "doc_id") -> Column:
 
 
 def text_tag(column: str = "text") -> Column:
-    """A 32-bit tag of the text, which tells apart rows that share a doc_id."""
-    return F.hash(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    """A 64-bit tag of the text, which tells apart rows that share a doc_id."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -98,7 +98,7 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of codes[start:stop], the same wherever the span stands."""
+    """A hash of codes[start:stop], the same wherever the span stands. It only brings candidates together: bytes are compared before anything rests on it."""
     down = powers(len(prefix))[1]
     return mix((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(U64))
 
@@ -193,6 +193,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
         pa.default_memory_pool().release_unused()
 
 
+def sized(batches: Iterator[pa.RecordBatch], target: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of texts of about `target` bytes, or of one longer text."""
+    for b in batches:
+        at, most = 0, max(1, int(target * b.num_rows / max(1, b.get_total_buffer_size())))
+        while at < b.num_rows:
+            yield b.slice(at, most)
+            at += most
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

@@ -5,22 +5,23 @@ is the smallest hash among its m-token grams, so equal windows have equal
 minimisers. Consecutive windows that share one form a super-k-mer, which travels
 as one unit to the bucket of its minimiser:
 
-1. `scan` cuts every document into super-k-mers and sends, for each, only a
-   fingerprint (minimiser, content hash: 128 bits together) with its place. Copies
-   that a task sees itself are settled there, so a passage that fills the corpus
-   sends one row a task and not one an occurrence.
-2. `settle` gathers a bucket. A super-k-mer that equals an earlier one is wholly
-   repeated. One that stands alone under its minimiser has no repeated window.
-   Where different super-k-mers meet under one minimiser, the earliest of each is
-   "contested": only their strings have to be compared.
-3. Contested super-k-mers are cut out of their documents and travel as packed
-   strings to the minimiser's bucket, where the caller compares windows exactly
-   (suffix array with longest previous factors, or sorting). A minimiser with very
-   many different super-k-mers (a short common line in ever new surroundings) is
-   split by a second, longer gram, so no bucket gathers an unbounded group.
-
-Places are ordered by (doc_id, tag, start); tag is a hash of the text that tells
-apart rows which share a doc_id. Rows equal in both are the same document.
+1. `scan` cuts every document into super-k-mers and announces each by its minimiser,
+   a short content hash and its place. Equal super-k-mers of one batch are settled
+   there, after a comparison of their bytes, so a passage that fills the corpus is
+   announced once a batch and not once an occurrence.
+2. `settle` gathers a bucket. A super-k-mer that stands alone under its minimiser has
+   no repeated window, and its string needn't travel. All others are open.
+3. Open super-k-mers are cut out of their documents and travel as packed strings to
+   the minimiser's bucket, where the caller compares windows (suffix order with
+   longest previous factors, or sorting). A minimiser with very many different
+   super-k-mers (a short common line in ever new surroundings) would gather too much
+   in one bucket; its windows travel one by one, each to the bucket of its own hash,
+   where only equal windows meet, one for each batch.
+
+Hashes only bring together; that two windows are equal is decided on their bytes.
+
+Places are ordered by (doc_id, tag, start); tag is a 64-bit hash of the text that
+tells apart rows which share a doc_id. Rows equal in both are the same document.
 """
 
 from __future__ import annotations
@@ -34,30 +35,28 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, Words, chunks, doc_key, materialise, mix, prefix_hash, ranges, shuffle_partitions, span_hash, text_tag, texts_of, window_min
+from .common import BYTE_CODE, U64, Words, chunks, doc_key, materialise, mix, prefix_hash, ranges, shuffle_partitions, sized, span_hash, text_tag, texts_of, window_min
 
-COVERED, CONTESTED, HOT = 0, 1, 2
+COVERED, OPEN, HOT = 0, 1, 2
 
-ENTRY = np.dtype([("key", "u8"), ("content", "u8"), ("doc", "i8"), ("tag", "i4"), ("start", "i4"), ("n", "i4")])
+ENTRY = np.dtype([("key", "u8"), ("content", "u8"), ("doc", "i8"), ("tag", "i8"), ("start", "i4"), ("n", "i4")])
 BLOB_SCHEMA = "bucket int, blob binary"
-PLACE_SCHEMA = "kind tinyint, key long, doc long, tag int, start int, n int"
-PIECE_SCHEMA = "kind tinyint, bucket int, key long, content long, doc long, tag int, start int, n int, piece binary"
+PLACE_SCHEMA = "kind tinyint, key long, doc long, tag long, start int, n int"
 
 
 @dataclass(frozen=True)
 class Plan:
-    """unit: 'byte' or 'word'. window: K. gram, fine_gram: m of the first cut and of the cut of hot minimisers.
+    """unit: 'byte' or 'word'. window: K. gram: m of the minimisers.
 
     same_document: whether an earlier window of the same document counts.
-    hot: more different super-k-mers than this under one minimiser are cut anew.
+    hot: with more different super-k-mers than this under one minimiser, its windows travel one by one.
     """
 
     unit: str
     window: int
     gram: int
-    fine_gram: int
     same_document: bool
-    hot: int = 1000
+    hot: int = 8000
 
 
 #: Added to an entry's n where its minimiser stands in it more than once.
@@ -107,108 +106,142 @@ def cut(codes: np.ndarray, doc_at: np.ndarray, window: int, gram: int, mark_self
     return least[start], content, doc, start - doc_at[doc], windows + more
 
 
-def entries_of(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, plan: Plan) -> Iterator[np.ndarray]:
-    for a, b in chunks(texts):
-        part = texts[a:b]
-        if plan.unit == "byte":
-            codes = BYTE_CODE[np.frombuffer(b"".join(part), np.uint8)]
-            doc_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))])
+class Tokens:
+    """A run of documents as tokens: codes, each document's first token, and the bytes of any run of tokens (words joined by one space)."""
+
+    def __init__(self, texts: list[bytes], unit: str):
+        if unit == "byte":
+            self.raw = b"".join(texts)
+            self.codes = BYTE_CODE[np.frombuffer(self.raw, np.uint8)]
+            self.doc_at = np.cumsum([0, *map(len, texts)])
+            self.start = self.stop = None
         else:
-            words = Words(part)
-            codes, doc_at = words.hashes(), words.first
-        key, content, doc, start, n = cut(codes, doc_at, plan.window, plan.gram, plan.same_document)
+            words = Words(texts)
+            self.codes, self.doc_at = words.hashes(), words.first
+            self.raw = b" ".join(words.raw.split())
+            size = words.stop - words.start
+            self.stop = np.cumsum(size + 1) - 1
+            self.start = self.stop - size
+
+    def string(self, at: int, length: int) -> bytes:
+        return self.raw[at : at + length] if self.start is None else self.raw[self.start[at] : self.stop[at + length - 1]]
+
+
+def batch_entries(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Super-k-mers of a batch: entries to announce, and those that equal an earlier one of the batch, byte for byte."""
+    parts, where = [], []
+    for a, b in chunks(texts):
+        tokens = Tokens(texts[a:b], plan.unit)
+        key, content, doc, start, n = cut(tokens.codes, tokens.doc_at, plan.window, plan.gram, plan.same_document)
+        tokens.codes = None  # only the bytes are needed from here on
         out = np.empty(len(key), ENTRY)
         out["key"], out["content"], out["doc"], out["tag"], out["start"], out["n"] = key, content, docs[a:b][doc], tags[a:b][doc], start, n
-        yield out
+        parts.append(out)
+        where.append((tokens, tokens.doc_at[doc] + start))
+    entries = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
+    if not len(entries):
+        return entries, entries
+    run = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    at = np.concatenate([x for _, x in where])
+    order, new = ordered(entries)
+    entries, run, at = entries[order], run[order], at[order]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    old = ~new if plan.same_document else entries["doc"] > entries["doc"][first]
+    length = (entries["n"] & (SELF - 1)) + (plan.window - 1)
+    for i in np.flatnonzero(old).tolist():
+        f = first[i]
+        old[i] = length[i] == length[f] and where[run[i]][0].string(at[i], length[i]) == where[run[f]][0].string(at[f], length[f])
+    return entries[~old], entries[old]
 
 
 def ordered(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries by (key, content, place), equal rows once; and where a new (key, content) begins."""
-    by_key = np.argsort(entries["key"], kind="stable")
-    entries = entries[by_key]
-    same = entries["key"][1:] == entries["key"][:-1]
+    """Entries in the order of (key, content, place), equal ones once: their indices, and where a new (key, content) begins."""
+    order = np.argsort(entries["key"], kind="stable")
+    key = entries["key"][order]
+    same = key[1:] == key[:-1]
     tied = np.zeros(len(entries), bool)
     tied[1:] |= same
     tied[:-1] |= same
     if tied.any():  # order the few that share a minimiser by all columns
-        some = entries[tied]
-        entries[tied] = some[np.lexsort((some["start"], some["tag"], some["doc"], some["content"], some["key"]))]
-    fresh = np.ones(len(entries), bool)
-    fresh[1:] = entries[1:] != entries[:-1]
-    entries = entries[fresh]
-    new = np.ones(len(entries), bool)
-    new[1:] = (entries["key"][1:] != entries["key"][:-1]) | (entries["content"][1:] != entries["content"][:-1])
-    return entries, new
-
-
-def repeated(entries: np.ndarray, new: np.ndarray, plan: Plan) -> np.ndarray:
-    """Which ordered entries equal one that stands earlier."""
-    if plan.same_document:
-        return ~new
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return entries["doc"] > entries["doc"][first]
+        some = entries[order[tied]]
+        order[tied] = order[tied][np.lexsort((some["n"], some["start"], some["tag"], some["doc"], some["content"], some["key"]))]
+    there = entries[order]
+    differs = np.ones(len(there), bool)
+    differs[1:] = there[1:] != there[:-1]
+    order, there = order[differs], there[differs]
+    new = np.ones(len(there), bool)
+    new[1:] = (there["key"][1:] != there["key"][:-1]) | (there["content"][1:] != there["content"][:-1])
+    return order, new
 
 
-def settle_local(parts: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """What a task can settle itself: entries to send on, and repeated ones."""
-    entries, new = ordered(np.concatenate(parts)) if parts else (np.zeros(0, ENTRY), None)
-    if not len(entries):
-        return entries, entries
-    old = repeated(entries, new, plan)
-    return entries[~old], entries[old]
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes first, so that small numbers compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def pack(entries: np.ndarray) -> bytes:
-    """Hashes as they are; places in place order as compressed differences."""
-    entries = entries[np.lexsort((entries["start"], entries["tag"], entries["doc"]))]
-    meta = np.diff(entries["doc"], prepend=0).tobytes() + entries["start"].tobytes() + entries["n"].tobytes()
-    body = zstandard.ZstdCompressor(level=1).compress(meta)
-    return len(entries).to_bytes(4, "little") + entries["key"].tobytes() + entries["content"].tobytes() + entries["tag"].tobytes() + body
+def from_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:4], "little")
+def pack(entries: np.ndarray, strings: list[bytes] | None = None) -> bytes:
+    """Entries in place order (each document named once), and the string of each."""
+    order = np.lexsort((entries["start"], entries["tag"], entries["doc"]))
+    entries = entries[order]
+    new = np.ones(len(entries), bool)
+    new[1:] = (entries["doc"][1:] != entries["doc"][:-1]) | (entries["tag"][1:] != entries["tag"][:-1])
+    docs = entries[new]
+    count = np.diff(np.append(np.flatnonzero(new), len(entries))).astype("i4")
+    body = planes(docs["doc"]) + docs["tag"].tobytes() + planes(count) + planes(entries["start"]) + planes(entries["n"])
+    if strings is not None:
+        strings = [strings[i] for i in order.tolist()]
+        body += planes(np.fromiter(map(len, strings), "i4", len(strings))) + b"".join(strings)
+    plain = entries["key"].tobytes() + entries["content"].astype("u4").tobytes()
+    return len(entries).to_bytes(4, "little") + len(docs).to_bytes(4, "little") + plain + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack(blob: bytes, with_strings: bool = False) -> tuple[np.ndarray, list[bytes]]:
+    n, d = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
     out = np.empty(n, ENTRY)
-    out["key"], out["content"] = np.frombuffer(blob, "u8", 2 * n, 4).reshape(2, n)
-    out["tag"] = np.frombuffer(blob, "i4", n, 4 + 16 * n)
-    meta = zstandard.ZstdDecompressor().decompress(blob[4 + 20 * n :])
-    out["doc"] = np.cumsum(np.frombuffer(meta, "i8", n))
-    out["start"], out["n"] = np.frombuffer(meta, "i4", 2 * n, 8 * n).reshape(2, n)
-    return out
+    out["key"] = np.frombuffer(blob, "u8", n, 8)
+    out["content"] = np.frombuffer(blob, "u4", n, 8 + 8 * n)
+    body = zstandard.ZstdDecompressor().decompress(blob[8 + 12 * n :])
+    count = from_planes(body, "i4", d, 16 * d)
+    out["doc"] = np.repeat(from_planes(body, "i8", d, 0), count)
+    out["tag"] = np.repeat(np.frombuffer(body, "i8", d, 8 * d), count)
+    out["start"], out["n"] = from_planes(body, "i4", n, 20 * d), from_planes(body, "i4", n, 20 * d + 4 * n)
+    if not with_strings:
+        return out, []
+    stop = 20 * d + 12 * n + np.cumsum(from_planes(body, "i4", n, 20 * d + 8 * n), dtype=np.int64)
+    return out, [body[a:b] for a, b in zip([20 * d + 12 * n, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
 _BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
-_PLACES = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
-_PIECES = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("piece", pa.binary())])
+_PLACES = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
-def bucket_blobs(sent: np.ndarray, settled: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def bucket_blobs(sent: np.ndarray, settled: np.ndarray, buckets: int, strings: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
     """One packed row a bucket; settled entries ride along in rows of their own, marked by a leading byte."""
     for mark, entries in ((b"\0", sent), (b"\1", settled)):
         if not len(entries):
             continue
-        bucket = ((entries["key"] >> U64(20)) % U64(buckets)).astype(np.int32) if mark == b"\0" else (mix(entries["doc"].astype(U64)) % U64(buckets)).astype(np.int32)
+        bucket = ((mix(entries["key"]) if mark == b"\0" else mix(entries["doc"].astype(U64) + entries["tag"].astype(U64))) % U64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        entries, bucket = entries[order], bucket[order]
+        bucket = bucket[order]
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        blobs = [mark + pack(entries[a:b]) for a, b in zip(at, [*at[1:], len(entries)], strict=True)]
+        blobs = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(entries)], strict=True):
+            some = order[a:b]
+            blobs.append(mark + pack(entries[some], [strings[i] for i in some.tolist()] if strings is not None and mark == b"\0" else None))
         yield pa.record_batch([pa.array(bucket[at], pa.int32()), pa.array(blobs, pa.binary())], schema=_BLOBS)
 
 
-def scan(docs: DataFrame, plan: Plan, buckets: int, flush: int = 2_000_000) -> DataFrame:
-    """Step 1. flush: entries a task holds before it sends them."""
+def scan(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
+    """Step 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for b in batches:
-            texts = texts_of(b["text"])
-            for e in entries_of(texts, b["did"].to_numpy(), b["tag"].to_numpy(), plan):
-                parts.append(e)
-                held += len(e)
-                if held >= flush:
-                    yield from bucket_blobs(*settle_local(parts, plan), buckets)
-                    parts, held = [], 0
-        yield from bucket_blobs(*settle_local(parts, plan), buckets)
+        for b in sized(batches):
+            yield from bucket_blobs(*batch_entries(texts_of(b["text"]), b["did"].to_numpy(), b["tag"].to_numpy(), plan), buckets)
 
     return docs.mapInArrow(run, BLOB_SCHEMA)
 
@@ -217,132 +250,122 @@ def places(kind: int | np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
     kinds = np.full(len(entries), kind, np.int8) if isinstance(kind, int) else kind.astype(np.int8)
     entries = entries.copy()
     entries["n"] &= SELF - 1
-    return pa.record_batch([pa.array(kinds), *(pa.array(np.ascontiguousarray(entries[c]).view(t)) for c, t in (("key", "i8"), ("doc", "i8"), ("tag", "i4"), ("start", "i4"), ("n", "i4")))], schema=_PLACES)
+    return pa.record_batch([pa.array(kinds), *(pa.array(np.ascontiguousarray(entries[c]).view(t)) for c, t in (("key", "i8"), ("doc", "i8"), ("tag", "i8"), ("start", "i4"), ("n", "i4")))], schema=_PLACES)
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | list[bytes]]:
+    """Places that are settled, as they come; then the packed entries of each bucket of a partition that holds whole buckets."""
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for bucket, blob in zip(b["bucket"].to_pylist(), b["blob"].to_pylist(), strict=True):
+            if blob[0]:
+                yield places(COVERED, unpack(blob[1:])[0])
+            else:
+                held.setdefault(bucket, []).append(blob[1:])
+    while held:
+        yield held.popitem()[1]
 
 
 def settle(blobs: DataFrame, plan: Plan) -> DataFrame:
-    """Step 2, over a partition that holds whole buckets."""
+    """Step 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            for blob in b["blob"].to_pylist():
-                if blob[0]:
-                    yield places(COVERED, unpack(blob[1:]))
-                else:
-                    parts.append(unpack(blob[1:]))
-        if not parts:
-            return
-        entries, new = ordered(np.concatenate(parts))
-        old = repeated(entries, new, plan)
-        yield places(COVERED, entries[old])
-        group = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]])
-        at = np.flatnonzero(group)
-        contents = np.add.reduceat(new.astype(np.int64), at)[np.cumsum(group) - 1]
-        open_ = ~old & ((contents > 1) | (entries["n"] >= SELF))
-        kind = np.where(contents > plan.hot, HOT, CONTESTED)
-        yield places(kind[open_], entries[open_])
+        for found in by_bucket(batches):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            entries = np.concatenate([unpack(blob)[0] for blob in found])
+            order, new = ordered(entries)
+            entries = entries[order]
+            group = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]])
+            at, of = np.flatnonzero(group), np.cumsum(group) - 1
+            size = np.diff(np.append(at, len(entries)))[of]
+            different = np.add.reduceat(new.astype(np.int64), at)[of]
+            open_ = (size > 1) | (entries["n"] >= SELF)
+            yield places(np.where(different > plan.hot, HOT, OPEN)[open_], entries[open_])
 
     return blobs.mapInArrow(run, PLACE_SCHEMA)
 
 
 def pieces(docs: DataFrame, open_places: DataFrame, plan: Plan, buckets: int) -> DataFrame:
-    """Step 3: cut contested super-k-mers out of their documents, the hot ones into finer ones."""
+    """Step 3: cut open super-k-mers out of their documents, the hot ones window by window."""
     refs = open_places.groupBy(F.col("doc").alias("did"), "tag").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("refs"))
     joined = docs.join(refs, ["did", "tag"]).select("did", "tag", "text", "refs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sized(batches):
             texts, docs_, tags = texts_of(b["text"]), b["did"].to_numpy(), b["tag"].to_numpy()
             lists = b["refs"]
             offsets, flat = lists.offsets.to_numpy(), lists.values
             kind, key, start, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            found, strings = [], []
+            parts, strings = [], []
             for i, text in enumerate(texts):
-                a, z = offsets[i], offsets[i + 1]
-                if plan.unit == "word":
-                    words = Words([text])
-                    span = lambda s, k, w=words: b" ".join(w.raw[p:q] for p, q in zip(w.start[s : s + k + plan.window - 1], w.stop[s : s + k + plan.window - 1], strict=True))
-                else:
-                    span = lambda s, k, t=text: t[s : s + k + plan.window - 1]
-                for j in range(a, z):
-                    s, k = int(start[j]), int(n[j])
-                    string = span(s, k)
-                    if kind[j] == CONTESTED:
-                        found.append((int(key[j]) & (2**64 - 1), 0, docs_[i], tags[i], s, k))
-                        strings.append(string)
-                        continue
-                    codes = BYTE_CODE[np.frombuffer(string, np.uint8)] if plan.unit == "byte" else Words([string]).hashes()
-                    fine = cut(codes, np.array([0, len(codes)]), plan.window, plan.fine_gram)
-                    for k2, s2, n2 in zip(fine[0].tolist(), fine[3].tolist(), fine[4].tolist(), strict=True):
-                        found.append((k2, 0, docs_[i], tags[i], s + s2, n2))
-                        strings.append(span(s + s2, n2))
-            if not found:
+                mine = slice(offsets[i], offsets[i + 1])
+                tokens = Tokens([text], plan.unit)
+                hot = kind[mine] == HOT
+                k, s, w = key[mine][~hot].view(U64), start[mine][~hot], n[mine][~hot]
+                if hot.any():
+                    s2 = ranges(start[mine][hot], n[mine][hot])
+                    prefix = prefix_hash(tokens.codes)
+                    k = np.append(k, span_hash(prefix, s2, s2 + plan.window))
+                    s, w = np.append(s, s2), np.append(w, np.ones(len(s2), np.int64))
+                out = np.empty(len(k), ENTRY)
+                out["key"], out["content"], out["doc"], out["tag"], out["start"], out["n"] = k, 0, docs_[i], tags[i], s, w
+                parts.append(out)
+                strings += map(tokens.string, s.tolist(), (w + (plan.window - 1)).tolist())
+            if not strings:
                 continue
-            entries = np.array(found, ENTRY)
-            # as in step 1: copies within the batch are settled here
+            entries = np.concatenate(parts)
+            # as in step 1: equal strings of the batch are settled here
             number: dict[tuple[int, bytes], int] = {}
-            entries["content"] = [number.setdefault((f[0], s), len(number)) for f, s in zip(found, strings, strict=True)]
-            order = np.lexsort((entries["start"], entries["tag"], entries["doc"], entries["content"], entries["key"]))
+            entries["content"] = [number.setdefault(f, len(number)) for f in zip(entries["key"].tolist(), strings, strict=True)]
+            order, new = ordered(entries)
             entries = entries[order]
-            new = np.ones(len(entries), bool)
-            new[1:] = (entries["key"][1:] != entries["key"][:-1]) | (entries["content"][1:] != entries["content"][:-1])
-            old = repeated(entries, new, plan)
-            yield piece_rows(COVERED, entries[old], (mix(entries["doc"][old].astype(U64)) % U64(buckets)).astype(np.int32), None)
-            kept = np.flatnonzero(~old)
-            yield piece_rows(CONTESTED, entries[kept], (mix(entries["key"][kept]) % U64(buckets)).astype(np.int32), [strings[i] for i in order[kept]])
-
-    return joined.mapInArrow(run, PIECE_SCHEMA)
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            old = ~new if plan.same_document else entries["doc"] > entries["doc"][first]
+            yield from bucket_blobs(entries[~old], entries[old], buckets, [strings[i] for i in order[~old].tolist()])
 
+    return joined.mapInArrow(run, BLOB_SCHEMA)
 
-def piece_rows(kind: int, e: np.ndarray, bucket: np.ndarray, strings: list[bytes] | None) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(e), kind, np.int8)), pa.array(bucket)]
-    columns += [pa.array(np.ascontiguousarray(e[c]).view(t)) for c, t in (("key", "i8"), ("content", "i8"), ("doc", "i8"), ("tag", "i4"), ("start", "i4"), ("n", "i4"))]
-    return pa.record_batch([*columns, pa.array(strings, pa.binary()) if strings is not None else pa.nulls(len(e), pa.binary())], schema=_PIECES)
 
-
-def compare(piece_df: DataFrame, plan: Plan, earlier: Callable[[np.ndarray, list[bytes]], np.ndarray]) -> DataFrame:
+def compare(packed: DataFrame, plan: Plan, earlier: Callable[[np.ndarray, list[bytes]], np.ndarray]) -> DataFrame:
     """Step 3, at the bucket. earlier: which windows of the given super-k-mers (their windows one after another) stand earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, strings = [], []
-        for b in batches:
-            e = np.empty(b.num_rows, ENTRY)
-            for c in ENTRY.names:
-                e[c] = b[c].to_numpy().view(ENTRY[c])
-            open_ = b["kind"].to_numpy() == CONTESTED
-            if not open_.all():
-                yield places(COVERED, e[~open_])
-            parts.append(e[open_])
-            strings += [s for s in b["piece"].to_pylist() if s is not None]
-        if not strings:
-            return
-        entries = np.concatenate(parts)
-        # equal strings of one minimiser once: the hash only groups, equality is of strings
-        number: dict[tuple[int, bytes], int] = {}
-        entries["content"] = [number.setdefault((k, s), len(number)) for k, s in zip(entries["key"].tolist(), strings, strict=True)]
-        order = np.lexsort((entries["start"], entries["tag"], entries["doc"], entries["content"]))
-        entries = entries[order]
-        new = np.concatenate([[True], entries["content"][1:] != entries["content"][:-1]])
-        old = repeated(entries, new, plan)
-        yield places(COVERED, entries[old])
-        kept = np.flatnonzero(~old)
-        entries, strings = entries[kept], [strings[i] for i in order[kept]]
-        seen = in_batches(entries, strings, earlier)
-        # runs of such windows within each super-k-mer
-        at = np.concatenate([[0], np.cumsum(entries["n"], dtype=np.int64)])
-        edge = np.diff(np.concatenate([[0], seen.astype(np.int8), [0]]))
-        breaks = np.zeros(len(seen) + 1, bool)
-        breaks[at] = True
-        starts = np.flatnonzero((edge == 1) | (breaks & np.concatenate([seen, [False]])))
-        stops = np.flatnonzero((edge == -1) | (breaks & np.concatenate([[False], seen])))
-        owner = np.searchsorted(at, starts, side="right") - 1
-        out = entries[owner]
-        out["start"] += (starts - at[owner]).astype(np.int32)
-        out["n"] = stops - starts
-        yield places(COVERED, out)
-
-    return piece_df.mapInArrow(run, PLACE_SCHEMA)
+        for found in by_bucket(batches):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            parts, strings = [], []
+            for blob in found:
+                e, s = unpack(blob, True)
+                parts.append(e)
+                strings += s
+            entries = np.concatenate(parts)
+            # equal rows of the table give equal entries: once
+            order = np.lexsort((entries["start"], entries["tag"], entries["doc"], entries["key"]))
+            there = entries[order]
+            once = np.ones(len(there), bool)
+            for c in ("key", "doc", "tag", "start"):
+                once[1:] &= there[c][1:] == there[c][:-1]
+            once[1:] = ~once[1:]
+            order = order[once]
+            entries, strings = entries[order], [strings[i] for i in order.tolist()]
+            seen = in_batches(entries, strings, earlier)
+            # runs of such windows within each super-k-mer
+            at = np.concatenate([[0], np.cumsum(entries["n"], dtype=np.int64)])
+            edge = np.diff(np.concatenate([[0], seen.astype(np.int8), [0]]))
+            breaks = np.zeros(len(seen) + 1, bool)
+            breaks[at] = True
+            starts = np.flatnonzero((edge == 1) | (breaks & np.concatenate([seen, [False]])))
+            stops = np.flatnonzero((edge == -1) | (breaks & np.concatenate([[False], seen])))
+            owner = np.searchsorted(at, starts, side="right") - 1
+            out = entries[owner]
+            out["start"] += (starts - at[owner]).astype(np.int32)
+            out["n"] = stops - starts
+            yield places(COVERED, out)
+
+    return packed.mapInArrow(run, PLACE_SCHEMA)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

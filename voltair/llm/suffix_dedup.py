@@ -26,42 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_key, fresh, ranges, text_tag, texts_of
+from .common import doc_key, fresh, ranges, text_tag, texts_of
 from .segments import Plan, covered, mask_of, span_lists
 
 LENGTH = 100
 
 
 def plan(length: int = LENGTH) -> Plan:
-    return Plan("byte", length, gram=max(1, length * 48 // 100), fine_gram=max(1, length - 4), same_document=True)
-
-
-def suffix_array(text: np.ndarray, at: np.ndarray, position: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Order of the suffixes that start at `at`, by their first `depth` bytes and then by position; and rank tables by prefix length.
-
-    Prefix doubling: the first seven bytes are ranked as one number, then the rank of a
-    2h-byte prefix is that of the pair of ranks of its h-byte halves.
-    """
-    n = len(text)
-    tables = [(1, text.astype(np.int64))]
-    pair = np.zeros(n, U64)  # the first bytes as one number, with an end mark below all bytes
-    have = min(7, depth)
-    for i in range(have):
-        pair[: n - i] += (text[i:].astype(U64) + U64(1)) << U64(9 * (6 - i))
-    while True:
-        order = np.argsort(pair)
-        new = np.ones(n, np.int64)
-        new[1:] = pair[order][1:] != pair[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        tables.append((have, rank))
-        if have == depth:
-            break
-        step = min(have, depth - have)
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:]
-        pair, have = rank * (n + 1) + second, have + step
-    return np.argsort(rank[at] << 32 | position), tables
+    return Plan("byte", length, gram=max(1, length * 2 // 5), same_document=True)
+
+
+def suffix_array(text: np.ndarray, at: np.ndarray, position: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that start at `at`, by their first `depth` bytes and then by position; and those bytes, a row for each. No suffix is shorter."""
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, depth)[at]) if len(at) else np.zeros((0, depth), np.uint8)
+    by_place = np.argsort(position)
+    return by_place[np.argsort(rows.view(f"S{depth}").ravel()[by_place], kind="stable")], rows
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
@@ -77,35 +56,22 @@ def nearest_smaller(values: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def common_prefix(tables: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of suffixes a and b, up to depth."""
-    n = len(tables[0][1])
-    out = np.zeros(len(a), np.int64)
-    open_ = np.flatnonzero(tables[-1][1][a] != tables[-1][1][b])
-    for length, rank in reversed(tables[:-1]):
-        more = open_
-        while len(more):
-            i, j = a[more] + out[more], b[more] + out[more]
-            fits = np.maximum(i, j) < n
-            hit = fits & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)]) & (np.maximum(i, j) + length <= n)
-            more = more[hit]
-            out[more] += length
-    closed = np.ones(len(a), bool)
-    closed[open_] = False
-    out[closed] = depth
-    return out
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the rows of a and b."""
+    differs = a != b
+    return np.where(differs.any(1), differs.argmax(1), a.shape[1])
 
 
 def longest_previous_factor(text: np.ndarray, at: np.ndarray, position: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix start in `at`: the longest prefix, up to depth, shared with one at a smaller position."""
-    order, tables = suffix_array(text, at, position, depth)
+    order, rows = suffix_array(text, at, position, depth)
     place = position[order]
     above = nearest_smaller(place)
     below = len(place) - 1 - nearest_smaller(place[::-1])[::-1]
     out = np.zeros(len(at), np.int64)
     for other, some in ((above, above >= 0), (below, below < len(place))):
         i = np.flatnonzero(some)
-        lcp = common_prefix(tables, at[order[i]], at[order[other[i]]], depth)
+        lcp = common_prefix(rows[order[i]], rows[order[other[i]]])
         out[order[i]] = np.maximum(out[order[i]], lcp)
     return out
 

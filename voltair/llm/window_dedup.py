@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Words, chunks, texts_of
+from .common import NULL_ID, Words, chunks, ranges, texts_of
 from .segments import Plan, covered, mask_of, span_lists
 
 WINDOW = 13
 
 
 def plan(window: int = WINDOW) -> Plan:
-    return Plan("word", window, gram=max(1, window * 5 // 13), fine_gram=max(1, window - 1), same_document=False)
+    return Plan("word", window, gram=max(1, window * 4 // 13), same_document=False)
 
 
 def earlier_windows(window: int):
@@ -37,15 +37,14 @@ def earlier_windows(window: int):
         flat = np.fromiter((w for p in packed for w in p), np.int64, sum(map(len, packed)))
         lengths = np.fromiter(map(len, packed), np.int64, len(packed))
         starts, n = np.cumsum(lengths) - lengths, entries["n"].astype(np.int64)
-        at = np.concatenate([np.arange(s, s + k) for s, k in zip(starts.tolist(), n.tolist(), strict=True)])
+        at = ranges(starts, n)
         doc = np.repeat(entries["doc"], n)
-        words = [flat[at + i] for i in range(window)]
-        order = np.lexsort((doc, *reversed(words)))
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for w in words:
-            new[1:] |= w[order][1:] != w[order][:-1]
-        first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]  # smallest document of each run
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat.astype(np.int32), window)[at])
+        rows = rows.view(f"S{4 * window}").ravel()  # each window's words as one string
+        order = np.argsort(rows, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = rows[order][1:] != rows[order][:-1]
+        first = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]  # smallest document of each run
         out = np.empty(len(order), bool)
         out[order] = doc[order] > first
         return out
