@@ -18,7 +18,7 @@ WORDS = [f"w{i}" for i in range(40)]
 DOCS = [(i, " ".join(R.choice(WORDS) for _ in range(R.randint(0, 40)))) for i in range(120)] + [(120, None), (121, ""), (None, "w1 W2"), (5, "w1"), (5, "w1")]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_match_plain_counts(spark, order):
     tokens = lambda t: ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "</s>"]
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in DOCS]
@@ -49,36 +49,52 @@ def test_scores_match_plain_counts(spark, order):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
 
-def test_probabilities_sum_to_one():
+def thue_morse(flip=False, n=1024):
+    """Equal under any polynomial hash modulo a power of two, whichever way it is flipped."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)
+    training = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 != 2)
+    docs = spark.createDataFrame([(training, thue_morse()), (held, thue_morse(True))], SCHEMA)
+    got = {x.doc_id: x for x in lm.scores(docs).collect()}
+    assert got[held].n_known == 1 and got[training].n_known == 2 and got[held].train_tokens == 2
+
+
+def machine_of(texts, order, prior=5.0):
+    s = lm.Shard(texts, np.zeros(len(texts), bool))
+    grams = s.grams(order)
+    total = np.delete(s.word_counts, 1)
+    return s, lm.Automaton([s.word_counts, *(g.seen for g in grams)], grams, int(total.sum()), int((total > 0).sum()), prior)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_every_state_gives_probabilities(order):
     texts = [" ".join(R.choice(WORDS[:6]) for _ in range(30)).encode() for _ in range(30)]
-    tables = lm.shard_counts(texts, np.zeros(30, bool), 3)
-    own = tables[0][0] != lm.BEGIN
-    total, types = int(tables[0][1][own].sum()), int((tables[0][1][own] > 0).sum())
-    words = sorted({w for t in texts for w in t.split()})
-    for context in (b"", words[0], words[1] + b" " + words[2]):
-        # probability of each next token: the score with it minus the score of the context
-        nexts = [context + b" " + w for w in [*words, b"never-seen"]]
-        scored = lm.traverse(nexts, tables, total, types, 5.0)[3]
-        ends = []
-        for n in nexts:
-            grams, count = lm.grams_of([n], 3)
-            ends.append(lm.traverse([n], tables, total, types, 5.0)[3][0] - last_log(grams, count, tables, total, types))
-        whole = lm.traverse([context], tables, total, types, 5.0)[3][0]
-        grams, count = lm.grams_of([context], 3)
-        end = last_log(grams, count, tables, total, types)
-        assert sum(10 ** (e - (whole - end)) for e in ends) + 10**end == pytest.approx(1)
-        assert len(scored) == len(nexts)
-
-
-def last_log(grams, count, tables, total, types):
-    """log10 probability of a document's end token."""
-    c = lm.count_of(tables[0], grams[0])
-    p = (c[-1] + 1) / (total + types + 1)
-    context = lm.count_of(tables[0], grams[0])[-2] if count[0] > 1 else lm.count_of(tables[0], np.array([lm.BEGIN]))[0]
-    p = (lm.count_of(tables[1], grams[1])[-1] + 5 * p) / (context + 5)
-    if count[0] > 1:
-        p = (lm.count_of(tables[2], grams[2])[-1] + 5 * p) / (lm.count_of(tables[1], grams[1])[-2] + 5)
-    return math.log10(p)
+    s, machine = machine_of(texts, order)
+    words = np.array([i for i in range(len(s.names)) if i != 1])
+    rare = 10 ** machine.root_weight[1] / (s.word_counts[1] + 1)  # of a word never seen, at the root
+    for state in range(len(machine.fall)):
+        _, added = machine.step(np.full(len(words), state), words)
+        fallen, at = 0.0, state
+        while at:
+            fallen, at = fallen + machine.fall[at], int(machine.fallen[at])
+        assert (10**added).sum() + rare * 10**fallen == pytest.approx(1)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lanes_of_a_long_document_score_as_one(order):
+    texts = [" ".join(R.choice(WORDS[:8]) for _ in range(n)).encode() for n in (1000, 3, 0, 517)]
+    s, machine = machine_of(texts, order)
+    assert lm.traverse(s, machine, order, 7) == pytest.approx(lm.traverse(s, machine, order, 10_000))
+
+
+def test_shards_of_any_size_give_the_same_scores(spark):
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in DOCS], "doc_id long, text string, shard int, held_out string")
+    one, many = (sorted((str(x.doc_id), *x[1:]) for x in lm.scores(df, partition_bytes=size).collect()) for size in (1 << 30, 500))
+    assert [x[:5] for x in one] == [x[:5] for x in many]
+    assert [x[6] for x in one] == pytest.approx([x[6] for x in many])
 
 
 def test_empty_corpus(spark):

@@ -2,33 +2,40 @@
 
 The model. Unigrams: P(w) = (c(w) + 1) / (N + V + 1), unknown words one class. For
 longer contexts, a Dirichlet prior of weight K around the next shorter one:
-P(w | h) = (c(h w) + K * P(w | h')) / (c(h) + K). As an automaton: every n-gram seen
-in training is a state; the state of context h has an arc for each seen h w, with
-the weight above, and a failure arc to the state of h' with weight K / (c(h) + K).
-A document is read once from left to right: from the state reached so far take the
-word's arc, or follow failure arcs until one has it (the unigram state has an arc
-for every word), add up the logarithms, and go on in the longest context that is a
-state. Each row of probabilities sums to one.
-
-The corpus's n-grams fit no broadcast, so documents are dealt to shards, and each
-shard asks only for what its own texts need:
-
-1. a shard counts the n-grams of its documents and sends each distinct one once,
-   packed by bucket (hash, count in training), so frequent n-grams are
+P(w | h) = (c(h w) + K * P(w | h')) / (c(h) + K). Each row of probabilities sums to
+one. As an automaton: the root and every n-gram shorter than the order that is seen
+in training are states; the state of context h has an arc for each seen h w, with
+the weight above, to the state of the longest suffix of h w that is one; and a
+failure arc to the state of h' with weight K / (c(h) + K). The root has an arc for
+every word. A document is read once from left to right: from the state reached so
+far take the word's arc, or follow failure arcs until one has it, and add up the
+logarithms.
+
+The corpus's n-grams fit no broadcast, so documents are dealt to shards of bounded
+size, and each shard asks only for what its own texts need:
+
+1. a shard sends each of its distinct words once, as strings, with its training
+   count; the words' buckets add the counts up and return to each shard a number for
+   each word, the same in all shards, and the total;
+2. the shard sends each of its distinct longer n-grams once, as the numbers of its
+   words, and their buckets return the totals. So words are told apart by their
+   bytes and n-grams by their words, never by hashes, and frequent ones are
    pre-aggregated to one entry a shard;
-2. the bucket sums the counts and returns to each shard the totals of the n-grams it
-   sent, in its order and so without their hashes, with the bucket's share of N and V;
-3. the shard has now exact corpus-wide counts of all n-grams it holds, builds its
-   part of the automaton and runs its documents through it.
-
-n-grams are identified by 64-bit hashes of their words. Defined cases: null or
-wordless text is one end token; a null doc_id counts as training; an empty corpus
-has N = V = 0; repeated rows count as often as they stand there.
+3. the shard builds the automaton of the n-grams it holds (states, arcs, failure
+   arcs) and runs its documents through it, many side by side, a token a step. A long
+   document is several lanes: a state depends on order - 1 tokens at most, so a lane
+   first reads as many tokens before its own, without adding their weights.
+
+Defined cases: null or wordless text is one end token; a null doc_id counts as
+training; an empty table gives no rows, a table without training rows N = V = 0;
+repeated rows count as often as they stand there; very long texts make a shard of
+their own size; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +43,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks, mix, shuffle_partitions, texts_of
+from .common import U64, materialise, mix, shuffle_partitions, texts_of
+from .segments import from_planes, planes
 
-ORDER, PRIOR = 2, 5.0
+ORDER, PRIOR = 3, 5.0
 FOLDS, HELD_OUT = 7, 2
-#: Codes of the end token and of the start of a document.
-END, BEGIN = mix(np.array([0xE4D, 0xBE61], dtype=U64))
-DOCS = "shard int, doc_id long, text string, held_out boolean"
+#: Bytes of texts of a partition, and shards in it.
+PARTITION_BYTES, SHARDS = 24 << 20, 3
+#: Names of the end token and of the start of a document; no word has them.
+END, BEGIN = b"", b"\n"
+#: Tokens of a lane.
+LANE = 256
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -51,211 +62,346 @@ def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
-def grams_of(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For n = 1..order the hash of the n-gram that ends at each token (the begin mark stands before a document), and tokens per document.
-
-    Where a document has fewer tokens before, the n-gram is shorter and repeats the hash of the shorter one.
-    """
-    tokens, counts = [], []
-    for a, z in chunks(texts):
-        words = Words(texts[a:z], lower=True)
-        tokens.append(np.insert(words.hashes(), words.first[1:], END))  # an end after each document
-        counts.append(words.count + 1)
-    token = np.concatenate(tokens) if tokens else np.zeros(0, U64)
-    count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    first = np.cumsum(count) - count
-    age = np.arange(len(token)) - np.repeat(first, count)
-    out = [token]
-    for n in range(2, order + 1):
-        before = np.roll(out[-1], 1)  # the (n-1)-gram that ends one token earlier
-        before[age == 0] = BEGIN
-        longer = mix(before * U64(31) + token + U64(n))
-        if n > 2:
-            longer = np.where(age >= n - 2, longer, out[-1])
-        out.append(longer)
-    return out, count
-
-
-def distinct_counts(grams: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and how often each stands in training."""
-    order = np.argsort(grams)
-    g, t = grams[order], training[order]
-    new = np.ones(len(g), bool)
-    new[1:] = g[1:] != g[:-1]
-    at = np.flatnonzero(new)
-    return g[at], np.add.reduceat(t.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-
-
-def shard_counts(texts: list[bytes], held: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per n: distinct n-grams and training counts of one shard. The begin mark counts, among unigrams, as a context only."""
-    grams, count = grams_of(texts, order)
-    training = np.repeat(~held, count)
-    out = []
-    for n, g in enumerate(grams):
-        fresh = np.ones(len(g), bool) if n < 2 else grams[n] != grams[n - 1]
-        if n == 0:
-            g = np.append(g, np.full(len(count), BEGIN, U64))
-            out.append(distinct_counts(g, np.append(training, ~held)))
+class Numbering(dict):
+    """Numbers for keys, in the order in which they first come."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Shard:
+    """The tokens of some texts: `names` of the distinct words, `token` numbers with an end after each document, `count` tokens a document."""
+
+    def __init__(self, texts: list[bytes], held: np.ndarray):
+        number, flat = Numbering({END: 0, BEGIN: 1}), array("i")
+        count = np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            had = len(flat)
+            flat.extend(map(number.__getitem__, text.lower().split()))  # bytes: lowers A-Z only and splits at the six space bytes
+            flat.append(0)
+            count[i] = len(flat) - had
+        self.names = list(number)
+        self.token = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+        self.count = count
+        self.first = np.cumsum(count) - count
+        self.age = np.arange(len(self.token)) - np.repeat(self.first, count)
+        self.training = np.repeat(~held, count)
+        self.word_counts = np.bincount(self.token[self.training], minlength=len(self.names))
+        self.word_counts[1] = int((~held).sum())  # documents begun
+
+    def grams(self, order: int) -> list[Grams]:
+        """Distinct n-grams for n = 2 .. order; the begin mark stands before a document's first word."""
+        out: list[Grams] = []
+        last, valid = self.token.astype(np.int64), np.ones(len(self.token), bool)
+        for n in range(2, order + 1):
+            prefix = np.roll(last, 1)
+            if n == 2:
+                prefix[self.age == 0] = 1
+            else:
+                valid = self.age >= n - 2
+            at = np.flatnonzero(valid)
+            key = prefix[at] << 32 | self.token[at]
+            by_key = np.argsort(key, kind="stable")
+            new = np.ones(len(at), bool)
+            new[1:] = key[by_key][1:] != key[by_key][:-1]
+            heads = np.flatnonzero(new)
+            found = np.full(len(self.token), -1, np.int64)
+            found[at[by_key]] = np.cumsum(new) - 1
+            some = at[by_key[heads]]
+            seen = np.add.reduceat(self.training[at[by_key]].astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
+            out.append(Grams(prefix[some], self.token[some].astype(np.int64), last[some], seen))
+            last = found
+        return out
+
+
+class Grams:
+    """Distinct n-grams of a shard: number of the (n-1)-gram before the last word, the last word, number of the (n-1)-gram that is the suffix, and count in the shard's training rows."""
+
+    def __init__(self, prefix: np.ndarray, word: np.ndarray, suffix: np.ndarray, seen: np.ndarray):
+        self.prefix, self.word, self.suffix, self.seen = prefix, word, suffix, seen
+
+
+def zipped(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unzipped(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def sorted_by(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of numbers; two columns are compared as one where they fit."""
+    keys = []
+    for a in range(0, len(columns), 2):
+        pair = columns[a : a + 2]
+        if len(pair) == 2 and all(c.max(initial=0) < 1 << 32 for c in pair):
+            keys.append(pair[0].astype(U64) << U64(32) | pair[1].astype(U64))
         else:
-            out.append(distinct_counts(g[fresh], training[fresh]))
-    return out
+            keys += pair
+    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+
 
+REQUEST = "bucket int, shard int, n int, blob binary"
+REPLY = "shard int, n int, bucket int, tokens long, types long, blob binary"
+_REQUEST = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
+_REPLY = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
 
-def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ordered hashes as differences; both columns compressed."""
-    raw = np.diff(hashes, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(hashes).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
 
+def rows_table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
 
+def shard_of(documents: pa.Table) -> Shard:
+    return Shard(texts_of(documents["text"]), documents["held_out"].to_numpy())
 
-def unpack_counts(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(raw.T).view(np.int64).ravel()
 
+def word_order(names: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words by bucket and name, and their buckets: the order in which a shard sends them and gets its replies."""
+    import xxhash
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8).reshape(2, 8, n)
-    hashes, counts = (np.ascontiguousarray(r.T).view(U64).ravel() for r in raw)
-    return np.cumsum(hashes, dtype=U64), counts.astype(np.int64)
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
+    by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+    order = by_name[np.argsort(bucket[by_name], kind="stable")]
+    return order, bucket[order]
 
 
-REQUEST = "bucket int, shard int, n int, blob binary"
-REPLY = "shard int, bucket int, n int, tokens long, types long, blob binary"
-_REQUEST = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
-_REPLY = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
-
-
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """The texts of a partition's shards (a partition may hold several)."""
-    held: dict[int, tuple[list[bytes], list[np.ndarray]]] = {}
-    for b in batches:
-        shard, texts, out = b["shard"].to_numpy(), texts_of(b["text"]), b["held_out"].to_numpy(zero_copy_only=False)
-        for s in np.unique(shard).tolist():
-            mine = np.flatnonzero(shard == s)
-            t, h = held.setdefault(s, ([], []))
-            t += [texts[i] for i in mine]
-            h.append(out[mine])
-    while held:
-        s, (t, h) = held.popitem()
-        yield s, t, np.concatenate(h)
-
-
-def requests(sharded: DataFrame, buckets: int, order: int) -> DataFrame:
-    """Step 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, texts, held in by_shard(batches):
-            for n, (g, c) in enumerate(shard_counts(texts, held, order), 1):
-                # buckets are ranges of hashes, so ordered hashes are ordered by bucket
-                bucket = ((g >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
-                at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                blobs = [pack(g[a:b], c[a:b]) for a, b in zip(at, [*at[1:], len(g)], strict=True)]
-                yield pa.record_batch([pa.array(bucket[at]), pa.array(np.full(len(at), shard, np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(blobs, pa.binary())], schema=_REQUEST)
-
-    return sharded.mapInArrow(run, REQUEST)
-
-
-def replies(asked: DataFrame) -> DataFrame:
-    """Step 2, over partitions that hold whole buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-        for b in batches:
-            for bucket, shard, n, blob in zip(*(b[c].to_pylist() for c in ("bucket", "shard", "n", "blob")), strict=True):
-                held.setdefault((bucket, n), []).append((shard, blob))
-        while held:
-            (bucket, n), sent = held.popitem()
-            parts = [unpack(blob) for _, blob in sent]
-            hashes = np.concatenate([h for h, _ in parts])
-            counts = np.concatenate([c for _, c in parts])
-            order = np.argsort(hashes)
-            g, c = hashes[order], counts[order]
-            new = np.ones(len(g), bool)
-            new[1:] = g[1:] != g[:-1]
-            at = np.flatnonzero(new)
-            sums = np.add.reduceat(c, at)
-            total = np.empty(len(g), np.int64)
-            total[order] = np.repeat(sums, np.diff(np.append(at, len(g))))
-            word = g[at] != BEGIN
-            tokens, types = (int(sums[word].sum()), int((sums[word] > 0).sum())) if n == 1 else (0, 0)
-            ends, rows = np.cumsum([len(h) for h, _ in parts]), []
-            for (shard, _), (h, _), z in zip(sent, parts, ends.tolist(), strict=True):
-                rows.append((shard, bucket, n, tokens, types, pack_counts(total[z - len(h) : z])))
-                tokens = types = 0  # once a bucket
-            yield pa.record_batch([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True), _REPLY, strict=True)], schema=_REPLY)
-
-    return asked.mapInArrow(run, REPLY)
-
-
-def corrected(hashes: np.ndarray, blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's own n-grams, ordered, with the totals of the buckets, which are ranges of that order."""
-    counts = [unpack_counts(blob) for _, blob in sorted(blobs)]
-    return hashes, np.concatenate(counts) if counts else np.zeros(0, np.int64)
-
-
-def count_of(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
-    hashes, counts = table
-    if not len(hashes):
-        return np.zeros(len(grams), np.int64)
-    at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
-    return np.where(hashes[at] == grams, counts[at], 0)
-
-
-def traverse(texts: list[bytes], tables: list[tuple[np.ndarray, np.ndarray]], tokens: int, types: int, prior: float) -> tuple[np.ndarray, ...]:
-    """Run the documents through the automaton, all of a chunk side by side: tokens, known tokens, base score and score of each.
-
-    Read from the shortest context up, each order either takes the arc (the n-gram is a
-    state) or fails to what the shorter contexts gave, times the failure weight. A
-    context that isn't a state has failure weight 1: the traversal never was in it.
+def runs_of(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    yield from zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)
+
+
+def ask_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """Step 1, at a shard."""
+
+    def run(documents: pa.Table) -> pa.Table:
+        s = shard_of(documents)
+        shard, rows = documents["shard"][0].as_py(), []
+        order, bucket = word_order(s.names, buckets)
+        for b, a, z in runs_of(bucket):
+            mine = order[a:z]
+            rows.append((b, shard, 1, zipped((z - a).to_bytes(4, "little"), planes(s.word_counts[mine].astype(np.int64)), b" ".join(s.names[i] for i in mine.tolist()))))
+        return rows_table(_REQUEST, rows)
+
+    return run
+
+
+def tell_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """Step 1, at a bucket: numbers, small ones for frequent words, and totals."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        sent = []
+        for shard, blob in zip(asked["shard"].to_pylist(), asked["blob"].to_pylist(), strict=True):
+            raw = unzipped(blob)
+            n = int.from_bytes(raw[:4], "little")
+            words = raw[4 + 8 * n :].split(b" ")
+            for w, c in zip(words, from_planes(raw, "i8", n, 4).tolist(), strict=True):
+                total[w] = total.get(w, 0) + c
+            sent.append((shard, blob))
+        bucket = asked["bucket"][0].as_py()
+        number = {w: k * buckets + bucket for k, w in enumerate(sorted(total, key=lambda w: (-total[w], w)))}
+        counted = [c for w, c in total.items() if w != BEGIN and c > 0]
+        tokens, types, rows = sum(counted), len(counted), []
+        for shard, blob in sent:
+            raw = unzipped(blob)
+            words = raw[4 + 8 * int.from_bytes(raw[:4], "little") :].split(b" ")
+            both = (np.array([f[w] for w in words], np.int64) for f in (number, total))
+            rows.append((shard, 1, bucket, tokens, types, zipped(*map(planes, both))))
+            tokens = types = 0  # once a bucket
+        return rows_table(_REPLY, rows)
+
+    return run
+
+
+def word_replies(s: Shard, reply: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the shard its number in the corpus and its total."""
+    told = {b: unzipped(blob) for n, b, blob in zip(reply["n"].to_pylist(), reply["bucket"].to_pylist(), reply["blob"].to_pylist(), strict=True) if n == 1}
+    order, bucket = word_order(s.names, buckets)
+    number, total = np.zeros(len(s.names), np.int64), np.zeros(len(s.names), np.int64)
+    for b, a, z in runs_of(bucket):
+        number[order[a:z]] = from_planes(told[b], "i8", z - a, 0)
+        total[order[a:z]] = from_planes(told[b], "i8", z - a, 8 * (z - a))
+    return number, total
+
+
+def gram_order(grams: list[Grams], number: np.ndarray, buckets: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(n, columns of word numbers, order, buckets): n-grams by bucket and words, the order in which a shard sends them and gets its replies."""
+    columns = [number]
+    for n, g in enumerate(grams, 2):
+        columns = [*(c[g.prefix] for c in columns), number[g.word]]
+        key = np.zeros(len(g.word), U64)
+        for c in columns:
+            key = mix(key + c.astype(U64))
+        bucket = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        order = sorted_by(columns)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        yield n, columns, order, bucket[order]
+
+
+def ask_grams(buckets: int, order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Step 2, at a shard."""
+
+    def run(documents: pa.Table, reply: pa.Table) -> pa.Table:
+        if not documents.num_rows:
+            return rows_table(_REQUEST, [])
+        s = shard_of(documents)
+        shard, rows = documents["shard"][0].as_py(), []
+        number, _ = word_replies(s, reply, buckets)
+        grams = s.grams(order)
+        for n, columns, by_bucket, bucket in gram_order(grams, number, buckets):
+            for b, a, z in runs_of(bucket):
+                mine = by_bucket[a:z]
+                rows.append((b, shard, n, zipped((z - a).to_bytes(4, "little"), planes(grams[n - 2].seen[mine]), *(planes(c[mine]) for c in columns))))
+        return rows_table(_REQUEST, rows)
+
+    return run
+
+
+def tell_grams(asked: pa.Table) -> pa.Table:
+    """Step 2, at a bucket and n: totals, in the order of each shard's n-grams."""
+    n, bucket = asked["n"][0].as_py(), asked["bucket"][0].as_py()
+    shards, parts, seen = asked["shard"].to_pylist(), [[] for _ in range(n)], []
+    for blob in asked["blob"].to_pylist():
+        raw = unzipped(blob)
+        k = int.from_bytes(raw[:4], "little")
+        seen.append(from_planes(raw, "i8", k, 4))
+        for i in range(n):
+            parts[i].append(from_planes(raw, "i8", k, 4 + 8 * k * (i + 1)))
+    ends = np.cumsum([len(c) for c in seen])
+    columns = [np.concatenate(p) for p in parts]
+    order = sorted_by(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    at = np.flatnonzero(new)
+    total = np.empty(len(order), np.int64)
+    total[order] = np.repeat(np.add.reduceat(np.concatenate(seen)[order], at), np.diff(np.append(at, len(order))))
+    return rows_table(_REPLY, [(shard, n, bucket, 0, 0, zipped(planes(total[z - len(c) : z]))) for shard, c, z in zip(shards, seen, ends.tolist(), strict=True)])
+
+
+class Automaton:
+    """States, arcs and failure arcs of the n-grams of one shard, from their totals in the corpus.
+
+    State 0 is the root; the state of an n-gram is its number, behind those of shorter
+    ones. `key`: state and word of each arc, ordered; `weight`, `goal`: its logarithm
+    and the state it leads to. `fall`, `fallen`: logarithm and goal of a state's failure
+    arc. `root_weight`, `root_goal`: the root's arcs, by word.
     """
-    out = []
-    for a, z in chunks(texts, 1 << 20):
-        grams, count = grams_of(texts[a:z], len(tables))
-        first = np.cumsum(count) - count
-        c = count_of(tables[0], grams[0])
-        p = (c + 1) / (tokens + types + 1)
-        base = np.add.reduceat(np.log10(p), first)
-        begin = np.zeros(len(c), bool)
-        begin[first] = True
-        context = np.roll(c, 1)
-        context[begin] = count_of(tables[0], np.array([BEGIN], U64))[0]
-        for n in range(1, len(tables)):
-            longer = grams[n] != grams[n - 1]
-            seen = np.where(longer, count_of(tables[n], grams[n]), 0)
-            arc = (seen + prior * p) / (context + prior)
-            fail = prior / (context + prior) * p
-            p = np.where(longer, np.where(seen > 0, arc, fail), p)
-            context = np.where(longer, np.roll(seen, 1), 0)
-            context[begin] = 0
-        out.append((count, np.add.reduceat((c > 0).astype(np.int64), first), base, np.add.reduceat(np.log10(p), first)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0),) * 4
-
-
-def scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int = FOLDS, fold: int = HELD_OUT) -> DataFrame:
+
+    def __init__(self, totals: list[np.ndarray], grams: list[Grams], tokens: int, types: int, prior: float):
+        p = (totals[0] + 1) / (tokens + types + 1)
+        state = np.where(totals[0] > 0, np.arange(1, len(p) + 1), 0) if grams else np.zeros(len(p), np.int64)
+        self.root_weight, self.root_goal = np.log10(p), state
+        fall, fallen, keys, weights, goals = [np.zeros(1)], [np.zeros(1, np.int64)], [], [], []
+        if grams:
+            fall.append(np.log10(prior / (totals[0] + prior)))
+            fallen.append(np.zeros(len(p), np.int64))
+        used = 1 + len(p)
+        for n, g in enumerate(grams, 2):
+            before, total = totals[n - 2], totals[n - 1]
+            p = (total + prior * p[g.suffix]) / (before[g.prefix] + prior)
+            longest = n == len(grams) + 1
+            own = state[g.suffix] if longest else np.where(total > 0, np.arange(used, used + len(total)), state[g.suffix])
+            arc = np.flatnonzero(total > 0)  # then its prefix is a state
+            keys.append(state[g.prefix[arc]] << 32 | g.word[arc])
+            weights.append(np.log10(p[arc]))
+            goals.append(own[arc])
+            if not longest:
+                fall.append(np.log10(prior / (total + prior)))
+                fallen.append(state[g.suffix])
+                used += len(total)
+            state = own
+        self.fall, self.fallen = np.concatenate(fall), np.concatenate(fallen)
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        order = np.argsort(key)
+        self.key = key[order]
+        self.weight, self.goal = (np.concatenate(x)[order] if x else np.zeros(0) for x in (weights, goals))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read a word in each state: states reached and logarithms added."""
+        state, added = state.copy(), np.zeros(len(word))
+        waiting = np.arange(len(word))
+        while len(waiting):
+            at_root = state[waiting] == 0
+            rooted = waiting[at_root]
+            added[rooted] += self.root_weight[word[rooted]]
+            state[rooted] = self.root_goal[word[rooted]]
+            waiting = waiting[~at_root]
+            key = state[waiting] << 32 | word[waiting]
+            at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+            hit = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+            taken, at = waiting[hit], at[hit]
+            added[taken] += self.weight[at]
+            state[taken] = self.goal[at]
+            waiting = waiting[~hit]
+            added[waiting] += self.fall[state[waiting]]
+            state[waiting] = self.fallen[state[waiting]]
+        return state, added
+
+
+def traverse(s: Shard, machine: Automaton, order: int, lane: int = LANE) -> np.ndarray:
+    """The sum of logarithms of each document of the shard, read from left to right."""
+    out = np.zeros(len(s.count))
+    lanes = -(-s.count // lane)
+    doc = np.repeat(np.arange(len(lanes)), lanes)
+    own = (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * lane  # a lane's first token in its document
+    warm = np.minimum(own, order - 1)
+    length = np.minimum(lane, s.count[doc] - own) + warm
+    by_length = np.argsort(-length, kind="stable")
+    doc, own, warm, length = doc[by_length], own[by_length], warm[by_length], length[by_length]
+    begin = s.first[doc] + own - warm
+    state = np.where(own == warm, machine.root_goal[1] if len(machine.root_goal) else 0, 0)  # at a document's start the begin mark has been read
+    score = np.zeros(len(doc))
+    for t in range(int(length.max(initial=0))):
+        n = int(np.searchsorted(-length, -t, side="left"))  # lanes longer than t
+        state[:n], added = machine.step(state[:n], s.token[begin[:n] + t].astype(np.int64))
+        score[:n] += np.where(t >= warm[:n], added, 0)
+    np.add.at(out, doc, score)
+    return out
+
+
+def answer(buckets: int, order: int, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Step 3."""
+    fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(documents: pa.Table, reply: pa.Table) -> pa.Table:
+        if not documents.num_rows:
+            return rows_table(fields, [])
+        s = shard_of(documents)
+        number, words = word_replies(s, reply, buckets)
+        grams, totals = s.grams(order), [words]
+        told = {(n, b): blob for n, b, blob in zip(reply["n"].to_pylist(), reply["bucket"].to_pylist(), reply["blob"].to_pylist(), strict=True)}
+        for n, columns, by_bucket, bucket in gram_order(grams, number, buckets):
+            total = np.zeros(len(by_bucket), np.int64)
+            for b, a, z in runs_of(bucket):
+                total[by_bucket[a:z]] = from_planes(unzipped(told[n, b]), "i8", z - a, 0)
+            totals.append(total)
+        tokens, types = (reply[c][0].as_py() for c in ("all_tokens", "all_types"))
+        machine = Automaton(totals, grams, tokens, types, prior)
+        base = np.add.reduceat(machine.root_weight[s.token], s.first)
+        known = np.add.reduceat((words[s.token] > 0).astype(np.int64), s.first)
+        columns = [s.count, known, np.full(len(s.count), tokens), base, traverse(s, machine, order)]
+        return pa.table([documents["doc_id"], documents["held_out"], *(pa.array(c, f.type) for c, f in zip(columns, list(fields)[2:], strict=True))], schema=fields)
+
+    return run
+
+
+def scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int = FOLDS, fold: int = HELD_OUT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """One row per document of documents(doc_id, text): SCORES. order: longest n-gram; prior: K."""
-    parts = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out(folds, fold).alias("held_out"))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // partition_bytes))
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARDS * parts)).cast("int")
     sharded = rows.select(shard.alias("shard"), "doc_id", "text", "held_out").repartition(parts, "shard")
-    asked = requests(sharded, parts, order).repartition(parts, "bucket")
-    answered = replies(asked)
-    totals = answered.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"))  # one row
-    answered = answered.crossJoin(F.broadcast(totals)).repartition(parts, "shard")
-    fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(documents: pa.Table, reply: pa.Table) -> pa.Table:
-        texts = texts_of(documents["text"])
-        held = documents["held_out"].to_numpy()
-        told = list(zip(*(reply[c].to_pylist() for c in ("n", "bucket", "blob")), strict=True))
-        own = shard_counts(texts, held, order)
-        tables = [corrected(hashes, [(k, b) for m, k, b in told if m == n]) for n, (hashes, _) in enumerate(own, 1)]
-        tokens, types = (reply[c][0].as_py() if len(reply) else 0 for c in ("all_tokens", "all_types"))
-        count, known, base, score = traverse(texts, tables, tokens, types, prior)
-        return pa.table([documents["doc_id"], documents["held_out"], pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(texts), tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], schema=fields)
-
-    return sharded.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(run, SCORES)
+    words = sharded.groupBy("shard").applyInArrow(ask_words(parts), REQUEST).repartition(parts, "bucket").groupBy("bucket").applyInArrow(tell_words(parts), REPLY)
+    words = materialise(words, "lm-words")
+    totals = words.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"))  # one row
+    words_back = words.repartition(parts, "shard")
+    asked = sharded.groupBy("shard").cogroup(words_back.groupBy("shard")).applyInArrow(ask_grams(parts, order), REQUEST)
+    grams = asked.repartition(parts, "bucket").groupBy("bucket", "n").applyInArrow(tell_grams, REPLY)
+    told = words.unionByName(grams).crossJoin(F.broadcast(totals)).repartition(parts, "shard")
+    return sharded.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer(parts, order, prior), SCORES)

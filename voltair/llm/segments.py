@@ -373,7 +373,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key().alias("did"), text_tag().alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def in_batches(entries: np.ndarray, strings: list[bytes], earlier: Callable[[np.ndarray, list[bytes]], np.ndarray], target: int = 1 << 18) -> np.ndarray:
+def in_batches(entries: np.ndarray, strings: list[bytes], earlier: Callable[[np.ndarray, list[bytes]], np.ndarray], target: int = 1 << 16) -> np.ndarray:
     """`earlier` over runs of whole minimisers of about `target` bytes: windows of different minimisers are never equal."""
     order = np.argsort(entries["key"], kind="stable")
     key = entries["key"][order]

@@ -44,16 +44,17 @@ def suffix_array(text: np.ndarray, at: np.ndarray, position: np.ndarray, depth:
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value before each, -1 where none."""
-    out, stack, held = [], [-1], [-1]
-    for i, v in enumerate(values.tolist()):
-        while held[-1] > v:
-            held.pop()
-            stack.pop()
-        out.append(stack[-1])
-        stack.append(i)
-        held.append(v)
-    return np.array(out, np.int64)
+    """Index of the nearest smaller value before each, -1 where none; the values are different.
+
+    Everything between an element and its candidate is larger, so an element whose candidate is larger too goes on to the candidate's candidate; all elements do so side by side.
+    """
+    before = np.arange(-1, len(values) - 1)
+    open_ = np.flatnonzero(before >= 0)
+    while len(open_):
+        open_ = open_[values[before[open_]] > values[open_]]
+        before[open_] = before[before[open_]]
+        open_ = open_[before[open_] >= 0]
+    return before
 
 
 def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,14 +66,21 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def longest_previous_factor(text: np.ndarray, at: np.ndarray, position: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix start in `at`: the longest prefix, up to depth, shared with one at a smaller position."""
     order, rows = suffix_array(text, at, position, depth)
-    place = position[order]
+    place, rows = position[order], rows[order]
     above = nearest_smaller(place)
     below = len(place) - 1 - nearest_smaller(place[::-1])[::-1]
-    out = np.zeros(len(at), np.int64)
-    for other, some in ((above, above >= 0), (below, below < len(place))):
-        i = np.flatnonzero(some)
-        lcp = common_prefix(rows[order[i]], rows[order[other[i]]])
-        out[order[i]] = np.maximum(out[order[i]], lcp)
+    beside = common_prefix(rows[1:], rows[:-1])  # of neighbours in suffix order
+    found = np.zeros(len(at), np.int64)
+    for other, step in ((above, -1), (below, 1)):
+        i = np.flatnonzero((other >= 0) & (other < len(place)))
+        next_ = other[i] == i + step
+        lcp = np.empty(len(i), np.int64)
+        lcp[next_] = beside[np.minimum(i, i + step)[next_]]
+        far = i[~next_]
+        lcp[~next_] = common_prefix(rows[far], rows[other[far]])
+        found[i] = np.maximum(found[i], lcp)
+    out = np.empty(len(at), np.int64)
+    out[order] = found
     return out
 
 
