@@ -63,36 +63,38 @@ def test_words_are_told_apart_by_their_bytes(spark):
 
 
 def machine_of(texts, order, prior=5.0):
-    s = lm.Shard(texts, np.zeros(len(texts), bool))
-    grams = s.grams(order)
-    total = np.delete(s.word_counts, 1)
-    return s, lm.Automaton([s.word_counts, *(g.seen for g in grams)], grams, int(total.sum()), int((total > 0).sum()), prior)
+    s, names, _ = lm.Shard.of(texts, np.zeros(len(texts), bool))
+    grams, counts = s.grams(order), s.word_counts()
+    total = np.delete(counts, s.begin)
+    return s, names, lm.Automaton([counts, *(g.seen for g in grams)], grams, int(total.sum()), int((total > 0).sum()), prior)
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_every_state_gives_probabilities(order):
     texts = [" ".join(R.choice(WORDS[:6]) for _ in range(30)).encode() for _ in range(30)]
-    s, machine = machine_of(texts, order)
-    words = np.array([i for i in range(len(s.names)) if i != 1])
-    rare = 10 ** machine.root_weight[1] / (s.word_counts[1] + 1)  # of a word never seen, at the root
-    for state in range(len(machine.fall)):
+    s, names, machine = machine_of(texts, order)
+    words = np.array([i for i in range(len(names)) if i != s.begin])
+    unseen = 1 / (int(s.count.sum()) + len(words) + 1)  # of a word never seen, at the root
+    end = names.index(lm.END)  # after it nothing is read
+    reached = set(machine.goal[(machine.key & (2**32 - 1)) != end].tolist()) | set(np.delete(machine.root_goal, end).tolist()) | {0}
+    for state in reached:
         _, added = machine.step(np.full(len(words), state), words)
         fallen, at = 0.0, state
         while at:
             fallen, at = fallen + machine.fall[at], int(machine.fallen[at])
-        assert (10**added).sum() + rare * 10**fallen == pytest.approx(1)
+        assert (10**added).sum() + unseen * 10**fallen == pytest.approx(1)
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_lanes_of_a_long_document_score_as_one(order):
     texts = [" ".join(R.choice(WORDS[:8]) for _ in range(n)).encode() for n in (1000, 3, 0, 517)]
-    s, machine = machine_of(texts, order)
+    s, _, machine = machine_of(texts, order)
     assert lm.traverse(s, machine, order, 7) == pytest.approx(lm.traverse(s, machine, order, 10_000))
 
 
 def test_shards_of_any_size_give_the_same_scores(spark):
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in DOCS], "doc_id long, text string, shard int, held_out string")
-    one, many = (sorted((str(x.doc_id), *x[1:]) for x in lm.scores(df, partition_bytes=size).collect()) for size in (1 << 30, 500))
+    one, many = (sorted((str(x.doc_id), *x[1:]) for x in lm.scores(df, shard_bytes=size).collect()) for size in (1 << 30, 500))
     assert [x[:5] for x in one] == [x[:5] for x in many]
     assert [x[6] for x in one] == pytest.approx([x[6] for x in many])
 

@@ -196,7 +196,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 def sized(batches: Iterator[pa.RecordBatch], target: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of texts of about `target` bytes, or of one longer text."""
     for b in batches:
-        at, most = 0, max(1, int(target * b.num_rows / max(1, b.get_total_buffer_size())))
+        at, most = 0, max(1, int(target * b.num_rows / max(1, b.nbytes)))
         while at < b.num_rows:
             yield b.slice(at, most)
             at += most

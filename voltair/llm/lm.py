@@ -14,9 +14,10 @@ logarithms.
 The corpus's n-grams fit no broadcast, so documents are dealt to shards of bounded
 size, and each shard asks only for what its own texts need:
 
-1. a shard sends each of its distinct words once, as strings, with its training
-   count; the words' buckets add the counts up and return to each shard a number for
-   each word, the same in all shards, and the total;
+1. a shard (some megabytes of texts that stand together in the table) is written as
+   token numbers, and sends each of its distinct words once, as strings, with its
+   training count; the words' buckets add the counts up and return to each shard a
+   number for each word, the same in all shards, and the total;
 2. the shard sends each of its distinct longer n-grams once, as the numbers of its
    words, and their buckets return the totals. So words are told apart by their
    bytes and n-grams by their words, never by hashes, and frequent ones are
@@ -28,8 +29,8 @@ size, and each shard asks only for what its own texts need:
 
 Defined cases: null or wordless text is one end token; a null doc_id counts as
 training; an empty table gives no rows, a table without training rows N = V = 0;
-repeated rows count as often as they stand there; very long texts make a shard of
-their own size; other columns are left out, whatever their names.
+repeated rows count as often as they stand there; a very long text makes a shard of
+its own size; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,17 +40,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, shuffle_partitions, texts_of
+from .common import MIX_1, U64, materialise, mix, shuffle_partitions, sized, texts_of
 from .segments import from_planes, planes
 
 ORDER, PRIOR = 3, 5.0
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of texts of a partition, and shards in it.
-PARTITION_BYTES, SHARDS = 24 << 20, 3
+#: Bytes of texts of a shard, and for each bucket of words or n-grams.
+SHARD_BYTES = 8 << 20
 #: Names of the end token and of the start of a document; no word has them.
 END, BEGIN = b"", b"\n"
 #: Tokens of a lane.
@@ -71,9 +74,17 @@ class Numbering(dict):
 
 
 class Shard:
-    """The tokens of some texts: `names` of the distinct words, `token` numbers with an end after each document, `count` tokens a document."""
+    """The tokens of some documents: `token` numbers with an end after each document, `count` tokens a document, `held` out or not. words: distinct ones; begin: number of the begin mark."""
 
-    def __init__(self, texts: list[bytes], held: np.ndarray):
+    def __init__(self, token: np.ndarray, count: np.ndarray, held: np.ndarray, words: int, begin: int):
+        self.token, self.count, self.held, self.words, self.begin = token, count, held, words, begin
+        self.first = np.cumsum(count) - count
+        self.age = np.arange(len(token)) - np.repeat(self.first, count)
+        self.training = np.repeat(~held, count)
+
+    @classmethod
+    def of(cls, texts: list[bytes], held: np.ndarray, buckets: int = 1) -> tuple[Shard, list[bytes], np.ndarray]:
+        """The shard of some texts, the names of its words, and their buckets; words are numbered by bucket and name."""
         number, flat = Numbering({END: 0, BEGIN: 1}), array("i")
         count = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -81,14 +92,33 @@ class Shard:
             flat.extend(map(number.__getitem__, text.lower().split()))  # bytes: lowers A-Z only and splits at the six space bytes
             flat.append(0)
             count[i] = len(flat) - had
-        self.names = list(number)
-        self.token = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
-        self.count = count
-        self.first = np.cumsum(count) - count
-        self.age = np.arange(len(self.token)) - np.repeat(self.first, count)
-        self.training = np.repeat(~held, count)
-        self.word_counts = np.bincount(self.token[self.training], minlength=len(self.names))
-        self.word_counts[1] = int((~held).sum())  # documents begun
+        names = sorted(number)
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
+        order = np.argsort(bucket, kind="stable")
+        names = [names[i] for i in order.tolist()]
+        place = np.empty(len(names), np.int32)
+        place[np.fromiter(map(number.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
+        token = place[np.frombuffer(flat, np.int32)] if len(flat) else np.zeros(0, np.int32)
+        return cls(token, count, held, len(names), int(place[1])), names, bucket[order]
+
+    def word_counts(self) -> np.ndarray:
+        """How often each word stands in training; the begin mark once a document."""
+        out = np.bincount(self.token[self.training], minlength=self.words)
+        out[self.begin] = int((~self.held).sum())
+        return out
+
+    def pack(self, doc_id: pa.Array) -> bytes:
+        head = np.array([len(self.count), len(self.token), self.words, self.begin], "<i8").tobytes()
+        known = doc_id.is_valid().to_numpy(zero_copy_only=False)
+        return zipped(head, planes(doc_id.fill_null(0).to_numpy()), known.tobytes(), self.held.tobytes(), planes(self.count), planes(self.token))
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> tuple[Shard, pa.Array]:
+        raw = unzipped(blob)
+        d, t, words, begin = np.frombuffer(raw, "<i8", 4).tolist()
+        known, held = np.frombuffer(raw, bool, 2 * d, 32 + 8 * d).reshape(2, d)
+        doc_id = pa.array(from_planes(raw, "i8", d, 32), pa.int64(), mask=~known)
+        return cls(from_planes(raw, "i4", t, 32 + 18 * d), from_planes(raw, "i8", d, 32 + 10 * d), held, words, begin), doc_id
 
     def grams(self, order: int) -> list[Grams]:
         """Distinct n-grams for n = 2 .. order; the begin mark stands before a document's first word."""
@@ -97,12 +127,12 @@ class Shard:
         for n in range(2, order + 1):
             prefix = np.roll(last, 1)
             if n == 2:
-                prefix[self.age == 0] = 1
+                prefix[self.age == 0] = self.begin
             else:
                 valid = self.age >= n - 2
             at = np.flatnonzero(valid)
             key = prefix[at] << 32 | self.token[at]
-            by_key = np.argsort(key, kind="stable")
+            by_key = np.argsort(key)
             new = np.ones(len(at), bool)
             new[1:] = key[by_key][1:] != key[by_key][:-1]
             heads = np.flatnonzero(new)
@@ -131,99 +161,112 @@ def unzipped(blob: bytes) -> bytes:
 
 
 def sorted_by(columns: list[np.ndarray]) -> np.ndarray:
-    """The order of rows of numbers; two columns are compared as one where they fit."""
-    keys = []
-    for a in range(0, len(columns), 2):
-        pair = columns[a : a + 2]
-        if len(pair) == 2 and all(c.max(initial=0) < 1 << 32 for c in pair):
-            keys.append(pair[0].astype(U64) << U64(32) | pair[1].astype(U64))
+    """The order of different rows of numbers; columns are compared as one where their bits fit into a word."""
+    keys: list[np.ndarray] = []
+    room = 0
+    for c in columns:
+        bits = int(c.max(initial=1)).bit_length()
+        if keys and bits <= room:
+            keys[-1] = keys[-1] << U64(bits) | c.astype(U64)
+            room -= bits
         else:
-            keys += pair
-    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-
+            keys.append(c.astype(U64))
+            room = 64 - bits
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
 
-REQUEST = "bucket int, shard int, n int, blob binary"
-REPLY = "shard int, n int, bucket int, tokens long, types long, blob binary"
-_REQUEST = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
-_REPLY = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
 
+#: n: 0 for a shard's tokens, 1 for words, 2 and more for n-grams.
+ROW = "shard long, bucket int, n int, tokens long, types long, blob binary"
+_ROW = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
 
-def rows_table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_ROW)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ROW, strict=True)], schema=_ROW)
 
-def shard_of(documents: pa.Table) -> Shard:
-    return Shard(texts_of(documents["text"]), documents["held_out"].to_numpy())
 
+def runs_of(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    if not len(bucket):
+        return
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    yield from zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)
 
-def word_order(names: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words by bucket and name, and their buckets: the order in which a shard sends them and gets its replies."""
-    import xxhash
 
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
-    by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
-    order = by_name[np.argsort(bucket[by_name], kind="stable")]
-    return order, bucket[order]
+def gathered(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[list[dict]]:
+    """The rows of each group of a partition that holds whole groups; blobs stay compressed until their group's turn."""
+    held: dict[tuple, list[dict]] = {}
+    for b in batches:
+        for row in b.to_pylist():
+            held.setdefault(tuple(row[c] for c in by), []).append(row)
+    while held:
+        yield held.popitem()[1]
 
 
-def runs_of(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    yield from zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)
+def ask_words(buckets: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Step 1, where the texts are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, size = TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []
+        for b in sized(batches, shard_bytes // 4):
+            held.append(b)
+            size += b.nbytes
+            if size >= shard_bytes:
+                yield shard_rows(held, part << 24 | count, buckets)
+                held, count, size = [], count + 1, 0
+        if sum(b.num_rows for b in held):
+            yield shard_rows(held, part << 24 | count, buckets)
 
-def ask_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Step 1, at a shard."""
+    return run
 
-    def run(documents: pa.Table) -> pa.Table:
-        s = shard_of(documents)
-        shard, rows = documents["shard"][0].as_py(), []
-        order, bucket = word_order(s.names, buckets)
-        for b, a, z in runs_of(bucket):
-            mine = order[a:z]
-            rows.append((b, shard, 1, zipped((z - a).to_bytes(4, "little"), planes(s.word_counts[mine].astype(np.int64)), b" ".join(s.names[i] for i in mine.tolist()))))
-        return rows_table(_REQUEST, rows)
 
-    return run
+def shard_rows(held: list[pa.RecordBatch], shard: int, buckets: int) -> pa.RecordBatch:
+    documents = pa.Table.from_batches(held).combine_chunks()
+    s, names, bucket = Shard.of(texts_of(documents["text"]), documents["held_out"].to_numpy(), buckets)
+    counts = s.word_counts().astype(np.int64)
+    rows = [(shard, -1, 0, 0, 0, s.pack(documents["doc_id"].combine_chunks()))]
+    rows += [(shard, b, 1, 0, 0, zipped((z - a).to_bytes(4, "little"), planes(counts[a:z]), b" ".join(names[a:z]))) for b, a, z in runs_of(bucket)]
+    return rows_of(rows)
 
 
-def tell_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
+def tell_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Step 1, at a bucket: numbers, small ones for frequent words, and totals."""
 
-    def run(asked: pa.Table) -> pa.Table:
-        total: dict[bytes, int] = {}
-        sent = []
-        for shard, blob in zip(asked["shard"].to_pylist(), asked["blob"].to_pylist(), strict=True):
-            raw = unzipped(blob)
-            n = int.from_bytes(raw[:4], "little")
-            words = raw[4 + 8 * n :].split(b" ")
-            for w, c in zip(words, from_planes(raw, "i8", n, 4).tolist(), strict=True):
-                total[w] = total.get(w, 0) + c
-            sent.append((shard, blob))
-        bucket = asked["bucket"][0].as_py()
-        number = {w: k * buckets + bucket for k, w in enumerate(sorted(total, key=lambda w: (-total[w], w)))}
-        counted = [c for w, c in total.items() if w != BEGIN and c > 0]
-        tokens, types, rows = sum(counted), len(counted), []
-        for shard, blob in sent:
-            raw = unzipped(blob)
-            words = raw[4 + 8 * int.from_bytes(raw[:4], "little") :].split(b" ")
-            both = (np.array([f[w] for w in words], np.int64) for f in (number, total))
-            rows.append((shard, 1, bucket, tokens, types, zipped(*map(planes, both))))
-            tokens = types = 0  # once a bucket
-        return rows_table(_REPLY, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asked in gathered(batches, "bucket"):
+            total: dict[bytes, int] = {}
+            for row in asked:
+                for w, c in zip(*sent_words(row["blob"]), strict=True):
+                    total[w] = total.get(w, 0) + c
+            bucket = asked[0]["bucket"]
+            number = {w: k * buckets + bucket for k, w in enumerate(sorted(total, key=lambda w: (-total[w], w)))}
+            counted = [c for w, c in total.items() if w != BEGIN and c > 0]
+            tokens, types, rows = sum(counted), len(counted), []
+            for row in asked:
+                words, _ = sent_words(row["blob"])
+                both = (np.fromiter(map(f.__getitem__, words), np.int64, len(words)) for f in (number, total))
+                rows.append((row["shard"], bucket, 1, tokens, types, zipped(*map(planes, both))))
+                tokens = types = 0  # once a bucket
+            yield rows_of(rows)
 
     return run
 
 
-def word_replies(s: Shard, reply: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of the shard its number in the corpus and its total."""
-    told = {b: unzipped(blob) for n, b, blob in zip(reply["n"].to_pylist(), reply["bucket"].to_pylist(), reply["blob"].to_pylist(), strict=True) if n == 1}
-    order, bucket = word_order(s.names, buckets)
-    number, total = np.zeros(len(s.names), np.int64), np.zeros(len(s.names), np.int64)
-    for b, a, z in runs_of(bucket):
-        number[order[a:z]] = from_planes(told[b], "i8", z - a, 0)
-        total[order[a:z]] = from_planes(told[b], "i8", z - a, 8 * (z - a))
-    return number, total
+def sent_words(blob: bytes) -> tuple[list[bytes], list[int]]:
+    raw = unzipped(blob)
+    n = int.from_bytes(raw[:4], "little")
+    return raw[4 + 8 * n :].split(b" "), from_planes(raw, "i8", n, 4).tolist()
+
+
+def word_replies(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the shard its number in the corpus and its total; words are numbered by bucket."""
+    number, total = [], []
+    for row in sorted((r for r in rows if r["n"] == 1), key=lambda r: r["bucket"]):
+        raw = unzipped(row["blob"])
+        n = len(raw) // 16
+        number.append(from_planes(raw, "i8", n, 0))
+        total.append(from_planes(raw, "i8", n, 8 * n))
+    return np.concatenate(number), np.concatenate(total)
 
 
 def gram_order(grams: list[Grams], number: np.ndarray, buckets: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -233,53 +276,59 @@ def gram_order(grams: list[Grams], number: np.ndarray, buckets: int) -> Iterator
         columns = [*(c[g.prefix] for c in columns), number[g.word]]
         key = np.zeros(len(g.word), U64)
         for c in columns:
-            key = mix(key + c.astype(U64))
-        bucket = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+            key = (key ^ c.astype(U64)) * U64(MIX_1)
+            key ^= key >> U64(29)
+        bucket = ((mix(key) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         order = sorted_by(columns)
         order = order[np.argsort(bucket[order], kind="stable")]
         yield n, columns, order, bucket[order]
 
 
-def ask_grams(buckets: int, order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def ask_grams(buckets: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Step 2, at a shard."""
 
-    def run(documents: pa.Table, reply: pa.Table) -> pa.Table:
-        if not documents.num_rows:
-            return rows_table(_REQUEST, [])
-        s = shard_of(documents)
-        shard, rows = documents["shard"][0].as_py(), []
-        number, _ = word_replies(s, reply, buckets)
-        grams = s.grams(order)
-        for n, columns, by_bucket, bucket in gram_order(grams, number, buckets):
-            for b, a, z in runs_of(bucket):
-                mine = by_bucket[a:z]
-                rows.append((b, shard, n, zipped((z - a).to_bytes(4, "little"), planes(grams[n - 2].seen[mine]), *(planes(c[mine]) for c in columns))))
-        return rows_table(_REQUEST, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in gathered(batches, "shard"):
+            s, _ = Shard.unpack(next(r["blob"] for r in rows if r["n"] == 0))
+            shard, out = rows[0]["shard"], []
+            grams = s.grams(order)
+            for n, columns, by_bucket, bucket in gram_order(grams, word_replies(rows)[0], buckets):
+                seen, columns = planes_of(grams[n - 2].seen[by_bucket]), [planes_of(c[by_bucket]) for c in columns]
+                for b, a, z in runs_of(bucket):
+                    out.append((shard, b, n, 0, 0, zipped((z - a).to_bytes(4, "little"), *(np.ascontiguousarray(c[:, a:z]).tobytes() for c in (seen, *columns)))))
+            yield rows_of(out)
 
     return run
 
 
-def tell_grams(asked: pa.Table) -> pa.Table:
-    """Step 2, at a bucket and n: totals, in the order of each shard's n-grams."""
-    n, bucket = asked["n"][0].as_py(), asked["bucket"][0].as_py()
-    shards, parts, seen = asked["shard"].to_pylist(), [[] for _ in range(n)], []
-    for blob in asked["blob"].to_pylist():
-        raw = unzipped(blob)
-        k = int.from_bytes(raw[:4], "little")
-        seen.append(from_planes(raw, "i8", k, 4))
-        for i in range(n):
-            parts[i].append(from_planes(raw, "i8", k, 4 + 8 * k * (i + 1)))
-    ends = np.cumsum([len(c) for c in seen])
-    columns = [np.concatenate(p) for p in parts]
-    order = sorted_by(columns)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    at = np.flatnonzero(new)
-    total = np.empty(len(order), np.int64)
-    total[order] = np.repeat(np.add.reduceat(np.concatenate(seen)[order], at), np.diff(np.append(at, len(order))))
-    return rows_table(_REPLY, [(shard, n, bucket, 0, 0, zipped(planes(total[z - len(c) : z]))) for shard, c, z in zip(shards, seen, ends.tolist(), strict=True)])
+def planes_of(x: np.ndarray) -> np.ndarray:
+    """(8, rows): the bytes of 64-bit numbers."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def tell_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 2, at a bucket: totals, in the order of each shard's n-grams."""
+    for asked in gathered(batches, "bucket", "n"):
+        n = asked[0]["n"]
+        parts, seen = [[] for _ in range(n)], []
+        for row in asked:
+            raw = unzipped(row["blob"])
+            k = int.from_bytes(raw[:4], "little")
+            seen.append(from_planes(raw, "i8", k, 4))
+            for i in range(n):
+                parts[i].append(from_planes(raw, "i8", k, 4 + 8 * k * (i + 1)))
+        ends = np.cumsum([len(c) for c in seen])
+        columns = [np.concatenate(p) for p in parts]
+        order = sorted_by(columns)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in columns:
+            c = c[order]
+            new[1:] |= c[1:] != c[:-1]
+        at = np.flatnonzero(new)
+        total = np.empty(len(order), np.int64)
+        total[order] = np.repeat(np.add.reduceat(np.concatenate(seen)[order], at), np.diff(np.append(at, len(order))))
+        yield rows_of([(row["shard"], row["bucket"], n, 0, 0, zipped(planes(total[z - len(c) : z]))) for row, c, z in zip(asked, seen, ends.tolist(), strict=True)])
 
 
 class Automaton:
@@ -353,7 +402,7 @@ def traverse(s: Shard, machine: Automaton, order: int, lane: int = LANE) -> np.n
     by_length = np.argsort(-length, kind="stable")
     doc, own, warm, length = doc[by_length], own[by_length], warm[by_length], length[by_length]
     begin = s.first[doc] + own - warm
-    state = np.where(own == warm, machine.root_goal[1] if len(machine.root_goal) else 0, 0)  # at a document's start the begin mark has been read
+    state = np.where(own == warm, machine.root_goal[s.begin], 0)  # at a document's start the begin mark has been read
     score = np.zeros(len(doc))
     for t in range(int(length.max(initial=0))):
         n = int(np.searchsorted(-length, -t, side="left"))  # lanes longer than t
@@ -363,45 +412,44 @@ def traverse(s: Shard, machine: Automaton, order: int, lane: int = LANE) -> np.n
     return out
 
 
-def answer(buckets: int, order: int, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def answer(buckets: int, order: int, prior: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Step 3."""
-    fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(documents: pa.Table, reply: pa.Table) -> pa.Table:
-        if not documents.num_rows:
-            return rows_table(fields, [])
-        s = shard_of(documents)
-        number, words = word_replies(s, reply, buckets)
-        grams, totals = s.grams(order), [words]
-        told = {(n, b): blob for n, b, blob in zip(reply["n"].to_pylist(), reply["bucket"].to_pylist(), reply["blob"].to_pylist(), strict=True)}
-        for n, columns, by_bucket, bucket in gram_order(grams, number, buckets):
-            total = np.zeros(len(by_bucket), np.int64)
-            for b, a, z in runs_of(bucket):
-                total[by_bucket[a:z]] = from_planes(unzipped(told[n, b]), "i8", z - a, 0)
-            totals.append(total)
-        tokens, types = (reply[c][0].as_py() for c in ("all_tokens", "all_types"))
-        machine = Automaton(totals, grams, tokens, types, prior)
-        base = np.add.reduceat(machine.root_weight[s.token], s.first)
-        known = np.add.reduceat((words[s.token] > 0).astype(np.int64), s.first)
-        columns = [s.count, known, np.full(len(s.count), tokens), base, traverse(s, machine, order)]
-        return pa.table([documents["doc_id"], documents["held_out"], *(pa.array(c, f.type) for c, f in zip(columns, list(fields)[2:], strict=True))], schema=fields)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in gathered(batches, "shard"):
+            s, doc_id = Shard.unpack(next(r["blob"] for r in rows if r["n"] == 0))
+            number, words = word_replies(rows)
+            grams, totals = s.grams(order), [words]
+            told = {(r["n"], r["bucket"]): r["blob"] for r in rows}
+            for n, _, by_bucket, bucket in gram_order(grams, number, buckets):
+                total = np.zeros(len(by_bucket), np.int64)
+                for b, a, z in runs_of(bucket):
+                    total[by_bucket[a:z]] = from_planes(unzipped(told[n, b]), "i8", z - a, 0)
+                totals.append(total)
+            tokens, types = rows[0]["all_tokens"], rows[0]["all_types"]
+            machine = Automaton(totals, grams, tokens, types, prior)
+            base = np.add.reduceat(machine.root_weight[s.token], s.first)
+            known = np.add.reduceat((words[s.token] > 0).astype(np.int64), s.first)
+            columns = [s.count, known, np.full(len(s.count), tokens, np.int64), base, traverse(s, machine, order)]
+            yield pa.record_batch([doc_id, pa.array(s.held), *map(pa.array, columns)], names=names)
 
     return run
 
 
-def scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int = FOLDS, fold: int = HELD_OUT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int = FOLDS, fold: int = HELD_OUT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document of documents(doc_id, text): SCORES. order: longest n-gram; prior: K."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out(folds, fold).alias("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(shuffle_partitions(docs.sparkSession), -(-size // partition_bytes))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARDS * parts)).cast("int")
-    sharded = rows.select(shard.alias("shard"), "doc_id", "text", "held_out").repartition(parts, "shard")
-    words = sharded.groupBy("shard").applyInArrow(ask_words(parts), REQUEST).repartition(parts, "bucket").groupBy("bucket").applyInArrow(tell_words(parts), REPLY)
-    words = materialise(words, "lm-words")
+    buckets = max(1, -(-size // shard_bytes))
+    parts = max(shuffle_partitions(docs.sparkSession), buckets)
+    to_bucket = lambda df: df.repartitionById(parts, F.col("bucket") % parts)
+    first = materialise(rows.mapInArrow(ask_words(buckets, shard_bytes), ROW), "lm-shards")
+    tokens = first.where("n = 0")
+    words = materialise(to_bucket(first.where("n = 1")).mapInArrow(tell_words(buckets), ROW), "lm-words")
     totals = words.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"))  # one row
-    words_back = words.repartition(parts, "shard")
-    asked = sharded.groupBy("shard").cogroup(words_back.groupBy("shard")).applyInArrow(ask_grams(parts, order), REQUEST)
-    grams = asked.repartition(parts, "bucket").groupBy("bucket", "n").applyInArrow(tell_grams, REPLY)
-    told = words.unionByName(grams).crossJoin(F.broadcast(totals)).repartition(parts, "shard")
-    return sharded.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer(parts, order, prior), SCORES)
+    known = tokens.unionByName(words)
+    grams = to_bucket(known.repartition(parts, "shard").mapInArrow(ask_grams(buckets, order), ROW)).mapInArrow(tell_grams, ROW)
+    told = known.unionByName(grams).crossJoin(F.broadcast(totals)).repartition(parts, "shard")
+    return told.mapInArrow(answer(buckets, order, prior), SCORES)
