@@ -51,8 +51,8 @@ from .segments import from_planes, planes
 
 ORDER, PRIOR = 3, 5.0
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of texts of a shard, and for each bucket of words or n-grams.
-SHARD_BYTES = 8 << 20
+#: Bytes of texts of a shard, and shards for each bucket of words or n-grams.
+SHARD_BYTES, SHARDS_A_BUCKET = 6 << 20, 3
 #: Names of the end token and of the start of a document; no word has them.
 END, BEGIN = b"", b"\n"
 #: Tokens of a lane.
@@ -152,8 +152,8 @@ class Grams:
         self.prefix, self.word, self.suffix, self.seen = prefix, word, suffix, seen
 
 
-def zipped(*parts: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+def zipped(*parts: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unzipped(blob: bytes) -> bytes:
@@ -225,7 +225,7 @@ def shard_rows(held: list[pa.RecordBatch], shard: int, buckets: int) -> pa.Recor
     s, names, bucket = Shard.of(texts_of(documents["text"]), documents["held_out"].to_numpy(), buckets)
     counts = s.word_counts().astype(np.int64)
     rows = [(shard, -1, 0, 0, 0, s.pack(documents["doc_id"].combine_chunks()))]
-    rows += [(shard, b, 1, 0, 0, zipped((z - a).to_bytes(4, "little"), planes(counts[a:z]), b" ".join(names[a:z]))) for b, a, z in runs_of(bucket)]
+    rows += [(shard, b, 1, 0, 0, zipped((z - a).to_bytes(4, "little"), planes(counts[a:z]), b" ".join(names[a:z]), level=5)) for b, a, z in runs_of(bucket)]
     return rows_of(rows)
 
 
@@ -284,41 +284,44 @@ def gram_order(grams: list[Grams], number: np.ndarray, buckets: int) -> Iterator
         yield n, columns, order, bucket[order]
 
 
-def ask_grams(buckets: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def ask_grams(buckets: int, order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Step 2, at a shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in gathered(batches, "shard"):
-            s, _ = Shard.unpack(next(r["blob"] for r in rows if r["n"] == 0))
-            shard, out = rows[0]["shard"], []
+    def run(own: pa.Table, words: pa.Table) -> pa.Table:
+        out = []
+        if own.num_rows:
+            shard = own["shard"][0].as_py()
+            s, _ = Shard.unpack(own["blob"][0].as_py())
             grams = s.grams(order)
-            for n, columns, by_bucket, bucket in gram_order(grams, word_replies(rows)[0], buckets):
-                seen, columns = planes_of(grams[n - 2].seen[by_bucket]), [planes_of(c[by_bucket]) for c in columns]
+            for n, columns, by_bucket, bucket in gram_order(grams, word_replies(words.to_pylist())[0], buckets):
+                columns = [grams[n - 2].seen, *columns]
+                width = 4 if max(int(c.max(initial=0)) for c in columns) < 1 << 31 else 8
+                columns = [planes_of(c[by_bucket].astype(f"i{width}")) for c in columns]
                 for b, a, z in runs_of(bucket):
-                    out.append((shard, b, n, 0, 0, zipped((z - a).to_bytes(4, "little"), *(np.ascontiguousarray(c[:, a:z]).tobytes() for c in (seen, *columns)))))
-            yield rows_of(out)
+                    out.append((shard, b, n, 0, 0, zipped((z - a).to_bytes(4, "little"), bytes([width]), *(np.ascontiguousarray(c[:, a:z]).tobytes() for c in columns))))
+        return pa.Table.from_batches([rows_of(out)])
 
     return run
 
 
 def planes_of(x: np.ndarray) -> np.ndarray:
-    """(8, rows): the bytes of 64-bit numbers."""
-    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    """(bytes, rows): the bytes of numbers."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
 
 
 def tell_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2, at a bucket: totals, in the order of each shard's n-grams."""
     for asked in gathered(batches, "bucket", "n"):
         n = asked[0]["n"]
-        parts, seen = [[] for _ in range(n)], []
+        parts: list[list[np.ndarray]] = [[] for _ in range(n + 1)]  # counts, then words
         for row in asked:
             raw = unzipped(row["blob"])
-            k = int.from_bytes(raw[:4], "little")
-            seen.append(from_planes(raw, "i8", k, 4))
-            for i in range(n):
-                parts[i].append(from_planes(raw, "i8", k, 4 + 8 * k * (i + 1)))
-        ends = np.cumsum([len(c) for c in seen])
-        columns = [np.concatenate(p) for p in parts]
+            k, width = int.from_bytes(raw[:4], "little"), raw[4]
+            for i in range(n + 1):
+                parts[i].append(from_planes(raw, f"i{width}", k, 5 + width * k * i))
+        lengths = [len(c) for c in parts[0]]
+        seen, *columns = (np.concatenate(p) for p in parts)
+        del parts
         order = sorted_by(columns)
         new = np.zeros(len(order), bool)
         new[:1] = True
@@ -327,8 +330,9 @@ def tell_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] |= c[1:] != c[:-1]
         at = np.flatnonzero(new)
         total = np.empty(len(order), np.int64)
-        total[order] = np.repeat(np.add.reduceat(np.concatenate(seen)[order], at), np.diff(np.append(at, len(order))))
-        yield rows_of([(row["shard"], row["bucket"], n, 0, 0, zipped(planes(total[z - len(c) : z]))) for row, c, z in zip(asked, seen, ends.tolist(), strict=True)])
+        total[order] = np.repeat(np.add.reduceat(seen[order].astype(np.int64), at), np.diff(np.append(at, len(order))))
+        ends = np.cumsum(lengths).tolist()
+        yield rows_of([(row["shard"], row["bucket"], n, 0, 0, zipped(planes(total[z - k : z]))) for row, k, z in zip(asked, lengths, ends, strict=True)])
 
 
 class Automaton:
@@ -412,27 +416,29 @@ def traverse(s: Shard, machine: Automaton, order: int, lane: int = LANE) -> np.n
     return out
 
 
-def answer(buckets: int, order: int, prior: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def answer(buckets: int, order: int, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Step 3."""
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in gathered(batches, "shard"):
-            s, doc_id = Shard.unpack(next(r["blob"] for r in rows if r["n"] == 0))
-            number, words = word_replies(rows)
-            grams, totals = s.grams(order), [words]
-            told = {(r["n"], r["bucket"]): r["blob"] for r in rows}
-            for n, _, by_bucket, bucket in gram_order(grams, number, buckets):
-                total = np.zeros(len(by_bucket), np.int64)
-                for b, a, z in runs_of(bucket):
-                    total[by_bucket[a:z]] = from_planes(unzipped(told[n, b]), "i8", z - a, 0)
-                totals.append(total)
-            tokens, types = rows[0]["all_tokens"], rows[0]["all_types"]
-            machine = Automaton(totals, grams, tokens, types, prior)
-            base = np.add.reduceat(machine.root_weight[s.token], s.first)
-            known = np.add.reduceat((words[s.token] > 0).astype(np.int64), s.first)
-            columns = [s.count, known, np.full(len(s.count), tokens, np.int64), base, traverse(s, machine, order)]
-            yield pa.record_batch([doc_id, pa.array(s.held), *map(pa.array, columns)], names=names)
+    fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(own: pa.Table, replies: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return fields.empty_table()
+        s, doc_id = Shard.unpack(own["blob"][0].as_py())
+        rows = replies.to_pylist()
+        number, words = word_replies(rows)
+        grams, totals = s.grams(order), [words]
+        told = {(r["n"], r["bucket"]): r["blob"] for r in rows}
+        for n, _, by_bucket, bucket in gram_order(grams, number, buckets):
+            total = np.zeros(len(by_bucket), np.int64)
+            for b, a, z in runs_of(bucket):
+                total[by_bucket[a:z]] = from_planes(unzipped(told[n, b]), "i8", z - a, 0)
+            totals.append(total)
+        tokens, types = rows[0]["all_tokens"], rows[0]["all_types"]
+        machine = Automaton(totals, grams, tokens, types, prior)
+        base = np.add.reduceat(machine.root_weight[s.token], s.first)
+        known = np.add.reduceat((words[s.token] > 0).astype(np.int64), s.first)
+        columns = [s.count, known, np.full(len(s.count), tokens, np.int64), base, traverse(s, machine, order)]
+        return pa.table([doc_id, pa.array(s.held), *map(pa.array, columns)], schema=fields)
 
     return run
 
@@ -442,14 +448,14 @@ def scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out(folds, fold).alias("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, -(-size // shard_bytes))
-    parts = max(shuffle_partitions(docs.sparkSession), buckets)
+    buckets = max(1, -(-size // (SHARDS_A_BUCKET * shard_bytes)))
+    parts = max(shuffle_partitions(docs.sparkSession), SHARDS_A_BUCKET * buckets)
     to_bucket = lambda df: df.repartitionById(parts, F.col("bucket") % parts)
     first = materialise(rows.mapInArrow(ask_words(buckets, shard_bytes), ROW), "lm-shards")
-    tokens = first.where("n = 0")
     words = materialise(to_bucket(first.where("n = 1")).mapInArrow(tell_words(buckets), ROW), "lm-words")
     totals = words.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"))  # one row
-    known = tokens.unionByName(words)
-    grams = to_bucket(known.repartition(parts, "shard").mapInArrow(ask_grams(buckets, order), ROW)).mapInArrow(tell_grams, ROW)
-    told = known.unionByName(grams).crossJoin(F.broadcast(totals)).repartition(parts, "shard")
-    return told.mapInArrow(answer(buckets, order, prior), SCORES)
+    # tokens are shuffled once and meet both kinds of replies there
+    tokens = first.where("n = 0").select("shard", "blob").repartition(parts, "shard").groupBy("shard")
+    grams = tokens.cogroup(words.repartition(parts, "shard").groupBy("shard")).applyInArrow(ask_grams(buckets, order), ROW)
+    told = words.unionByName(to_bucket(grams).mapInArrow(tell_grams, ROW)).crossJoin(F.broadcast(totals))
+    return tokens.cogroup(told.repartition(parts, "shard").groupBy("shard")).applyInArrow(answer(buckets, order, prior), SCORES)
