@@ -56,5 +56,5 @@ def test_stages_keep_columns(spark, corpus):
 
 def test_near_dedup_matches_its_groups(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
-    groups = simhash.groups(docs, 5, simhash.WIDE_RADIUS, None, words=simhash.WIDE_WORDS).where("doc_id = component_id")
+    groups = simhash.groups(docs, 5, simhash.WIDE_RADIUS, True, words=simhash.WIDE_WORDS).where("doc_id = component_id")
     assert sorted(x.doc_id for x in groups.collect()) == sorted(x.doc_id for x in simhash.keep_one(docs).collect())

@@ -3,8 +3,8 @@
 Schema fingerprinting: the nested field paths of a record (`messages[].role`) are
 ordered and hashed, and the hash selects a declarative mapping: where the id and
 the turns stand. A layout that has more fields than a mapping names is resolved
-once, to the mapping that names most of its paths, and remembered by its hash. The
-number of layouts is bounded by what is in a batch, not by its rows.
+once, to the mapping that names most of its paths, and remembered by its hash; a task
+remembers at most LAYOUTS of them and then begins anew.
 
 Template: each turn is `### role: text</turn>` and a line feed. In roles and texts a
 backslash is written `\\e`, `<` is `\\l`, `#` is `\\h` and, in roles, `:` is `\\c`, so no
@@ -12,14 +12,19 @@ control string can stand in them and every text is restored exactly. The loss ma
 lists the code point spans of the assistants' texts in the formatted string.
 
 Defined cases: null text or role is empty; turns are ordered by turn, then role,
-then text, nulls first, repeated rows stay; a record of an unknown layout, or that
-is no JSON object, has no turns; other fields of a record are left alone.
+then text, nulls first, repeated rows stay; a record of an unknown layout, that is no
+JSON object, or that is nested too deeply to be read, has no turns; turns that are no
+objects are left out; an id that is no 64-bit integer is null; lone surrogates become
+U+FFFD; other fields of a record are left alone, whatever their names. A conversation
+is one record and one formatted string, so a very long one is held by one task: its
+digest runs over all its turns in order. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +36,9 @@ from pyspark.sql import functions as F
 HEAD, COLON, CLOSE = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("#", "\\h"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
+#: Layouts that a task remembers.
+LAYOUTS = 10_000
+_SURROGATES = re.compile("[\ud800-\udfff]")
 
 
 @dataclass(frozen=True)
@@ -70,9 +78,10 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
 def paths_of(value: object, at: str = "") -> Iterator[str]:
-    """Nested field paths of a JSON value; elements of arrays share theirs."""
+    """Nested field paths of a JSON value; elements of arrays share theirs. In names, the signs of paths are escaped."""
     if isinstance(value, dict):
         for k, v in value.items():
+            k = k.replace("\\", "\\\\").replace(".", "\\.").replace("[", "\\[").replace("\n", "\\n")
             here = f"{at}.{k}" if at else k
             yield here
             yield from paths_of(v, here)
@@ -82,7 +91,7 @@ def paths_of(value: object, at: str = "") -> Iterator[str]:
 
 
 def fingerprint(paths: frozenset[str] | set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 class Layouts:
@@ -98,6 +107,8 @@ class Layouts:
     def of(self, paths: set[str]) -> tuple[str, Mapping | None]:
         key = fingerprint(paths)
         if key not in self.known:
+            if len(self.known) >= LAYOUTS:
+                self.__init__(self.mappings)
             fits = [m for m in self.mappings if m.paths() <= paths]
             self.known[key] = max(fits, key=lambda m: len(m.paths()), default=None)
         return key, self.known[key]
@@ -107,10 +118,11 @@ def turns_of(record: dict, m: Mapping | None) -> list[tuple[str, str]]:
     if m is None:
         return []
     if m.turns:
-        got = [(t.get(m.role), t.get(m.text)) for t in record[m.turns] or [] if isinstance(t, dict)]
+        turns = record.get(m.turns)
+        got = [(t.get(m.role), t.get(m.text)) for t in turns if isinstance(t, dict)] if isinstance(turns, list) else []
     else:
-        got = [(role, record[field]) for field, role in m.parts if record.get(field) is not None]
-    text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+        got = [(role, record.get(field)) for field, role in m.parts if record.get(field) is not None]
+    text = lambda x: "" if x is None else _SURROGATES.sub("\ufffd", x if isinstance(x, str) else json.dumps(x, ensure_ascii=False))
     return [(ROLES.get(text(r), text(r)), text(t)) for r, t in got]
 
 
@@ -169,13 +181,15 @@ def format_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS)
             for raw in b["record"].to_pylist():
                 try:
                     value = json.loads(raw) if raw else {}
-                except ValueError:
-                    value = {}
-                value = value if isinstance(value, dict) else {}
-                key, m = layouts.of(set(paths_of(value)))
+                    value = value if isinstance(value, dict) else {}
+                    paths = set(paths_of(value))
+                except (ValueError, RecursionError):
+                    value, paths = {}, set()
+                key, m = layouts.of(paths)
                 text, mask = render(turns_of(value, m))
                 name = value.get(m.id) if m else None
-                rows.append((name if isinstance(name, int) else None, m.name if m else None, key, text, [{"start": s, "stop": e} for s, e in mask]))
+                known = isinstance(name, int) and not isinstance(name, bool) and -(2**63) <= name < 2**63
+                rows.append((name if known else None, m.name if m else None, key, text, [{"start": s, "stop": e} for s, e in mask]))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), _MASK)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "layout", "fingerprint", "formatted", "mask"])

@@ -25,8 +25,13 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder all executors share: `spark.checkpoint.dir`; where it is unset, one of our own in local mode (tests), and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file:///tmp/checkpoints"
+    return found.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -7,12 +7,17 @@ window length; each document's windows are looked up in it, and every hit is
 verified word by word before it counts.
 
 The set is broadcast only below `max_windows` windows. A larger benchmark is taken
-in blocks of items below that bound, one scan of the documents each. The hits of all
-blocks in the text as it came are merged by document, and what is cut is cut once.
+in blocks below that bound, which is checked before a block is collected, one scan of
+the documents each; an item with more windows than a block takes is cut into parts
+that overlap by a window less one word. The hits of all blocks in the text as it came
+are merged by document, and what is cut is cut once.
 
 Defined cases: null text has no words; items without words match nothing; items
 with equal windows all count; a null item_id is listed as an empty string; repeated
-documents are judged each for itself.
+documents are judged each for itself (in blocks, rows equal in id and text together);
+very long texts are searched whole; empty tables give no rows, an empty benchmark no
+hits; other columns of the documents, whatever their names, pass through `remove_spans`
+and are left out by `scan`.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from .common import BASE, U64, Words, chunks, fresh, mix, slices, texts_of, word
 from .suffix_dedup import renew_length
 
 NGRAM = 10
-#: Windows a broadcast may hold: with words and hashes, some 200 MB.
-MAX_WINDOWS = 1_000_000
+#: Windows a broadcast may hold: with words and hashes, some 100 MB.
+MAX_WINDOWS = 250_000
 
 
 class Windows:
@@ -95,25 +100,51 @@ def hits(texts: list[bytes], windows: Windows) -> Iterator[tuple[int, np.ndarray
             yield int(t - f), words.start[mine] - words.doc_at[d], words.stop[mine] - words.doc_at[d], names.get(d, set())
 
 
-def blocks(benchmark: DataFrame, n: int, max_windows: int) -> list[int]:
-    """How many blocks the items need, from an upper bound of their windows: no word is shorter than a byte and a separator."""
-    bound = benchmark.agg(F.coalesce(F.sum(F.greatest(F.octet_length("text") / 2, F.lit(1))), F.lit(0)).alias("w")).first()["w"]
-    return list(range(max(1, -(-int(bound) // max_windows))))
+def parts_of(benchmark: DataFrame, n: int, most: int) -> DataFrame:
+    """(item_id string, text string, windows long): the items with words, those of more than `most` windows in overlapping parts."""
 
-
-def block_windows(benchmark: DataFrame, block: int, of: int, n: int) -> Windows:
-    rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(of)) == block).select("item_id", "text").collect()  # at most max_windows windows
-    return Windows([("" if r["item_id"] is None else str(r["item_id"]), (r["text"] or "").encode()) for r in rows], n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, text in zip(b["item_id"].to_pylist(), texts_of(b["text"]), strict=True):
+                words = Words([text], "alnum", lower=True)
+                count = len(words.start)
+                windows = max(count - n + 1, 1)
+                for a in range(0, windows if count else 0, most):
+                    here = min(most, windows - a)
+                    last = min(a + here + n - 1, count) - 1
+                    rows.append((name, text[words.start[a] : words.stop[last]].decode(), here))
+            names, texts, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["item_id", "text", "windows"])
+
+    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "item_id string, text string, windows long")
+
+
+def blocks(benchmark: DataFrame, n: int, max_windows: int) -> tuple[DataFrame, int]:
+    """The parts of the items with the number of their block, and how many blocks there are; none holds more than `max_windows` windows."""
+    parts = parts_of(benchmark, n, max(1, max_windows // 8))
+    total = parts.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("w")).first()["w"]
+    count = max(1, -(-total // max_windows))
+    while True:
+        dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+        fullest = dealt.groupBy("block").agg(F.sum("windows").alias("w")).agg(F.max("w").alias("w")).first()["w"] or 0
+        if fullest <= max_windows or count > 16 * total:  # parts equal in item and text can't be told apart
+            return dealt, count
+        count = count * 3 // 2 + 1
+
+
+def block_windows(parts: DataFrame, block: int, n: int) -> Windows:
+    rows = parts.where(F.col("block") == block).select("item_id", "text").distinct().collect()  # checked: at most max_windows windows
+    return Windows([(r["item_id"] or "", r["text"].encode()) for r in rows], n)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    several = blocks(items, n, max_windows)
+    items, several = blocks(benchmark, n, max_windows)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if len(several) > 1:
+    if several > 1:
         return merged(rows, items, several, n)
-    shared = docs.sparkSession.sparkContext.broadcast(block_windows(items, 0, 1, n))
+    shared = docs.sparkSession.sparkContext.broadcast(block_windows(items, 0, n))
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +156,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_windows: int
     return rows.mapInArrow(run, schema)
 
 
-def merged(rows: DataFrame, items: DataFrame, several: list[int], n: int) -> DataFrame:
+def merged(rows: DataFrame, items: DataFrame, several: int, n: int) -> DataFrame:
     """As scan, for a benchmark in blocks: hit spans and items of each block, merged by document."""
     spark = rows.sparkSession
-    schema = "doc_id long, tag int, n_words long, hit array<int>, items array<string>"
-    fields = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    rows = rows.withColumn("tag", F.hash(F.coalesce("text", F.lit(""))))
+    schema = "doc_id long, tag long, n_words long, hit array<int>, items array<string>"
+    fields = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    rows = rows.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = None
-    for block in several:
-        shared = spark.sparkContext.broadcast(block_windows(items, block, len(several), n))
+    for block in range(several):
+        shared = spark.sparkContext.broadcast(block_windows(items, block, n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=block == 0) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -156,16 +187,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_wind
     Hits of all blocks are found in the text as it came and cut once: each block adds its
     hit words to a column that travels with the row.
     """
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    several = blocks(items, n, max_windows)
+    items, several = blocks(benchmark, n, max_windows)
     at = [c.lower() for c in docs.columns].index("text")
     columns, span = docs.columns, fresh(docs.columns, "spans")
     with_span = StructType([*docs.schema.fields, StructField(span, BinaryType())])
     out = docs
-    for block in several:
-        shared = docs.sparkSession.sparkContext.broadcast(block_windows(items, block, len(several), n))
+    for block in range(several):
+        shared = docs.sparkSession.sparkContext.broadcast(block_windows(items, block, n))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=block == 0, last=block == several[-1]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=block == 0, last=block == several - 1) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 raws, arrays = texts_of(b["text"]), list(b.columns)
                 held = [b""] * len(raws) if first else arrays.pop().to_pylist()
@@ -182,7 +212,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_wind
                     arrays.append(pa.array(held, pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *([] if last else [span])])
 
-        out = out.mapInArrow(run, docs.schema if block == several[-1] else with_span)
+        out = out.mapInArrow(run, docs.schema if block == several - 1 else with_span)
     return renew_length(out)
 
 

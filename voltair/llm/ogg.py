@@ -13,7 +13,9 @@ reassembles packets from lacing values, demultiplexes by serial number, and deri
 time stamps from granule positions.
 
 The container depends on the payload alone. Defined cases: null text is empty and,
-like every payload, padded with spaces to a positive multiple of 192 bytes.
+like every payload, padded with spaces to a positive multiple of 192 bytes; a very long
+text is one container, held whole while it is written and read; repeated rows have
+equal containers; empty tables give no rows; only the columns named in `keep` are kept.
 """
 
 from __future__ import annotations
@@ -96,7 +98,11 @@ def write(payload: bytes) -> bytes:
 
 
 def packets_of(media: bytes) -> tuple[dict[int, list[tuple[bytes, float]]], int]:
-    """By serial number: packets and the time stamp, in seconds, of the page in which each ends; and the number of pages."""
+    """By serial number: packets and their time stamps, in seconds; and the number of pages.
+
+    A page's granule position is the end of the last packet that ends in it; the packets
+    before it are counted back by their samples (a header has none).
+    """
     done: dict[int, list[tuple[bytes, float]]] = {}
     open_: dict[int, bytes] = {}
     rate: dict[int, int] = {}
@@ -132,7 +138,11 @@ def packets_of(media: bytes) -> tuple[dict[int, list[tuple[bytes, float]]], int]
             open_[serial] = b"".join([*held, media[begin : begin + size]])
         if flags & FIRST:
             rate[serial] = STREAM_HEADER.unpack(whole[0])[1]
-        done.setdefault(serial, []).extend((p, granule / rate[serial]) for p in whole)
+        stamped = []
+        for p in reversed(whole):
+            stamped.append((p, granule / rate[serial]))
+            granule -= len(p)
+        done.setdefault(serial, []).extend(reversed(stamped))
         if flags & LAST:
             ended.add(serial)
         at, pages = stop, pages + 1

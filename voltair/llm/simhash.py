@@ -30,7 +30,9 @@ within the radius that the first round has not joined.
 Defined cases: null or wordless text has fingerprint zero, linked like any other;
 fewer words than a shingle: the whole sequence is the one shingle; null doc_ids are
 members of their component but never name it (a component of null ids alone has a
-null id); repeated rows share everything.
+null id); repeated rows share everything; very long texts are fingerprinted whole;
+empty tables give no rows; other columns, whatever their names, pass through
+`keep_one` and are left out by the others.
 """
 
 from __future__ import annotations
@@ -42,12 +44,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Words, chunks, doc_key, fresh, materialise, mix, shuffle_partitions, slices, texts_of
+from .common import NULL_ID, U64, Words, chunks, doc_key, fresh, materialise, mix, shuffle_partitions, slices, text_tag, texts_of
 
-SHINGLE, RADIUS, CHOOSE, SEED = 4, 4, 2, 42
+SHINGLE, RADIUS, SEED = 4, 4, 42
 #: References for small buckets: fixed pseudo-random fingerprints.
 REFERENCES = mix(np.arange(1, 33, dtype=U64) * U64(0xD6E8FEB86659FD93))
 #: Buckets up to this size compare members with the fixed references.
@@ -122,6 +124,11 @@ def block_choices(radius: int, choose: int, words: int) -> np.ndarray:
     return np.array([[(sum(c) >> (64 * k)) & (2**64 - 1) for k in range(words)] for c in itertools.combinations(blocks, choose)], U64)
 
 
+def blocks_for(rows: int, radius: int, words: int) -> int:
+    """How many blocks to choose, so that their bits keep unrelated rows few in a bucket: two for a million rows, more beyond. Any choice finds every link."""
+    return next((c for c in range(2, 6) if 64 * words * c / (c + radius) >= math.log2(max(rows, 2)) + 1), 6)
+
+
 def bit_samples(radius: int, words: int, rows: int, recall: float = 0.95, seed: int = 11) -> np.ndarray:
     """Masks (tables, words) of sampled bits: enough bits that few of `rows` unrelated rows meet, enough samples that a pair at the radius meets with probability `recall`, and a closer one with a higher."""
     bits = max(16, math.ceil(math.log2(max(rows, 2))) - 2)
@@ -289,10 +296,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # stored, so that no aggregate stands under the join and adaptive execution can split a node of high degree
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = smaller(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(smaller(large), f"{name}-large")
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = materialise(smaller(small), name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).cast("string")).first()
@@ -301,21 +309,28 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         state = now
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, choose: int | None = CHOOSE, seed: int = SEED, words: int = 1) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, sampled: bool = False, seed: int = SEED, words: int = 1) -> DataFrame:
     """(doc_id long, fp long, component_id long) per document of documents(doc_id, text).
 
-    choose: blocks that linked fingerprints are to share; None: sampled bits, for wide radii.
+    sampled: buckets by sampled bits, for wide radii, and not by shared blocks.
     """
     fps = materialise(fingerprints(docs, shingle, seed, words), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.min("wide").alias("wide"))
-    masks = block_choices(radius, choose, words) if choose else bit_samples(radius, words, distinct.count())
+    rows = distinct.count()
+    masks = bit_samples(radius, words, rows) if sampled else block_choices(radius, blocks_for(rows, radius, words), words)
     linked = components(links(distinct, masks, radius))
     # only fingerprints that have links need more than their own smallest document
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("fp", "component_id")
+    named = materialise(with_names(rooted).select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def with_names(rooted: DataFrame) -> DataFrame:
+    """rooted (root, smallest) with component_id, the smallest of its root; the names are stored, so that the join can split a large component."""
+    rooted = materialise(rooted, "rooted")
+    return rooted.join(materialise(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "names"), "root")
+
+
 #: For a similarity of 0.8 of five-word shingles: 256 bits, of which such pairs differ in 39 on average, with a deviation of 6.
 WIDE_WORDS, WIDE_RADIUS, SIMILARITY = 4, 52, 0.8
 
@@ -330,7 +345,7 @@ def set_tags(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, words: int, seed: int = SEED, full: bool = False) -> DataFrame:
-    """(doc_id, node, tag, wide) per document; full: (node, shingles array<long>)."""
+    """(doc_id, text_tag, node, tag, wide) per document; full: (node, shingles array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200 if full else 1000):
@@ -341,10 +356,10 @@ def shingle_sets(docs: DataFrame, shingle: int, words: int, seed: int = SEED, fu
             if full:
                 yield pa.record_batch([node, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
             else:
-                yield pa.record_batch([b["doc_id"], node, pa.array(tag.view(np.int32)), pa.array([w.tobytes() for w in wide], pa.binary())], names=["doc_id", "node", "tag", "wide"])
+                yield pa.record_batch([b["doc_id"], b["text_tag"], node, pa.array(tag.view(np.int32)), pa.array([w.tobytes() for w in wide], pa.binary())], names=["doc_id", "text_tag", "node", "tag", "wide"])
 
-    schema = "node long, shingles array<long>" if full else "doc_id long, node long, tag int, wide binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = "node long, shingles array<long>" if full else "doc_id long, text_tag long, node long, tag int, wide binary"
+    return docs.select(F.col("doc_id").cast("long"), text_tag().alias("text_tag"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def candidates(nodes: DataFrame, masks: np.ndarray, radius: int) -> DataFrame:
@@ -445,7 +460,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 
 
 def alike(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, choose: int | None = None, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id long, node long, component_id long) per document: components of links of at least this similarity. node: one for each shingle set."""
+    """(doc_id long, text_tag long, node long, component_id long) per document: components of links of at least this similarity. node: one for each shingle set."""
     docs_nodes = materialise(shingle_sets(docs, shingle, words), "shingle-nodes")
     nodes = docs_nodes.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("tag").alias("tag"), F.min("wide").alias("wide"))
     masks = block_choices(radius, choose, words) if choose else bit_samples(radius, words, nodes.count())
@@ -462,17 +477,21 @@ def alike(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, choose:
         more = materialise(candidates(again, masks, radius).distinct(), "more")
         strict = components(sure.union(verified(more, docs, nodes, shingle, words, similarity)))
     rooted = nodes.join(strict, "node", "left").select("node", "smallest", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("node", "component_id")
-    return docs_nodes.join(named, "node").select("doc_id", "node", "component_id")
+    named = materialise(with_names(rooted).select("node", "component_id"), "named")
+    return docs_nodes.join(named, "node").select("doc_id", "text_tag", "node", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, choose: int | None = None, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """documents, one of each group of `alike`: the smallest doc_id stays (of rows that share it, the smallest text). Groups of null ids alone keep all rows."""
+    """documents, one of each group of `alike`: the smallest doc_id stays (of different texts that share it, that with the smallest hash; of equal rows, one). Groups of null ids alone keep all rows.
+
+    Ids and hashes of texts decide; texts themselves are shuffled only where a row stands several times.
+    """
     found = alike(docs, shingle, radius, choose, words, similarity)
-    stay = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    did, rank = (fresh(docs.columns, c) for c in ("did", "rank"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    stay = stay.select(F.coalesce("doc_id", F.lit(-(2**63))).alias(did))
-    once = Window.partitionBy(did).orderBy("text")
-    kept = docs.withColumn(did, key).join(stay, did, "left_semi").withColumn(rank, F.row_number().over(once))
-    return kept.where((F.col(rank) == 1) | (F.col(did) == -(2**63))).select(*docs.columns)
+    copies = found.where("doc_id = component_id").groupBy("doc_id", "text_tag").agg(F.count("*").alias("copies"))
+    stay = copies.groupBy("doc_id").agg(F.min(F.struct("text_tag", "copies")).alias("s")).select("doc_id", "s.text_tag", "s.copies")
+    nameless = found.where("component_id IS NULL").select(F.lit(NULL_ID).alias("doc_id"), "text_tag", F.lit(1).cast("long").alias("copies")).distinct()
+    did, tag, n = (fresh(docs.columns, c) for c in ("did", "tag", "copies"))
+    stay = materialise(stay.unionByName(nameless).select(F.col("doc_id").alias(did), F.col("text_tag").alias(tag), F.col("copies").alias(n)), "stay")
+    kept = docs.withColumns({did: doc_key(), tag: text_tag()}).join(stay, [did, tag])
+    once, several = kept.where(F.col(n) == 1), kept.where(F.col(n) > 1).dropDuplicates([did, tag])
+    return once.unionByName(several).select(*docs.columns)

@@ -10,13 +10,15 @@ each: Spark writes and reads them wherever that folder is.
 
 Revisits: of pages with equal payloads (SHA-1 and length) the smallest page_id is
 the response and the others refer to it. Which id that is, is found by a grouped
-minimum that is pre-aggregated, joined back on the digest; a digest that fills the
-corpus is one row on that side, and the join splits the other.
+minimum that is pre-aggregated and stored, for digests that occur more than once, and
+joined back on the digest; a digest that fills the corpus is one row on that side, and
+as no aggregate stands under the join, adaptive execution splits the other side.
 
 Defined cases: null html is an empty payload; a null page_id orders after all
 others, and pages that have no other id are all responses; repeated rows of the
 smallest id are all responses; a null url has no target; line breaks in urls are
-percent-coded.
+percent-coded; a very long page is one record of an archive that ends with it; empty
+tables give no archives; other columns of the pages are left out.
 """
 
 from __future__ import annotations
@@ -127,9 +129,10 @@ def with_first(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, first): the response each page revisits; null for responses."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    smallest = rows.groupBy("digest", "size").agg(F.min("page_id").alias("smallest"))
+    smallest = rows.groupBy("digest", "size").agg(F.min("page_id").alias("smallest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    smallest = materialise(smallest, "warc-firsts")
     other = F.coalesce(F.col("page_id") != F.col("smallest"), F.col("smallest").isNotNull())
-    return rows.join(smallest, ["digest", "size"]).select("page_id", "url", "html", F.when(other, F.col("smallest")).alias("first"))
+    return rows.join(smallest, ["digest", "size"], "left").select("page_id", "url", "html", F.when(other, F.col("smallest")).alias("first"))
 
 
 def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -170,8 +173,20 @@ def normalise(archives: DataFrame) -> DataFrame:
 
 
 def index(normalised: DataFrame) -> DataFrame:
-    """The sidecar index as a table: archive, offset, length, record_id, record_type."""
-    return normalised.select("archive", F.inline("entries"))
+    """The sidecar index, written as a table of its own: archive, offset, length, record_id, record_type."""
+    return materialise(normalised.select("archive", F.inline("entries")), "warc-index")
+
+
+def fetch(normalised: DataFrame, entries: DataFrame) -> DataFrame:
+    """(record_id string, record binary): records at some entries of the index; only their bytes of an archive are handed on and inflated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b["record_id"], pa.array([zlib.decompress(x, GZIP) for x in b["member"].to_pylist()], pa.binary())], names=["record_id", "record"])
+
+    place = F.col("offset").cast("int") + 1, F.col("length").cast("int")  # an archive is far below 2 GB
+    found = normalised.select("archive", "data").join(entries, "archive").select("record_id", F.substring("data", *place).alias("member"))
+    return found.mapInArrow(run, "record_id string, record binary")
 
 
 def read(normalised: DataFrame) -> DataFrame:
