@@ -294,10 +294,14 @@ def ask_grams(buckets: int, order: int) -> Callable[[pa.Table, pa.Table], pa.Tab
             s, _ = Shard.unpack(own["blob"][0].as_py())
             grams = s.grams(order)
             for n, columns, by_bucket, bucket in gram_order(grams, word_replies(words.to_pylist())[0], buckets):
-                columns = [grams[n - 2].seen, *columns]
+                columns = [c[by_bucket] for c in (grams[n - 2].seen, *columns)]
                 width = 4 if max(int(c.max(initial=0)) for c in columns) < 1 << 31 else 8
-                columns = [planes_of(c[by_bucket].astype(f"i{width}")) for c in columns]
-                for b, a, z in runs_of(bucket):
+                runs, leading = list(runs_of(bucket)), columns[1]
+                columns[1] = np.diff(leading, prepend=0)  # ordered within a bucket
+                for _, a, _ in runs:
+                    columns[1][a] = leading[a]
+                columns = [planes_of(c.astype(f"i{width}")) for c in columns]
+                for b, a, z in runs:
                     out.append((shard, b, n, 0, 0, zipped((z - a).to_bytes(4, "little"), bytes([width]), *(np.ascontiguousarray(c[:, a:z]).tobytes() for c in columns))))
         return pa.Table.from_batches([rows_of(out)])
 
@@ -319,6 +323,7 @@ def tell_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, width = int.from_bytes(raw[:4], "little"), raw[4]
             for i in range(n + 1):
                 parts[i].append(from_planes(raw, f"i{width}", k, 5 + width * k * i))
+            parts[1][-1] = np.cumsum(parts[1][-1], dtype=np.int64)
         lengths = [len(c) for c in parts[0]]
         seen, *columns = (np.concatenate(p) for p in parts)
         del parts
@@ -384,6 +389,8 @@ class Automaton:
             state[rooted] = self.root_goal[word[rooted]]
             waiting = waiting[~at_root]
             key = state[waiting] << 32 | word[waiting]
+            by_key = np.argsort(key)  # ordered keys are found side by side
+            waiting, key = waiting[by_key], key[by_key]
             at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
             hit = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
             taken, at = waiting[hit], at[hit]
