@@ -21,6 +21,16 @@ def guarded_log(x: Column) -> Column:
     return F.when(x > LOG_FLOOR, F.ln(x)).otherwise(F.lit(-math.inf))
 
 
+def popcount(x: Column) -> Column:
+    """Bits that are set."""
+    return F.bit_count(x)
+
+
+def numeric_suffix(name: Column) -> Column:
+    """The number a name ends with; null without one."""
+    return F.nullif(F.regexp_extract(name, "([0-9]+)$", 1), F.lit("")).cast("long")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -61,11 +61,12 @@ def refractory(found: DataFrame, group: str, gap: int = 3) -> DataFrame:
 
     def thin(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["x", "t", "ch"])
+        taken: set[int] = set()  # instants within the gap of a kept peak
         kept: list[int] = []
-        times = rows["t"].tolist()
-        for i, t in enumerate(times):
-            if all(abs(t - times[j]) > gap for j in kept):
+        for i, t in enumerate(rows["t"].tolist()):
+            if t not in taken:
                 kept.append(i)
+                taken.update(range(t - gap, t + gap + 1))
         return rows.iloc[kept][names]
 
     return islands.groupBy(*keys).applyInPandas(thin, schema)
@@ -83,14 +84,21 @@ def mean_removed(sig: DataFrame) -> DataFrame:
     return sig.join(F.broadcast(mean), "ch").select("ch", "t", (F.col("x") - F.col("mean")).alias("x"))
 
 
-def line_noise_removed(sig: DataFrame, rate: int, line: int = 50, copies: int = 50) -> DataFrame:
-    """x minus the mean of `copies` samples one line period apart, around the channel's end."""
-    period = rate // line
-    n = sig.groupBy("ch").agg(F.count("*").alias("n"))
-    shift = F.explode(F.sequence(F.lit(1 - copies // 2), F.lit(copies - copies // 2))).alias("k")
-    wanted = sig.join(F.broadcast(n), "ch").select("ch", "t", "n", shift).select("ch", F.col("t"), F.pmod(F.col("t") + F.col("k") * period, F.col("n")).alias("at"))
-    mean = wanted.join(sig.select("ch", F.col("t").alias("at"), F.col("x").alias("y")), ["ch", "at"]).groupBy("ch", "t").agg(F.avg("y").alias("mean"))
-    return sig.join(mean, ["ch", "t"]).select("ch", "t", (F.col("x") - F.col("mean")).alias("x"))
+def line_noise_removed(sig: DataFrame, rate: int, line: int = 50, copies: int = 50, window: int | None = None) -> DataFrame:
+    """x minus the mean of `copies` samples one line period apart, around the end of the channel (window: of each stretch of so many samples by itself).
+
+    Samples one period apart are neighbours in the order of their residue class, so one
+    window function does it; the ends are continued by copies of the other end.
+    """
+    period, low, high = rate // line, copies // 2 - 1, copies - copies // 2
+    cut = sig.select("ch", (F.floor(F.col("t") / window) if window else F.lit(0)).cast("long").alias("_win"), "t", "x")
+    cut = cut.withColumn("_t", F.col("t") - F.col("_win") * (window or 0))
+    n = cut.groupBy("ch", "_win").agg(F.count("*").alias("_n"))
+    turns = F.sequence(F.ceil((-low * period - F.col("_t")) / F.col("_n")), F.floor((F.col("_n") + high * period - 1 - F.col("_t")) / F.col("_n")))
+    wrapped = cut.join(F.broadcast(n) if window is None else n, ["ch", "_win"]).withColumn("_turn", F.explode(turns))
+    at = F.col("_t") + F.col("_turn") * F.col("_n")
+    near = Window.partitionBy("ch", "_win", F.pmod(at, F.lit(period))).orderBy(at).rowsBetween(-low, high)
+    return wrapped.withColumn("_mean", F.avg("x").over(near)).where("_turn = 0").select("ch", "t", (F.col("x") - F.col("_mean")).alias("x"))
 
 
 def positive_artifacts(sig: DataFrame, thresholds: DataFrame) -> DataFrame:
