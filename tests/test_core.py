@@ -45,8 +45,8 @@ def test_other_queries_run(spark, sf, name):
 TEMPLATES, P, PRECISION = np.array([[-2.0, 3.0, 1.0], [1.0, -3.0, 2.0]]), np.array([0.1, 0.2]), 1.3
 
 
-def paths(states, who, log_p, samples):
-    move = {(int(w), i): lp for i in range(len(states)) for w, lp in zip(who[i], log_p[i], strict=True) if lp > -np.inf}
+def paths(states, moves, samples):
+    move = {(int(w), i): lp for i in range(len(states)) for w, lp in zip(moves.who[moves.of(i)], moves.log_p[moves.of(i)], strict=True)}
     for rest in itertools.product(range(len(states)), repeat=samples - 1):
         steps = list(zip((0, *rest), rest))  # noqa: B905
         if all(s in move for s in steps):
@@ -56,12 +56,12 @@ def paths(states, who, log_p, samples):
 @pytest.mark.parametrize("active", [1, 2])
 def test_viterbi_finds_the_best_path(active):
     states = hmm.joint_states(2, 3, active)
-    who, log_p = hmm.predecessors(states, 3, P)
+    moves = hmm.predecessors(states, 3, P)
     means = np.concatenate([np.zeros((2, 1)), TEMPLATES], 1)
     x = np.array([0.1, -2.2, 3.5, -1.9, 2.2])
     score = lambda path: sum(-0.5 * PRECISION * (x[t] - sum(means[r, states[path[t]][r]] for r in range(2))) ** 2 for t in range(1, len(x)))
-    best = max(lp + score(path) for path, lp in paths(states, who, log_p, len(x)))
-    path, got = hmm.viterbi(x, states, who, log_p, TEMPLATES, PRECISION)
+    best = max(lp + score(path) for path, lp in paths(states, moves, len(x)))
+    path, got = hmm.viterbi(x, states, moves, TEMPLATES, PRECISION)
     assert got == pytest.approx(best) and path[0] == 0
     n = 1 + 2 * 3 + (active == 2) * 9
     assert len(states) == n
@@ -69,7 +69,6 @@ def test_viterbi_finds_the_best_path(active):
 
 def test_posterior_matches_enumeration():
     states = hmm.joint_states(2, 3, 1)
-    who, _ = hmm.predecessors(states, 3, P)
     index = {tuple(s): i for i, s in enumerate(states.tolist())}
     flat = [index[0, 0], *(index[k, 0] for k in (1, 2, 3)), *(index[0, k] for k in (1, 2, 3))]
     means = np.concatenate([[0.0], TEMPLATES.ravel()])
@@ -88,6 +87,68 @@ def test_posterior_matches_enumeration():
     np.testing.assert_allclose(hmm.forward_backward(x, TEMPLATES, P, PRECISION), total / total.sum(0), atol=1e-9)
 
 
+def test_moves_are_those_of_the_rings():
+    states = hmm.joint_states(3, 2, 2)
+    moves = hmm.predecessors(states, 2, np.array([0.1, 0.2, 0.3]))
+    p = [0.1, 0.2, 0.3]
+    for i, s in enumerate(states.tolist()):
+        expected = {}
+        for j, b in enumerate(states.tolist()):
+            chance = 1.0
+            for ring in range(3):
+                a, z = b[ring], s[ring]
+                step = (1 - p[ring]) if (a, z) == (0, 0) else p[ring] if (a, z) == (0, 1) else 1.0 if z == a + 1 and a or (a, z) == (2, 0) else 0.0
+                chance *= step
+            if chance:
+                expected[j] = pytest.approx(math.log(chance))
+        assert dict(zip(moves.who[moves.of(i)].tolist(), moves.log_p[moves.of(i)].tolist(), strict=True)) == expected
+
+
+def test_thirty_templates_are_decoded():
+    r = np.random.default_rng(9)
+    templates = r.normal(0, 3, (30, 45))
+    x = r.normal(0, 0.3, 120)
+    for t, k in ((10, 3), (40, 17)):
+        x[t : t + 45] += templates[k]
+    states = hmm.joint_states(30, 45, 2)
+    assert len(states) == 1 + 30 * 45 + 435 * 45**2
+    path, _ = hmm.viterbi(x, states, hmm.predecessors(states, 45, np.full(30, 1e-6)), templates, 1 / 0.09)
+    onsets = np.argwhere(states[path] == 1).tolist()
+    assert onsets == [[10, 3], [40, 17]]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 40])
+def test_chunks_give_the_posterior_of_the_whole(chunk):
+    x = np.random.default_rng(2).normal(0, 2, 40)
+    whole = hmm.forward_backward(x, TEMPLATES, P, PRECISION)
+    np.testing.assert_allclose(hmm.forward_backward(x, TEMPLATES, P, PRECISION, chunk), whole, atol=1e-12)
+
+
+def test_decoding_tables_and_learned_templates(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(0, 0.2, 200)
+    x[50:53] += TEMPLATES[0]
+    sig = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "ch string, t long, x double")
+    found = hmm.decode_session(sig, TEMPLATES, 25.0, p=np.full(2, 0.01), cap=1)
+    stats = found["decode_stats"].first()
+    states = hmm.joint_states(1, 3, 1)
+    _, score = hmm.viterbi(x, states, hmm.predecessors(states, 3, np.array([0.01])), TEMPLATES[:1], 25.0)
+    assert stats.samples == 200 and stats.ll == pytest.approx(score)
+    assert [s.t for s in found["states"].where("state = 1").collect()] == [50] and found["templates"].count() == 1
+    learned = spark.createDataFrame([("a", 7, 0.01, TEMPLATES[0].tolist()), ("b", 8, 0.01, TEMPLATES[1].tolist())], "ch string, template_id long, p double, waveform array<double>")
+    assert [(s.template_id, s.t) for s in hmm.decode_learned(sig, learned, 25.0).where("state = 1").collect()] == [(7, 50)]
+
+
+def test_alignment_by_parts_of_a_sample():
+    t = np.arange(40)
+    wave = lambda s: np.exp(-((t - 20 - s) ** 2) / 18)
+    assert np.abs(hmm.spline(wave(0), 10)[::10] - wave(0)).max() < 1e-12
+    assert np.abs(hmm.aligned(wave(0), wave(3.4)) - wave(0)).max() < 1e-3
+    many, rates = np.stack([wave(0), wave(3.4), -wave(0)]), np.array([0.01, 0.02, 0.03])
+    for merged, rate in (hmm.combine(many, rates, 40.0, 4000, factor=10), hmm.combine_alike(many, rates, 40.0)):
+        assert len(merged) == 2 and rate.sum() == pytest.approx(0.06)
+
+
 def test_decoding_in_patches_finds_planted_spikes(spark):
     r = np.random.default_rng(1)
     x = r.normal(0, 0.2, 600)

@@ -29,14 +29,14 @@ def decode(sig: DataFrame, channels: list[str], templates: np.ndarray, p: np.nda
     where there is only one.
     """
     states = hmm.joint_states(len(templates), templates.shape[-1], min(active, len(templates)))
-    who, log_p = hmm.predecessors(states, templates.shape[-1], p)
+    moves = hmm.predecessors(states, templates.shape[-1], p)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x, t = matrix(rows, channels)
-        path, margin = hmm.path_of(x, states, who, log_p, templates, precision, patch, margins=True)
+        path, margin, _ = hmm.path_of(x, states, moves, templates, precision, patch, margins=True)
         ring = states[path]
         where, template = np.nonzero(ring)
-        return pd.DataFrame({"grp": rows["grp"].iloc[0], "template_id": template, "t": t[where], "state": ring[where, template], "margin": margin[where]})
+        return pd.DataFrame({"grp": rows["grp"].iloc[0], "template_id": template, "t": t[where], "state": ring[where, template].astype(int), "margin": margin[where]})
 
     return sig.groupBy("grp").applyInPandas(run, "grp string, template_id long, t long, state long, margin double")
 
@@ -48,10 +48,13 @@ def sums(sig: DataFrame, channels: list[str], templates: np.ndarray, p: np.ndarr
         x, _ = matrix(rows, channels)
         if not len(x):
             return pd.DataFrame({"kind": [], "i": [], "j": [], "value": []})
-        g = hmm.forward_backward(x, templates, p, precision)
         means = np.concatenate([np.zeros((1, len(channels))), templates.transpose(0, 2, 1).reshape(-1, len(channels))])
-        cross = (g @ x).T @ means
-        parts = {"g": g.sum(1)[:, None], "gx": g @ x, "r": x.T @ x - cross - cross.T + means.T @ (means * g.sum(1)[:, None]), "n": np.array([[len(x)]])}
+        g, gx = np.zeros((len(means), 1)), np.zeros(means.shape)
+        for at, part in hmm.posterior_chunks(x, templates, p, precision):
+            g += part.sum(1)[:, None]
+            gx += part @ x[at : at + part.shape[1]]
+        cross = gx.T @ means
+        parts = {"g": g, "gx": gx, "r": x.T @ x - cross - cross.T + means.T @ (means * g), "n": np.array([[len(x)]])}
         return pd.concat([pd.DataFrame({"kind": k, "i": np.repeat(np.arange(m.shape[0]), m.shape[1]), "j": np.tile(np.arange(m.shape[1]), m.shape[0]), "value": m.ravel().astype(float)}) for k, m in parts.items()])
 
     partial = sig.groupBy("grp").applyInPandas(run, "kind string, i long, j long, value double")

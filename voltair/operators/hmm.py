@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,35 +36,68 @@ def misfit(x: np.ndarray, means: np.ndarray, precision: float | np.ndarray) -> n
     return 0.5 * (((x @ c) * x).sum(1)[None, :] - 2 * weighted @ x.T + (weighted * means).sum(1)[:, None])
 
 
-def forward_backward(x: np.ndarray, templates: np.ndarray, p: np.ndarray, precision: float | np.ndarray) -> np.ndarray:
-    """Posterior (states, samples) of one recording. templates: (rings[, channels], length), the silent sample not among them."""
+def posterior_chunks(x: np.ndarray, templates: np.ndarray, p: np.ndarray, precision: float | np.ndarray, chunk: int = 50_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(first sample, posterior (states, samples)) of each chunk of a recording, the last chunk first.
+
+    One pass forward keeps the column before each chunk only; then each chunk is passed
+    forward again from that column, and backward from the column that the chunk after it
+    hands over. So a recording of any length takes the memory of a chunk, and the result
+    is that of the whole.
+    """
     t = by_channel(templates)
     n, channels, length = t.shape
     means = np.concatenate([np.zeros((1, channels)), t.transpose(0, 2, 1).reshape(-1, channels)])
     first, last = 1 + np.arange(n) * length, (1 + np.arange(n)) * length
-    emit = np.exp(-misfit(x, means, precision)) + TINY
-    emit /= emit.sum(0)
-    f = np.zeros_like(emit)
-    f[0, 0] = 1.0  # starts silent
-    for t in range(1, len(x)):
-        prev = f[:, t - 1]
-        f[1:, t] = prev[:-1]
-        f[first, t] = prev[0] * p
-        f[0, t] = prev[0] * (1 - p.sum()) + prev[last].sum()
-        f[:, t] *= emit[:, t]
-        f[:, t] /= f[:, t].sum()
-    b = np.ones(len(means))
-    g = f
-    for t in range(len(x) - 2, -1, -1):
-        e = b * emit[:, t + 1]
-        new = np.zeros_like(e)
-        new[:-1] = e[1:]
-        new[last] = e[0]
-        new[0] = e[0] * (1 - p.sum()) + (p * e[first]).sum()
-        b = new / new.sum()
-        g[:, t] *= b
-        g[:, t] /= g[:, t].sum()
-    return g
+
+    def emission(a: int, z: int) -> np.ndarray:
+        e = np.exp(-misfit(x[a:z], means, precision)) + TINY
+        return e / e.sum(0)
+
+    def forward(column: np.ndarray, e: np.ndarray) -> Iterator[np.ndarray]:
+        for k in range(e.shape[1]):
+            new = np.empty_like(column)
+            new[1:] = column[:-1]
+            new[first] = column[0] * p
+            new[0] = column[0] * (1 - p.sum()) + column[last].sum()
+            new *= e[:, k]
+            column = new / new.sum()
+            yield column
+
+    silent = np.zeros(len(means))
+    silent[0] = 1.0  # it starts silent, and the first sample isn't scored
+    starts, before, column = list(range(0, len(x), chunk)), [], silent
+    for a in starts:
+        before.append(column)
+        if a == starts[-1]:
+            break
+        for column in forward(column, emission(a, a + chunk)[:, a == 0 :]):  # noqa: B007
+            pass
+    b, after = np.ones(len(means)), None  # after: emission of the sample behind the chunk
+    for a, column in zip(reversed(starts), reversed(before), strict=True):
+        e = emission(a, min(a + chunk, len(x)))
+        g = np.empty_like(e)
+        if a == 0:
+            g[:, 0] = silent
+        for k, c in enumerate(forward(column, e[:, a == 0 :]), int(a == 0)):
+            g[:, k] = c
+        for k in range(e.shape[1] - 1, -1, -1):
+            if after is not None:
+                ahead = b * after
+                new = np.zeros_like(b)
+                new[:-1] = ahead[1:]
+                new[last] = ahead[0]
+                new[0] = ahead[0] * (1 - p.sum()) + (p * ahead[first]).sum()
+                b = new / new.sum()
+            g[:, k] *= b
+            g[:, k] /= g[:, k].sum()
+            after = e[:, k]
+        yield a, g
+
+
+def forward_backward(x: np.ndarray, templates: np.ndarray, p: np.ndarray, precision: float | np.ndarray, chunk: int = 50_000) -> np.ndarray:
+    """Posterior (states, samples) of one recording. templates: (rings[, channels], length), the silent sample not among them."""
+    found = [g for _, g in posterior_chunks(x, templates, p, precision, chunk)]
+    return np.concatenate(found[::-1], 1) if found else np.zeros((1 + by_channel(templates)[:, 0].size, 0))
 
 
 def posterior_sums(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float) -> DataFrame:
@@ -71,8 +105,11 @@ def posterior_sums(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precisi
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("t")["x"].to_numpy(float)
-        g = forward_backward(x, templates, p, precision)
-        return pd.DataFrame({"state": np.arange(len(g)), "g": g.sum(1), "gx": g @ x, "gxx": g @ (x * x), "samples": len(x)})
+        total = np.zeros((3, 1 + templates.size))
+        for a, g in posterior_chunks(x, templates, p, precision):
+            y = x[a : a + g.shape[1]]
+            total += np.stack([g.sum(1), g @ y, g @ (y * y)])
+        return pd.DataFrame({"state": np.arange(total.shape[1]), "g": total[0], "gx": total[1], "gxx": total[2], "samples": len(x)})
 
     partial = sig.groupBy("ch").applyInPandas(run, "state long, g double, gx double, gxx double, samples long")
     return partial.groupBy("state").agg(*[F.sum(c).alias(c) for c in ("g", "gx", "gxx", "samples")])
@@ -90,10 +127,11 @@ def split_sparse(templates: np.ndarray, p: np.ndarray, precision: float, below:
     return templates, p
 
 
-def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3, seed: int = 1234, update_p: bool = False, start: float = 1e-8, known: tuple[np.ndarray, np.ndarray, float] | None = None, split_below: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3, seed: int = 1234, update_p: bool = False, start: float = 1e-8, known: tuple[np.ndarray, np.ndarray, float] | None = None, split_below: float | None = None, shift: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
     """(templates, p, precision) by expectation maximisation. Only sums by state, a fixed number, come to the driver.
 
-    known: a set to go on from; split_below: the rate under which a template is replaced after an iteration.
+    known: a set to go on from; split_below: the rate under which a template is replaced after an iteration;
+    shift: move each template by one state in the end. Where sums overflow or vanish, the iteration is done again with a precision 200 times smaller.
     """
     r = np.random.default_rng(seed)
     if known is not None:
@@ -106,6 +144,11 @@ def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3,
     p = p0
     for _ in range(iterations):
         s = posterior_sums(sig, templates, p if update_p else p0, precision).toPandas().sort_values("state")
+        for _ in range(3):
+            if np.isfinite(s["g"]).all():
+                break
+            precision /= 200
+            s = posterior_sums(sig, templates, p if update_p else p0, precision).toPandas().sort_values("state")
         g, gx, gxx, samples = (s[c].to_numpy(float) for c in ("g", "gx", "gxx", "samples"))
         mean = gx / np.maximum(g, 1e-300)
         mean[0] = 0.0
@@ -115,12 +158,55 @@ def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3,
         precision = 1 / residual if residual > 0 else precision
         if split_below is not None:
             templates, p = split_sparse(templates, p, precision, split_below, r)
-    return templates, p, precision
+    return np.roll(templates, 1, 1) if shift else templates, p, precision
+
+
+def learn_until_stable(sig: DataFrame, iterations: int = 6, rounds: int = 10, settled: float = 0.01, alpha: float = 0.001, **options) -> tuple[np.ndarray, np.ndarray, float]:
+    """learn, then merge templates and learn again from what is left, until none merge or the rates change by less than `settled` of themselves."""
+    model = learn(sig, iterations=iterations, **options)
+    samples = sig.count()
+    for _ in range(rounds):
+        templates, p = combine(*model, samples, alpha)
+        if len(templates) == len(model[0]):
+            break
+        again = learn(sig, iterations=iterations, known=(templates, p, model[2]))
+        still = np.abs(again[1] - p).max() < settled * p.max()
+        model = again
+        if still:
+            break
+    return model
+
+
+def spline(x: np.ndarray, factor: int) -> np.ndarray:
+    """x at `factor` times the rate through a natural cubic spline; it ends at the last sample."""
+    n = len(x)
+    if n < 3 or factor == 1:
+        return np.interp(np.arange((n - 1) * factor + 1) / factor, np.arange(n), x) if n else x
+    system = 4 * np.eye(n - 2) + np.eye(n - 2, k=1) + np.eye(n - 2, k=-1)
+    bend = np.concatenate([[0], np.linalg.solve(system, 6 * (x[2:] - 2 * x[1:-1] + x[:-2])), [0]])
+    at = np.arange((n - 1) * factor + 1)
+    i = np.minimum(at // factor, n - 2)
+    u = at / factor - i
+    w = 1 - u
+    return w * x[i] + u * x[i + 1] + ((w**3 - w) * bend[i] + (u**3 - u) * bend[i + 1]) / 6
+
 
+def aligned(template: np.ndarray, other: np.ndarray, factor: int = 10) -> np.ndarray:
+    """`other`, moved in a circle by parts of a sample until it lies closest to `template`."""
+    length = len(template)
+    fine = spline(np.append(other, other[0]), factor)[:-1]
+    moved = np.stack([np.roll(fine, s)[::factor] for s in range(length * factor)])
+    return moved[((moved - template) ** 2).sum(1).argmin()]
 
-def combine(templates: np.ndarray, p: np.ndarray, precision: float, samples: int, alpha: float = 0.001, max_p: float = 12.0) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the closest pair of templates, at its best circular alignment, while a chi-square test can't tell them apart."""
+
+def combine(templates: np.ndarray, p: np.ndarray, precision: float, samples: int, alpha: float = 0.001, max_p: float = 12.0, factor: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the closest pair of templates, at its best circular alignment, while a chi-square test can't tell them apart.
+
+    factor: above 1, all are first aligned to the first one by parts of a sample.
+    """
     templates, p = templates.copy(), p.copy()
+    if factor > 1 and len(templates):
+        templates[1:] = [aligned(templates[0], t, factor) for t in templates[1:]]
     while len(templates) > 1:
         best = None
         for i, j in itertools.combinations(range(len(templates)), 2):
@@ -139,84 +225,127 @@ def combine(templates: np.ndarray, p: np.ndarray, precision: float, samples: int
     return templates, p
 
 
+def combine_alike(templates: np.ndarray, p: np.ndarray, precision: float, alpha: float = 0.05, factor: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """The other rule of merging: from the most frequent template on, each takes all that a chi-square test can't tell from it after alignment; the mean is weighted by rate."""
+    left, out, rates = list(np.argsort(-p, kind="stable")), [], []
+    while left:
+        i = left[0]
+        moved = {j: aligned(templates[i], templates[j], factor) if j != i else templates[i] for j in left}
+        same = [j for j in left if j == i or chi2_tail(precision * ((moved[j] - templates[i]) ** 2).sum(), templates.shape[1]) > alpha]
+        rate = p[same].sum()
+        out.append(sum(p[j] * moved[j] for j in same) / max(rate, 1e-300))
+        rates.append(rate)
+        left = [j for j in left if j not in same]
+    return np.array(out), np.array(rates)
+
+
 def joint_states(rings: int, length: int, active: int) -> np.ndarray:
     """(states, rings): ring positions, 0 silent, with at most `active` rings running at once."""
-    rows = [np.zeros(rings, np.int64)]
+    parts = [np.zeros((1, rings), np.int16)]
     for k in range(1, active + 1):
+        where = np.stack(np.meshgrid(*[np.arange(1, length + 1)] * k, indexing="ij"), -1).reshape(-1, k)
         for who in itertools.combinations(range(rings), k):
-            for where in itertools.product(range(1, length + 1), repeat=k):
-                row = np.zeros(rings, np.int64)
-                row[list(who)] = where
-                rows.append(row)
-    return np.array(rows)
-
-
-def predecessors(states: np.ndarray, length: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(states, most) predecessors and log probabilities; unused places have -inf."""
-    index = {tuple(s): i for i, s in enumerate(states.tolist())}
-    found = []
-    for s in states.tolist():
-        options = []
-        for ring, v in enumerate(s):
-            if v == 0:
-                options.append([(0, np.log1p(-p[ring])), (length, 0.0)])
-            elif v == 1:
-                options.append([(0, np.log(p[ring]))])
-            else:
-                options.append([(v - 1, 0.0)])
-        found.append([(index[key], sum(lp for _, lp in c)) for c in itertools.product(*options) if (key := tuple(v for v, _ in c)) in index])
-    most = max(map(len, found))
-    who, log_p = np.zeros((len(states), most), np.int64), np.full((len(states), most), -np.inf)
-    for i, f in enumerate(found):
-        for j, (k, lp) in enumerate(f):
-            who[i, j], log_p[i, j] = k, lp
-    return who, log_p
-
-
-def columns(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarray, templates: np.ndarray, precision: float | np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """From the second sample on: (t, ways into each state, the best of them, score). It starts in silence; overlapping waveforms add up."""
+            rows = np.zeros((len(where), rings), np.int16)
+            rows[:, who] = where
+            parts.append(rows)
+    return np.concatenate(parts)
+
+
+@dataclass
+class Moves:
+    """Ways into each state: those of state i are `who` and `log_p` from at[i] to at[i + 1]. Most states have one; `many` lists the others."""
+
+    who: np.ndarray
+    log_p: np.ndarray
+    at: np.ndarray
+    many: np.ndarray
+
+    def of(self, state: int) -> slice:
+        return slice(self.at[state], self.at[state + 1])
+
+
+def predecessors(states: np.ndarray, length: int, p: np.ndarray) -> Moves:
+    """Running rings come from the sample before; of the silent ones, as many as the limit of running rings leaves room for may just have ended."""
+    active = int((states > 0).sum(1).max())
+    names = [s[s > 0].tobytes() + np.flatnonzero(s).astype(np.int16).tobytes() for s in states]
+    index = {name: i for i, name in enumerate(names)}
+    log_on, log_off = np.log(p), np.log1p(-p)
+    stay = log_off.sum()
+    who, log_p, at = [], [], [0]
+    for s in states:
+        running = np.flatnonzero(s)
+        before = s[running] - 1
+        base = stay - log_off[running].sum() + log_on[running[before == 0]].sum()
+        held = {int(r): int(v) for r, v in zip(running, before, strict=True) if v}
+        silent = [r for r in range(len(s)) if not s[r]]
+        for k in range(min(active - len(held), len(silent)) + 1):
+            for ended in itertools.combinations(silent, k):
+                rings = sorted({**held, **dict.fromkeys(ended, length)}.items())
+                name = np.array([v for _, v in rings], np.int16).tobytes() + np.array([r for r, _ in rings], np.int16).tobytes()
+                if name in index:
+                    who.append(index[name])
+                    log_p.append(base - sum(log_off[r] for r in ended))
+        at.append(len(who))
+    at = np.array(at, np.int64)
+    return Moves(np.array(who, np.int64), np.array(log_p), at, np.flatnonzero(np.diff(at) > 1))
+
+
+def columns(x: np.ndarray, states: np.ndarray, moves: Moves, templates: np.ndarray, precision: float | np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the second sample on: (t, scores of all ways, the best way into each state, score of each state). It starts in silence; overlapping waveforms add up."""
     t = by_channel(templates)
     padded = np.concatenate([np.zeros((*t.shape[:2], 1)), t], 2)
-    means = padded[np.arange(len(t))[None, :], :, states].sum(1)
+    means = sum(padded[r, :, states[:, r]] for r in range(len(t)))
     score = np.full(len(states), -np.inf)
     score[0] = 0.0
-    row = np.arange(len(states))
+    single = moves.at[:-1].copy()
+    some = np.concatenate([np.arange(moves.at[i], moves.at[i + 1]) for i in moves.many]) if len(moves.many) else np.zeros(0, np.int64)
+    size = np.diff(moves.at)[moves.many]
+    first = np.cumsum(size) - size
     for at in range(1, len(x)):
-        options = score[who] + log_p
-        pick = options.argmax(1)
-        score = options[row, pick] - misfit(x[at : at + 1], means, precision)[:, 0]
+        options = score[moves.who] + moves.log_p
+        pick = single.copy()
+        if len(some):  # the first of the best ways
+            ways = options[some]
+            best = np.repeat(np.maximum.reduceat(ways, first), size)
+            pick[moves.many] = some[np.minimum.reduceat(np.where(ways == best, np.arange(len(ways)), len(ways)), first)]
+        score = options[pick] - misfit(x[at : at + 1], means, precision)[:, 0]
         yield at, options, pick, score
 
 
-def viterbi(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarray, templates: np.ndarray, precision: float | np.ndarray) -> tuple[np.ndarray, float]:
-    """Best path (indices of joint states) and its score; the first sample isn't scored."""
-    back = np.zeros((len(x), len(states)), np.int16 if len(states) < 2**15 else np.int32)
-    row, score = np.arange(len(states)), np.where(np.arange(len(states)) == 0, 0.0, -np.inf)
-    for t, _, pick, score in columns(x, states, who, log_p, templates, precision):  # noqa: B007
-        back[t] = who[row, pick]
+def viterbi(x: np.ndarray, states: np.ndarray, moves: Moves, templates: np.ndarray, precision: float | np.ndarray) -> tuple[np.ndarray, float]:
+    """Best path (indices of joint states) and its score; the first sample isn't scored. Ways are kept for states that have several."""
+    back = np.zeros((len(x), len(moves.many)), np.int32)
+    place = np.full(len(states), -1)
+    place[moves.many] = np.arange(len(moves.many))
+    only = moves.who[np.minimum(moves.at[:-1], len(moves.who) - 1)]
+    score = np.where(np.arange(len(states)) == 0, 0.0, -np.inf)
+    for t, _, pick, score in columns(x, states, moves, templates, precision):  # noqa: B007
+        back[t] = moves.who[pick[moves.many]]
     path = np.empty(len(x), np.int64)
     path[-1] = int(score.argmax())
     for t in range(len(x) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+        path[t - 1] = only[path[t]] if place[path[t]] < 0 else back[t, place[path[t]]]
     return path, float(score.max())
 
 
-def path_margins(x: np.ndarray, path: np.ndarray, *model) -> np.ndarray:
+def path_margins(x: np.ndarray, path: np.ndarray, states: np.ndarray, moves: Moves, *model) -> np.ndarray:
     """How much better the way taken into each state of the path was than the second best; infinite without another."""
     out = np.full(len(x), np.inf)
-    for t, options, pick, _ in columns(x, *model):
-        ways, taken = options[path[t]], pick[path[t]]
+    for t, options, pick, _ in columns(x, states, moves, *model):
+        here = moves.of(path[t])
+        ways, taken = options[here], pick[path[t]] - here.start
         if len(ways) > 1:
             out[t] = ways[taken] - np.delete(ways, taken).max()
     return out
 
 
-def path_of(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarray, templates: np.ndarray, precision: float | np.ndarray, patch: int, margins: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Best path, in patches that restart at the last silent sample of the one before, and its margins (on request)."""
-    model = (states, who, log_p, templates, precision)
-    path, margin, at = np.zeros(len(x), np.int64), np.full(len(x), np.inf), 0
+def path_of(x: np.ndarray, states: np.ndarray, moves: Moves, templates: np.ndarray, precision: float | np.ndarray, patch: int, margins: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """Best path, in patches that restart at the last silent sample of the one before, its margins (on request), and the sum of the patches' scores (stretches of two patches count twice)."""
+    model = (states, moves, templates, precision)
+    path, margin, at, total = np.zeros(len(x), np.int64), np.full(len(x), np.inf), 0, 0.0
     while at < len(x):
-        part, _ = viterbi(x[at : at + patch], *model)
+        part, score = viterbi(x[at : at + patch], *model)
+        total += score
         path[at : at + len(part)] = part
         if margins:
             margin[at : at + len(part)] = path_margins(x[at : at + patch], part, *model)
@@ -224,23 +353,67 @@ def path_of(x: np.ndarray, states: np.ndarray, who: np.ndarray, log_p: np.ndarra
             break
         silent = np.flatnonzero(part[1:] == 0)
         at += int(silent[-1]) + 1 if len(silent) else len(part)
-    return path, margin
+    return path, margin, total
 
 
 def decode(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, active: int = 2, patch: int = 20_000) -> DataFrame:
     """(ch, template_id, t, state), states above 0 only, of each channel by itself."""
+    return decode_with_score(sig, templates, p, precision, active, patch).where("template_id >= 0").drop("ll")
+
+
+def decode_with_score(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, active: int = 2, patch: int = 20_000) -> DataFrame:
+    """As decode, with one row more a channel, of template -1: its log-likelihood `ll`."""
     states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
-    who, log_p = predecessors(states, templates.shape[1], p)
+    moves = predecessors(states, templates.shape[1], p)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         x, t = rows["x"].to_numpy(float), rows["t"].to_numpy()
-        path, _ = path_of(x, states, who, log_p, templates, precision, patch)
+        path, _, score = path_of(x, states, moves, templates, precision, patch)
         ring = states[path]
         where, template = np.nonzero(ring)
-        return pd.DataFrame({"ch": rows["ch"].iloc[0], "template_id": template, "t": t[where], "state": ring[where, template]})
+        found = pd.DataFrame({"ch": rows["ch"].iloc[0], "template_id": template, "t": t[where], "state": ring[where, template].astype(int), "ll": np.nan})
+        return pd.concat([found, pd.DataFrame({"ch": [rows["ch"].iloc[0]], "template_id": [-1], "t": [len(x)], "state": [0], "ll": [score]})])
 
-    return sig.groupBy("ch").applyInPandas(run, "ch string, template_id long, t long, state long")
+    return sig.groupBy("ch").applyInPandas(run, "ch string, template_id long, t long, state long, ll double")
+
+
+#: Templates decoded together, at most.
+MAX_TEMPLATES = 30
+
+
+def decode_session(sig: DataFrame, templates: np.ndarray, precision: float, p: np.ndarray | None = None, cap: int = MAX_TEMPLATES, prepend: bool = False, active: int = 2, patch: int = 20_000) -> dict[str, DataFrame]:
+    """The tables of a decoding: states, templates and decode_stats (ch, samples, ll).
+
+    p: rates; none: 2 to the power of minus three halves of the length, for each. cap: templates
+    beyond it are left out. prepend: a silent sample before each template.
+    """
+    templates = templates[:cap]
+    templates = np.pad(templates, ((0, 0), (1, 0))) if prepend else templates
+    p = np.full(len(templates), 2.0 ** (-1.5 * templates.shape[1])) if p is None else p[:cap]
+    found = decode_with_score(sig, templates, p, precision, active, patch)
+    rows = [(i, float(p[i]), [float(v) for v in t]) for i, t in enumerate(templates)]
+    return {
+        "states": found.where("template_id >= 0").drop("ll"),
+        "templates": sig.sparkSession.createDataFrame(rows, "template_id long, p double, waveform array<double>"),
+        "decode_stats": found.where("template_id < 0").select("ch", F.col("t").alias("samples"), "ll"),
+    }
+
+
+def decode_learned(sig: DataFrame, learned: DataFrame, precision: float, active: int = 2, patch: int = 20_000) -> DataFrame:
+    """(ch, template_id, t, state): each channel with its own templates, from learned (ch, template_id, p, waveform)."""
+
+    def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(own):
+            return pd.DataFrame({"ch": np.array([], object), **{c: np.array([], np.int64) for c in ("template_id", "t", "state")}})
+        own, rows = own.sort_values("template_id"), rows.sort_values("t")
+        templates, p = np.array(own["waveform"].tolist()), own["p"].to_numpy(float)
+        states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
+        path, _, _ = path_of(rows["x"].to_numpy(float), states, predecessors(states, templates.shape[1], p), templates, precision, patch)
+        where, which = np.nonzero(states[path])
+        return pd.DataFrame({"ch": np.full(len(where), rows["ch"].iloc[0], object), "template_id": own["template_id"].to_numpy()[which], "t": rows["t"].to_numpy()[where], "state": states[path][where, which].astype(int)})
+
+    return sig.groupBy("ch").cogroup(learned.groupBy("ch")).applyInPandas(run, "ch string, template_id long, t long, state long")
 
 
 def decoded_spikes(states: DataFrame, templates: np.ndarray, align: str = "trough") -> DataFrame:

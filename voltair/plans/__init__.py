@@ -291,4 +291,4 @@ def highpass(s, d):
     return signals.highpass(v.sig(s, d))
 
 
-from . import selection, sessions  # noqa: E402, F401  (register their queries here)
+from . import recorded, selection, sessions  # noqa: E402, F401  (register their queries here)

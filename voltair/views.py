@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import micros
 
+#: Microseconds.
+DAY = 86_400_000_000
 #: The same views for DuckDB.
 SQL = {
     "sig": "sig AS (SELECT event_type AS ch, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, -value AS x FROM events)",
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ch, t, x): one channel an event type."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("ch"), (F.row_number().over(order) - 1).cast("long").alias("t"), (-F.col("value")).alias("x"))
+    """(ch, t, x): one channel an event type, numbered by days, so that no task holds a channel."""
+    from .operators.sessions import numbered
+
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("ch"), "ts", "event_id", (-F.col("value")).alias("x"))
+    return numbered(events, "ch", micros(F.col("ts")), ["event_id"], DAY).select("ch", "t", "x")
 
 
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
