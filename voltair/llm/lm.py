@@ -310,7 +310,7 @@ def ask_grams(buckets: int, order: int) -> Callable[[pa.Table, pa.Table], pa.Tab
 
 def planes_of(x: np.ndarray) -> np.ndarray:
     """(bytes, rows): the bytes of numbers."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
 
 
 def tell_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,7 +176,7 @@ def ordered(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def planes(x: np.ndarray) -> bytes:
     """The bytes of numbers, all first bytes first, so that small numbers compress."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
 def from_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
