@@ -318,7 +318,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, sample
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.min("wide").alias("wide"))
     rows = distinct.count()
     masks = bit_samples(radius, words, rows) if sampled else block_choices(radius, blocks_for(rows, radius, words), words)
-    linked = components(links(distinct, masks, radius))
+    linked = components(thinned(links(distinct, masks, radius), "links"))
     # only fingerprints that have links need more than their own smallest document
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     named = materialise(with_names(rooted).select("fp", "component_id"), "named")
@@ -415,6 +415,18 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int) -> DataFrame:
     return dealt.repartition(parts, "bucket").mapInArrow(run, "a long, b long")
 
 
+def thinned(edges: DataFrame, name: str) -> DataFrame:
+    """A spanning forest of edges (a, b) that many tasks found alike: they are stored, and each task that reads a stretch of them again keeps a forest of that stretch. So a group keeps a forest for each stretch and not for each task that met it; a stretch is bounded by the size of a file split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: dict[int, int] = {}
+        for b in batches:
+            keep = [joined(forest, i, j) for i, j in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return materialise(edges, f"{name}-found").mapInArrow(run, "a long, b long").distinct()
+
+
 def joined(up: dict[int, int], i: int, j: int) -> bool:
     """Join i and j in a forest that grows; whether they were apart."""
     roots = []
@@ -464,7 +476,7 @@ def alike(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, choose:
     docs_nodes = materialise(shingle_sets(docs, shingle, words), "shingle-nodes")
     nodes = docs_nodes.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("tag").alias("tag"), F.min("wide").alias("wide"))
     masks = block_choices(radius, choose, words) if choose else bit_samples(radius, words, nodes.count())
-    loose = materialise(candidates(nodes, masks, radius).distinct(), "loose")
+    loose = materialise(thinned(candidates(nodes, masks, radius), "loose"), "loose")
     sure = materialise(verified(loose, docs, nodes, shingle, words, similarity), "sure")
     strict = components(sure)
     # components of the forest that fell apart, of more than one pair
