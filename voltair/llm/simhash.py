@@ -23,9 +23,10 @@
 Where links need a similarity (`alike`, the pipeline's stage), every link is checked by
 the exact Jaccard similarity of the shingle sets, in two rounds. The first checks the
 buckets' forests, which joins most of a group of copies of any size. A forest leaves
-links out, so a link that fails there may have stood for others; in the second round
-the fingerprints whose forest did not hold meet again, and buckets send all pairs
-within the radius that the first round has not joined.
+links out, so a link that fails there may have stood for others. In the second round
+the members of a component whose forest did not hold are dealt to blocks, their sets
+meet block by block, all members of two blocks are compared exactly where they meet,
+and only a forest of the links found is sent on: never a pair a row.
 
 Defined cases: null or wordless text has fingerprint zero, linked like any other;
 fewer words than a shingle: the whole sequence is the one shingle; null doc_ids are
@@ -363,13 +364,13 @@ def shingle_sets(docs: DataFrame, shingle: int, words: int, seed: int = SEED, fu
 
 
 def candidates(nodes: DataFrame, masks: np.ndarray, radius: int) -> DataFrame:
-    """(a long, b long): pairs within the radius, from nodes (tag int, wide binary); with a column `label long`, all pairs of different labels, else a spanning forest of each bucket.
+    """(a long, b long): a spanning forest of the pairs within the radius in each bucket, from nodes (tag int, wide binary).
 
     As links, but a row travels without its key and name, which are computed again.
     """
     parts = shuffle_partitions(nodes.sparkSession)
-    words, every = masks.shape[1], "label" in nodes.columns
-    row = np.dtype([("table", "u2"), ("tag", "u4"), ("wide", "u8", (words,)), *([("label", "i8")] if every else [])])
+    words = masks.shape[1]
+    row = np.dtype([("table", "u2"), ("tag", "u4"), ("wide", "u8", (words,))])
     tables = np.arange(len(masks)).astype(U64)
 
     def keys(rows: np.ndarray) -> np.ndarray:
@@ -381,8 +382,6 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int) -> DataFrame:
             out["table"] = np.arange(len(masks))[:, None]
             out["tag"] = b["tag"].to_numpy().view(np.uint32)
             out["wide"] = np.frombuffer(b"".join(b["wide"].to_pylist()), U64).reshape(-1, words)
-            if every:
-                out["label"] = b["label"].to_numpy()
             out = out.ravel()
             bucket = ((keys(out) >> U64(32)) * U64(4 * parts) >> U64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -402,16 +401,12 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int) -> DataFrame:
             order = np.argsort(key, kind="stable")
             rows, key = rows[order], key[order]
             node = set_nodes(rows["wide"], rows["tag"])
-            if every:
-                for pairs in differing(key, node, rows["wide"], rows["label"], radius):
-                    yield pa.record_batch([pa.array(pairs[:, k].view(np.int64)) for k in (0, 1)], names=["a", "b"])
-                continue
             named = np.empty(len(rows), np.dtype([("key", "u8"), ("node", "u8"), ("wide", "u8", (words,))]))
             named["key"], named["node"], named["wide"] = key, node, rows["wide"]
             pairs = np.array([p for p in bucket_links(named, radius).tolist() if joined(forest, *p)], U64).reshape(-1, 2)
             yield pa.record_batch([pa.array(pairs[:, k].view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
-    dealt = nodes.select("tag", "wide", *(["label"] if every else [])).mapInArrow(deal, "bucket int, blob binary")
+    dealt = nodes.select("tag", "wide").mapInArrow(deal, "bucket int, blob binary")
     return dealt.repartition(parts, "bucket").mapInArrow(run, "a long, b long")
 
 
@@ -438,34 +433,55 @@ def joined(up: dict[int, int], i: int, j: int) -> bool:
     return roots[0] != roots[1]
 
 
-def differing(key: np.ndarray, node: np.ndarray, wide: np.ndarray, label: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """All pairs of nodes within the radius that share a key and differ in label, among rows ordered by key."""
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
-    found, held = [], 0
-    for s, e in itertools.pairwise(edges):
-        if e - s < 2 or (label[s:e] == label[s]).all():
-            continue
-        for i in range(s, e - 1):
-            j = np.flatnonzero(label[i + 1 : e] != label[i]) + i + 1
-            j = j[distance(wide[j], wide[i]) <= radius]
-            if len(j):
-                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-                held += len(j)
-        if held > 1 << 16:
-            yield np.unique(np.concatenate(found), axis=0)
-            found, held = [], 0
-    if found:
-        yield np.unique(np.concatenate(found), axis=0)
+def sets_of(ends: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(node, shingles) of the nodes in ends (node); nodes: (node, smallest), one document of each set."""
+    did = fresh(docs.columns, "did")
+    wanted = nodes.join(ends, "node", "left_semi").select(F.coalesce("smallest", F.lit(NULL_ID)).alias(did)).distinct()
+    texts = docs.withColumn(did, doc_key()).join(wanted, did, "left_semi")
+    sets = shingle_sets(texts, shingle, words, full=True).join(ends, "node", "left_semi").dropDuplicates(["node"])
+    return materialise(sets, "shingle-sets")
+
+
+#: Members of a block of the second round.
+BLOCK = 128
+
+
+def linked_in_blocks(members: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """(a, b): links of at least this similarity that join members (node, within, label) of one component `within` and different labels."""
+    blocks = members.groupBy("within").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "within").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.select("node", "within", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    sets = sets_of(members.select("node"), docs, nodes, shingle, words)
+
+    def run(rows: pa.Table) -> pa.Table:
+        lists = rows["shingles"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        some = np.flatnonzero(size)  # an empty set is like no other
+        node, label = rows["node"].to_numpy()[some], rows["label"].to_numpy()[some]
+        _, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        size = size[some]
+        first = np.cumsum(size) - size
+        mark = np.zeros(len(ids) + 1, bool)
+        forest: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+        for i in range(len(node) - 1):
+            mine = ids[first[i] : first[i] + size[i]]
+            mark[mine] = True
+            same = np.add.reduceat(mark[ids[first[i + 1] :]].astype(np.int64), first[i + 1 :] - first[i + 1])
+            mark[mine] = False
+            other = size[i + 1 :]
+            near = (same >= similarity * (size[i] + other - same) - 1e-9) & (label[i + 1 :] != label[i])
+            found += [(int(node[i]), int(node[j])) for j in (np.flatnonzero(near) + i + 1).tolist() if joined(forest, int(label[i]), int(label[j]))]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return meet.join(sets, "node").groupBy("within", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least this Jaccard similarity. nodes: (node, smallest), one document of each set."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    did = fresh(docs.columns, "did")
-    wanted = nodes.join(ends, "node", "left_semi").select(F.coalesce("smallest", F.lit(NULL_ID)).alias(did)).distinct()
-    texts = docs.withColumn(did, doc_key()).join(wanted, did, "left_semi")
-    sets = shingle_sets(texts, shingle, words, full=True).join(ends, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(sets, "shingle-sets")
+    sets = sets_of(ends, docs, nodes, shingle, words)
     a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"), (F.size("sa") + F.size("sb")).alias("sizes"))
     return both.where(F.col("same") >= F.lit(similarity) * (F.col("sizes") - F.col("same")) - F.lit(1e-9)).select("a", "b")
@@ -484,10 +500,10 @@ def alike(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, choose:
     at = at.union(at.select("within", "within")).distinct()  # a root is no node of its own component
     label = at.join(strict, "node", "left").select("node", "within", F.coalesce("root", "node").alias("label"))
     apart = label.groupBy("within").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("apart")).where("apart AND n > 2").select("within")
-    again = materialise(label.join(apart, "within", "left_semi").join(nodes, "node").select("label", "tag", "wide"), "again")
+    again = materialise(label.join(apart, "within", "left_semi").select("node", "within", "label"), "again")
     if again.count():
-        more = materialise(candidates(again, masks, radius).distinct(), "more")
-        strict = components(sure.union(verified(more, docs, nodes, shingle, words, similarity)))
+        more = materialise(linked_in_blocks(again, docs, nodes, shingle, words, similarity), "more")
+        strict = components(sure.union(more))
     rooted = nodes.join(strict, "node", "left").select("node", "smallest", F.coalesce("root", "node").alias("root"))
     named = materialise(with_names(rooted).select("node", "component_id"), "named")
     return docs_nodes.join(named, "node").select("doc_id", "text_tag", "node", "component_id")
