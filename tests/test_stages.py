@@ -92,7 +92,7 @@ def test_groups_decode_planted_waveforms_with_margins(spark):
     assert all(s.margin > 0 for s in found)
     # one channel alone gives what the plain decoder gives
     states = hmm.joint_states(2, 3, 2)
-    model = (states, *hmm.predecessors(states, 3, np.full(2, 0.03)))
+    model = (states, hmm.predecessors(states, 3, np.full(2, 0.03)))
     a, b = hmm.viterbi(x[:, 0], *model, WAVES[:, 0], 11.0), hmm.viterbi(x[:, :1], *model, WAVES[:, :1], np.array([[11.0]]))
     np.testing.assert_array_equal(a[0], b[0])
     assert a[1] == pytest.approx(b[1])
