@@ -76,6 +76,24 @@ def test_longest_previous_factor_matches_brute_force():
             assert got[i] == best
 
 
+def test_sections_of_windows_change_nothing():
+    rng = random.Random(8)
+    entries, strings = np.zeros(60, segments.ENTRY), []
+    for i in range(60):
+        strings.append(bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 40))) + b"abab" * rng.randrange(10) + b"a" * 6)
+        entries[i]["doc"], entries[i]["start"], entries[i]["n"] = rng.randrange(9), 100 * i, len(strings[i]) - 5
+    whole = suffix_dedup.earlier_windows(6)(entries, strings)
+    seen, expected = {}, {}
+    for i in np.lexsort((entries["start"], entries["doc"])).tolist():
+        for j in range(int(entries[i]["n"])):
+            w = strings[i][j : j + 6]
+            expected[i, j] = w in seen
+            seen[w] = True
+    assert whole.tolist() == [expected[i, j] for i in range(60) for j in range(int(entries[i]["n"]))]
+    for size in (1, 7, 100):
+        assert np.array_equal(suffix_dedup.earlier_windows(6, size)(entries, strings), whole)
+
+
 def test_self_repeats_are_seen_in_short_runs():
     raw = np.frombuffer(b"abcde" * 21, np.uint8)
     assert (segments.cut(BYTE_CODE[raw], np.array([0, len(raw)]), 100, 48, True)[4] >= segments.SELF).all()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, fresh, ranges, text_tag, texts_of
+from .common import BYTE_CODE, U64, doc_key, fresh, prefix_hash, ranges, span_hash, text_tag, texts_of
 from .segments import Plan, covered, mask_of, span_lists
 
 LENGTH = 100
@@ -84,7 +84,23 @@ def longest_previous_factor(text: np.ndarray, at: np.ndarray, position: np.ndarr
     return out
 
 
-def earlier_windows(depth: int):
+#: Windows whose bytes are laid out side by side at a time.
+SECTION = 1 << 15
+
+
+def sections(text: np.ndarray, at: np.ndarray, depth: int, size: int = SECTION) -> Iterator[np.ndarray]:
+    """The windows of `depth` bytes that start at `at`, by number, in sections of about `size`. Equal windows share a section, so previous factors of `depth` bytes are found inside it; a hash deals windows to sections and decides nothing else."""
+    if len(at) <= size:
+        yield np.arange(len(at))
+        return
+    of = (span_hash(prefix_hash(BYTE_CODE[text]), at, at + depth) % U64(-(-len(at) // size))).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+
+
+def earlier_windows(depth: int, size: int = SECTION):
+    """Which windows of super-k-mers stand earlier: those whose previous factor has `depth` bytes."""
+
     def earlier(entries: np.ndarray, strings: list[bytes]) -> np.ndarray:
         text = np.frombuffer(b"".join(strings), np.uint8)
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
@@ -95,7 +111,11 @@ def earlier_windows(depth: int):
         by_place = np.lexsort((entries["start"], entries["tag"], entries["doc"]))
         first = np.empty(len(n), np.int64)
         first[by_place] = np.cumsum(n[by_place]) - n[by_place]
-        return longest_previous_factor(text, at, ranges(first, n), depth) >= depth
+        position = ranges(first, n)
+        out = np.empty(len(at), bool)
+        for some in sections(text, at, depth, size):
+            out[some] = longest_previous_factor(text, at[some], position[some], depth) >= depth
+        return out
 
     return earlier
 
