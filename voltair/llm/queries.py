@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lm, ogg, pieces, quality, simhash, suffix_dedup, warc, window_dedup
+from . import chat, decontaminate, lm, ogg, oracles, pieces, quality, repair, secret_scan, simhash, suffix_dedup, trie, warc, window_dedup
 
 #: The conversation that op1 adds, in a layout of its own; both turns say this.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
@@ -60,6 +60,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,10 +80,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_suffix_dedup, op3_simhash, op4_substring_dedup, op5_sentencepiece, op6_ogg_media, op7_lm_score, op8_warc, op9_quality, op10_decontaminate, pipeline)
+    for f in (op1_chat_format, op2_suffix_dedup, op3_simhash, op4_substring_dedup, op5_sentencepiece, op6_ogg_media, op7_lm_score, op8_warc, op9_quality, op10_decontaminate, op11_secret_scan, op12_prefix_trie, op13_structure_repair, pipeline)
 }
 
 SQL: dict[str, str] = {
+    "op11_secret_scan": oracles.SECRETS,
+    "op12_prefix_trie": oracles.TRIE,
+    "op13_structure_repair": oracles.REPAIR,
     "op1_chat_format": """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
