@@ -243,3 +243,39 @@ def test_operators_stand_odd_tables(spark, odd_docs):
     for f in (suffix_dedup.remove, simhash.keep_one, lambda d: decontaminate.remove_spans(d, items), lambda d: quality.keep(d, labels)):
         out = f(docs)
         assert out.columns == docs.columns and {x.did for x in out.select("did").collect()} == {"clash"}
+
+
+def test_roles_of_the_turn_table_stay(spark):
+    rows = [(1, 0, "human", "hi"), (1, 1, "gpt", "yes"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: x for x in chat.digests(chat.format_records(chat.records(turns))).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(b"human\nhi\ngpt\nyes\n").hexdigest() and (got[1].loss_chars, got[2].loss_chars) == (0, 1)
+    foreign = spark.createDataFrame([(json.dumps({"id": 3, "conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yes"}]}),)], "record string")
+    assert chat.parse(chat.format_records(foreign).first().formatted) == [("user", "hi"), ("assistant", "yes")]
+
+
+@pytest.mark.parametrize("windows", [20, 1_000_000])
+def test_repeated_items_count_once(spark, windows):
+    words = " ".join(f"w{i}" for i in range(10))
+    items = spark.createDataFrame([(1, words)] * 30 + [(2, "other " + words)], "item_id long, text string")
+    assert decontaminate.blocks(items, 10, 20)[1] <= 2
+    docs = spark.createDataFrame([(1, f"a {words} b"), (2, "clean")], SCHEMA)
+    assert {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate.scan(docs, items, max_windows=windows).collect()} == {1: (10, 2), 2: (0, 0)}
+
+
+def test_repeated_labelled_rows_leave_both_classes(spark):
+    ids = [i for i in range(1, 40) if __import__("zlib").crc32(str(i).encode()) % 4 != 2][:4]
+    rows = [(ids[0], "good words here")] * 6 + [(ids[1], "good again")] + [(ids[2], "### bad"), (ids[3], "### worse")]
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 1), (ids[2], 0), (ids[3], 0)], "doc_id long, quality int")
+    net = quality.train(spark.createDataFrame(rows, SCHEMA), labels, per_class=2, epochs=1)
+    assert net.constant is None
+
+
+@pytest.mark.parametrize("longest", [62, 63, 64, 65, 66, 100])
+def test_pieces_as_long_as_the_window(longest):
+    r = random.Random(longest)
+    found = {b"a" * longest: (256, -3.0), b"ab": (257, -5.0), b"a" * 7: (258, -4.0), b"ba": (259, -4.5)}
+    v = pieces.Vocabulary(found, list(range(256)), prefix=False)
+    texts = [("a" * r.randrange(1, 3 * longest) + r.choice(["b", "", "ba"])) * r.randrange(1, 4) for _ in range(60)]
+    for text, ids in zip(texts, pieces.encode([t.encode() for t in texts], v), strict=True):
+        assert ids.tolist() == list(pieces.stream(text.encode(), v))

@@ -47,7 +47,7 @@ class Mapping:
 
     id: field of the conversation's id. turns: field of an array of turns, with the
     fields `role` and `text` of each; or, without it, `parts`: (field, role) in order,
-    null fields giving no turn.
+    null fields giving no turn. renames: roles of other vocabularies are renamed by ROLES.
     """
 
     name: str
@@ -56,6 +56,7 @@ class Mapping:
     role: str = "role"
     text: str = "text"
     parts: tuple[tuple[str, str], ...] = ()
+    renames: bool = True
 
     def paths(self) -> frozenset[str]:
         if self.turns:
@@ -63,9 +64,9 @@ class Mapping:
         return frozenset(p for p, _ in self.parts)
 
 
-#: Known layouts; roles of other vocabularies are renamed by ROLES.
+#: Known layouts. `turns` is that of `records`, whose roles stay as they are.
 MAPPINGS = (
-    Mapping("turns", "conv_id", "turns", "role", "text"),
+    Mapping("turns", "conv_id", "turns", "role", "text", renames=False),
     Mapping("messages", "conv_id", "messages", "role", "content"),
     Mapping("conversations", "id", "conversations", "from", "value"),
     Mapping("prompt", "conv_id", parts=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
@@ -123,7 +124,8 @@ def turns_of(record: dict, m: Mapping | None) -> list[tuple[str, str]]:
     else:
         got = [(role, record.get(field)) for field, role in m.parts if record.get(field) is not None]
     text = lambda x: "" if x is None else _SURROGATES.sub("\ufffd", x if isinstance(x, str) else json.dumps(x, ensure_ascii=False))
-    return [(ROLES.get(text(r), text(r)), text(t)) for r, t in got]
+    names = ROLES if m.renames else {}
+    return [(names.get(text(r), text(r)), text(t)) for r, t in got]
 
 
 def escape(text: str, pairs: tuple = ESCAPES) -> str:

@@ -122,13 +122,13 @@ def parts_of(benchmark: DataFrame, n: int, most: int) -> DataFrame:
 
 def blocks(benchmark: DataFrame, n: int, max_windows: int) -> tuple[DataFrame, int]:
     """The parts of the items with the number of their block, and how many blocks there are; none holds more than `max_windows` windows."""
-    parts = parts_of(benchmark, n, max(1, max_windows // 8))
+    parts = parts_of(benchmark, n, max(1, max_windows // 8)).dropDuplicates(["item_id", "text"])  # repeated rows count once
     total = parts.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("w")).first()["w"]
     count = max(1, -(-total // max_windows))
     while True:
         dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
         fullest = dealt.groupBy("block").agg(F.sum("windows").alias("w")).agg(F.max("w").alias("w")).first()["w"] or 0
-        if fullest <= max_windows or count > 16 * total:  # parts equal in item and text can't be told apart
+        if fullest <= max_windows or count > 16 * total:  # parts are told apart by a hash of item and text
             return dealt, count
         count = count * 3 // 2 + 1
 

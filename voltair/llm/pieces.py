@@ -183,7 +183,7 @@ def encode_lanes(buf: np.ndarray, start: np.ndarray, length: np.ndarray, v: Voca
 
     active = np.searchsorted(-length, -np.arange(int(length.max(initial=0)) + 2), side="right")  # lanes of at least t bytes
     t = 0
-    while active[t + 1] > FEW if t + 1 < len(active) else False:
+    while v.longest < WINDOW and t + 1 < len(active) and active[t + 1] > FEW:  # longer pieces don't fit the window: each lane alone
         t += 1
         n, row = int(active[t]), t % WINDOW
         byte = buf[start[:n] + (t - 1)]

@@ -173,7 +173,7 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float, shape: Shape = Sha
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, per_class: int = 1000, max_text: int = 1 << 15, shape: Shape = Shape(), epochs: int = 12) -> Net:
-    """A net from labels(doc_id, quality) of rows outside the held-out fold."""
+    """A net from labels(doc_id, quality) of rows outside the held-out fold: at most `per_class` ids of each label, one text an id (of repeated rows the least in order)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(~held_out(folds, fold))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HE
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
         sample = part if sample is None else sample.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= max_text)
-    picked = texts.join(F.broadcast(sample), "id").orderBy("id", "text").limit(2 * per_class)  # sample: at most 2 * per_class ids
+    picked = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id")  # a text an id, at most 2 * per_class ids
     rows = picked.collect()
     n = sum(counts.values())
     return fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.int64), counts.get(1, 0) / n if n else 1.0, shape, epochs)
