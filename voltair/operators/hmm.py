@@ -2,23 +2,26 @@
 
 State space: one silent state and, for each template, a ring of its samples. From
 silence a ring is entered with its rate p; inside a ring time advances; its last
-sample leads back to silence. Recursions in time run per channel in numpy,
-vectorised over states; channels are dealt to tasks by Spark, and the learning
-sums are combined by a grouped aggregate.
+sample leads back to silence. Recursions in time run in numpy, over states and over many
+chunks of recordings side by side; Spark deals chunks to tasks, checks that they meet, and
+combines the learning sums by a grouped aggregate.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chi2_tail
+from . import lanes
+from .chunks import Lanes, apart, lanes_of, meeting, not_yet, settled
 from .signals import mad_scale
 
 TINY = np.exp(-700.0)
@@ -100,19 +103,38 @@ def forward_backward(x: np.ndarray, templates: np.ndarray, p: np.ndarray, precis
     return np.concatenate(found[::-1], 1) if found else np.zeros((1 + by_channel(templates)[:, 0].size, 0))
 
 
-def posterior_sums(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float) -> DataFrame:
-    """(state, g, gx, gxx, samples): sums of the posterior and of posterior-weighted samples over all channels."""
+def in_lanes(rows: DataFrame, bytes_a_sample: int, kernel: Callable[[Lanes, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """kernel(lanes, marks) over sections, as rows (ch, k, t0, own, first, last, and what the kernel gives a lane, cut to `own` samples where it gives more)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("t")["x"].to_numpy(float)
-        total = np.zeros((3, 1 + templates.size))
-        for a, g in posterior_chunks(x, templates, p, precision):
-            y = x[a : a + g.shape[1]]
-            total += np.stack([g.sum(1), g @ y, g @ (y * y)])
-        return pd.DataFrame({"state": np.arange(total.shape[1]), "g": total[0], "gx": total[1], "gxx": total[2], "samples": len(x)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            batch = {c: b[c].to_pylist() for c in ("ch", "k", "t0", "own", "lead", "first", "last", "mark")} | {"x": [v.values.to_numpy() for v in b["x"]]}
+            for rows, lanes in lanes_of(batch, bytes_a_sample):
+                out = kernel(lanes, lanes.spread([batch["mark"][i] for i in rows], bool))
+                fixed = {c: pa.array([batch[c][i] for i in rows], b.schema.field(c).type) for c in ("ch", "k", "t0", "own", "first", "last")}
+                made = {n: pa.array([v[: lanes.own[j]] for j, v in enumerate(a)] if n in ("path", "margin") else list(a) if a.ndim == 2 else a) for n, a in out.items()}
+                yield pa.record_batch(fixed | made)
 
-    partial = sig.groupBy("ch").applyInPandas(run, "state long, g double, gx double, gxx double, samples long")
-    return partial.groupBy("state").agg(*[F.sum(c).alias(c) for c in ("g", "gx", "gxx", "samples")])
+    return rows.mapInArrow(run, f"ch string, k long, t0 long, own int, first boolean, last boolean, {schema}")
+
+
+def posterior_sums(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, chunk: int = 8192, halo: int | None = None) -> DataFrame:
+    """(state, g, gx, gxx, samples): sums of the posterior and of posterior-weighted samples over all channels, chunk by chunk."""
+    length, means = templates.shape[1], np.concatenate([[0.0], templates.ravel()])
+    names = ("g", "gx", "gxx", "fin", "fout", "bin", "bout")
+    schema = ", ".join(f"{n} array<double>" for n in names)
+
+    def run(rows: DataFrame) -> DataFrame:
+        return in_lanes(rows.withColumn("ch", F.col("ch").cast("string")), 48 * len(means), lambda x, _: lanes.posterior(x, means, length, p, precision), schema)
+
+    def failed(rows: DataFrame) -> DataFrame:
+        pairs = meeting(rows, ["first", "last", "fout", "bin"], ["first", "last", "fin", "bout"])
+        return not_yet(pairs, apart("fout", "next_fin", lanes.AGREE), True, "first").union(not_yet(pairs, apart("next_bout", "bin", lanes.AGREE), False, "last"))
+
+    done = settled(sig, chunk, halo or 8 * length, run, failed, "posterior")
+    each = done.select("own", F.posexplode(F.arrays_zip("g", "gx", "gxx")).alias("state", "s"))
+    sums = [F.sum(f"s.{c}").alias(c) for c in ("g", "gx", "gxx")]
+    return each.groupBy(F.col("state").cast("long").alias("state")).agg(*sums, F.sum("own").alias("samples"))
 
 
 def split_sparse(templates: np.ndarray, p: np.ndarray, precision: float, below: float, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -356,26 +378,176 @@ def path_of(x: np.ndarray, states: np.ndarray, moves: Moves, templates: np.ndarr
     return path, margin, total
 
 
+def decoded_chunks(sig: DataFrame, states: np.ndarray, moves: Moves, templates: np.ndarray, precision: float, chunk: int, halo: int | None = None, margins: bool = False, end: int | None = None) -> DataFrame:
+    """(ch, k, t0, own, path array<int>, score, ..): the best path of each channel, a row a chunk; the chunks' columns and states meet.
+
+    margins: with `margin array<double>`. Samples that sig marks take the second best way into
+    the path's state (where there is one). end: the joint state in which recordings end.
+    """
+    second = margins or "mark" in sig.columns
+    trellis = lanes.Trellis(states, moves, templates, precision, second=second)
+    schema = "path array<int>, " + ("margin array<double>, " if margins else "") + "score double, cin array<double>, cout array<double>, sin long, sout long"
+    bytes_a_sample = (12 + 16 * second) * max(1, len(moves.many)) + 8
+
+    def kernel(run: Lanes, marks: np.ndarray) -> dict[str, np.ndarray]:
+        out = trellis.decode(run, marks if second else None, end)
+        out["path"] = out["path"].astype(np.int32)
+        if not margins:
+            del out["margin"]
+        return out
+
+    def run(rows: DataFrame) -> DataFrame:
+        return in_lanes(rows.withColumn("ch", F.col("ch").cast("string")), bytes_a_sample, kernel, schema)
+
+    def failed(rows: DataFrame) -> DataFrame:
+        pairs = meeting(rows, ["first", "last", "cout", "sout"], ["first", "last", "cin", "sin"])
+        return not_yet(pairs, apart("cout", "next_cin", lanes.AGREE), True, "first").union(not_yet(pairs, F.col("sout") != F.col("next_sin"), False, "last"))
+
+    return settled(sig, chunk, halo or max(64, 8 * templates.shape[1]), run, failed, "decoded")
+
+
+def sparse(decoded: DataFrame, states: np.ndarray) -> DataFrame:
+    """(ch, template_id, t, state[, margin]) of the running rings in decoded_chunks."""
+    margins = "margin" in decoded.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ring = states[b["path"][i].values.to_numpy()]
+                at, template = np.nonzero(ring)
+                out = {"ch": pa.array([b["ch"][i].as_py()] * len(at), pa.string()), "template_id": pa.array(template), "t": pa.array(b["t0"][i].as_py() + at), "state": pa.array(ring[at, template].astype(np.int64))}
+                yield pa.record_batch(out | ({"margin": pa.array(b["margin"][i].values.to_numpy()[at])} if margins else {}))
+
+    names = ["ch", "t0", "path", *(["margin"] if margins else [])]
+    return decoded.select(*names).mapInArrow(run, "ch string, template_id long, t long, state long" + (", margin double" if margins else ""))
+
+
 def decode(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, active: int = 2, patch: int = 20_000) -> DataFrame:
-    """(ch, template_id, t, state), states above 0 only, of each channel by itself."""
-    return decode_with_score(sig, templates, p, precision, active, patch).where("template_id >= 0").drop("ll")
+    """(ch, template_id, t, state), states above 0 only, of each channel by itself. patch: samples a task takes at once; the path is that of the whole channel."""
+    states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
+    return sparse(decoded_chunks(sig, states, predecessors(states, templates.shape[1], p), templates, precision, patch), states)
 
 
 def decode_with_score(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, active: int = 2, patch: int = 20_000) -> DataFrame:
-    """As decode, with one row more a channel, of template -1: its log-likelihood `ll`."""
+    """As decode, with one row more a channel, of template -1: its samples as t and its path's log-likelihood `ll`."""
     states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
-    moves = predecessors(states, templates.shape[1], p)
+    done = decoded_chunks(sig, states, predecessors(states, templates.shape[1], p), templates, precision, patch)
+    stats = done.groupBy("ch").agg(F.sum("own").alias("t"), F.sum("score").alias("ll"))
+    none = F.lit(None).cast("double").alias("ll")
+    return sparse(done, states).select("ch", "template_id", "t", "state", none).union(stats.select("ch", F.lit(-1).cast("long"), "t", F.lit(0).cast("long"), "ll"))
+
+
+def uncertain(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, below: float, active: int = 2, patch: int = 20_000) -> DataFrame:
+    """(ch, t, margin): decisions on the best path that beat the second best way into its state by less than `below`."""
+    states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
+    done = decoded_chunks(sig, states, predecessors(states, templates.shape[1], p), templates, precision, patch, margins=True)
+    each = done.select("ch", "t0", F.posexplode("margin").alias("i", "margin"))
+    return each.where(F.col("margin") < below).select("ch", (F.col("t0") + F.col("i")).alias("t"), "margin")
+
+
+def redecode(sig: DataFrame, flips: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, active: int = 2, patch: int = 20_000) -> DataFrame:
+    """As decode, but at the instants flips (ch, t) the path goes on by the second best way into its state; without a second way nothing changes there."""
+    marked = sig.join(flips.select("ch", "t", F.lit(True).alias("mark")).distinct(), ["ch", "t"], "left").withColumn("mark", F.coalesce("mark", F.lit(False)))
+    states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
+    return sparse(decoded_chunks(marked, states, predecessors(states, templates.shape[1], p), templates, precision, patch), states)
+
+
+def ring_matrix(length: int, p: float) -> np.ndarray:
+    """Chances of moving (from, to) in the ring of one template: silent, then its samples."""
+    m = np.eye(length + 1, k=1)
+    m[0, :2] = 1 - p, p
+    m[length, 0] = 1.0
+    return m
+
+
+def ring_moves(states: np.ndarray, matrices: list[np.ndarray], joint: dict[tuple[tuple[int, ...], tuple[int, ...]], float] | None = None) -> Moves:
+    """Ways between joint states from one matrix of chances (from, to) a ring, which moves by itself; joint: chances of single moves (from, to) of all rings that replace the product, 0 forbids one."""
+    index = {tuple(s): i for i, s in enumerate(states.tolist())}
+    sources = [[np.flatnonzero(m[:, j]).tolist() for j in range(len(m))] for m in matrices]
+    ways: list[dict[int, float]] = []
+    for s in states.tolist():
+        here = {}
+        for before in itertools.product(*[sources[r][v] for r, v in enumerate(s)]):
+            if before in index:
+                here[index[before]] = float(sum(np.log(matrices[r][b, v]) for r, (b, v) in enumerate(zip(before, s, strict=True))))
+        ways.append(here)
+    for (a, b), chance in (joint or {}).items():
+        ways[index[b]].pop(index[a], None)
+        if chance > 0:
+            ways[index[b]][index[a]] = float(np.log(chance))
+    pairs = [sorted(w.items()) for w in ways]
+    at = np.cumsum([0, *map(len, pairs)])
+    return Moves(np.array([w for p in pairs for w, _ in p], np.int64), np.array([v for p in pairs for _, v in p]), at, np.flatnonzero(np.diff(at) > 1))
+
+
+def decode_rings(sig: DataFrame, templates: np.ndarray, matrices: list[np.ndarray], precision: float, active: int = 2, joint: dict | None = None, silent_end: bool = True, patch: int = 20_000) -> DataFrame:
+    """As decode, with transitions of one's own: a matrix a ring, and single joint moves. silent_end: recordings end in silence."""
+    states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
+    return sparse(decoded_chunks(sig, states, ring_moves(states, matrices, joint), templates, precision, patch, end=0 if silent_end else None), states)
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        x, t = rows["x"].to_numpy(float), rows["t"].to_numpy()
-        path, _, score = path_of(x, states, moves, templates, precision, patch)
-        ring = states[path]
-        where, template = np.nonzero(ring)
-        found = pd.DataFrame({"ch": rows["ch"].iloc[0], "template_id": template, "t": t[where], "state": ring[where, template].astype(int), "ll": np.nan})
-        return pd.concat([found, pd.DataFrame({"ch": [rows["ch"].iloc[0]], "template_id": [-1], "t": [len(x)], "state": [0], "ll": [score]})])
+def k_best(x: np.ndarray, states: np.ndarray, moves: Moves, templates: np.ndarray, precision: float, k: int, end: int | None = None) -> list[tuple[float, np.ndarray]]:
+    """The k best paths and their scores, best first, from silence at the first sample (which isn't scored) to the end state (default: any).
 
-    return sig.groupBy("ch").applyInPandas(run, "ch string, template_id long, t long, state long, ll double")
+    Each state keeps its k best ways so far, as (way, which of the way's own k best).
+    """
+    trellis = lanes.Trellis(states, moves, templates, precision)
+    most = int(np.diff(moves.at).max())
+    ways = moves.at[:-1, None] + np.arange(most)
+    there = ways < moves.at[1:, None]
+    ways = np.where(there, ways, 0)
+    score = np.full((len(states), k), -np.inf)
+    score[0, 0] = 0.0
+    back = np.zeros((len(x), len(states), k), np.int64)
+    for t in range(1, len(x)):
+        options = np.where(there[:, :, None], score[moves.who[ways]] + moves.log_p[ways][:, :, None], -np.inf).reshape(len(states), -1)
+        back[t] = np.argsort(-options, axis=1, kind="stable")[:, :k] if options.shape[1] >= k else np.pad(np.argsort(-options, axis=1, kind="stable"), ((0, 0), (0, k - options.shape[1])), constant_values=-1)
+        score = np.where(back[t] >= 0, np.take_along_axis(options, np.maximum(back[t], 0), 1), -np.inf) - (0.5 * precision * (x[t] - trellis.means) ** 2)[:, None]
+    last = [(float(v), s, j) for s in range(len(states)) for j, v in enumerate(score[s].tolist()) if np.isfinite(v) and (end is None or s == end)]
+    out = []
+    for v, s, j in sorted(last, key=lambda w: (-w[0], w[1], w[2]))[:k]:
+        path = np.zeros(len(x), np.int64)
+        for t in range(len(x) - 1, -1, -1):
+            path[t] = s
+            if t:
+                w, j = divmod(int(back[t, s, j]), k)
+                s = int(moves.who[ways[s, w]])
+        out.append((v, path))
+    return out
+
+
+def alternatives(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, k: int, active: int = 2, patch: int = 20_000) -> DataFrame:
+    """(ch, t0, t1, place, loss, spikes array<struct<template_id, t>>): the k best readings of each stretch of samples between two silent ones of the best path.
+
+    place 1 is the best path's; loss: how much worse than it; spikes: where templates begin.
+    Stretches are dealt to tasks one by one, each with the silent sample before and after it.
+    """
+    states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
+    moves = predecessors(states, templates.shape[1], p)
+    from .sessions import numbered
+
+    done = decoded_chunks(sig, states, moves, templates, precision, patch)
+    running = done.select("ch", "t0", F.posexplode("path").alias("i", "s")).where("s > 0").select("ch", (F.col("t0") + F.col("i")).alias("t"))
+    # a stretch begins where the sample before isn't in one; firsts and lasts belong together by their order
+    begun = running.join(running.select("ch", (F.col("t") + 1).alias("t")), ["ch", "t"], "left_anti").select("ch", "t")
+    ended = running.join(running.select("ch", (F.col("t") - 1).alias("t")), ["ch", "t"], "left_anti").select("ch", F.col("t").alias("t1"))
+    stretch = numbered(begun, "ch", F.col("t"), [], patch, "_no").join(numbered(ended, "ch", F.col("t1"), [], patch, "_no"), ["ch", "_no"]).select("ch", F.col("t").alias("t0"), "t1")
+    wanted = stretch.select("ch", "t0", "t1", F.explode(F.sequence(F.col("t0") - 1, F.col("t1") + 1)).alias("t"))
+    rows = wanted.join(sig.select(F.col("ch").cast("string").alias("ch"), "t", "x"), ["ch", "t"])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        t, t1 = part["t"].to_numpy(), int(part["t1"].iloc[0])
+        closed = t[-1] == t1 + 1  # else the recording ends inside
+        found = k_best(part["x"].to_numpy(float), states, moves, templates, precision, k, 0 if closed else None)
+        rows = []
+        for place, (score, path) in enumerate(found):
+            ring = states[path]
+            spikes = [{"template_id": int(r), "t": int(t[i])} for i, r in zip(*np.nonzero(ring == 1), strict=True)]
+            rows.append((part["ch"].iloc[0], int(part["t0"].iloc[0]), t1, place + 1, found[0][0] - score, spikes))
+        return pd.DataFrame(rows, columns=["ch", "t0", "t1", "place", "loss", "spikes"])
+
+    return rows.groupBy("ch", "t0").applyInPandas(run, "ch string, t0 long, t1 long, place long, loss double, spikes array<struct<template_id: long, t: long>>")
 
 
 #: Templates decoded together, at most.
