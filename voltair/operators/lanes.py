@@ -152,3 +152,56 @@ class Trellis:
         gain = np.where(way[own] >= 0, self.moves.log_p[way[own]] - 0.5 * self.precision * d * d, 0.0)
         less = lambda c: c - c.max(1, keepdims=True)
         return {"path": path[own].T, "margin": margins[own].T, "score": (gain * mine).sum(0), "cin": less(cin), "cout": less(cout), "sin": path[max(run.at - 1, 0)], "sout": path[run.last, every]}
+
+
+class Online:
+    """A decoder of one recording that is fed bit by bit: it tells states as soon as all paths that may still be the best agree on them.
+
+    It holds a score a state, and the ways of the samples not told yet, however many these are.
+    """
+
+    def __init__(self, trellis: Trellis):
+        self.trellis = trellis
+        self.score = trellis.begin(1, np.array([True]))
+        self.back = np.zeros((0, len(trellis.moves.many)), np.int32)
+        self.count = 0
+
+    def before(self, at: int, state: np.ndarray) -> np.ndarray:
+        """The states at the sample before untold sample `at` on the paths into `state`."""
+        spot = self.trellis.place[state]
+        single = self.trellis.single[state]
+        return self.trellis.moves.who[np.where(spot < 0, single, self.back[at, np.maximum(spot, 0)] if self.back.shape[1] else single)]
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        """States of the samples that are certain now."""
+        told = []
+        ways = []
+        for v in x:
+            if not self.count:  # the first sample isn't scored: it starts in silence
+                told.append(self.trellis.start)
+            else:
+                self.score, best, _, _ = self.trellis.step(self.score, np.array([v]))
+                self.score -= self.score.max()
+                ways.append(best[0].astype(np.int32))
+            self.count += 1
+        if ways:
+            self.back = np.concatenate([self.back, np.stack(ways)])
+        heads = np.flatnonzero(np.isfinite(self.score[0]))
+        for at in range(len(self.back) - 1, -1, -1):
+            if len(heads) == 1:
+                return np.concatenate([np.array(told, np.int64), self.tell(at + 1, int(heads[0]))])
+            heads = np.unique(self.before(at, heads))
+        return np.array(told, np.int64)
+
+    def tell(self, n: int, state: int) -> np.ndarray:
+        """The states of the first n untold samples, of which the last is `state`; they are told then."""
+        path = np.zeros(n, np.int64)
+        for at in range(n - 1, -1, -1):
+            path[at] = state
+            state = int(self.before(at, np.array([state]))[0])
+        self.back = self.back[n:]
+        return path
+
+    def close(self) -> np.ndarray:
+        """The states of all other samples, where the recording ends."""
+        return self.tell(len(self.back), int(self.score[0].argmax()))

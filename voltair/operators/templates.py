@@ -89,6 +89,29 @@ def gather(parts: DataFrame, sig: DataFrame, factor: float = 4.0) -> Set:
     return merge(found, total) if len(found[0]) else found
 
 
+def sets_under(spark: SparkSession, pattern: str, stage: str = "after_noise") -> DataFrame:
+    """(part, template_id, p, precision, waveform): the sets of one stage in all folders of learning that match a pattern; part: the folder. Files that can't be read are left out."""
+    found = spark.read.schema(TEMPLATES).option("ignoreCorruptFiles", "true").parquet(f"{pattern.rstrip('/')}/stage={stage}")
+    folder = F.regexp_extract(F.input_file_name(), f"^(.*)/stage={stage}/", 1)
+    return found.select(folder.alias("part"), *found.columns)
+
+
+def gather_files(pattern: str, sig: DataFrame, lengths: DataFrame | None = None, factor: float = 4.0, stage: str = "after_noise") -> Set:
+    """gather, from all folders of learning that match a pattern. lengths: (part, n), samples each was learned on (default: the same)."""
+    parts = sets_under(sig.sparkSession, pattern, stage)
+    parts = parts.withColumn("n", F.lit(1).cast("long")) if lengths is None else parts.join(F.broadcast(lengths), "part")  # a row a folder
+    return gather(parts, sig, factor)
+
+
+def learn_files(spark: SparkSession, path: str, channel: int, folder: str, start: int = 0, stop: int | None = None, gain: float = 1.0, layout: str = "signal", **options) -> dict[str, Set]:
+    """learn, from one channel of recording files and a range of their samples; only these bytes are read. Each file is a recording of its own."""
+    from ..sources import recordings
+
+    rows = recordings.samples(spark, path, layout).where((F.col("ch") == channel) & (F.col("t") >= start))
+    rows = rows if stop is None else rows.where(F.col("t") < stop)
+    return learn(rows.select(F.col("file").alias("ch"), "t", (F.col("x") / gain).alias("x")), folder, **options)
+
+
 def learn(sig: DataFrame, folder: str, rate: float = 30_000.0, rings: int = 8, length: int | None = None, iterations: int = 3, min_rate: float = 0.5, min_snr: float = 4.0, small: float = 1.0, split: bool = False, **options) -> dict[str, Set]:
     """Sets by stage: learn, merge, drop small, drop sparse, learn twice more, drop sparse, drop small.
 

@@ -17,13 +17,16 @@ SQL: dict[str, str] = {}
 MINUTE, HOUR = 60_000_000, 3_600_000_000
 
 
-def query(sql: str | None = None, *views: str):
-    """Register a query under its name; views: those that the SQL reads."""
+def query(sql: str | None = None, *views: str, also: str | None = None):
+    """Register a query under its name, and maybe another one. views: those that the SQL reads."""
 
     def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = ("WITH " + ", ".join(v.SQL[x] for x in views) + sql) if views else sql
+        for name in filter(None, (f.__name__, also)):
+            if name in QUERIES:
+                raise ValueError(f"there is a query {name}")
+            QUERIES[name] = f
+            if sql is not None:
+                SQL[name] = ("WITH " + ", ".join(v.SQL[x] for x in views) + sql) if views else sql
         return f
 
     return put
@@ -68,11 +71,6 @@ def detect_spikes(s, d):
     return signals.spikes(v.sig(s, d), 3.0)
 
 
-@query()
-def refractory_spikes(s, d):
-    return signals.refractory(signals.troughs(v.sig(s, d)).withColumn("grp", F.lit(0)), "grp")
-
-
 @query(SPIKES + " SELECT spikes.ch, spikes.t, sig.t - spikes.t + 10 AS pos, sig.x FROM spikes JOIN sig ON spikes.ch = sig.ch AND sig.t BETWEEN spikes.t - 10 AND spikes.t + 21", "sig")
 def snippets(s, d):
     sig = v.sig(s, d)
@@ -183,11 +181,6 @@ def remove_noise(s, d):
     return rounded(waves.remove_noise(v.wave(s, d), v.sig(s, d).withColumn("x", F.col("x") / 100_000), 64, 1.0), "energy")
 
 
-@query(" SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM wave a JOIN wave b ON a.spike = b.spike AND a.pos <= b.pos AND b.pos < 16 GROUP BY ALL", "wave")
-def noise_cov(s, d):
-    return rounded(waves.noise_covariance(v.wave(s, d), 16), "cov")
-
-
 @query(BAND + " SELECT a.unit AS unit1, b.unit AS unit2, round(sum((a.mean - b.mean) ** 2) / (1 / least(min(a.n), 12) + 1 / least(min(b.n), 12)), 6) AS stat FROM band a JOIN band b ON a.pos = b.pos AND a.unit < b.unit GROUP BY ALL", "wave")
 def merge_stat(s, d):
     return rounded(waves.merge_statistic(v.wave(s, d)), "stat")
@@ -198,12 +191,7 @@ def isolation_distance(s, d):
     return rounded(waves.isolation_distance(v.wave(s, d)), "ratio")
 
 
-@query(BAND + ", q AS (SELECT a.unit AS unit1, b.unit AS unit2, a.pos, round((a.mean - b.mean) ** 2, 9) AS d FROM band a JOIN band b ON a.pos = b.pos AND a.unit < b.unit AND a.pos < 6), tri AS (SELECT a.unit1, a.unit2, a.pos AS p1, b.pos AS p2, c.pos AS p3, round(a.d + b.d + c.d, 9) AS d FROM q a JOIN q b ON a.unit1 = b.unit1 AND a.unit2 = b.unit2 AND a.pos < b.pos JOIN q c ON a.unit1 = c.unit1 AND a.unit2 = c.unit2 AND b.pos < c.pos) SELECT unit1, unit2, p1, p2, p3 FROM tri QUALIFY row_number() OVER (PARTITION BY unit1, unit2 ORDER BY d DESC, p1, p2, p3) = 1", "wave")
-def best_projection(s, d):
-    return waves.best_projection(v.wave(s, d))
-
-
-@query(BAND + ", q AS (SELECT a.unit AS unit1, b.unit AS unit2, a.pos, round((a.mean - b.mean) ** 2, 9) AS d FROM band a JOIN band b ON a.pos = b.pos AND a.unit < b.unit), three AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY unit1, unit2 ORDER BY d DESC, pos) <= 3) SELECT unit1, unit2, min(pos) AS p1, sum(pos)::BIGINT - min(pos) - max(pos) AS p2, max(pos) AS p3 FROM three GROUP BY unit1, unit2 HAVING count(*) = 3", "wave")
+@query(BAND + ", q AS (SELECT a.unit AS unit1, b.unit AS unit2, a.pos, round((a.mean - b.mean) ** 2, 9) AS d FROM band a JOIN band b ON a.pos = b.pos AND a.unit < b.unit), three AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY unit1, unit2 ORDER BY d DESC, pos) <= 3) SELECT unit1, unit2, min(pos) AS p1, sum(pos)::BIGINT - min(pos) - max(pos) AS p2, max(pos) AS p3 FROM three GROUP BY unit1, unit2 HAVING count(*) = 3", "wave", also="best_projection")
 def best_projection_all(s, d):
     return waves.best_projection_all(v.wave(s, d))
 
@@ -261,7 +249,7 @@ def scaled(s, d):
 
 @query()
 def viterbi_states(s, d):
-    return hmm.decode(scaled(s, d), DEMO, np.full(2, 1e-3), 1.0)
+    return hmm.decode(scaled(s, d), DEMO, np.full(2, 1e-3), 1.0, patch=2000)
 
 
 @query()
@@ -271,7 +259,7 @@ def decoded_spikes(s, d):
 
 @query()
 def forward_backward(s, d):
-    return hmm.posterior_sums(scaled(s, d), DEMO, np.full(2, 1e-3), 1.0)
+    return hmm.posterior_sums(scaled(s, d), DEMO, np.full(2, 1e-3), 1.0, chunk=2000)
 
 
 @query()
@@ -286,9 +274,4 @@ def fft_bandpass(s, d):
     return signals.fft_bandpass(v.sig(s, d), 1000.0, 50.0, 300.0)
 
 
-@query()
-def highpass(s, d):
-    return signals.highpass(v.sig(s, d))
-
-
-from . import recorded, selection, sessions  # noqa: E402, F401  (register their queries here)
+from . import decoding, recorded, selection, sessions  # noqa: E402, F401  (register their queries here)

@@ -2,63 +2,108 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import views as v
+from ..functions import numeric_suffix
+from ..shared import folder
 from ..sources import read_syncs, read_waveforms, recordings
-from . import query
+from . import query, rounded
 
-#: Channels of the written recordings, by the name of the event type.
-CHANNELS = ("add_to_cart", "click", "error", "purchase", "signup", "view")
 INT16 = "greatest(least(round_even(x, 0), 32767), -32768)"
+#: Samples of a file.
+PART = 1000
 
 
-def folder(s, name: str) -> str:
-    """A folder of its own below the one all executors share."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def numbered_samples(s, d):
+    """(file, ch int, t, x) and the number of channels: the signal's channels numbered by name, in files of PART samples with numbers at the end."""
+    sig = v.sig(s, d)
+    names = sig.select(F.col("ch").alias("name")).distinct()
+    place = names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("ch"))  # a row a channel
+    rows = sig.withColumnRenamed("ch", "name").join(F.broadcast(place), "name").select(F.lit("rec").alias("file"), "ch", "t", "x")
+    return recordings.split_samples(rows, PART), place.count()
 
 
-def samples(s, d):
-    """(file, ch int, t, x): the signal's channels numbered by name, in two files."""
-    sig = v.sig(s, d)
-    names = F.array(*map(F.lit, CHANNELS))
-    place = (F.array_position(names, F.col("ch")) - 1).cast("int")
-    return sig.select(F.lit("rec").alias("file"), place.alias("ch"), "t", "x").where("ch >= 0")
+def written(s, d, name: str, **options) -> str:
+    path = folder(s, name)
+    rows, channels = numbered_samples(s, d)
+    recordings.write_signals(rows, path, 30_000, channels=channels, **options)
+    return path
+
+
+def put_together(rows):
+    """(ch, t, x) of the recording, whose parts are all of the same length but the last."""
+    return rows.select("ch", (F.col("t") + numeric_suffix(F.col("file")) * PART).alias("t"), "x")
 
 
-PLACED = ", c AS (SELECT list_position(['" + "','".join(CHANNELS) + "'], ch) - 1 AS ch, t, x FROM sig WHERE list_position(['" + "','".join(CHANNELS) + "'], ch) > 0), n AS (SELECT max(t) + 1 AS n FROM c), full_ AS (SELECT r.ch, u.t FROM (SELECT unnest(range(0, (SELECT max(ch) + 1 FROM c))) AS ch) r, (SELECT unnest(range(0, (SELECT n FROM n))) AS t) u), filled AS (SELECT full_.ch::INT AS ch, full_.t, coalesce(x, 0) AS x FROM full_ LEFT JOIN c USING (ch, t))"
+PLACED = ", c AS (SELECT dense_rank() OVER (ORDER BY ch) - 1 AS ch, t, x FROM sig), n AS (SELECT max(t) + 1 AS n FROM c), full_ AS (SELECT r.ch, u.t FROM (SELECT unnest(range(0, (SELECT max(ch) + 1 FROM c))) AS ch) r, (SELECT unnest(range(0, (SELECT n FROM n))) AS t) u), filled AS (SELECT full_.ch::INT AS ch, full_.t, coalesce(x, 0) AS x FROM full_ LEFT JOIN c USING (ch, t))"
+
+
+def chunks_of(rows):
+    return rows.select("file", "ch", "t0", F.posexplode("x").alias("i", "x")).select("file", "ch", (F.col("t0") + F.col("i")).alias("t"), "x")
 
 
 @query(PLACED + f" SELECT ch, t, {INT16}::INT AS x FROM filled", "sig")
 def signal_files(s, d):
-    """Written as one signal file a recording, scanned back in parts of 1,000 samples."""
-    path = folder(s, "signal-files")
-    recordings.write_signals(samples(s, d), path, 30_000).collect()  # a row a file
-    back = recordings.scan(s, path, per_task=1000)
-    return back.select("ch", "t0", F.posexplode("x").alias("i", "x")).select("ch", (F.col("t0") + F.col("i")).alias("t"), F.col("x").cast("int").alias("x"))
+    """Written as numbered signal files, scanned back in parts of 300 samples, put together."""
+    back = put_together(chunks_of(recordings.scan(s, written(s, d, "signal-files"), per_task=300)))
+    return back.select("ch", "t", F.col("x").cast("int").alias("x"))
 
 
-@query(PLACED + f" SELECT ch, t, {INT16}::INT AS x FROM filled WHERE t >= 20 AND t < 90", "sig")
+@query(PLACED + f" SELECT ch, t, {INT16}::INT AS x FROM filled WHERE t % {PART} >= 20 AND t % {PART} < 90 AND t // {PART} * {PART} + 90 <= (SELECT n FROM n)", "sig")
 def signal_range(s, d):
-    """Samples 20 to 90 of a file, read alone."""
+    """Samples 20 to 90 of each file that has as many, read alone."""
     path = folder(s, "signal-range")
-    recordings.write_signals(samples(s, d), path, 30_000).collect()
-    back = recordings.scan(s, path, start=20, stop=90)
-    return back.select("ch", "t0", F.posexplode("x").alias("i", "x")).select("ch", (F.col("t0") + F.col("i")).alias("t"), F.col("x").cast("int").alias("x"))
+    rows, channels = numbered_samples(s, d)
+    full = rows.groupBy("file").agg(F.max("t").alias("last")).where("last >= 89").select("file")
+    recordings.write_signals(rows.join(full, "file", "left_semi"), path, 30_000, channels=channels)
+    back = put_together(chunks_of(recordings.scan(s, path, start=20, stop=90)))
+    return back.select("ch", "t", F.col("x").cast("int").alias("x"))
+
+
+@query(PLACED + f" SELECT ch, t, {INT16}::INT AS x FROM filled WHERE t % {PART} >= 40 AND t % {PART} < 60 AND ch IN (1, 2)", "sig")
+def signal_pushdown(s, d):
+    """Predicates on channel and time of a row a sample, which the source turns into byte ranges."""
+    rows = recordings.samples(s, written(s, d, "signal-pushdown")).where("ch IN (1, 2) AND t >= 40 AND t < 60")
+    return put_together(rows).select("ch", "t", F.col("x").cast("int").alias("x"))
 
 
-@query(PLACED + " SELECT 30000::BIGINT AS rate, max(ch) + 1 AS channels, max(t) + 1 AS samples FROM filled", "sig")
+@query(PLACED + f", f AS (SELECT t // {PART} AS file, max(t) - min(t) + 1 AS samples FROM filled GROUP BY 1) SELECT file, 30000::BIGINT AS rate, (SELECT max(ch) + 1 FROM c) AS channels, samples FROM f", "sig")
 def signal_headers(s, d):
-    path = folder(s, "signal-headers")
-    recordings.write_signals(samples(s, d), path, 30_000).collect()
-    return recordings.headers(s, path).select("rate", "channels", "samples")
+    back = recordings.headers(s, written(s, d, "signal-headers"))
+    return back.select(numeric_suffix(F.col("file")).alias("file"), "rate", "channels", "samples")
+
+
+@query(PLACED + " SELECT ch, t, x FROM filled", "sig")
+def npt_files(s, d):
+    """Typed files of doubles."""
+    return put_together(chunks_of(recordings.scan(s, written(s, d, "npt", layout="npt", code=13), "npt")))
+
+
+@query(PLACED + f" SELECT ch, t, round(({INT16} * (20.0 / 65536) + 0.0) * 1000, 6) + 0.0 AS x FROM filled WHERE ch <> 0", "sig")
+def uei_units(s, d):
+    """Counts of a converter from -10 to 10 volts, in millivolts, without channel 0."""
+    path = written(s, d, "uei", layout="uei", low=-10.0, high=10.0, bits=14)
+    chosen = list(range(1, recordings.headers(s, path, "uei").agg(F.max("channels")).first()[0]))
+    return rounded(put_together(recordings.uei(s, path, chosen, "millivolts")), "x")
+
+
+@query(PLACED + f", d AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ch, n_regionkey FROM nation) SELECT ch, t, {INT16}::INT AS x FROM filled WHERE ch IN (SELECT ch FROM d WHERE n_regionkey = 1)", "sig")
+def trigger_samples(s, d):
+    """The channels that a descriptor calls triggers."""
+    place = F.row_number().over(Window.orderBy("n_nationkey"))  # a row a nation
+    descriptor = v.table(s, d, "nation").select(place.alias("nr"), F.when(F.col("n_regionkey") == 1, "presenter").otherwise("electrode").alias("type"))
+    found = recordings.triggers(recordings.scan(s, written(s, d, "triggers")), descriptor)
+    return put_together(chunks_of(found)).select("ch", "t", F.col("x").cast("int").alias("x"))
+
+
+@query(" SELECT unit AS cell, us / 1000 AS ts_ms FROM train", "train")
+def train_tables(s, d):
+    """Spike trains written by cell, and read back."""
+    path = folder(s, "trains")
+    recordings.write_trains(v.train(s, d).select(F.col("unit").alias("cell"), (F.col("us") / 1000).alias("ts_ms")), path)
+    return s.read.schema("ts_ms double, cell string").parquet(path).select("cell", "ts_ms")
 
 
 @query("SELECT label::VARCHAR AS grp, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS spike, vec_id * 100.0 / 1000 AS ts_ms, list_sum(list_transform(embedding, lambda e: round_even(e * 1000, 0)))::BIGINT AS total FROM embeddings")

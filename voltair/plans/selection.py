@@ -63,27 +63,19 @@ def spike_index(s, d):
     return channels.spike_index(claims(s, d).distinct())
 
 
-@query(", c AS (SELECT a.unit AS part, a.pos AS i, b.pos AS j, count(*) AS n, covar_samp(a.v, b.v) AS cov FROM wave a JOIN wave b ON a.spike = b.spike AND a.pos <= b.pos AND b.pos < 8 GROUP BY ALL HAVING count(*) > 1) SELECT i, j, round(sum(n * cov) / sum(n), 6) + 0.0 AS cov FROM c GROUP BY i, j", "wave")
-def pooled_cov(s, d):
-    few = v.wave(s, d).where("pos < 8")
-    a, b = (few.select("spike", F.col("unit").alias("part"), F.col("pos").alias(p), F.col("v").alias(x)) for p, x in (("i", "x"), ("j", "y")))
-    parts = a.join(b, ["spike", "part"]).where("i <= j").groupBy("part", "i", "j").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("cov")).where("n > 1")
-    return rounded(templates.pooled_covariance(parts), "cov")
-
-
-@query(" SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM wave a JOIN wave b ON a.spike = b.spike AND a.pos <= b.pos GROUP BY ALL", "wave")
+@query(" SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM wave a JOIN wave b ON a.spike = b.spike AND a.pos <= b.pos GROUP BY ALL", "wave", also="noise_cov")
 def noise_cov_all(s, d):
     return rounded(waves.position_pairs(v.shapes(s, d)).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov")), "cov")
 
 
-@query(", c AS (SELECT a.unit AS part, a.pos AS i, b.pos AS j, count(*) AS n, covar_samp(a.v, b.v) AS cov FROM wave a JOIN wave b ON a.spike = b.spike AND a.pos <= b.pos GROUP BY ALL HAVING count(*) > 1) SELECT i, j, round(sum(n * cov) / sum(n), 6) + 0.0 AS cov FROM c GROUP BY i, j", "wave")
+@query(", c AS (SELECT a.unit AS part, a.pos AS i, b.pos AS j, count(*) AS n, covar_samp(a.v, b.v) AS cov FROM wave a JOIN wave b ON a.spike = b.spike AND a.pos <= b.pos GROUP BY ALL HAVING count(*) > 1) SELECT i, j, round(sum(n * cov) / sum(n), 6) + 0.0 AS cov FROM c GROUP BY i, j", "wave", also="pooled_cov")
 def pooled_cov_all(s, d):
     parts = waves.position_pairs(v.shapes(s, d)).groupBy(F.col("unit").alias("part"), "i", "j").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("cov")).where("n > 1")
     return rounded(templates.pooled_covariance(parts), "cov")
 
 
 @query(", n AS (SELECT unit, count(DISTINCT spike) AS n FROM wave GROUP BY unit) SELECT unit, n, round(n / (SELECT sum(n) FROM n), 6) AS share FROM n", "wave")
-def spikes_per_template(s, d):
+def template_shares(s, d):
     n = waves.remove_sparse(v.wave(s, d), 0.0)
     total = n.agg(F.sum("n").alias("total"))  # one row
     return rounded(n.crossJoin(F.broadcast(total)).select("unit", "n", (F.col("n") / F.col("total")).alias("share")), "share")

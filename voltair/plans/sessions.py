@@ -148,7 +148,7 @@ def session_spikes(s, d):
     return sessions.session_spikes(sig, 1.2)
 
 
-@query(" SELECT ch, t * 4 + j AS t, round(x + coalesce(lead(x) OVER (PARTITION BY ch ORDER BY t) - x, 0) * j / 4, 6) + 0.0 AS x FROM sig, range(4) r(j) WHERE false UNION ALL SELECT ch, t * 4 + j, round(x + coalesce(a - x, 0) * j / 4, 6) + 0.0 FROM (SELECT *, lead(x) OVER (PARTITION BY ch ORDER BY t) AS a FROM sig), range(4) r(j) WHERE a IS NOT NULL OR j = 0", "sig")
+@query(" SELECT ch, t * 4 + j AS t, round(x + coalesce(a - x, 0) * j / 4, 6) + 0.0 AS x FROM (SELECT *, lead(x) OVER (PARTITION BY ch ORDER BY t) AS a FROM sig), range(4) r(j) WHERE a IS NOT NULL OR j = 0", "sig")
 def upsampled_signal(s, d):
     return rounded(sessions.upsampled(v.sig(s, d), 4), "x")
 

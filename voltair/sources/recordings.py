@@ -1,22 +1,25 @@
-"""Recordings as a Spark data source with range scans, and sinks that write files from tasks.
+"""Recordings as a Spark data source with range scans and commits, and sinks that write files from tasks.
 
 The source plans from headers alone: each file becomes partitions of so many samples,
-and a task reads only its bytes. Paths are of any file system that pyarrow opens and
-all executors share. Layouts are fixed values of the file formats, little-endian.
+and a task reads only its bytes; predicates on file, channel and time narrow the plan.
+The sink writes drafts, which become files when all tasks are done and vanish otherwise.
+Paths are of any file system that pyarrow opens and all executors share; outside local
+mode they need a scheme. Layouts are fixed values of the file formats, little-endian.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from . import CHUNK, signal_bytes, signal_header, sync_bytes, waveform_bytes
@@ -77,14 +80,22 @@ def files_under(path: str) -> list[tuple[str, int]]:
     return sorted((lead + f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
 
 
+def shared_path(spark: SparkSession, path: str) -> str:
+    """`path`, which must name its file system where executors don't share a local one."""
+    if ":" not in path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path} has no scheme: executors would each write to their own disk")
+    return path
+
+
 @dataclass
 class Stretch(InputPartition):
-    """Samples start .. stop of a file."""
+    """Samples start .. stop of a file; of some channels, or of all."""
 
     path: str
     head: Header
     start: int
     stop: int
+    channels: tuple[int, ...] | None = None
 
     def __post_init__(self) -> None:
         super().__init__(None)
@@ -96,25 +107,51 @@ class RecordingReader(DataSourceReader):
         self.only_headers = options.get("headers", "false") == "true"
         self.start, self.stop = int(options.get("start", 0)), options.get("stop")
         self.per_task = int(options.get("samplespertask", 16 * CHUNK))
-        names = [f.name for f in fields.fields]
-        self.wanted = names
+        self.by_sample = options.get("samples", "false") == "true"
+        self.low, self.high = 0, None  # samples that pushed predicates leave
+        self.channels: set[int] | None = None
+        self.files: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Bounds of `t` (of `t0`: none, a chunk begins before), values of `ch` and `file`. Spark checks all rows again."""
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") else ""
+            if isinstance(f, EqualTo | In) and name in ("ch", "file"):
+                values = set(f.value) if isinstance(f, In) else {f.value}
+                known = self.channels if name == "ch" else self.files
+                values = values if known is None else known & values
+                self.channels, self.files = (values, self.files) if name == "ch" else (self.channels, values)
+            elif name == "t" and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    stop = f.value + (not isinstance(f, LessThan))
+                    self.high = stop if self.high is None else min(self.high, stop)
+        return filters
+
+    def headed(self, file: tuple[str, int]) -> list[Stretch]:
+        """The stretches of one file, from its header alone."""
+        path, size = file
+        system, place = opened(path)
+        with system.open_input_file(place) as f:
+            head = header_of(f.read(HEAD).ljust(HEAD, b"\0"), self.layout)
+        samples = (size - head.size) // (np.dtype(head.kind).itemsize * head.channels)
+        if self.only_headers:
+            return [Stretch(path, head, 0, samples)]
+        stop = samples if self.stop is None else int(self.stop)
+        if not 0 <= self.start <= stop <= samples:
+            raise ValueError(f"{path} has {samples} samples, none of them {self.start} to {stop}")
+        start, stop = max(self.start, self.low), stop if self.high is None else min(stop, self.high)
+        channels = None if self.channels is None else tuple(sorted(c for c in self.channels if 0 <= c < head.channels))
+        if start >= stop or channels == ():
+            return []
+        edges = [*range(start, stop, self.per_task), stop]
+        return [Stretch(path, head, a, b, channels) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def partitions(self) -> list[Stretch]:
-        out = []
-        for path, size in files_under(self.path):  # headers only
-            system, place = opened(path)
-            with system.open_input_file(place) as f:
-                head = header_of(f.read(HEAD).ljust(HEAD, b"\0"), self.layout)
-            samples = (size - head.size) // (np.dtype(head.kind).itemsize * head.channels)
-            if self.only_headers:
-                out.append(Stretch(path, head, 0, samples))
-                continue
-            stop = samples if self.stop is None else int(self.stop)
-            if not 0 <= self.start <= stop <= samples:
-                raise ValueError(f"{path} has {samples} samples, none of them {self.start} to {stop}")
-            edges = [*range(self.start, stop, self.per_task), stop]
-            out += [Stretch(path, head, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return out
+        found = [f for f in files_under(self.path) if self.files is None or f[0] in self.files]
+        with ThreadPoolExecutor(16) as pool:  # a small read a file
+            return [part for parts in pool.map(self.headed, found) for part in parts]
 
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
         h = part.head
@@ -122,26 +159,104 @@ class RecordingReader(DataSourceReader):
             yield pa.record_batch([pa.array([part.path]), pa.array([h.rate]), pa.array([h.channels]), pa.array([part.stop])], names=["file", "rate", "channels", "samples"])
             return
         width = np.dtype(h.kind).itemsize * h.channels
+        chosen = list(range(h.channels)) if part.channels is None else list(part.channels)
         system, place = opened(part.path)
         with system.open_input_file(place) as f:
             for t in range(part.start, part.stop, CHUNK):
                 n = min(CHUNK, part.stop - t)
-                x = np.frombuffer(f.read_at(n * width, h.size + t * width), "<" + h.kind).reshape(-1, h.channels).astype(float)
+                x = np.frombuffer(f.read_at(n * width, h.size + t * width), "<" + h.kind).reshape(-1, h.channels)[:, chosen].astype(float)
+                if self.by_sample:
+                    for c, column in zip(chosen, x.T, strict=True):
+                        yield pa.record_batch([pa.repeat(pa.scalar(part.path), n), pa.array(np.full(n, h.rate, np.int64)), pa.array(np.full(n, c, np.int32)), pa.array(t + np.arange(n)), pa.array(np.ascontiguousarray(column))], names=["file", "rate", "ch", "t", "x"])
+                    continue
+                many = len(chosen)
                 columns = {
-                    "file": pa.array([part.path] * h.channels),
-                    "rate": pa.array(np.full(h.channels, h.rate, np.int64)),
-                    "ch": pa.array(np.arange(h.channels, dtype=np.int32)),
-                    "t0": pa.array(np.full(h.channels, t, np.int64)),
+                    "file": pa.array([part.path] * many),
+                    "rate": pa.array(np.full(many, h.rate, np.int64)),
+                    "ch": pa.array(np.array(chosen, dtype=np.int32)),
+                    "t0": pa.array(np.full(many, t, np.int64)),
                     "x": pa.array(list(x.T), pa.list_(pa.float64())),
-                    "low": pa.array(np.full(h.channels, h.low)),
-                    "high": pa.array(np.full(h.channels, h.high)),
-                    "bits": pa.array(np.full(h.channels, h.bits, np.int32)),
+                    "low": pa.array(np.full(many, h.low)),
+                    "high": pa.array(np.full(many, h.high)),
+                    "bits": pa.array(np.full(many, h.bits, np.int32)),
                 }
                 yield pa.record_batch(list(columns.values()), names=list(columns))
 
 
+@dataclass
+class Drafts(WriterCommitMessage):
+    """(draft, name) of the files a task has written."""
+
+    files: list[tuple[str, str]]
+
+
+class RecordingWriter(DataSourceArrowWriter):
+    """One file a value of `file` from rows (file, ch, t, x) in order of file. Drafts stand in a folder of the job's own and are moved when all tasks are done; otherwise the folder goes."""
+
+    def __init__(self, options: dict):
+        self.folder, self.layout, self.rate = options["path"].rstrip("/"), options.get("layout", "signal"), int(options["rate"])
+        self.channels = int(options["channels"]) if "channels" in options else None
+        self.code, self.low, self.high, self.bits = int(options.get("code", 4)), float(options.get("low", -1)), float(options.get("high", 1)), int(options.get("bits", 14))
+        self.job = f"_drafts-{uuid.uuid4().hex}"
+
+    def build(self, ch: np.ndarray, t: np.ndarray, x: np.ndarray) -> bytes:
+        t = t - t.min()
+        out = np.zeros((int(t.max()) + 1, self.channels or int(ch.max()) + 1))
+        out[t, ch] = x
+        kind = NPT_TYPES[self.code] if self.layout == "npt" else "i2"
+        if kind[0] != "f":
+            out = np.clip(np.rint(out), np.iinfo(kind).min, np.iinfo(kind).max)
+        if self.layout == "npt":
+            return npt_bytes(out, self.rate, self.code)
+        return uei_bytes(out, self.rate, self.low, self.high, self.bits) if self.layout == "uei" else signal_bytes(out, self.rate)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Drafts:
+        system, place = opened(self.folder)
+        drafts, now, held = [], None, []
+
+        def flush() -> None:
+            if now is None:
+                return
+            system.create_dir(f"{place}/{self.job}", recursive=True)
+            draft = f"{place}/{self.job}/{uuid.uuid4().hex}"
+            with system.open_output_stream(draft) as out:
+                out.write(self.build(*(np.concatenate([h[i] for h in held]) for i in range(3))))
+            drafts.append((draft, now))
+
+        for b in iterator:
+            names = b["file"].to_pylist()
+            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            columns = [b[c].to_numpy(zero_copy_only=False) for c in ("ch", "t", "x")]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if a < z:
+                    if names[a] != now:
+                        flush()
+                        now, held = names[a], []
+                    held.append([c[a:z] for c in columns])
+        flush()
+        return Drafts(drafts)
+
+    def commit(self, messages: list[Drafts | None]) -> None:
+        system, place = opened(self.folder)
+        system.create_dir(place, recursive=True)
+        for m in messages:
+            for draft, name in m.files if m else ():
+                system.move(draft, f"{place}/{name}")
+        self.clear()
+
+    def abort(self, messages: list[Drafts | None]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        from pyarrow import fs
+
+        system, place = opened(self.folder)
+        if system.get_file_info(f"{place}/{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{place}/{self.job}")  # drafts of this job: those of attempts that failed
+
+
 class Recordings(DataSource):
-    """Options: path (a file or folder), layout (signal, npt, uei), headers, start and stop (samples), samplesPerTask."""
+    """Options: path (a file or folder), layout (signal, npt, uei), headers, samples (a row a sample), start and stop (samples), samplesPerTask. Of sinks: path, layout, rate, channels, code, low, high, bits."""
 
     @classmethod
     def name(cls) -> str:
@@ -150,23 +265,38 @@ class Recordings(DataSource):
     def schema(self) -> str:
         if self.options.get("headers", "false") == "true":
             return "file string, rate long, channels long, samples long"
+        if self.options.get("samples", "false") == "true":
+            return "file string, rate long, ch int, t long, x double"
         return "file string, rate long, ch int, t0 long, x array<double>, low double, high double, bits int"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return RecordingReader(dict(self.options), schema)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return RecordingWriter(dict(self.options))
+
+
+def reader(spark: SparkSession) -> DataFrameReader:
+    """Of the source of recordings. It switches Spark's pushdown into Python sources on, as sources that take predicates need it."""
+    spark.dataSource.register(Recordings)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("recording")
+
+
+def samples(spark: SparkSession, path: str, layout: str = "signal", per_task: int = 16 * CHUNK) -> DataFrame:
+    """(file, rate, ch int, t, x), a row a sample; predicates on file, ch and t become byte ranges of the files."""
+    return reader(spark).option("layout", layout).option("samples", "true").option("samplesPerTask", per_task).load(shared_path(spark, path))
+
 
 def scan(spark: SparkSession, path: str, layout: str = "signal", start: int = 0, stop: int | None = None, per_task: int = 16 * CHUNK) -> DataFrame:
     """(file, rate, ch, t0, x array<double>, low, high, bits): samples start .. stop of each file, in chunks."""
-    spark.dataSource.register(Recordings)
-    reader = spark.read.format("recording").option("layout", layout).option("start", start).option("samplesPerTask", per_task)
-    return (reader if stop is None else reader.option("stop", stop)).load(path)
+    found = reader(spark).option("layout", layout).option("start", start).option("samplesPerTask", per_task)
+    return (found if stop is None else found.option("stop", stop)).load(shared_path(spark, path))
 
 
 def headers(spark: SparkSession, path: str, layout: str = "signal") -> DataFrame:
     """(file, rate, channels, samples) without reading the bodies."""
-    spark.dataSource.register(Recordings)
-    return spark.read.format("recording").option("layout", layout).option("headers", "true").load(path)
+    return reader(spark).option("layout", layout).option("headers", "true").load(shared_path(spark, path))
 
 
 def uei(spark: SparkSession, path: str, channels: list[int] | None = None, unit: str = "volts", start: int = 0, stop: int | None = None) -> DataFrame:
@@ -188,7 +318,7 @@ def triggers(recording: DataFrame, descriptor: DataFrame) -> DataFrame:
 
 def write_files(df: DataFrame, key: str, folder: str, build: Callable[[str, pa.Table], bytes]) -> DataFrame:
     """(name, bytes): one file a group, written by its task under another name and then moved, so that a repeated task does no harm; empty groups have none. A group is a file's worth of rows."""
-    folder = folder.rstrip("/")
+    folder = shared_path(df.sparkSession, folder).rstrip("/")
 
     def run(rows: pa.Table) -> pa.Table:
         name = str(rows[key][0].as_py())
@@ -204,17 +334,18 @@ def write_files(df: DataFrame, key: str, folder: str, build: Callable[[str, pa.T
     return df.groupBy(key).applyInArrow(run, "name string, bytes long")
 
 
-def write_signals(samples: DataFrame, folder: str, rate: int) -> DataFrame:
-    """Signal files from (file, ch int, t, x)."""
+def write_signals(samples: DataFrame, folder: str, rate: int, layout: str = "signal", channels: int | None = None, **options) -> DataFrame:
+    """Recording files from (file, ch int, t, x), a file at most in a task's memory, all of them or none; (name, bytes) of those in the folder.
 
-    def build(name: str, rows: pa.Table) -> bytes:
-        ch, t, x = (rows[c].to_numpy() for c in ("ch", "t", "x"))
-        t = t - t.min()
-        out = np.zeros((int(t.max()) + 1, int(ch.max()) + 1))
-        out[t, ch] = x
-        return signal_bytes(np.clip(np.rint(out), -(2**15), 2**15 - 1), rate)
-
-    return write_files(samples, "file", folder, build)
+    channels: of every file (default: up to the last one that has samples); instants without
+    a sample are zero. options: code (npt), low, high and bits (uei).
+    """
+    spark = samples.sparkSession
+    spark.dataSource.register(Recordings)
+    rows = samples.select(F.col("file").cast("string").alias("file"), F.col("ch").cast("int").alias("ch"), F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"))
+    sink = rows.repartition("file").sortWithinPartitions("file", "t").write.format("recording").mode("append").options(layout=layout, rate=rate, **options)
+    (sink if channels is None else sink.option("channels", channels)).save(shared_path(spark, folder))
+    return spark.createDataFrame([(path.rsplit("/", 1)[-1], size) for path, size in files_under(folder)], "name string, bytes long")
 
 
 def write_waveforms(spikes: DataFrame, folder: str, conversion: int = 10_000) -> DataFrame:
