@@ -103,12 +103,12 @@ def gather_files(pattern: str, sig: DataFrame, lengths: DataFrame | None = None,
     return gather(parts, sig, factor)
 
 
-def learn_files(spark: SparkSession, path: str, channel: int, folder: str, start: int = 0, stop: int | None = None, gain: float = 1.0, layout: str = "signal", **options) -> dict[str, Set]:
+def learn_files(spark: SparkSession, path: str, channel: int, folder: str, begin: int = 0, end: int | None = None, gain: float = 1.0, layout: str = "signal", **options) -> dict[str, Set]:
     """learn, from one channel of recording files and a range of their samples; only these bytes are read. Each file is a recording of its own."""
     from ..sources import recordings
 
-    rows = recordings.samples(spark, path, layout).where((F.col("ch") == channel) & (F.col("t") >= start))
-    rows = rows if stop is None else rows.where(F.col("t") < stop)
+    rows = recordings.samples(spark, path, layout).where((F.col("ch") == channel) & (F.col("t") >= begin))
+    rows = rows if end is None else rows.where(F.col("t") < end)
     return learn(rows.select(F.col("file").alias("ch"), "t", (F.col("x") / gain).alias("x")), folder, **options)
 
 
