@@ -251,3 +251,52 @@ def test_learning_from_files_and_gathering(spark, tmp_path):
     got, p, _ = templates.gather_files(f"file://{tmp_path}/sets/*", sig, factor=0.5)
     best = min(((np.roll(t, s) - wave) ** 2).sum() / (wave**2).sum() for t in got for s in range(6))
     assert best < 0.05 and len(p) == len(got)
+
+
+def test_mat_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    from voltair.sources import mat
+
+    def matrix(kind, name, dims, *parts, order="<"):
+        put = lambda k, c: struct.pack(order + "II", k, len(c)) + c + bytes(-len(c) % 8)
+        ints = lambda v: struct.pack(order + f"{len(v)}i", *v)
+        small = struct.pack(order + "I", len(name) << 16 | 1) + name.ljust(4, b"\0") if 0 < len(name) <= 4 else put(1, name)
+        return put(14, put(6, struct.pack(order + "II", kind, 0)) + put(5, ints(dims)) + small + b"".join(parts))
+
+    part = lambda k, c, order="<": struct.pack(order + "II", k, len(c)) + c + bytes(-len(c) % 8)
+    inner = matrix(12, b"", [1, 3], part(3, struct.pack("<3h", 7, -8, 9)))
+    field = matrix(2, b"rec", [1, 1], struct.pack("<I", 4 << 16 | 5) + struct.pack("<i", 8), part(1, b"x".ljust(8, b"\0") + b"y".ljust(8, b"\0")), inner, matrix(4, b"", [1, 2], part(16, b"hi")))
+    cell = matrix(1, b"c", [1, 2], matrix(6, b"", [2, 2], part(9, struct.pack("<4d", 1, 2, 3, 4))), struct.pack("<II", 14, 0))
+    packed = zlib.compress(matrix(9, b"bytes", [2, 1], part(2, b"\x05\xff")))
+    head = lambda sign, v: b"x".ljust(124) + v + sign
+    (tmp_path / "a.mat").write_bytes(head(b"IM", b"\0\1") + field + cell + struct.pack("<II", 15, len(packed)) + packed)
+    (tmp_path / "b.mat").write_bytes(head(b"MI", b"\1\0") + matrix(6, b"big", [1, 2], part(9, struct.pack(">2d", 1.5, -2)  , ">"), order=">"))
+    got = {(r.file[-5:], r.name): (r["class"], r.dims, r.x, r.text) for r in mat.read(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a.mat", "rec.x"): ("int32", [1, 3], [7, -8, 9], None), ("a.mat", "rec.y"): ("char", [1, 2], [104, 105], "hi"), ("a.mat", "c{1}"): ("double", [2, 2], [1, 2, 3, 4], None),
+        ("a.mat", "c{2}"): ("double", [0, 0], [], None), ("a.mat", "bytes"): ("uint8", [2, 1], [5, 255], None), ("b.mat", "big"): ("double", [1, 2], [1.5, -2], None),
+    }
+    rows = [("cell01", [1.5, 2.5], [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]), ("cell02", [], [[0.0]])]
+    mat.write_spiketrains(spark.createDataFrame(rows, "cell string, ts_ms array<double>, spike_form array<array<double>>"), f"{tmp_path}/out")
+    back = {(r.file[-10:-4], r.name): (r.dims, r.x) for r in mat.read(spark, f"{tmp_path}/out").collect()}
+    assert back == {("cell01", "timestamps"): ([1, 2], [1.5, 2.5]), ("cell01", "spikeForm"): ([2, 3], [1, 4, 2, 5, 3, 6]), ("cell02", "timestamps"): ([1, 0], []), ("cell02", "spikeForm"): ([1, 1], [0.0])}
+    assert {r["class"] for r in mat.read(spark, f"{tmp_path}/out").collect()} == {"double"}
+
+
+def test_planted_overlaps_are_accepted(spark):
+    from voltair.operators import waves
+
+    r = np.random.default_rng(12)
+    shapes = r.normal(0, 1, (3, 20))
+    shapes[:, :4] = shapes[:, -4:] = 0
+    rows = [(100 * (u + 1) + k, u + 1, p, float(v + r.normal(0, 0.01))) for u in range(3) for k in range(5) for p, v in enumerate(shapes[u])]
+    planted = {0: (1, 2, -2, 3), 1: (2, 3, 0, 0), 2: (1, 3, 1, -1)}
+    for s, (a, b, i, j) in planted.items():
+        rows += [(s, 0, p, float(v)) for p, v in enumerate(np.roll(shapes[a - 1], i) + np.roll(shapes[b - 1], j) + r.normal(0, 0.05, 20))]
+    rows += [(3, 0, p, float(v)) for p, v in enumerate(r.normal(0, 1, 20))] + [(4, 0, p, 0.0) for p in range(20)]
+    wave = spark.createDataFrame(rows, "spike long, unit long, pos long, v double")
+    found = waves.accepted_overlaps(wave, 0.05)
+    assert {x.spike: (x.unit1, x.unit2, x.shift1, x.shift2) for x in found.collect()} == planted
+    assert waves.overlap_table(found).count() == 6

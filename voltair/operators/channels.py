@@ -64,6 +64,14 @@ def cut_column(spikes: DataFrame) -> DataFrame:
     return each.select("t", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("cut"))
 
 
+def overlap_index(spikes: DataFrame, width: int) -> DataFrame:
+    """(unit, spike): which units fire at each of the merged instants, numbered in order of time. Instants are counted by stretches of `width`, so no task holds them all."""
+    from .sessions import numbered
+
+    instants = numbered(spikes.select("t", F.lit(0).alias("_all")).distinct(), "_all", F.col("t"), [], width, "spike").select("t", "spike")
+    return spikes.select("unit", "t").distinct().join(instants, "t").select("unit", "spike")
+
+
 def spike_index(spikes: DataFrame) -> DataFrame:
     """Spikes (unit, t) with their ordinal within the unit; positions need no rebasing when files are added."""
     return spikes.withColumn("ordinal", F.row_number().over(Window.partitionBy("unit").orderBy("t")).cast("long") - 1)

@@ -119,3 +119,21 @@ def upsampled(sig: DataFrame, factor: int) -> DataFrame:
     steps = F.explode(F.sequence(F.lit(0), F.lit(factor - 1))).alias("j")
     lines = sig.withColumn("after", after).select("ch", "t", "x", "after", steps).where("after IS NOT NULL OR j = 0")
     return lines.select("ch", (F.col("t") * factor + F.col("j")).alias("t"), (F.col("x") + F.coalesce(F.col("after") - F.col("x"), F.lit(0.0)) * F.col("j") / factor).alias("x"))
+
+
+def spiketrains(train: DataFrame, shapes: DataFrame, merged: dict[str, str], left_out: list[str] = (), micros: int = 1000) -> DataFrame:
+    """(cell, ts_ms array<double>, spike_form array<array<double>>): the trains of chosen units, a row a cell.
+
+    train: (unit, us); shapes: (unit, ch, pos, v), samples of waveforms. Units that `merged`
+    names become one cell, with their distinct times and the mean of all their waveforms;
+    those `left_out` go, the others are cells of their own.
+    """
+    names = F.create_map(*[F.lit(x) for pair in merged.items() for x in pair]) if merged else None
+    cell = F.coalesce(names[F.col("unit")], "unit") if merged else F.col("unit")
+    chosen = lambda df: df.where(~F.col("unit").isin(list(left_out))).withColumn("cell", cell)
+    times = chosen(train).groupBy("cell").agg(F.transform(F.array_sort(F.collect_set("us")), lambda t: t / micros).alias("ts_ms"))  # a file's worth
+    means = chosen(shapes).groupBy("cell", "ch", "pos").agg(F.avg("v").alias("v"))
+    row = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"])
+    by_channel = means.groupBy("cell", "ch").agg(row.alias("row"))
+    form = F.transform(F.array_sort(F.collect_list(F.struct("ch", "row"))), lambda c: c["row"])
+    return times.join(by_channel.groupBy("cell").agg(form.alias("spike_form")), "cell")

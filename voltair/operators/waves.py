@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dot
+
 
 def template_band(wave: DataFrame) -> DataFrame:
     return wave.groupBy("unit", "pos").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n"))
@@ -95,3 +99,38 @@ def resolve_overlaps(wave: DataFrame, unresolved: int = 0, shift: int = 3) -> Da
     error = x.join(F.broadcast(model), "pos").groupBy("spike", "unit1", "unit2", "s").agg(F.round(F.avg(F.pow(F.col("v") - F.col("m"), 2)), 9).alias("sse"))
     best = F.min(F.struct("sse", "unit1", "unit2", "s")).alias("b")
     return error.groupBy("spike").agg(best).select("spike", "b.unit1", "b.unit2", F.col("b.s").cast("long").alias("shift"), "b.sse")
+
+
+def accepted_overlaps(wave: DataFrame, threshold: float = 0.05, unresolved: int = 0, shift: int = 3, salts: int = 8) -> DataFrame:
+    """(spike, unit1, unit2, shift1, shift2, score): spikes of the unresolved unit that are the sum of two templates, each moved by at most `shift`.
+
+    score: squared error over the energy of the sum, below `threshold`; the least one of a
+    spike stays. An error is at least the squared difference of the norms, so a spike can only
+    be accepted by sums whose norm lies within a factor of its own: sums and spikes meet by
+    ranges of the norm, and spikes of one range are dealt over `salts` tasks.
+    """
+    shape = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"])
+    means = template_band(wave).where(F.col("unit") != unresolved).select("unit", "pos", F.col("mean").alias("v"))
+    means = means.groupBy("unit").agg(shape.alias("m"))
+    moves = means.select("unit", "m", F.explode(F.sequence(F.lit(-shift), F.lit(shift))).alias("s"))
+    zeros = F.array_repeat(F.lit(0.0), shift)
+    moved = moves.select("unit", F.col("s").cast("long").alias("s"), F.slice(F.concat(zeros, "m", zeros), shift + 1 - F.col("s"), F.size("m")).alias("m"))
+    one, two = (moved.select(F.col("unit").alias(f"unit{k}"), F.col("s").alias(f"shift{k}"), F.col("m").alias(f"m{k}"), F.lit(0).alias("all")) for k in (1, 2))
+    sums = one.join(two, "all").where("unit1 < unit2").select("unit1", "unit2", "shift1", "shift2", F.zip_with("m1", "m2", lambda a, b: a + b).alias("m"))  # units^2 * shifts^2 / 2 rows
+    width, root = 0.25, math.sqrt(threshold)
+    power = lambda c: dot(F.col(c), F.col(c))
+    range_of = lambda x: F.floor(F.ln(x) / (2 * width))  # noqa: E731  of the squared norm
+    sums = sums.withColumn("energy", power("m")).where("energy > 0").select("*", range_of(F.col("energy")).alias("range"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spikes = wave.where(F.col("unit") == unresolved).groupBy("spike").agg(shape.alias("v")).withColumn("own", power("v")).where("own > 0")
+    slack = 1e-9
+    low, high = range_of(F.col("own") / (1 + root + slack) ** 2), range_of(F.col("own") / max(1 - root - slack, 1e-9) ** 2)
+    near = spikes.select("*", F.explode(F.sequence(low, high)).alias("range"), (F.abs(F.xxhash64("spike")) % salts).cast("int").alias("salt"))
+    score = F.round((F.col("own") - 2 * dot(F.col("v"), F.col("m")) + F.col("energy")) / F.col("energy"), 9).alias("score")
+    found = near.join(sums, ["range", "salt"]).select("spike", "unit1", "unit2", "shift1", "shift2", score).where(F.col("score") < threshold)
+    best = F.min(F.struct("score", "unit1", "unit2", "shift1", "shift2")).alias("b")
+    return found.groupBy("spike").agg(best).select("spike", *[f"b.{c}" for c in ("unit1", "unit2", "shift1", "shift2", "score")])
+
+
+def overlap_table(accepted: DataFrame) -> DataFrame:
+    """(spike, unit): the units of each accepted overlap."""
+    return accepted.select("spike", F.explode(F.array("unit1", "unit2")).alias("unit"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views as v
 from ..functions import numeric_suffix, popcount
-from ..operators import sessions, trains, waves
+from ..operators import channels, sessions, trains, waves
 from . import BAND, CORR, HOUR, MINUTE, SPIKES, query, rounded
 
 #: Trains by session, waveforms with a time, in both languages.
@@ -170,3 +170,48 @@ def line_noise_windows(s, d):
     return rounded(signals.line_noise_removed(v.sig(s, d), 200, window=200), "x")
 
 
+@query(
+    BAND
+    + """, t AS (SELECT * FROM band WHERE unit <> 0), k AS (SELECT s FROM range(-3, 4) r(s)), u AS (SELECT DISTINCT unit FROM t),
+q AS (SELECT a.unit AS unit1, b.unit AS unit2, i.s AS shift1, j.s AS shift2, p.pos, coalesce(m.mean, 0) + coalesce(n.mean, 0) AS m
+FROM u a JOIN u b ON a.unit < b.unit, k i, k j, (SELECT DISTINCT pos FROM wave) p LEFT JOIN t m ON m.unit = a.unit AND m.pos = p.pos - i.s LEFT JOIN t n ON n.unit = b.unit AND n.pos = p.pos - j.s),
+z AS (SELECT spike, wave.pos, m.mean + n.mean + 0.05 * v AS v FROM wave JOIN t m ON m.unit = spike % 9 + 1 AND m.pos = wave.pos JOIN t n ON n.unit = (spike + 4) % 9 + 1 AND n.pos = wave.pos WHERE wave.unit = 0),
+e AS (SELECT spike, unit1, unit2, shift1, shift2, round(sum((v - m) ** 2) / sum(m * m), 9) AS score FROM z JOIN q ON z.pos = q.pos GROUP BY ALL)
+SELECT spike, unit1, unit2, shift1, shift2, round(score, 6) AS score FROM e WHERE score < 0.05 QUALIFY row_number() OVER (PARTITION BY spike ORDER BY score, unit1, unit2, shift1, shift2) = 1""",
+    "wave",
+)
+def accepted_overlaps(s, d):
+    """Waveforms of unit 0 become sums of two units' means, with a twentieth of their own."""
+    wave = v.wave(s, d)
+    mean = waves.template_band(wave).where("unit <> 0").select("unit", "pos", "mean")
+    one, two = (mean.select(F.col("unit").alias(f"u{k}"), "pos", F.col("mean").alias(f"m{k}")) for k in (1, 2))
+    lone = wave.where("unit = 0").withColumn("u1", F.col("spike") % 9 + 1).withColumn("u2", (F.col("spike") + 4) % 9 + 1)
+    summed = lone.join(one, ["u1", "pos"]).join(two, ["u2", "pos"]).select("spike", "unit", "pos", (F.col("m1") + F.col("m2") + 0.05 * F.col("v")).alias("v"))
+    return rounded(waves.accepted_overlaps(wave.where("unit <> 0").union(summed)), "score")
+
+
+@query(" SELECT unit, spike - 1 AS spike FROM (SELECT unit, dense_rank() OVER (ORDER BY us // 1000000) AS spike FROM train GROUP BY unit, us // 1000000)", "train")
+def overlap_index(s, d):
+    """Spikes in the same second are one instant."""
+    return channels.overlap_index(v.train(s, d).select("unit", F.floor(F.col("us") / 1_000_000).alias("t")), 86_400)
+
+
+@query(
+    SPIKES
+    + """, cells AS (SELECT DISTINCT ch, CASE WHEN ch IN ('click', 'view') THEN 'merged' ELSE ch END AS cell FROM sig WHERE ch <> 'purchase'),
+shape AS (SELECT cell, sig.t - spikes.t + 10 AS pos, avg(sig.x) AS v FROM spikes JOIN cells ON cells.ch = spikes.ch JOIN sig ON spikes.ch = sig.ch AND sig.t BETWEEN spikes.t - 10 AND spikes.t + 21 GROUP BY ALL),
+times AS (SELECT DISTINCT cell, us FROM (SELECT event_type AS ch, epoch_us(ts) AS us FROM events) JOIN cells USING (ch) WHERE cell IN (SELECT cell FROM shape))
+SELECT cell, 'timestamps' AS name, row_number() OVER (PARTITION BY cell ORDER BY us) - 1 AS i, round(us / 1000, 3) + 0.0 AS x FROM times UNION ALL SELECT cell, 'spikeForm', pos, round(v, 3) + 0.0 FROM shape""",
+    "sig",
+)
+def spiketrain_files(s, d):
+    """Trains of merged and selected units as MAT files, a cell each, read back."""
+    from ..operators import signals
+    from ..shared import folder
+    from ..sources import mat
+
+    sig, path = v.sig(s, d), folder(s, "spiketrains")
+    shapes = signals.snippets(sig, signals.spikes(sig, 3.0)).select(F.col("ch").alias("unit"), F.lit(0).alias("ch"), "pos", F.col("x").alias("v"))
+    mat.write_spiketrains(sessions.spiketrains(v.train(s, d), shapes, {"click": "merged", "view": "merged"}, ["purchase"]), path)
+    rows = mat.read(s, path).select(F.regexp_extract("file", "([^/]*)[.]mat$", 1).alias("cell"), "name", F.posexplode("x").alias("i", "x"))
+    return rounded(rows.withColumn("i", F.col("i").cast("long")), "x", digits=3)

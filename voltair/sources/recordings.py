@@ -190,25 +190,16 @@ class Drafts(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class RecordingWriter(DataSourceArrowWriter):
-    """One file a value of `file` from rows (file, ch, t, x) in order of file. Drafts stand in a folder of the job's own and are moved when all tasks are done; otherwise the folder goes."""
+class DraftWriter(DataSourceArrowWriter):
+    """One file a value of `file` from rows in order of file. Drafts stand in a folder of the job's own and are moved when all tasks are done; otherwise the folder goes."""
 
     def __init__(self, options: dict):
-        self.folder, self.layout, self.rate = options["path"].rstrip("/"), options.get("layout", "signal"), int(options["rate"])
-        self.channels = int(options["channels"]) if "channels" in options else None
-        self.code, self.low, self.high, self.bits = int(options.get("code", 4)), float(options.get("low", -1)), float(options.get("high", 1)), int(options.get("bits", 14))
+        self.folder = options["path"].rstrip("/")
         self.job = f"_drafts-{uuid.uuid4().hex}"
 
-    def build(self, ch: np.ndarray, t: np.ndarray, x: np.ndarray) -> bytes:
-        t = t - t.min()
-        out = np.zeros((int(t.max()) + 1, self.channels or int(ch.max()) + 1))
-        out[t, ch] = x
-        kind = NPT_TYPES[self.code] if self.layout == "npt" else "i2"
-        if kind[0] != "f":
-            out = np.clip(np.rint(out), np.iinfo(kind).min, np.iinfo(kind).max)
-        if self.layout == "npt":
-            return npt_bytes(out, self.rate, self.code)
-        return uei_bytes(out, self.rate, self.low, self.high, self.bits) if self.layout == "uei" else signal_bytes(out, self.rate)
+    def build(self, rows: pa.Table) -> bytes:
+        """The bytes of a file from all its rows."""
+        raise NotImplementedError
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Drafts:
         system, place = opened(self.folder)
@@ -217,22 +208,22 @@ class RecordingWriter(DataSourceArrowWriter):
         def flush() -> None:
             if now is None:
                 return
+            data = self.build(pa.Table.from_batches(held))
             system.create_dir(f"{place}/{self.job}", recursive=True)
             draft = f"{place}/{self.job}/{uuid.uuid4().hex}"
             with system.open_output_stream(draft) as out:
-                out.write(self.build(*(np.concatenate([h[i] for h in held]) for i in range(3))))
+                out.write(data)
             drafts.append((draft, now))
 
         for b in iterator:
             names = b["file"].to_pylist()
             edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-            columns = [b[c].to_numpy(zero_copy_only=False) for c in ("ch", "t", "x")]
             for a, z in zip(edges[:-1], edges[1:], strict=True):
                 if a < z:
                     if names[a] != now:
                         flush()
                         now, held = names[a], []
-                    held.append([c[a:z] for c in columns])
+                    held.append(b.slice(a, z - a))
         flush()
         return Drafts(drafts)
 
@@ -255,6 +246,28 @@ class RecordingWriter(DataSourceArrowWriter):
             system.delete_dir(f"{place}/{self.job}")  # drafts of this job: those of attempts that failed
 
 
+class RecordingWriter(DraftWriter):
+    """Recordings from rows (file, ch, t, x)."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.layout, self.rate = options.get("layout", "signal"), int(options["rate"])
+        self.channels = int(options["channels"]) if "channels" in options else None
+        self.code, self.low, self.high, self.bits = int(options.get("code", 4)), float(options.get("low", -1)), float(options.get("high", 1)), int(options.get("bits", 14))
+
+    def build(self, rows: pa.Table) -> bytes:
+        ch, t, x = (rows[c].to_numpy() for c in ("ch", "t", "x"))
+        t = t - t.min()
+        out = np.zeros((int(t.max()) + 1, self.channels or int(ch.max()) + 1))
+        out[t, ch] = x
+        kind = NPT_TYPES[self.code] if self.layout == "npt" else "i2"
+        if kind[0] != "f":
+            out = np.clip(np.rint(out), np.iinfo(kind).min, np.iinfo(kind).max)
+        if self.layout == "npt":
+            return npt_bytes(out, self.rate, self.code)
+        return uei_bytes(out, self.rate, self.low, self.high, self.bits) if self.layout == "uei" else signal_bytes(out, self.rate)
+
+
 class Recordings(DataSource):
     """Options: path (a file or folder), layout (signal, npt, uei), headers, samples (a row a sample), start and stop (samples), samplesPerTask. Of sinks: path, layout, rate, channels, code, low, high, bits."""
 
