@@ -66,7 +66,7 @@ def cut_column(spikes: DataFrame) -> DataFrame:
 
 def overlap_index(spikes: DataFrame, width: int) -> DataFrame:
     """(unit, spike): which units fire at each of the merged instants, numbered in order of time. Instants are counted by stretches of `width`, so no task holds them all."""
-    from .sessions import numbered
+    from .ordered import numbered
 
     instants = numbered(spikes.select("t", F.lit(0).alias("_all")).distinct(), "_all", F.col("t"), [], width, "spike").select("t", "spike")
     return spikes.select("unit", "t").distinct().join(instants, "t").select("unit", "spike")

@@ -149,6 +149,11 @@ def split_sparse(templates: np.ndarray, p: np.ndarray, precision: float, below:
     return templates, p
 
 
+def first_guess(rings: int, length: int, r: np.random.Generator) -> np.ndarray:
+    """Waves of random sizes, in units of the signal's scale."""
+    return np.sin(np.linspace(0, 3 * np.pi, length))[None, :] * r.uniform(0.5, 1.5, (rings, 1))
+
+
 def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3, seed: int = 1234, update_p: bool = False, start: float = 1e-8, known: tuple[np.ndarray, np.ndarray, float] | None = None, split_below: float | None = None, shift: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
     """(templates, p, precision) by expectation maximisation. Only sums by state, a fixed number, come to the driver.
 
@@ -161,7 +166,7 @@ def learn(sig: DataFrame, rings: int = 8, length: int = 45, iterations: int = 3,
         rings, length = templates.shape
     else:
         scale = float(mad_scale(sig).agg({"scale": "avg"}).first()[0] or 1.0)
-        templates = np.sin(np.linspace(0, 3 * np.pi, length))[None, :] * r.uniform(0.5, 1.5, (rings, 1)) * scale
+        templates = first_guess(rings, length, r) * scale
         p0, precision = np.full(rings, start), 1 / scale**2
     p = p0
     for _ in range(iterations):
@@ -524,7 +529,7 @@ def alternatives(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision
     """
     states = joint_states(len(templates), templates.shape[1], min(active, len(templates)))
     moves = predecessors(states, templates.shape[1], p)
-    from .sessions import numbered
+    from .ordered import numbered
 
     done = decoded_chunks(sig, states, moves, templates, precision, patch)
     running = done.select("ch", "t0", F.posexplode("path").alias("i", "s")).where("s > 0").select("ch", (F.col("t0") + F.col("i")).alias("t"))

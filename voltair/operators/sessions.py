@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signals, trains, waves
 from .bandjoin import near_other
-
-
-def numbered(df: DataFrame, part: str, at: Column, order: list[str], width: int, name: str = "t") -> DataFrame:
-    """df with its 0-based number within `part`, in the order of `at` and then `order`.
-
-    Rows are ranked within buckets of `width` of `at`, and a bucket's first number is the
-    count of the buckets before it, so no task holds a whole part; only the counts, a row a
-    bucket, are summed up in order.
-    """
-    bucketed = df.withColumn("_bucket", F.floor(at / width))
-    counts = bucketed.groupBy(part, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(part, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy(part, "_bucket").orderBy(at, *order)) - 1
-    return bucketed.withColumn("_rank", rank).join(first, [part, "_bucket"]).withColumn(name, (F.col("_first") + F.col("_rank")).cast("long")).select(*df.columns, name)
+from .ordered import beside, numbered
 
 
 def extract(sig: DataFrame, k: float = 6.0, before: int = 10, after: int = 21, gap: int | None = None) -> DataFrame:
@@ -115,9 +101,8 @@ def capped(templates: DataFrame, most: int = 30) -> DataFrame:
 
 def upsampled(sig: DataFrame, factor: int) -> DataFrame:
     """(ch, t, x) at `factor` times the rate: straight lines between samples; t in new samples, the last sample ends it."""
-    after = F.lead("x").over(Window.partitionBy("ch").orderBy("t"))
     steps = F.explode(F.sequence(F.lit(0), F.lit(factor - 1))).alias("j")
-    lines = sig.withColumn("after", after).select("ch", "t", "x", "after", steps).where("after IS NOT NULL OR j = 0")
+    lines = beside(sig, "ch", ["t"], signals.STRETCH, after={"after": "x"}).select("ch", "t", "x", "after", steps).where("after IS NOT NULL OR j = 0")
     return lines.select("ch", (F.col("t") * factor + F.col("j")).alias("t"), (F.col("x") + F.coalesce(F.col("after") - F.col("x"), F.lit(0.0)) * F.col("j") / factor).alias("x"))
 
 

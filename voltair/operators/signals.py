@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import MAD_QUANTILE
 from ..shared import materialise
 from .chunks import sections
+from .ordered import beside
+
+#: Samples of a channel that a task puts in order.
+STRETCH = 1 << 20
 
 
 def mad_scale(sig: DataFrame) -> DataFrame:
@@ -39,8 +43,7 @@ def session_threshold(sig: DataFrame, k: float = 4.0) -> DataFrame:
 
 def troughs(sig: DataFrame) -> DataFrame:
     """Samples where the sign of the difference rises: local minima (a flat one counts at both ends)."""
-    w = Window.partitionBy("ch").orderBy("t")
-    around = sig.withColumn("before", F.lag("x").over(w)).withColumn("after", F.lead("x").over(w))
+    around = beside(sig, "ch", ["t"], STRETCH, before={"before": "x"}, after={"after": "x"})
     return around.where(F.signum(F.col("after") - F.col("x")) - F.signum(F.col("x") - F.col("before")) > 0).drop("before", "after")
 
 

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import bin_of
 from .bandjoin import band_join, near_other
+from .ordered import beside
+
+
+#: Microseconds of a train that a task puts in order: a day.
+STRETCH = 86_400_000_000
 
 
 def intervals(train: DataFrame) -> DataFrame:
-    w = Window.partitionBy("unit").orderBy("us", "spike")
-    return train.withColumn("isi", F.col("us") - F.lag("us").over(w)).where("isi IS NOT NULL")
+    """train with `isi`, the time since the spike before; the first spikes go."""
+    near = beside(train, "unit", ["us", "spike"], STRETCH, before={"_us": "us"})
+    return near.withColumn("isi", F.col("us") - F.col("_us")).where("isi IS NOT NULL").drop("_us")
 
 
 def isi_stats(train: DataFrame) -> DataFrame:

@@ -58,8 +58,7 @@ def merge_statistic(wave: DataFrame, max_p: float = 12.0) -> DataFrame:
 def isolation_distance(wave: DataFrame) -> DataFrame:
     """Per unit of n spikes: distance of the n-th nearest spike of other units over that of the farthest member, from the unit's mean."""
     mean = template_band(wave).select("unit", "pos", "mean", "n")
-    few = F.broadcast(mean)  # units times positions
-    d = wave.select("spike", F.col("unit").alias("own"), "pos", "v").join(few, "pos").groupBy("spike", "own", "unit", "n").agg(F.sum(F.pow(F.col("v") - F.col("mean"), 2)).alias("d"))
+    d = wave.select("spike", F.col("unit").alias("own"), "pos", "v").join(mean, "pos").groupBy("spike", "own", "unit", "n").agg(F.sum(F.pow(F.col("v") - F.col("mean"), 2)).alias("d"))
     far = d.where("own = unit").groupBy("unit").agg(F.max("d").alias("farthest"))
     rank = F.row_number().over(Window.partitionBy("unit").orderBy("d", "spike"))
     other = d.where("own <> unit").withColumn("r", rank).where("r = n").select("unit", "d")
@@ -96,7 +95,7 @@ def resolve_overlaps(wave: DataFrame, unresolved: int = 0, shift: int = 3) -> Da
     model = pairs.select("unit1", "unit2", "s", "pos", (F.col("m1") + F.col("m2")).alias("m"))
     x = wave.where(F.col("unit") == unresolved).select("spike", "pos", "v")
     # |x - m|^2 summed where both stand; a spike meets units^2 * shifts candidates
-    error = x.join(F.broadcast(model), "pos").groupBy("spike", "unit1", "unit2", "s").agg(F.round(F.avg(F.pow(F.col("v") - F.col("m"), 2)), 9).alias("sse"))
+    error = x.join(model, "pos").groupBy("spike", "unit1", "unit2", "s").agg(F.round(F.avg(F.pow(F.col("v") - F.col("m"), 2)), 9).alias("sse"))
     best = F.min(F.struct("sse", "unit1", "unit2", "s")).alias("b")
     return error.groupBy("spike").agg(best).select("spike", "b.unit1", "b.unit2", F.col("b.s").cast("long").alias("shift"), "b.sse")
 

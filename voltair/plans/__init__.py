@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import views as v
 from ..functions import split_state
-from ..operators import hmm, signals, trains, waves
+from ..operators import signals, trains, waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -247,31 +247,4 @@ def scaled(s, d):
     return sig.join(F.broadcast(signals.mad_scale(sig)), "ch").select("ch", "t", (F.col("x") / F.col("scale")).alias("x"))
 
 
-@query()
-def viterbi_states(s, d):
-    return hmm.decode(scaled(s, d), DEMO, np.full(2, 1e-3), 1.0, patch=2000)
-
-
-@query()
-def decoded_spikes(s, d):
-    return hmm.decoded_spikes(viterbi_states(s, d), DEMO)
-
-
-@query()
-def forward_backward(s, d):
-    return hmm.posterior_sums(scaled(s, d), DEMO, np.full(2, 1e-3), 1.0, chunk=2000)
-
-
-@query()
-def learn_templates(s, d):
-    templates, p, _ = hmm.learn(scaled(s, d), rings=3, length=6, iterations=3, start=1e-3)
-    rows = [(i, float(p[i]), [float(x) for x in t]) for i, t in enumerate(templates)]
-    return s.createDataFrame(rows, "template_id long, p double, waveform array<double>")
-
-
-@query()
-def fft_bandpass(s, d):
-    return signals.fft_bandpass(v.sig(s, d), 1000.0, 50.0, 300.0)
-
-
 from . import decoding, recorded, selection, sessions  # noqa: E402, F401  (register their queries here)

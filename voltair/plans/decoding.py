@@ -87,11 +87,111 @@ def decoded_tables(s, d):
     return back["states"].join(F.broadcast(templates), "template_id").join(F.broadcast(back["decode_stats"].select("ch", "samples")), "ch")  # a row a template, a row a channel
 
 
-@query()
+RATES = np.full(2, 1e-3)
+JOINT = hmm.joint_states(2, DEMO.shape[1], 2)
+
+
+def trellis_sql(states: np.ndarray, moves: hmm.Moves, templates: np.ndarray) -> str:
+    """As ring_sql, over joint states: best and second best ways into each, `path` by the best ones, and `other`, which takes the second best where the first wins by less than 0.5."""
+    padded = np.concatenate([np.zeros((len(templates), 1)), templates], 1)
+    means = [float(m) for m in sum(padded[r, states[:, r]] for r in range(len(templates)))]
+    n = len(states)
+    into = {j: list(zip(moves.who[moves.of(j)].tolist(), moves.log_p[moves.of(j)].tolist(), strict=True)) for j in range(n)}
+    options = ", ".join(f"[{', '.join(f'w.s[{i + 1}] + {lp!r}::DOUBLE' for i, lp in into[j])}]" for j in range(n))
+    ids = ", ".join(str([i for i, _ in into[j]]) for j in range(n))
+    start = "[" + ", ".join("0.0" if j == 0 else "-1e300" for j in range(n)) + "]::DOUBLE[]"
+    return f"""{SCALED}, c AS (SELECT [{ids}] AS ids, {means!r}::DOUBLE[] AS m),
+f AS (SELECT ch, 0::BIGINT AS t, {start} AS s, []::BIGINT[] AS b, []::BIGINT[] AS b2, []::DOUBLE[] AS margin FROM sc WHERE t = 0
+UNION ALL SELECT ch, t, list_transform(range(1, {n + 1}), lambda j: list_max(o[j]) - 0.5 * (x - m[j]) * (x - m[j])), list_transform(range(1, {n + 1}), lambda j: ids[j][list_position(o[j], list_max(o[j]))]),
+  list_transform(range(1, {n + 1}), lambda j: ids[j][list_position(o[j], list_reverse_sort(o[j])[least(2, len(o[j]))])]), list_transform(range(1, {n + 1}), lambda j: CASE WHEN len(o[j]) > 1 THEN list_max(o[j]) - list_reverse_sort(o[j])[2] ELSE 1e300 END)
+  FROM (SELECT sc.ch, sc.t, x, [{options}] AS o FROM f w JOIN sc ON sc.ch = w.ch AND sc.t = w.t + 1), c),
+high AS (SELECT ch, max(t) AS high FROM sc GROUP BY ch),
+q AS (SELECT f.ch, f.t, list_position(s, list_max(s)) - 1 AS state FROM f JOIN high ON f.ch = high.ch AND f.t = high UNION ALL SELECT q.ch, q.t - 1, f.b[q.state + 1] FROM q JOIN f ON f.ch = q.ch AND f.t = q.t WHERE q.t > 0),
+path AS (SELECT * FROM q),
+weak AS MATERIALIZED (SELECT q.ch, q.t FROM q JOIN f ON f.ch = q.ch AND f.t = q.t WHERE q.t > 0 AND f.margin[q.state + 1] < 0.5),
+marked AS MATERIALIZED (SELECT f.*, weak.t IS NOT NULL AS turn FROM f LEFT JOIN weak ON weak.ch = f.ch AND weak.t = f.t),
+r AS (SELECT f.ch, f.t, list_position(s, list_max(s)) - 1 AS state FROM f JOIN high ON f.ch = high.ch AND f.t = high UNION ALL SELECT r.ch, r.t - 1, CASE WHEN turn AND f.margin[r.state + 1] < 1e299 THEN f.b2[r.state + 1] ELSE f.b[r.state + 1] END FROM r JOIN marked f ON f.ch = r.ch AND f.t = r.t WHERE r.t > 0),
+other AS (SELECT * FROM r),
+rings AS (SELECT * FROM (VALUES {', '.join(f'({i}, {k}, {int(v)})' for i, s in enumerate(states) for k, v in enumerate(s) if v)}) v(joint, template_id, state))"""
+
+
+BOTH = trellis_sql(JOINT, hmm.predecessors(JOINT, DEMO.shape[1], RATES), DEMO)
+RUNNING = " SELECT ch, template_id::BIGINT AS template_id, t, rings.state::BIGINT AS state FROM {path} p JOIN rings ON rings.joint = p.state"
+
+
+@recursive(BOTH + RUNNING.format(path="path"), "sig")
+def viterbi_states(s, d):
+    return hmm.decode(scaled(s, d), DEMO, RATES, 1.0, patch=CHUNK)
+
+
+@recursive(BOTH + " SELECT ch, template_id::BIGINT AS unit, t FROM path p JOIN rings ON rings.joint = p.state WHERE rings.state = CASE template_id " + " ".join(f"WHEN {i} THEN {int(k)}" for i, k in enumerate(DEMO.argmin(1) + 1)) + " END", "sig")
+def decoded_spikes(s, d):
+    return hmm.decoded_spikes(viterbi_states(s, d), DEMO)
+
+
+@recursive(BOTH + RUNNING.format(path="other"), "sig")
 def redecoded_states(s, d):
     """Two rings, decoded again with the least certain decisions taken the other way."""
-    sig, p = scaled(s, d), np.full(2, 1e-3)
-    return hmm.redecode(sig, hmm.uncertain(sig, DEMO, p, 1.0, 0.5, patch=CHUNK), DEMO, p, 1.0, patch=CHUNK)
+    sig = scaled(s, d)
+    return hmm.redecode(sig, hmm.uncertain(sig, DEMO, RATES, 1.0, 0.5, patch=CHUNK), DEMO, RATES, 1.0, patch=CHUNK)
+
+
+def posterior_sql(tag: str, rings: int, length: int, p: float) -> str:
+    """CTEs from m<tag> (m0, .., prec: one row) to sums<tag> (g0, x0, xx0, .., n): the sums of the posterior over all samples, forward and back by recursion in t."""
+    n = 1 + rings * length
+    first, last = [1 + r * length for r in range(rings)], [(1 + r) * length for r in range(rings)]
+    each = lambda f, join=", ": join.join(f(j) for j in range(n))
+    into = lambda j: f"w.f0 * {1 - rings * p!r} + " + " + ".join(f"w.f{k}" for k in last) if j == 0 else f"w.f0 * {p!r}" if j in first else f"w.f{j - 1}"
+    out = lambda j: f"w.b0 * e0 * {1 - rings * p!r} + {p!r} * (" + " + ".join(f"w.b{k} * e{k}" for k in first) + ")" if j == 0 else "w.b0 * e0" if j in last else f"w.b{j + 1} * e{j + 1}"
+    total = lambda c: each(lambda j: f"{c}{j}", " + ")
+    return f"""em{tag} AS (SELECT ch, t, x, {each(lambda j: f"e{j} / total AS e{j}")} FROM (SELECT *, {total("e")} AS total FROM (SELECT ch, t, x, {each(lambda j: f"exp(-0.5 * prec * (x - m{j}) * (x - m{j})) + 9.859676543759770e-305 AS e{j}")} FROM sc, m{tag}))),
+fw{tag} AS (SELECT ch, t, {each(lambda j: f"{float(j == 0)!r}::DOUBLE AS f{j}")} FROM em{tag} WHERE t = 0 UNION ALL SELECT ch, t, {each(lambda j: f"f{j} / total")} FROM (SELECT *, {total("f")} AS total FROM (SELECT e.ch, e.t, {each(lambda j: f"({into(j)}) * e{j} AS f{j}")} FROM fw{tag} w JOIN em{tag} e ON e.ch = w.ch AND e.t = w.t + 1))),
+bw{tag} AS (SELECT ch, max(t) AS t, {each(lambda j: f"1.0::DOUBLE AS b{j}")} FROM em{tag} GROUP BY ch UNION ALL SELECT ch, t, {each(lambda j: f"b{j} / total")} FROM (SELECT *, {total("b")} AS total FROM (SELECT e.ch, w.t - 1 AS t, {each(lambda j: f"{out(j)} AS b{j}")} FROM bw{tag} w JOIN em{tag} e ON e.ch = w.ch AND e.t = w.t WHERE w.t > 0))),
+po{tag} AS (SELECT ch, t, x, {each(lambda j: f"g{j} / total AS g{j}")} FROM (SELECT *, {total("g")} AS total FROM (SELECT e.ch, e.t, x, {each(lambda j: f"f{j} * b{j} AS g{j}")} FROM em{tag} e JOIN fw{tag} f ON f.ch = e.ch AND f.t = e.t JOIN bw{tag} b ON b.ch = e.ch AND b.t = e.t))),
+sums{tag} AS (SELECT {each(lambda j: f"sum(g{j}) AS g{j}, sum(g{j} * x) AS x{j}, sum(g{j} * x * x) AS xx{j}")}, count(*) AS n FROM po{tag})"""
+
+
+def model_sql(means: np.ndarray, precision: float) -> str:
+    return "SELECT " + ", ".join(f"{float(m)!r}::DOUBLE AS m{j}" for j, m in enumerate([0.0, *means.ravel()])) + f", {precision!r}::DOUBLE AS prec"
+
+
+@recursive(f"{SCALED}, m1 AS ({model_sql(DEMO, 1.0)}), {posterior_sql('1', 2, 4, 1e-3)} " + " UNION ALL ".join(f"SELECT {j}::BIGINT AS state, round(g{j}, 4) + 0.0 AS g, round(x{j}, 4) + 0.0 AS gx, round(xx{j}, 4) + 0.0 AS gxx, n AS samples FROM sums1" for j in range(9)), "sig")
+def forward_backward(s, d):
+    return rounded(hmm.posterior_sums(scaled(s, d), DEMO, RATES, 1.0, chunk=CHUNK), "g", "gx", "gxx", digits=4)
+
+
+LEARNED = {"rings": 3, "length": 6, "iterations": 3, "start": 1e-3}
+
+
+def learning_sql(rings: int, length: int, iterations: int, start: float) -> str:
+    """Expectation maximisation from the first guess of hmm.learn; the rate stays as it was."""
+    n = 1 + rings * length
+    guess = hmm.first_guess(rings, length, np.random.default_rng(1234))
+    parts = ["m1 AS (SELECT 0.0::DOUBLE AS m0, " + ", ".join(f"{float(v)!r} * scale AS m{j + 1}" for j, v in enumerate(guess.ravel())) + ", 1 / (scale * scale) AS prec FROM (SELECT avg(scale) AS scale FROM (SELECT ch, median(abs(x)) / 0.6745 AS scale FROM sc GROUP BY ch)))"]
+    for k in range(1, iterations + 1):
+        left = " + ".join(f"(xx{j} - 2 * m{j} * x{j} + m{j} * m{j} * g{j})" for j in range(n))
+        mean = ", ".join("0.0::DOUBLE AS m0" if j == 0 else f"x{j} / greatest(g{j}, 1e-300) AS m{j}" for j in range(n))
+        parts += [posterior_sql(str(k), rings, length, start), f"m{k + 1} AS (SELECT *, n / ({left}) AS prec FROM (SELECT *, {mean} FROM sums{k}))"]
+    rows = " UNION ALL ".join(f"SELECT {r}::BIGINT AS template_id, round(g{1 + r * length} / n, 6) AS p, {i}::BIGINT AS pos, round(m{1 + r * length + i}, 4) + 0.0 AS x FROM m{iterations + 1}" for r in range(rings) for i in range(length))
+    return f"{SCALED}, " + ", ".join(parts) + " " + rows
+
+
+@recursive(learning_sql(**LEARNED), "sig")
+def learn_templates(s, d):
+    """(template_id, p, pos, x): learned waveforms, a row a sample."""
+    templates, p, _ = hmm.learn(scaled(s, d), **LEARNED)
+    rows = [(i, float(p[i]), k, float(x)) for i, t in enumerate(templates) for k, x in enumerate(t)]
+    return rounded(rounded(s.createDataFrame(rows, "template_id long, p double, pos long, x double"), "p"), "x", digits=4)
+
+
+@query(
+    """, n AS (SELECT ch, count(*) AS n FROM sig GROUP BY ch), k AS (SELECT ch, n, k FROM n, unnest(range(0, n // 2 + 1)) r(k) WHERE k * 1000.0 / n >= 50 AND k * 1000.0 / n <= 300),
+dft AS (SELECT k.ch, k.k, any_value(n) AS n, sum(x * cos(2 * pi() * ((k.k * t) % n) / n)) AS re, sum(x * sin(2 * pi() * ((k.k * t) % n) / n)) AS im FROM k JOIN sig ON sig.ch = k.ch GROUP BY k.ch, k.k)
+SELECT sig.ch, t, round(sum((re * cos(2 * pi() * ((k * t) % n) / n) + im * sin(2 * pi() * ((k * t) % n) / n)) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END / n), 6) + 0.0 AS x FROM sig JOIN dft ON dft.ch = sig.ch GROUP BY sig.ch, t""",
+    "sig",
+)
+def fft_bandpass(s, d):
+    return rounded(signals.fft_bandpass(v.sig(s, d), 1000.0, 50.0, 300.0), "x")
 
 
 @query()

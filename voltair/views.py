@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ch, t, x): one channel an event type, numbered by days, so that no task holds a channel."""
-    from .operators.sessions import numbered
+    from .operators.ordered import numbered
 
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("ch"), "ts", "event_id", (-F.col("value")).alias("x"))
     return numbered(events, "ch", micros(F.col("ts")), ["event_id"], DAY).select("ch", "t", "x")
