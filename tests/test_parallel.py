@@ -197,3 +197,61 @@ def test_decoding_with_own_transitions(sig):
     path = lanes.Trellis(states, moves, TEMPLATES, PRECISION).decode(run_of(x, 1000, 1), end=0)["path"][0]
     at, ring = np.nonzero(states[path])
     assert got == {(int(r), int(t), int(states[path[t]][r])) for t, r in zip(at, ring, strict=True)} and path[-1] == 0
+
+
+def test_groups_in_chunks_are_the_whole(spark):
+    from voltair.operators import groups
+
+    r = np.random.default_rng(17)
+    waves = np.stack([TEMPLATES, -TEMPLATES[::-1] * 0.7], 1)  # (rings, channels, length)
+    precision = np.linalg.inv(np.array([[0.5, 0.2], [0.2, 0.6]]))
+    x = r.normal(0, 0.6, (420, 2))
+    for t in range(7, 410, 13):
+        x[t : t + 3] += waves[t % 2].T
+    times = np.sort(r.choice(600, 420, replace=False))  # instants with gaps
+    rows = [("g", c, int(t), float(x[i, c])) for i, t in enumerate(times) for c in range(2)] + [("g", 0, 700, 1.0)]
+    sig = spark.createDataFrame(rows, "grp string, ch long, t long, x double")
+    states, moves = model()
+    whole, _ = hmm.viterbi(x, states, moves, waves, precision)
+    margins = hmm.path_margins(x, whole, states, moves, waves, precision)
+    at, ring = np.nonzero(states[whole])
+    got = {(g.template_id, g.t): (g.state, g.margin) for g in groups.decode(sig, [0, 1], waves, P, precision, patch=60).collect()}
+    assert set(got) == {(int(k), int(times[t])) for t, k in zip(at, ring, strict=True)}
+    for t, k in zip(at, ring, strict=True):
+        state, margin = got[int(k), int(times[t])]
+        assert state == states[whole[t]][k] and margin == pytest.approx(margins[t])
+    rows = groups.side_by_side(sig, [0, 1])
+    g = hmm.forward_backward(x, waves, P, precision)
+    part = {k: v.sort_values("i")["value"].to_numpy() for k, v in groups.sums(rows, waves, P, precision, chunk=50).toPandas().groupby("kind")}
+    np.testing.assert_allclose(part["g"], g.sum(1), rtol=1e-7)
+    np.testing.assert_allclose(part["gx"].reshape(-1, 2), g @ x, rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose(part["xx"].reshape(2, 2), x.T @ x, rtol=1e-9)
+    assert part["n"][0] == 420
+
+
+def test_learning_until_stable_merges_equal_templates(spark):
+    r = np.random.default_rng(5)
+    wave = np.array([-4.0, -9.0, 6.0, 2.0])
+    x = r.normal(0, 0.5, 1500)
+    for t in range(15, 1480, 25):
+        x[t : t + 4] += wave
+    sig = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], "ch string, t long, x double")
+    templates, p, _ = hmm.learn_until_stable(sig, iterations=6, rounds=3, rings=2, length=8, start=1e-2, update_p=True)
+    padded = np.concatenate([wave, np.zeros(4)])
+    assert 1 <= len(templates) <= 2
+    assert min(((np.roll(t, s) - padded) ** 2).sum() / (wave**2).sum() for t in templates for s in range(8)) < 0.1
+
+
+def test_neighbours_across_buckets(spark):
+    from pyspark.sql import Window
+
+    from voltair.operators.ordered import beside
+
+    r = np.random.default_rng(3)
+    rows = [(str(r.integers(3)), int(t), int(i), float(r.normal())) for i, t in enumerate(r.integers(-50, 900, 200))]
+    df = spark.createDataFrame(rows, "unit string, us long, spike long, v double")
+    w = Window.partitionBy("unit").orderBy("us", "spike")
+    want = df.select("*", F.lag("v").over(w).alias("b"), F.lead("us").over(w).alias("a"))
+    for width in (1, 40, 10_000):
+        got = beside(df, "unit", ["us", "spike"], width, before={"b": "v"}, after={"a": "us"})
+        assert got.exceptAll(want).count() == 0 and got.count() == 200

@@ -24,10 +24,11 @@ GROWTH = 4
 def sections(sig: DataFrame, chunk: int, halo: int, only: DataFrame | None = None) -> DataFrame:
     """(ch, k, t0, lead, own, first, last, x array<double>, mark array<boolean>): each chunk of `chunk` samples with up to `halo` samples before and after it.
 
-    sig: (ch, t, x), t without gaps, and maybe a boolean `mark` a sample (default: false).
+    sig: (ch, t, x), t without gaps, x a number or an array of one for each channel of a group, and maybe a boolean `mark` a sample (default: false).
     t0: the chunk's first sample; first, last: the section reaches the recording's start,
     end. only: (ch, k) of the chunks wanted.
     """
+    number = not sig.schema["x"].dataType.typeName() == "array"
     sig = sig if "mark" in sig.columns else sig.withColumn("mark", F.lit(False))
     ends = F.broadcast(sig.groupBy("ch").agg(F.min("t").alias("_low"), F.max("t").alias("_high")))  # a row a channel
     at = F.col("t") - F.col("_low")
@@ -41,7 +42,7 @@ def sections(sig: DataFrame, chunk: int, halo: int, only: DataFrame | None = Non
     rows = cut.repartition(tasks, "ch", "k").groupBy("ch", "k", "t0", "first", "last").agg(F.sort_array(F.collect_list(F.struct("t", "x", "mark"))).alias("s"))  # at most chunk + 2 * halo samples
     lead = F.size(F.filter("s", lambda v: v["t"] < F.col("t0")))
     own = F.size(F.filter("s", lambda v: (v["t"] >= F.col("t0")) & (v["t"] < F.col("t0") + chunk)))
-    return rows.select("ch", "k", "t0", lead.alias("lead"), own.alias("own"), "first", "last", F.transform("s", lambda v: v["x"].cast("double")).alias("x"), F.transform("s", lambda v: v["mark"]).alias("mark"))
+    return rows.select("ch", "k", "t0", lead.alias("lead"), own.alias("own"), "first", "last", F.transform("s", lambda v: v["x"].cast("double") if number else v["x"]).alias("x"), F.transform("s", lambda v: v["mark"]).alias("mark"))
 
 
 def settled(sig: DataFrame, chunk: int, halo: int, run: Callable[[DataFrame], DataFrame], failed: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -75,7 +76,7 @@ def meeting(rows: DataFrame, before: list[str], after: list[str]) -> DataFrame:
 
 
 class Lanes:
-    """Sections side by side: x (lanes, steps), each lane's own samples from step `at` on, samples from `begin` to `stop`."""
+    """Sections side by side: x (lanes, steps[, channels]), each lane's own samples from step `at` on, samples from `begin` to `stop`."""
 
     def __init__(self, leads: list[int], owns: list[int], firsts: list[bool], lasts: list[bool], xs: list[np.ndarray]):
         self.lead, self.own = np.array(leads), np.array(owns)
@@ -87,8 +88,8 @@ class Lanes:
         self.last = self.at + self.own - 1
 
     def spread(self, xs: list[np.ndarray], kind: type) -> np.ndarray:
-        """A value a sample as (lanes, steps)."""
-        out = np.zeros((len(xs), int(self.stop.max(initial=0))), kind)
+        """A value or a row a sample as (lanes, steps[, channels])."""
+        out = np.zeros((len(xs), int(self.stop.max(initial=0)), *(xs[0].shape[1:] if len(xs) and isinstance(xs[0], np.ndarray) else ())), kind)
         for i, x in enumerate(xs):
             out[i, self.begin[i] : self.stop[i]] = x
         return out

@@ -1,78 +1,68 @@
 """The hidden Markov model over groups of channels that are recorded side by side.
 
 Signals are (grp, ch, t, x). A template is a waveform on every channel of its group,
-and noise has a covariance between channels. A group is one recursion in time, so it
-is dealt to one task; learning sums are combined by a grouped aggregate.
+and noise has a covariance between channels. A group is cut in time like a single
+channel; learning sums are combined by a grouped aggregate.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialise
 from . import hmm
+from .ordered import numbered
+from .signals import STRETCH
 
 
-def matrix(rows: pd.DataFrame, channels: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(samples, channels) and the instants at which all channels have a sample."""
-    wide = rows.pivot(index="t", columns="ch", values="x").reindex(columns=channels).dropna().sort_index()
-    return wide.to_numpy(float), wide.index.to_numpy()
+def side_by_side(sig: DataFrame, channels: list) -> DataFrame:
+    """(ch, t, x array<double>, at): a group's instants at which all channels have a sample, numbered from 0; at: the instant."""
+    row = F.array(*[F.max(F.when(F.col("ch") == c, F.col("x"))).cast("double") for c in channels])
+    whole = sig.groupBy(F.col("grp").cast("string").alias("ch"), F.col("t").alias("at")).agg(row.alias("x")).where(~F.exists("x", lambda v: v.isNull()))
+    return materialise(numbered(whole, "ch", F.col("at"), [], STRETCH).select("ch", "t", "x", "at"), "groups")
 
 
-def decode(sig: DataFrame, channels: list[str], templates: np.ndarray, p: np.ndarray, precision: np.ndarray, active: int = 2, patch: int = 20_000) -> DataFrame:
+def decode(sig: DataFrame, channels: list, templates: np.ndarray, p: np.ndarray, precision: np.ndarray, active: int = 2, patch: int = 20_000) -> DataFrame:
     """(grp, template_id, t, state, margin), states above 0 only.
 
     templates: (rings, channels, length); precision: inverse covariance of the noise.
     margin: by how much the best way into the state beats the second best; infinite
-    where there is only one.
+    where there is only one. patch: samples that a task takes at once.
     """
     states = hmm.joint_states(len(templates), templates.shape[-1], min(active, len(templates)))
-    moves = hmm.predecessors(states, templates.shape[-1], p)
+    rows = side_by_side(sig, channels)
+    done = hmm.decoded_chunks(rows.select("ch", "t", "x"), states, hmm.predecessors(states, templates.shape[-1], p), templates, precision, patch, margins=True)
+    found = hmm.sparse(done, states).join(rows.select("ch", "t", "at"), ["ch", "t"])
+    return found.select(F.col("ch").alias("grp"), "template_id", F.col("at").alias("t"), "state", "margin")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, t = matrix(rows, channels)
-        path, margin, _ = hmm.path_of(x, states, moves, templates, precision, patch, margins=True)
-        ring = states[path]
-        where, template = np.nonzero(ring)
-        return pd.DataFrame({"grp": rows["grp"].iloc[0], "template_id": template, "t": t[where], "state": ring[where, template].astype(int), "margin": margin[where]})
 
-    return sig.groupBy("grp").applyInPandas(run, "grp string, template_id long, t long, state long, margin double")
+def sums(rows: DataFrame, templates: np.ndarray, p: np.ndarray, precision: np.ndarray, chunk: int = 8192) -> DataFrame:
+    """(kind, i, value): sums over all groups of side_by_side rows. g: posterior of state i; gx: of state and channel, i counting channels first; xx: products of channels; n: samples."""
+    means = np.concatenate([np.zeros((1, templates.shape[1])), templates.transpose(0, 2, 1).reshape(-1, templates.shape[1])])
+    done = hmm.posterior_rows(rows.select("ch", "t", "x"), means, templates.shape[-1], p, precision, chunk)
+    kinds = {"g": "g", "gx": "gx", "xx": "gxx"}
+    each = [done.select(F.lit(kind).alias("kind"), F.posexplode(c).alias("i", "value")) for kind, c in kinds.items()]
+    each.append(done.select(F.lit("n").alias("kind"), F.lit(0).alias("i"), F.col("own").cast("double").alias("value")))
+    whole = each[0].union(each[1]).union(each[2]).union(each[3])
+    return whole.groupBy("kind", "i").agg(F.sum("value").alias("value"))
 
 
-def sums(sig: DataFrame, channels: list[str], templates: np.ndarray, p: np.ndarray, precision: np.ndarray) -> DataFrame:
-    """(kind, i, j, value): sums over all groups. g: posterior of state i; gx: of state i times channel j; r: residual products of channels i and j; n: samples."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, _ = matrix(rows, channels)
-        if not len(x):
-            return pd.DataFrame({"kind": [], "i": [], "j": [], "value": []})
-        means = np.concatenate([np.zeros((1, len(channels))), templates.transpose(0, 2, 1).reshape(-1, len(channels))])
-        g, gx = np.zeros((len(means), 1)), np.zeros(means.shape)
-        for at, part in hmm.posterior_chunks(x, templates, p, precision):
-            g += part.sum(1)[:, None]
-            gx += part @ x[at : at + part.shape[1]]
-        cross = gx.T @ means
-        parts = {"g": g, "gx": gx, "r": x.T @ x - cross - cross.T + means.T @ (means * g), "n": np.array([[len(x)]])}
-        return pd.concat([pd.DataFrame({"kind": k, "i": np.repeat(np.arange(m.shape[0]), m.shape[1]), "j": np.tile(np.arange(m.shape[1]), m.shape[0]), "value": m.ravel().astype(float)}) for k, m in parts.items()])
-
-    partial = sig.groupBy("grp").applyInPandas(run, "kind string, i long, j long, value double")
-    return partial.groupBy("kind", "i", "j").agg(F.sum("value").alias("value"))
-
-
-def learn(sig: DataFrame, channels: list[str], templates: np.ndarray, p: np.ndarray, precision: np.ndarray, iterations: int = 3, update_p: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def learn(sig: DataFrame, channels: list, templates: np.ndarray, p: np.ndarray, precision: np.ndarray, iterations: int = 3, update_p: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(templates, p, precision) by expectation maximisation from a first guess. The driver gets (states + channels) x channels sums."""
-    rings, _, length = templates.shape
-    first = p
+    rings, many, length = templates.shape
+    rows, first = side_by_side(sig, channels), p
     for _ in range(iterations):
-        rows = sums(sig, channels, templates, p if update_p else first, precision).toPandas()
-        part = {k: r.pivot(index="i", columns="j", values="value").sort_index().sort_index(axis=1).to_numpy() for k, r in rows.groupby("kind")}
+        found = sums(rows, templates, p if update_p else first, precision).toPandas()
+        part = {k: r.sort_values("i")["value"].to_numpy() for k, r in found.groupby("kind")}
         if not part:
             break
-        samples = part["n"][0, 0]
-        mean = part["gx"] / np.maximum(part["g"], 1e-300)
-        templates = mean[1:].reshape(rings, length, len(channels)).transpose(0, 2, 1)
-        p = part["g"][1 + np.arange(rings) * length, 0] / samples
-        precision = np.linalg.pinv(part["r"] / samples)
+        samples, g, gx = part["n"][0], part["g"], part["gx"].reshape(-1, many)
+        means = np.concatenate([np.zeros((1, many)), templates.transpose(0, 2, 1).reshape(-1, many)])
+        cross = gx.T @ means
+        residual = part["xx"].reshape(many, many) - cross - cross.T + means.T @ (means * g[:, None])
+        templates = (gx / np.maximum(g, 1e-300)[:, None])[1:].reshape(rings, length, many).transpose(0, 2, 1)
+        p = g[1 + np.arange(rings) * length] / samples
+        precision = np.linalg.pinv(residual / samples)
     return templates, p, precision

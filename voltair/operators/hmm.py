@@ -103,12 +103,17 @@ def forward_backward(x: np.ndarray, templates: np.ndarray, p: np.ndarray, precis
     return np.concatenate(found[::-1], 1) if found else np.zeros((1 + by_channel(templates)[:, 0].size, 0))
 
 
+def rows_of(x: pa.Array) -> np.ndarray:
+    """Numbers, or equally long lists of them, as an array."""
+    return x.flatten().to_numpy().reshape(len(x), -1) if pa.types.is_list(x.type) else x.to_numpy()
+
+
 def in_lanes(rows: DataFrame, bytes_a_sample: int, kernel: Callable[[Lanes, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """kernel(lanes, marks) over sections, as rows (ch, k, t0, own, first, last, and what the kernel gives a lane, cut to `own` samples where it gives more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            batch = {c: b[c].to_pylist() for c in ("ch", "k", "t0", "own", "lead", "first", "last", "mark")} | {"x": [v.values.to_numpy() for v in b["x"]]}
+            batch = {c: b[c].to_pylist() for c in ("ch", "k", "t0", "own", "lead", "first", "last", "mark")} | {"x": [rows_of(v.values) for v in b["x"]]}
             for rows, lanes in lanes_of(batch, bytes_a_sample):
                 out = kernel(lanes, lanes.spread([batch["mark"][i] for i in rows], bool))
                 fixed = {c: pa.array([batch[c][i] for i in rows], b.schema.field(c).type) for c in ("ch", "k", "t0", "own", "first", "last")}
@@ -118,11 +123,9 @@ def in_lanes(rows: DataFrame, bytes_a_sample: int, kernel: Callable[[Lanes, np.n
     return rows.mapInArrow(run, f"ch string, k long, t0 long, own int, first boolean, last boolean, {schema}")
 
 
-def posterior_sums(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, chunk: int = 8192, halo: int | None = None) -> DataFrame:
-    """(state, g, gx, gxx, samples): sums of the posterior and of posterior-weighted samples over all channels, chunk by chunk."""
-    length, means = templates.shape[1], np.concatenate([[0.0], templates.ravel()])
-    names = ("g", "gx", "gxx", "fin", "fout", "bin", "bout")
-    schema = ", ".join(f"{n} array<double>" for n in names)
+def posterior_rows(sig: DataFrame, means: np.ndarray, length: int, p: np.ndarray, precision: float | np.ndarray, chunk: int, halo: int | None = None) -> DataFrame:
+    """(ch, k, own, g, gx, gxx, ..): the sums of lanes.posterior, a row a chunk; what chunks hand over agrees."""
+    schema = ", ".join(f"{n} array<double>" for n in ("g", "gx", "gxx", "fin", "fout", "bin", "bout"))
 
     def run(rows: DataFrame) -> DataFrame:
         return in_lanes(rows.withColumn("ch", F.col("ch").cast("string")), 48 * len(means), lambda x, _: lanes.posterior(x, means, length, p, precision), schema)
@@ -131,7 +134,12 @@ def posterior_sums(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precisi
         pairs = meeting(rows, ["first", "last", "fout", "bin"], ["first", "last", "fin", "bout"])
         return not_yet(pairs, apart("fout", "next_fin", lanes.AGREE), True, "first").union(not_yet(pairs, apart("next_bout", "bin", lanes.AGREE), False, "last"))
 
-    done = settled(sig, chunk, halo or 8 * length, run, failed, "posterior")
+    return settled(sig, chunk, halo or 8 * length, run, failed, "posterior")
+
+
+def posterior_sums(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, chunk: int = 8192, halo: int | None = None) -> DataFrame:
+    """(state, g, gx, gxx, samples): sums of the posterior and of posterior-weighted samples over all channels, chunk by chunk."""
+    done = posterior_rows(sig, np.concatenate([[0.0], templates.ravel()]), templates.shape[1], p, precision, chunk, halo)
     each = done.select("own", F.posexplode(F.arrays_zip("g", "gx", "gxx")).alias("state", "s"))
     sums = [F.sum(f"s.{c}").alias(c) for c in ("g", "gx", "gxx")]
     return each.groupBy(F.col("state").cast("long").alias("state")).agg(*sums, F.sum("own").alias("samples"))
@@ -408,7 +416,7 @@ def decoded_chunks(sig: DataFrame, states: np.ndarray, moves: Moves, templates:
         pairs = meeting(rows, ["first", "last", "cout", "sout"], ["first", "last", "cin", "sin"])
         return not_yet(pairs, apart("cout", "next_cin", lanes.AGREE), True, "first").union(not_yet(pairs, F.col("sout") != F.col("next_sin"), False, "last"))
 
-    return settled(sig, chunk, halo or max(64, 8 * templates.shape[1]), run, failed, "decoded")
+    return settled(sig, chunk, halo or max(64, 8 * templates.shape[-1]), run, failed, "decoded")
 
 
 def sparse(decoded: DataFrame, states: np.ndarray) -> DataFrame:

@@ -11,18 +11,28 @@ TINY = np.exp(-700.0)
 AGREE = 1e-9
 
 
-def posterior(run: Lanes, means: np.ndarray, length: int, p: np.ndarray, precision: float) -> dict[str, np.ndarray]:
+def misfits(x: np.ndarray, means: np.ndarray, precision: float | np.ndarray) -> np.ndarray:
+    """(.., states): half the squared distance of samples x (..[, channels]) from means (states[, channels]), weighted by the noise's inverse covariance."""
+    if means.ndim == 1:
+        d = x[..., None] - means
+        return 0.5 * precision * d * d
+    c = np.atleast_2d(precision)
+    weighted = means @ c
+    return 0.5 * (((x @ c) * x).sum(-1)[..., None] - 2 * x @ weighted.T + (weighted * means).sum(1))
+
+
+def posterior(run: Lanes, means: np.ndarray, length: int, p: np.ndarray, precision: float | np.ndarray) -> dict[str, np.ndarray]:
     """Sums over each lane's own samples, by state: g, gx, gxx; and the columns that chunks hand over: fin, fout (forward, before and at the end), bin, bout (backward).
 
-    means: (states,), the silent one first. Lanes that don't reach the start begin with the model's rates.
+    means: (states[, channels]), the silent one first. With channels, gx is by state and
+    channel, and gxx the plain sum of products of channels. Lanes that don't reach the start begin with the model's rates.
     """
     lanes, steps, states = len(run.x), run.steps, len(means)
     first, last = 1 + np.arange(len(p)) * length, (1 + np.arange(len(p))) * length
     silent = np.zeros(states)
     silent[0] = 1.0
     guess = np.concatenate([[1.0], np.repeat(p, length)])
-    d = run.x[:, :, None] - means
-    e = np.exp(-0.5 * precision * d * d) + TINY
+    e = np.exp(-misfits(run.x, means, precision)) + TINY
     e /= e.sum(2, keepdims=True)
     column = np.where(run.exact[:, None], silent, guess / guess.sum())
     start = run.begin + run.exact  # the first sample of a recording isn't scored
@@ -60,17 +70,23 @@ def posterior(run: Lanes, means: np.ndarray, length: int, p: np.ndarray, precisi
             g[t - run.at] *= b
             g[t - run.at] /= g[t - run.at].sum(1, keepdims=True)
     g *= (np.arange(len(g))[:, None] < run.own)[:, :, None]
-    x = run.x[:, run.at : run.at + len(g)].T[:, :, None]
-    return {"g": g.sum(0), "gx": (g * x).sum(0), "gxx": (g * x * x).sum(0), "fin": fin, "fout": fout, "bin": bin_, "bout": bout}
+    if means.ndim == 1:
+        x = run.x[:, run.at : run.at + len(g)].T[:, :, None]
+        gx, gxx = (g * x).sum(0), (g * x * x).sum(0)
+    else:
+        x = run.x[:, run.at : run.at + len(g)] * (np.arange(len(g)) < run.own[:, None])[:, :, None]
+        gx = np.einsum("nls,lnc->lsc", g, x).reshape(lanes, -1)
+        gxx = np.einsum("lnc,lnd->lcd", x, x).reshape(lanes, -1)
+    return {"g": g.sum(0), "gx": gx, "gxx": gxx, "fin": fin, "fout": fout, "bin": bin_, "bout": bout}
 
 
 class Trellis:
     """Best ways into all joint states of a run of lanes, and the second best on request; ways are those of `moves` (see hmm.Moves)."""
 
-    def __init__(self, states: np.ndarray, moves, templates: np.ndarray, precision: float, start: int = 0, second: bool = False):
+    def __init__(self, states: np.ndarray, moves, templates: np.ndarray, precision: float | np.ndarray, start: int = 0, second: bool = False):
         self.states, self.moves, self.precision, self.start, self.second = states, moves, precision, start, second
-        padded = np.concatenate([np.zeros((len(templates), 1)), templates], 1)
-        self.means = sum(padded[r, states[:, r]] for r in range(len(templates)))
+        padded = np.concatenate([np.zeros((*templates.shape[:-1], 1)), templates], -1)
+        self.means = sum(padded[r, ..., states[:, r]] for r in range(len(templates)))
         self.place = np.full(len(states), -1)
         self.place[moves.many] = np.arange(len(moves.many))
         size = np.diff(moves.at)[moves.many]
@@ -104,8 +120,7 @@ class Trellis:
                 after = self.ways[np.minimum.reduceat(np.where(rest == np.repeat(runner, self.size, axis=1), number, some.shape[1] - 1), self.first, axis=1)]
                 with np.errstate(invalid="ignore"):
                     margin = np.where(np.isfinite(runner), top - runner, np.inf)
-        d = x[:, None] - self.means
-        new = np.where(self.reached, np.take_along_axis(options, pick, 1), -np.inf) - 0.5 * self.precision * d * d
+        new = np.where(self.reached, np.take_along_axis(options, pick, 1), -np.inf) - misfits(x, self.means, self.precision)
         return new, (np.zeros((len(score), 0), np.int64) if best is None else best), after, margin
 
     def decode(self, run: Lanes, flips: np.ndarray | None = None, end: int | None = None) -> dict[str, np.ndarray]:
@@ -148,8 +163,9 @@ class Trellis:
             state = np.where(live, self.moves.who[taken], state)
         own = slice(run.at, run.at + int(run.own.max(initial=0)))
         mine = np.arange(own.stop - own.start)[:, None] < run.own
-        d = run.x[:, own].T - self.means[path[own]]
-        gain = np.where(way[own] >= 0, self.moves.log_p[way[own]] - 0.5 * self.precision * d * d, 0.0)
+        d = np.swapaxes(run.x[:, own], 0, 1) - self.means[path[own]]
+        far = self.precision * d * d if d.ndim == 2 else ((d @ np.atleast_2d(self.precision)) * d).sum(-1)
+        gain = np.where(way[own] >= 0, self.moves.log_p[way[own]] - 0.5 * far, 0.0)
         less = lambda c: c - c.max(1, keepdims=True)
         return {"path": path[own].T, "margin": margins[own].T, "score": (gain * mine).sum(0), "cin": less(cin), "cout": less(cout), "sin": path[max(run.at - 1, 0)], "sout": path[run.last, every]}
 
