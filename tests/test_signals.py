@@ -100,6 +100,15 @@ def test_fir_is_a_convolution(noise):
             np.testing.assert_allclose(got[c], want, atol=1e-9)
 
 
+@pytest.mark.parametrize("n", [1, 12, 97, 360, 1001])
+def test_bandpass_is_that_of_the_whole_transform(spark, n):
+    x = np.random.default_rng(n).normal(1, 2, n)
+    spectrum, f = np.fft.rfft(x), np.fft.rfftfreq(n, 1 / 1000)
+    spectrum[(f < 50) | (f > 300)] = 0
+    sig = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], SIG)
+    np.testing.assert_allclose(per_channel(signals.fft_bandpass(sig, 1000.0, 50.0, 300.0))["a"], np.fft.irfft(spectrum, n) if n > 1 else [0.0], atol=1e-9)
+
+
 def greedy(rows, gap):
     kept = []
     for x, t, ch in sorted({(x, t, ch) for _, ch, t, x in rows}):

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -119,24 +118,53 @@ def positive_artifacts(sig: DataFrame, thresholds: DataFrame) -> DataFrame:
     return seen.where((F.col("over") * 2 > F.col("channels")) | (F.col("most") > 2)).select("t")
 
 
-def channel_map(sig: DataFrame, kernel) -> DataFrame:
-    """kernel(x) on each channel's samples in order of t."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        return rows.assign(x=kernel(rows["x"].to_numpy(float)))
-
-    return sig.groupBy("ch").applyInPandas(run, "ch string, t long, x double")
-
-
 def fft_bandpass(sig: DataFrame, rate: float, low: float, high: float) -> DataFrame:
-    def kernel(x: np.ndarray) -> np.ndarray:
-        spectrum = np.fft.rfft(x)
-        f = np.fft.rfftfreq(len(x), 1 / rate)
-        spectrum[(f < low) | (f > high)] = 0
-        return np.fft.irfft(spectrum, len(x))
+    """Bins outside low .. high of the transform of each whole channel are zeroed.
 
-    return channel_map(sig, kernel)
+    A channel of n = rows * columns samples is transformed in steps: all columns, then, after
+    a shuffle, all rows (where the bins are zeroed and the way back begins), then the columns
+    again. So a task holds a column or a row, about the root of n if n has a divisor there;
+    for n without divisors a row is the channel. sig: t counts from 0 without gaps.
+    """
+    n = sig.groupBy("ch").agg(F.count("*").alias("n"))
+    split = F.array_max(F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("n"))), lambda i: F.col("n") % i == 0))
+    sizes = F.broadcast(n.select("ch", "n", split.alias("rows")))  # a row a channel
+    columns = F.floor(F.col("n") / F.col("rows"))
+    cut = sig.join(sizes, "ch").select(F.col("ch").cast("string").alias("ch"), "n", "rows", (F.col("t") % columns).alias("column"), F.floor(F.col("t") / columns).alias("row"), F.col("x").cast("double").alias("re"), F.lit(0.0).alias("im"))
+
+    def transformed(part: pa.Table, over: str, size: int) -> np.ndarray:
+        values = np.zeros(size, complex)
+        values[part[over].to_numpy()] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
+        return values
+
+    def step(kernel: Callable[[np.ndarray, int, int, int], np.ndarray], by: str, over: str) -> Callable[[pa.Table], pa.Table]:
+        def run(part: pa.Table) -> pa.Table:
+            n, rows, place = (part[c][0].as_py() for c in ("n", "rows", by))
+            out = kernel(transformed(part, over, rows if over == "row" else n // rows), n, rows, place)
+            whole = lambda v: pa.array(np.full(len(out), v, np.int64))
+            index = {by: whole(place), over: pa.array(np.arange(len(out)))}
+            return pa.table({"ch": pa.array([part["ch"][0].as_py()] * len(out), pa.string()), "n": whole(n), "rows": whole(rows), "column": index["column"], "row": index["row"], "re": pa.array(out.real.copy()), "im": pa.array(out.imag.copy())})
+
+        return run
+
+    turn = lambda n, a, size, sign: np.exp(sign * 2j * np.pi * (a * np.arange(size) % n) / n)
+
+    def forth(x: np.ndarray, n: int, rows: int, column: int) -> np.ndarray:
+        return np.fft.fft(x) * turn(n, column, rows, -1)
+
+    def middle(x: np.ndarray, n: int, rows: int, row: int) -> np.ndarray:
+        bins = row + rows * np.arange(len(x))
+        f = np.minimum(bins, n - bins) * rate / n
+        kept = np.where((f < low) | (f > high), 0, np.fft.fft(x))
+        return np.fft.ifft(kept) * turn(n, row, len(x), 1)
+
+    def back(x: np.ndarray, n: int, rows: int, column: int) -> np.ndarray:
+        return np.fft.ifft(x)
+
+    schema = "ch string, n long, rows long, column long, row long, re double, im double"
+    for kernel, by, over in ((forth, "column", "row"), (middle, "row", "column"), (back, "column", "row")):
+        cut = cut.groupBy("ch", by).applyInArrow(step(kernel, by, over), schema)
+    return cut.select("ch", (F.col("row") * F.floor(F.col("n") / F.col("rows")) + F.col("column")).alias("t"), F.col("re").alias("x"))
 
 
 def butterworth(order: int, cutoff: float, kind: str = "high") -> Iterator[np.ndarray]:

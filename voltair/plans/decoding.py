@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from .. import views as v
-from ..operators import hmm, signals
+from ..operators import groups, hmm, signals
 from ..shared import folder
 from ..sources import recordings
 from . import DEMO, query, rounded, scaled
@@ -91,20 +91,23 @@ RATES = np.full(2, 1e-3)
 JOINT = hmm.joint_states(2, DEMO.shape[1], 2)
 
 
-def trellis_sql(states: np.ndarray, moves: hmm.Moves, templates: np.ndarray) -> str:
-    """As ring_sql, over joint states: best and second best ways into each, `path` by the best ones, and `other`, which takes the second best where the first wins by less than 0.5."""
-    padded = np.concatenate([np.zeros((len(templates), 1)), templates], 1)
-    means = [float(m) for m in sum(padded[r, states[:, r]] for r in range(len(templates)))]
-    n = len(states)
+def trellis_sql(states: np.ndarray, moves: hmm.Moves, templates: np.ndarray, source: str = SCALED, also: np.ndarray | None = None) -> str:
+    """source: CTEs up to sc (ch, t, x); also: templates of a second channel, whose samples sc has as y. As ring_sql, over joint states: best and second best ways into each, `path` by the best ones, and `other`, which takes the second best where the first wins by less than 0.5."""
+    def means_of(shapes: np.ndarray) -> list[float]:
+        padded = np.concatenate([np.zeros((len(shapes), 1)), shapes], 1)
+        return [float(m) for m in sum(padded[r, states[:, r]] for r in range(len(shapes)))]
+
+    means, n = means_of(templates), len(states)
+    more, second, value = ("", "", "x") if also is None else (f", {means_of(also)!r}::DOUBLE[] AS m2", " - 0.5 * (y - m2[j]) * (y - m2[j])", "x, y")
     into = {j: list(zip(moves.who[moves.of(j)].tolist(), moves.log_p[moves.of(j)].tolist(), strict=True)) for j in range(n)}
     options = ", ".join(f"[{', '.join(f'w.s[{i + 1}] + {lp!r}::DOUBLE' for i, lp in into[j])}]" for j in range(n))
     ids = ", ".join(str([i for i, _ in into[j]]) for j in range(n))
     start = "[" + ", ".join("0.0" if j == 0 else "-1e300" for j in range(n)) + "]::DOUBLE[]"
-    return f"""{SCALED}, c AS (SELECT [{ids}] AS ids, {means!r}::DOUBLE[] AS m),
+    return f"""{source}, c AS (SELECT [{ids}] AS ids, {means!r}::DOUBLE[] AS m{more}),
 f AS (SELECT ch, 0::BIGINT AS t, {start} AS s, []::BIGINT[] AS b, []::BIGINT[] AS b2, []::DOUBLE[] AS margin FROM sc WHERE t = 0
-UNION ALL SELECT ch, t, list_transform(range(1, {n + 1}), lambda j: list_max(o[j]) - 0.5 * (x - m[j]) * (x - m[j])), list_transform(range(1, {n + 1}), lambda j: ids[j][list_position(o[j], list_max(o[j]))]),
+UNION ALL SELECT ch, t, list_transform(range(1, {n + 1}), lambda j: list_max(o[j]) - 0.5 * (x - m[j]) * (x - m[j]){second}), list_transform(range(1, {n + 1}), lambda j: ids[j][list_position(o[j], list_max(o[j]))]),
   list_transform(range(1, {n + 1}), lambda j: ids[j][list_position(o[j], list_reverse_sort(o[j])[least(2, len(o[j]))])]), list_transform(range(1, {n + 1}), lambda j: CASE WHEN len(o[j]) > 1 THEN list_max(o[j]) - list_reverse_sort(o[j])[2] ELSE 1e300 END)
-  FROM (SELECT sc.ch, sc.t, x, [{options}] AS o FROM f w JOIN sc ON sc.ch = w.ch AND sc.t = w.t + 1), c),
+  FROM (SELECT sc.ch, sc.t, {value}, [{options}] AS o FROM f w JOIN sc ON sc.ch = w.ch AND sc.t = w.t + 1), c),
 high AS (SELECT ch, max(t) AS high FROM sc GROUP BY ch),
 q AS (SELECT f.ch, f.t, list_position(s, list_max(s)) - 1 AS state FROM f JOIN high ON f.ch = high.ch AND f.t = high UNION ALL SELECT q.ch, q.t - 1, f.b[q.state + 1] FROM q JOIN f ON f.ch = q.ch AND f.t = q.t WHERE q.t > 0),
 path AS (SELECT * FROM q),
@@ -136,6 +139,20 @@ def redecoded_states(s, d):
     return hmm.redecode(sig, hmm.uncertain(sig, DEMO, RATES, 1.0, 0.5, patch=CHUNK), DEMO, RATES, 1.0, patch=CHUNK)
 
 
+OTHER = -0.5 * DEMO[::-1]
+PAIR = SCALED.replace("sc AS", "single AS") + ", sc AS (SELECT 'pair' AS ch, a.t, a.x, b.x AS y FROM single a JOIN single b ON a.t = b.t WHERE a.ch = (SELECT min(ch) FROM single) AND b.ch = (SELECT max(ch) FROM single))"
+
+
+@recursive(trellis_sql(JOINT, hmm.predecessors(JOINT, DEMO.shape[1], RATES), DEMO, PAIR, OTHER) + RUNNING.format(path="path").replace("ch, template_id", "ch AS grp, template_id"), "sig")
+def group_states(s, d):
+    """The first and the last channel by name as a group, decoded together."""
+    sig = scaled(s, d)
+    names = sorted(r["ch"] for r in sig.select("ch").distinct().collect())  # a row a channel
+    pair = [names[0], names[-1]]
+    rows = sig.where(F.col("ch").isin(pair)).select(F.lit("pair").alias("grp"), "ch", "t", "x")
+    return groups.decode(rows, pair, np.stack([DEMO, OTHER], 1), RATES, np.eye(2), patch=CHUNK).drop("margin")
+
+
 def posterior_sql(tag: str, rings: int, length: int, p: float) -> str:
     """CTEs from m<tag> (m0, .., prec: one row) to sums<tag> (g0, x0, xx0, .., n): the sums of the posterior over all samples, forward and back by recursion in t."""
     n = 1 + rings * length
