@@ -15,6 +15,11 @@ def channel_list(text: str) -> list[int]:
     return out
 
 
+def groups_of(channels: DataFrame, chosen: str) -> DataFrame:
+    """(gr_nr): the groups of the channels (ch_nr, gr_nr) that a list such as '0-3,7' names."""
+    return channels.where(F.col("ch_nr").isin(channel_list(chosen))).select("gr_nr").distinct()
+
+
 def reorder(sig: DataFrame, order: DataFrame) -> DataFrame:
     """Channels renamed by order (src, dst); those without a new place go. order: one row a channel."""
     return sig.join(F.broadcast(order.select(F.col("src").alias("ch"), "dst")), "ch").select(F.col("dst").alias("ch"), "t", "x")

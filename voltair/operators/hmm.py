@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chi2_tail
@@ -606,3 +606,13 @@ def decoded_spikes(states: DataFrame, templates: np.ndarray, align: str = "troug
     at = templates.argmin(1) + 1 if align == "trough" else np.full(len(templates), templates.shape[1] // 3)
     wanted = F.array(*[F.lit(int(a)) for a in at])
     return states.where(F.col("state") == F.element_at(wanted, (F.col("template_id") + 1).cast("int"))).select("ch", F.col("template_id").alias("unit"), "t")
+
+
+def without_edge(spikes: DataFrame, sig: DataFrame, after: int = 22) -> DataFrame:
+    """spikes (ch, .., t) that end before the last `after` samples of their channel."""
+    ends = sig.groupBy(F.col("ch").cast("string").alias("ch")).agg((F.max("t") + 1 - after).alias("_stop"))  # a row a channel
+    return spikes.join(F.broadcast(ends), "ch").where(F.col("t") < F.col("_stop")).drop("_stop")
+
+
+def milliseconds(t: Column, rate: float) -> Column:
+    return t * 1000 / rate

@@ -132,6 +132,14 @@ def decoded_spikes(s, d):
     return hmm.decoded_spikes(viterbi_states(s, d), DEMO)
 
 
+@recursive(BOTH + f", ends AS (SELECT ch, high + 1 AS samples FROM high) SELECT p.ch, template_id::BIGINT AS unit, p.t, round(p.t * 1000 / 30000, 6) AS ts_ms FROM path p JOIN rings ON rings.joint = p.state JOIN ends ON ends.ch = p.ch WHERE rings.state = {DEMO.shape[1] // 3} AND p.t < samples - 22", "sig")
+def decoded_trains(s, d):
+    """Spike times in milliseconds, at a third of a template's length, without those at a channel's end."""
+    sig = scaled(s, d)
+    spikes = hmm.decoded_spikes(hmm.decode(sig, DEMO, RATES, 1.0, patch=CHUNK), DEMO, "third")
+    return rounded(hmm.without_edge(spikes, sig).withColumn("ts_ms", hmm.milliseconds(F.col("t"), 30_000)), "ts_ms")
+
+
 @recursive(BOTH + RUNNING.format(path="other"), "sig")
 def redecoded_states(s, d):
     """Two rings, decoded again with the least certain decisions taken the other way."""

@@ -79,3 +79,18 @@ def template_shares(s, d):
     n = waves.remove_sparse(v.wave(s, d), 0.0)
     total = n.agg(F.sum("n").alias("total"))  # one row
     return rounded(n.crossJoin(F.broadcast(total)).select("unit", "n", (F.col("n") / F.col("total")).alias("share")), "share")
+
+
+@query(" SELECT DISTINCT gr_nr FROM chan WHERE ch_nr IN (0, 1, 2, 3, 7, 20)", "chan")
+def listed_groups(s, d):
+    return channels.groups_of(v.chan(s, d), "0-3,7, 20")
+
+
+@query(" SELECT unit, n, CASE WHEN n > 5 THEN round(ln((n - 5) / 30000.0), 9) END AS log_p FROM (SELECT unit, count(DISTINCT spike) // 12 AS n FROM wave GROUP BY unit)", "wave")
+def log_rates(s, d):
+    """Logarithms of rates, null where the rate is none."""
+    from ..functions import guarded_log
+
+    n = v.wave(s, d).groupBy("unit").agg(F.floor(F.count_distinct("spike") / 12).alias("n"))
+    log_p = guarded_log((F.col("n") - 5) / 30_000.0)
+    return rounded(n.withColumn("log_p", F.when(log_p > float("-inf"), log_p)), "log_p", digits=9)
