@@ -261,3 +261,19 @@ def test_equal_fingerprints_of_different_texts_stay(spark):
     line = "the same five words "
     df = spark.createDataFrame([(k, line * 300 + " ".join(f"t{k}x{i}" for i in range(60))) for k in range(3)], SCHEMA)
     assert simhash.keep_one(df).count() == 3
+
+
+def test_copies_of_a_batch_by_both_methods():
+    """Suffix order with previous factors, and sorting, settle whole super-k-mers as a plain search does."""
+    from voltair.llm import segments
+
+    r = random.Random(21)
+    strings = ["".join(r.choice("ab") for _ in range(r.randint(3, 6))).encode() for _ in range(300)]
+    entries = np.zeros(300, segments.ENTRY)
+    for i in range(300):
+        entries[i] = (0, 0, r.randrange(9), r.randrange(2), i, 1)
+    place = [(e["doc"], e["tag"], e["start"]) for e in entries]
+    earlier = [any(s == strings[i] and place[j] < place[i] for j, s in enumerate(strings)) for i in range(300)]
+    assert suffix_dedup.earlier_copies(entries, strings).tolist() == earlier
+    other = [any(s == strings[i] and entries["doc"][j] < entries["doc"][i] for j, s in enumerate(strings)) for i in range(300)]
+    assert window_dedup.earlier_copies(entries, strings).tolist() == other

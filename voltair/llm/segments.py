@@ -6,9 +6,10 @@ minimisers. Consecutive windows that share one form a super-k-mer, which travels
 as one unit to the bucket of its minimiser:
 
 1. `scan` cuts every document into super-k-mers and announces each by its minimiser,
-   a short content hash and its place. Equal super-k-mers of one batch are settled
-   there, after a comparison of their bytes, so a passage that fills the corpus is
-   announced once a batch and not once an occurrence.
+   a short content hash and its place. Copies within one batch are settled there by
+   the caller's method, over the whole strings of super-k-mers that may be equal (their
+   suffix order with previous factors, or their sorting), so a passage that fills the
+   corpus is announced once a batch and not once an occurrence.
 2. `settle` gathers a bucket. A super-k-mer that stands alone under its minimiser has
    no repeated window, and its string needn't travel. All others are open.
 3. Open super-k-mers are cut out of their documents and travel as packed strings to
@@ -49,6 +50,7 @@ class Plan:
     """unit: 'byte' or 'word'. window: K. gram: m of the minimisers.
 
     same_document: whether an earlier window of the same document counts.
+    copies: which of some super-k-mers (entries, strings) are copies of an earlier one, at a place that counts.
     hot: with more different super-k-mers than this under one minimiser, its windows travel one by one.
     """
 
@@ -56,6 +58,7 @@ class Plan:
     window: int
     gram: int
     same_document: bool
+    copies: Callable[[np.ndarray, list[bytes]], np.ndarray]
     hot: int = 8000
 
 
@@ -128,7 +131,7 @@ class Tokens:
 
 
 def batch_entries(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Super-k-mers of a batch: entries to announce, and those that equal an earlier one of the batch, byte for byte."""
+    """Super-k-mers of a batch: entries to announce, and copies of earlier ones of the batch."""
     parts, where = [], []
     for a, b in chunks(texts):
         tokens = Tokens(texts[a:b], plan.unit)
@@ -145,15 +148,21 @@ def batch_entries(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, plan:
     at = np.concatenate([x for _, x in where])
     order, new = ordered(entries)
     entries, run, at = entries[order], run[order], at[order]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    old = ~new if plan.same_document else entries["doc"] > entries["doc"][first]
     length = (entries["n"] & (SELF - 1)) + (plan.window - 1)
-    for i in np.flatnonzero(old).tolist():
-        f = first[i]
-        old[i] = length[i] == length[f] and where[run[i]][0].string(at[i], length[i]) == where[run[f]][0].string(at[f], length[f])
+    old = copied(entries, new, lambda i: where[run[i]][0].string(at[i], length[i]), plan)
     return entries[~old], entries[old]
 
 
+def copied(entries: np.ndarray, new: np.ndarray, string: Callable[[int], bytes], plan: Plan) -> np.ndarray:
+    """Which entries are copies of earlier ones, by `plan.copies` over those that share minimiser and content hash with others. new: where such a group begins."""
+    old = np.zeros(len(entries), bool)
+    group = np.cumsum(new) - 1
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
+    if len(some):
+        old[some] = plan.copies(entries[some], [string(i) for i in some.tolist()])
+    return old
+
+
 def ordered(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries in the order of (key, content, place), equal ones once: their indices, and where a new (key, content) begins."""
     order = np.argsort(entries["key"], kind="stable")
@@ -316,13 +325,12 @@ def pieces(docs: DataFrame, open_places: DataFrame, plan: Plan, buckets: int) ->
             if not strings:
                 continue
             entries = np.concatenate(parts)
-            # as in step 1: equal strings of the batch are settled here
+            # as in step 1: copies within the batch are settled here
             number: dict[tuple[int, bytes], int] = {}
             entries["content"] = [number.setdefault(f, len(number)) for f in zip(entries["key"].tolist(), strings, strict=True)]
             order, new = ordered(entries)
             entries = entries[order]
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            old = ~new if plan.same_document else entries["doc"] > entries["doc"][first]
+            old = copied(entries, new, lambda i: strings[order[i]], plan)  # noqa: B023
             yield from bucket_blobs(entries[~old], entries[old], buckets, [strings[i] for i in order[~old].tolist()])
 
     return joined.mapInArrow(run, BLOB_SCHEMA)

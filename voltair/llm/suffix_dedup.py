@@ -33,7 +33,7 @@ LENGTH = 100
 
 
 def plan(length: int = LENGTH) -> Plan:
-    return Plan("byte", length, gram=max(1, length * 2 // 5), same_document=True)
+    return Plan("byte", length, gram=max(1, length * 2 // 5), same_document=True, copies=earlier_copies)
 
 
 def suffix_array(text: np.ndarray, at: np.ndarray, position: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +84,24 @@ def longest_previous_factor(text: np.ndarray, at: np.ndarray, position: np.ndarr
     return out
 
 
+def earlier_copies(entries: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which super-k-mers stand earlier as a whole: in the suffix order of their starts, the previous factor, at the previous or next smaller position, is the whole string."""
+    by_place = np.lexsort((entries["start"], entries["tag"], entries["doc"]))
+    position = np.empty(len(entries), np.int64)
+    position[by_place] = np.arange(len(entries))
+    order = np.array(sorted(by_place.tolist(), key=strings.__getitem__), np.int64)
+    place = position[order]
+    above = nearest_smaller(place)
+    below = len(place) - 1 - nearest_smaller(place[::-1])[::-1]
+    out = np.zeros(len(entries), bool)
+    for other in (above, below):
+        i = np.flatnonzero((other >= 0) & (other < len(place)))
+        for a, b in zip(order[i].tolist(), order[other[i]].tolist(), strict=True):
+            if strings[a] == strings[b]:
+                out[a] = True
+    return out
+
+
 #: Windows whose bytes are laid out side by side at a time.
 SECTION = 1 << 15
 

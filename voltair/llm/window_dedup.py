@@ -27,7 +27,19 @@ WINDOW = 13
 
 
 def plan(window: int = WINDOW) -> Plan:
-    return Plan("word", window, gram=max(1, window * 4 // 13), same_document=False)
+    return Plan("word", window, gram=max(1, window * 4 // 13), same_document=False, copies=earlier_copies)
+
+
+def earlier_copies(entries: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which super-k-mers stand as a whole in an earlier document: sorted, equal strings are runs, and all but those of a run's smallest document do."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    new = np.ones(len(order), bool)
+    new[1:] = [strings[a] != strings[b] for a, b in zip(order, order[1:], strict=False)]
+    doc = entries["doc"][order]
+    first = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+    out = np.empty(len(order), bool)
+    out[order] = doc > first
+    return out
 
 
 def earlier_windows(window: int):
