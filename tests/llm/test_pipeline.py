@@ -58,3 +58,15 @@ def test_near_dedup_matches_its_groups(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
     groups = simhash.groups(docs, 5, simhash.WIDE_RADIUS, True, words=simhash.WIDE_WORDS).where("doc_id = component_id")
     assert sorted(x.doc_id for x in groups.collect()) == sorted(x.doc_id for x in simhash.keep_one(docs).collect())
+
+
+def test_very_long_texts_pass_all_stages(spark, tmp_path):
+    r = random.Random(13)
+    long_text = " ".join(f"w{r.randrange(60_000)}" for _ in range(150_000))
+    passage = " ".join(f"q{i}" for i in range(60))
+    docs = [(1, long_text + " " + passage), (2, "x " + passage + " " + long_text[:500_000]), (3, passage + " end")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some item that stands nowhere in these texts at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.doc_id: x.text for x in p.run(spark, str(tmp_path)).collect()}
+    assert got[1] == docs[0][1] and len(got[2]) < 500 and len(got[3]) < len(docs[2][1])

@@ -15,7 +15,9 @@ text is scored whole, in the tasks, with the weights as a broadcast of fixed siz
 Defined cases: null text is empty; empty texts get the answer to one chunk of
 padding; without a labelled document of either class nothing is known against a
 document and every score is 1; several labels of one doc_id count as the smallest;
-null labels and null ids are no labels.
+null labels and null ids are no labels. Of rows that share a doc_id the least text in
+order is learned from; each row is scored by itself. Other columns pass through `keep`
+and are ignored otherwise; empty tables give empty results.
 """
 
 from __future__ import annotations

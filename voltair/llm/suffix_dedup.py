@@ -13,7 +13,9 @@ nothing), ties by position.
 Defined cases: null text counts as empty; documents shorter than K lose nothing; a
 null doc_id orders before all others. Rows that share a doc_id are ordered by a
 hash of their text; rows equal in both are one document, and none of their bytes
-is removed on account of the other. Other columns pass through.
+is removed on account of the other. Other columns pass through. A very long text is
+one batch of its own, and its super-k-mers are dealt like those of other texts; empty
+tables give empty results.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ run of equal windows is counted exactly and its smallest document known.
 
 Defined cases: null text has no words; documents of fewer than K words lose
 nothing; a null doc_id orders before all others; rows that share a doc_id are not
-earlier than one another, so repeated rows all stay.
+earlier than one another, so repeated rows all stay. A very long text is one batch of
+its own; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
