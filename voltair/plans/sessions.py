@@ -201,7 +201,7 @@ def overlap_index(s, d):
     + """, cells AS (SELECT DISTINCT ch, CASE WHEN ch IN ('click', 'view') THEN 'merged' ELSE ch END AS cell FROM sig WHERE ch <> 'purchase'),
 shape AS (SELECT cell, sig.t - spikes.t + 10 AS pos, avg(sig.x) AS v FROM spikes JOIN cells ON cells.ch = spikes.ch JOIN sig ON spikes.ch = sig.ch AND sig.t BETWEEN spikes.t - 10 AND spikes.t + 21 GROUP BY ALL),
 times AS (SELECT DISTINCT cell, us FROM (SELECT event_type AS ch, epoch_us(ts) AS us FROM events) JOIN cells USING (ch) WHERE cell IN (SELECT cell FROM shape))
-SELECT cell, 'timestamps' AS name, row_number() OVER (PARTITION BY cell ORDER BY us) - 1 AS i, round(us / 1000, 3) + 0.0 AS x FROM times UNION ALL SELECT cell, 'spikeForm', pos, round(v, 3) + 0.0 FROM shape""",
+SELECT cell, 'timestamps' AS name, row_number() OVER (PARTITION BY cell ORDER BY us) - 1 AS i, round(us / 1000, 3) + 0.0 AS x FROM times UNION ALL SELECT cell, 'spikeForm', pos, round(v, 9) + 0.0 FROM shape""",
     "sig",
 )
 def spiketrain_files(s, d):
@@ -214,4 +214,4 @@ def spiketrain_files(s, d):
     shapes = signals.snippets(sig, signals.spikes(sig, 3.0)).select(F.col("ch").alias("unit"), F.lit(0).alias("ch"), "pos", F.col("x").alias("v"))
     mat.write_spiketrains(sessions.spiketrains(v.train(s, d), shapes, {"click": "merged", "view": "merged"}, ["purchase"]), path)
     rows = mat.read(s, path).select(F.regexp_extract("file", "([^/]*)[.]mat$", 1).alias("cell"), "name", F.posexplode("x").alias("i", "x"))
-    return rounded(rows.withColumn("i", F.col("i").cast("long")), "x", digits=3)
+    return rows.withColumn("i", F.col("i").cast("long")).withColumn("x", F.when(F.col("name") == "timestamps", F.round("x", 3)).otherwise(F.round("x", 9)) + 0.0)
