@@ -113,7 +113,7 @@ def in_lanes(rows: DataFrame, bytes_a_sample: int, kernel: Callable[[Lanes, np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            batch = {c: b[c].to_pylist() for c in ("ch", "k", "t0", "own", "lead", "first", "last", "mark")} | {"x": [rows_of(v.values) for v in b["x"]]}
+            batch = {c: b[c].to_pylist() for c in ("ch", "k", "t0", "own", "lead", "first", "last")} | {"x": [rows_of(v.values) for v in b["x"]], "mark": [v.values.to_numpy(zero_copy_only=False) for v in b["mark"]]}
             for rows, lanes in lanes_of(batch, bytes_a_sample):
                 out = kernel(lanes, lanes.spread([batch["mark"][i] for i in rows], bool))
                 fixed = {c: pa.array([batch[c][i] for i in rows], b.schema.field(c).type) for c in ("ch", "k", "t0", "own", "first", "last")}
