@@ -55,12 +55,13 @@ def one_ring_states(s, d):
 
 @recursive(RING + STATES, "sig")
 def online_states(s, d):
-    """The same, by a stream: samples are written in stretches of time, read in micro-batches, and told when they are certain."""
+    """The same, by a stream: samples are written in stretches of time, read in two micro-batches, and told when they are certain."""
     sig = scaled(s, d).select("ch", "t", "x")
     ends = sig.groupBy("ch").agg((F.max("t") + 1).alias("t")).select("ch", "t", F.lit(None).cast("double").alias("x"))
     source, sink = folder(s, "online-in"), folder(s, "online-out")
     sig.union(ends).repartitionByRange(8, "t").write.parquet(source)
-    stream = s.readStream.schema(sig.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    files = len(s.read.parquet(source).inputFiles())
+    stream = s.readStream.schema(sig.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(source)
     found = streaming.stream_decode(stream, ONE, RATE, 1.0)
     found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(found.schema).parquet(sink)
