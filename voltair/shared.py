@@ -14,7 +14,20 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file:///tmp/checkpoints"
-    return found.rstrip("/")
+    return (found if ":" in found else located(spark, found)).rstrip("/")
+
+
+def located(spark: SparkSession, path: str) -> str:
+    """`path` with the file system that holds it, for readers besides Spark: a path without a scheme is of Hadoop's default one, and mounts (viewfs) are followed. What doesn't exist yet lies where its nearest parent does."""
+    if path.startswith("file:"):
+        return path
+    place, below = spark._jvm.org.apache.hadoop.fs.Path(path), []
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = system.makeQualified(place)
+    while place.getParent() is not None and not system.exists(place):
+        below.append(place.getName())
+        place = place.getParent()
+    return "/".join([system.resolvePath(place).toString().rstrip("/"), *reversed(below)])
 
 
 def folder(spark: SparkSession, name: str) -> str:

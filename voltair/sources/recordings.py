@@ -4,11 +4,12 @@ The source plans from headers alone: each file becomes partitions of so many sam
 and a task reads only its bytes; predicates on file, channel and time narrow the plan.
 The sink writes drafts, which become files when all tasks are done and vanish otherwise.
 Paths are of any file system that pyarrow opens and all executors share; outside local
-mode they need a scheme. Layouts are fixed values of the file formats, little-endian.
+mode they need a scheme; viewfs is followed to the store it mounts. Layouts are fixed values of the file formats, little-endian.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..shared import located
 from . import CHUNK, signal_bytes, signal_header, sync_bytes, waveform_bytes
 
 #: Sample types by the code in an Npt header.
@@ -63,10 +65,12 @@ def uei_bytes(x: np.ndarray, rate: int, low: float, high: float, bits: int) -> b
 
 
 def opened(path: str):
-    """(file system, path on it)."""
+    """(file system, path on it). Local paths are taken as Spark takes them, without escapes."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if "://" not in path or path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:(//[^/]*)?", "", path)
+    return fs.FileSystem.from_uri(path)
 
 
 def files_under(path: str) -> list[tuple[str, int]]:
@@ -81,10 +85,10 @@ def files_under(path: str) -> list[tuple[str, int]]:
 
 
 def shared_path(spark: SparkSession, path: str) -> str:
-    """`path`, which must name its file system where executors don't share a local one."""
+    """`path`, which must name its file system where executors don't share a local one; mounts that only Spark knows (viewfs) are followed to the store behind them."""
     if ":" not in path and not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{path} has no scheme: executors would each write to their own disk")
-    return path
+    return located(spark, path) if path.startswith("viewfs:") else path
 
 
 @dataclass
@@ -353,11 +357,11 @@ def write_signals(samples: DataFrame, folder: str, rate: int, layout: str = "sig
     channels: of every file (default: up to the last one that has samples); instants without
     a sample are zero. options: code (npt), low, high and bits (uei).
     """
-    spark = samples.sparkSession
+    spark, folder = samples.sparkSession, shared_path(samples.sparkSession, folder)
     spark.dataSource.register(Recordings)
     rows = samples.select(F.col("file").cast("string").alias("file"), F.col("ch").cast("int").alias("ch"), F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"))
     sink = rows.repartition("file").sortWithinPartitions("file", "t").write.format("recording").mode("append").options(layout=layout, rate=rate, **options)
-    (sink if channels is None else sink.option("channels", channels)).save(shared_path(spark, folder))
+    (sink if channels is None else sink.option("channels", channels)).save(folder)
     return spark.createDataFrame([(path.rsplit("/", 1)[-1], size) for path, size in files_under(folder)], "name string, bytes long")
 
 
