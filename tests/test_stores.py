@@ -25,3 +25,21 @@ def test_a_local_path_is_taken_as_it_stands(spark, tmp_path):
 
 def test_a_path_without_a_scheme(spark, tmp_path):
     assert shared.located(spark, f"{tmp_path}/x/y") == f"file:{tmp_path}/x/y"
+
+
+def test_signs_of_zeros_in_shapes(spark, tmp_path):
+    """extracted_spikes equals its SQL where a sample is a negative zero."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    events = spark.range(600).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("ts"), F.lit("a").alias("event_type"),
+        F.when(F.col("id") % 100 == 50, 90.0).when(F.col("id") % 7 == 0, 0.0).otherwise((F.col("id") * 37 % 11).cast("double")).alias("value"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = sorted(db.execute("SELECT ch, t, shape FROM (" + entry.oracle_sql()["extracted_spikes"] + ")").fetchall())
+    got = sorted(tuple(r) for r in entry.queries()["extracted_spikes"](spark, str(tmp_path)).select("ch", "t", "shape").collect())
+    assert want == got and any("-0.0" in shape for _, _, shape in got)

@@ -132,7 +132,8 @@ SELECT good.ch, good.t, round(any_value(threshold), 6) AS threshold, round(any_v
 )
 def extracted_spikes(s, d):
     out = rounded(sessions.extract(v.sig(s, d), 3.0), "threshold", "mean")
-    return out.withColumn("shape", F.concat(F.lit("["), F.array_join(F.transform("shape", lambda x: F.round(x, 6).cast("string")), ", "), F.lit("]")))
+    text = lambda x: F.when((F.round(x, 6) == 0) & x.cast("string").startswith("-"), "-0.0").otherwise(F.round(x, 6).cast("string"))  # round() drops the sign of zero
+    return out.withColumn("shape", F.concat(F.lit("["), F.array_join(F.transform("shape", text), ", "), F.lit("]")))
 
 
 @query(
