@@ -27,6 +27,13 @@ def test_a_path_without_a_scheme(spark, tmp_path):
     assert shared.located(spark, f"{tmp_path}/x/y") == f"file:{tmp_path}/x/y"
 
 
+def test_numbers_of_parts_beyond_four_digits(spark):
+    samples = spark.range(20_050).select(F.lit("rec").alias("file"), F.lit(0).alias("ch"), F.col("id").alias("t"), F.col("id").cast("double").alias("x"))
+    parts = recordings.split_samples(samples, 2)
+    assert parts.select("file").distinct().count() == 10_025
+    assert recordings.assemble(parts).where("t <> x").isEmpty()
+
+
 def test_signs_of_zeros_in_shapes(spark, tmp_path):
     """extracted_spikes equals its SQL where a sample is a negative zero."""
     import duckdb

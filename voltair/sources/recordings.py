@@ -403,7 +403,8 @@ def read_decoded(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def split_samples(samples: DataFrame, size: int) -> DataFrame:
     """Samples (file, ch, t, x) as numbered parts of `size` samples: `file` ends with the part's number, t begins anew."""
     part = F.floor(F.col("t") / size).cast("long")
-    return samples.select(F.concat_ws(".", "file", F.lpad(part.cast("string"), 4, "0")).alias("file"), "ch", (F.col("t") - part * size).alias("t"), "x")
+    number = F.lpad(part.cast("string"), F.greatest(F.length(part.cast("string")), F.lit(4)), "0")  # lpad cuts what is longer
+    return samples.select(F.concat_ws(".", "file", number).alias("file"), "ch", (F.col("t") - part * size).alias("t"), "x")
 
 
 def assemble(parts: DataFrame) -> DataFrame:
