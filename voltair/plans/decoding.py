@@ -13,6 +13,8 @@ from ..sources import recordings
 from . import DEMO, query, rounded, scaled
 
 ONE, RATE, CHUNK = DEMO[:1], np.array([1e-3]), 2000
+#: Samples of all channels that a micro-batch of a stream holds.
+BATCH = 1 << 20
 #: Chances of a ring whose third sample may be held, and that may be broken off after it.
 HELD = hmm.ring_matrix(4, 0.02)
 HELD[3, :] = 0.1, 0.0, 0.0, 0.2, 0.7
@@ -55,13 +57,14 @@ def one_ring_states(s, d):
 
 @recursive(RING + STATES, "sig")
 def online_states(s, d):
-    """The same, by a stream: samples are written in stretches of time, read in two micro-batches, and told when they are certain."""
+    """The same, by a stream: samples are written in stretches of time, read in micro-batches, two at least, of BATCH samples at most (if stretches are even), and told when they are certain."""
     sig = scaled(s, d).select("ch", "t", "x")
     ends = sig.groupBy("ch").agg((F.max("t") + 1).alias("t")).select("ch", "t", F.lit(None).cast("double").alias("x"))
     source, sink = folder(s, "online-in"), folder(s, "online-out")
-    sig.union(ends).repartitionByRange(8, "t").write.parquet(source)
+    batches = max(2, -(-v.table(s, d, "events").count() // BATCH))
+    sig.union(ends).repartitionByRange(8 * batches, "t").write.parquet(source)
     files = len(s.read.parquet(source).inputFiles())
-    stream = s.readStream.schema(sig.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(source)
+    stream = s.readStream.schema(sig.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(source)
     found = streaming.stream_decode(stream, ONE, RATE, 1.0)
     found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(found.schema).parquet(sink)

@@ -34,18 +34,28 @@ def stream_troughs(sig: DataFrame, threshold: float) -> DataFrame:
     return sig.groupBy("ch").applyInPandasWithState(run, "ch string, t long, x double", "t0 long, x0 double, t1 long, x1 double, n int", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Samples decoded at once.
+PIECE = 1 << 14
+
+
 def stream_decode(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precision: float, active: int = 2) -> DataFrame:
     """(ch, template_id, t, state) of running templates, from a stream of (ch, t, x) that may come in any cut and order.
 
     t counts from 0 in each channel; a row without x, of the t after the last, ends it. States
     are told as soon as they are certain, and are those of the batch decoder. A channel's state
     is a score for each joint state, the ways of samples that aren't told yet, and samples that
-    came before their time; samples seen already are passed over.
+    came before their time; samples seen already are passed over. A task holds the samples of a
+    micro-batch and decodes them piece by piece.
     """
     states = hmm.joint_states(len(templates), templates.shape[1], min(active, len(templates)))
     trellis = lanes.Trellis(states, hmm.predecessors(states, templates.shape[1], p), templates, precision)
     many = len(trellis.moves.many)
 
+    def named(ch: str, told: int, path: np.ndarray) -> pd.DataFrame:
+        ring = states[path]
+        at, template = np.nonzero(ring)
+        return pd.DataFrame({"ch": [ch] * len(at), "template_id": template, "t": told + at, "state": ring[at, template].astype(np.int64)})
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat([f[["t", "x"]] for f in frames])
         decoder, told, ended = lanes.Online(trellis), 0, False
@@ -57,21 +67,21 @@ def stream_decode(sig: DataFrame, templates: np.ndarray, p: np.ndarray, precisio
         rows = rows[rows["t"] >= decoder.count].drop_duplicates("t").sort_values("t")
         t, x = rows["t"].to_numpy(np.int64), rows["x"].to_numpy(float)
         ready = int((t == decoder.count + np.arange(len(t))).cumprod().sum())  # samples whose turn it is
-        found = []
-        if ready and not ended:
-            now = x[:ready]
-            stop = np.flatnonzero(np.isnan(now))
-            found.append(decoder.push(now[: stop[0]] if len(stop) else now))
-            if len(stop):
-                ended = True
-                found.append(decoder.close())
-        path = np.concatenate(found) if found else np.zeros(0, np.int64)
-        ring = states[path]
-        at, template = np.nonzero(ring)
-        out = pd.DataFrame({"ch": [key[0]] * len(at), "template_id": template, "t": told + at, "state": ring[at, template].astype(np.int64)})
+        now = x[:0] if ended else x[:ready]
+        stop = np.flatnonzero(np.isnan(now))
+        now, ended = now[: stop[0]] if len(stop) else now, ended or len(stop) > 0
+        done = 0
+        while done < len(now):
+            size = max(PIECE, len(decoder.back))  # pieces grow with what is uncertain, as each looks it through
+            path = decoder.push(now[done : done + size])
+            yield named(key[0], told, path)
+            told, done = told + len(path), done + size
+        if len(stop):
+            path = decoder.close()
+            yield named(key[0], told, path)
+            told += len(path)
         late = slice(len(t) if ended else ready, None)
-        state.update((decoder.count, told + len(path), ended, decoder.score.tobytes(), np.ascontiguousarray(decoder.back).tobytes(), t[late].tobytes(), x[late].tobytes()))
-        yield out
+        state.update((decoder.count, told, ended, decoder.score.tobytes(), np.ascontiguousarray(decoder.back).tobytes(), t[late].tobytes(), x[late].tobytes()))
 
     kept = "count long, told long, ended boolean, score binary, back binary, early_t binary, early_x binary"
     return sig.groupBy("ch").applyInPandasWithState(run, "ch string, template_id long, t long, state long", kept, "append", GroupStateTimeout.NoTimeout)
