@@ -1,5 +1,8 @@
 """Recordings in stores that only Spark's names reach, and in numbers that outgrow their digits."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from voltair import shared
@@ -50,3 +53,38 @@ def test_signs_of_zeros_in_shapes(spark, tmp_path):
     want = sorted(db.execute("SELECT ch, t, shape FROM (" + entry.oracle_sql()["extracted_spikes"] + ")").fetchall())
     got = sorted(tuple(r) for r in entry.queries()["extracted_spikes"](spark, str(tmp_path)).select("ch", "t", "shape").collect())
     assert want == got and any("-0.0" in shape for _, _, shape in got)
+
+
+@pytest.fixture
+def hidden(spark, tmp_path, monkeypatch):
+    """The shared folder, in a store that Spark reaches and pyarrow doesn't."""
+    conf, name = spark._jsc.hadoopConfiguration(), tmp_path.name.replace("_", "-")
+    conf.set("fs.hidden.impl", "org.apache.hadoop.fs.viewfs.ViewFileSystemOverloadScheme")
+    conf.set(f"fs.viewfs.mounttable.{name}.link./kept", f"file://{tmp_path}")
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"hidden://{name}/kept")
+    return f"hidden://{name}/kept"
+
+
+def as_its_sql(spark, name, sf):
+    """Whether a query has the rows of its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    got, db = entry.queries()[name](spark, sf), duckdb.connect()
+    for table in ("events", "nation"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    return sorted(want) == sorted(tuple(r) for r in got.collect()) and bool(want)
+
+
+def test_sync_files_in_a_store_that_only_spark_opens(spark, sf, hidden, tmp_path):
+    """Contents with any last byte, names with any characters; a second job replaces files."""
+    ends = {"a =%20.é": -1, "10": 10 << 24, "13": 13 << 24, "0": 0, "128": -128 << 24}
+    for factor in (2, 1):
+        rows = spark.createDataFrame([(name, i, x // factor) for name, x in ends.items() for i in range(3)], "name string, idx long, sync int")
+        assert {r.bytes for r in recordings.write_syncs(rows, f"{hidden}/syncs").collect()} == {312}
+    assert not [x for x in os.listdir(tmp_path / "syncs") if x.startswith("_")]
+    bodies = {name: (tmp_path / "syncs" / name).read_bytes()[300:] for name in ends}
+    assert bodies == {name: x.to_bytes(4, "little", signed=True) * 3 for name, x in ends.items()}
+    assert as_its_sql(spark, "sync_files", sf)

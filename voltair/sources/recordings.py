@@ -3,13 +3,14 @@
 The source plans from headers alone: each file becomes partitions of so many samples,
 and a task reads only its bytes; predicates on file, channel and time narrow the plan.
 The sink writes drafts, which become files when all tasks are done and vanish otherwise.
-Paths are of any file system that pyarrow opens and all executors share; outside local
-mode they need a scheme; viewfs is followed to the store it mounts. Layouts are fixed values of the file formats, little-endian.
+Paths are of any file system that Spark reaches and all executors share; outside local
+mode they need a scheme; viewfs is followed to the store it mounts. Where pyarrow doesn't
+open a store, Spark's own readers and writers move the files (`stores`).
+Layouts are fixed values of the file formats, little-endian.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..shared import located
 from . import CHUNK, signal_bytes, signal_header, sync_bytes, waveform_bytes
+from .stores import direct, files_under, opened, put_groups, shared_path
 
 #: Sample types by the code in an Npt header.
 NPT_TYPES = {1: "u1", 2: "u1", 3: "i1", 4: "i2", 5: "i4", 6: "i8", 7: "u1", 8: "u2", 9: "u4", 10: "u8", 11: "f2", 12: "f4", 13: "f8", 14: "f8"}
@@ -64,33 +65,6 @@ def uei_bytes(x: np.ndarray, rate: int, low: float, high: float, bits: int) -> b
     return head + x.astype("<i2").tobytes()
 
 
-def opened(path: str):
-    """(file system, path on it). Local paths are taken as Spark takes them, without escapes."""
-    from pyarrow import fs
-
-    if "://" not in path or path.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub("^file:(//[^/]*)?", "", path)
-    return fs.FileSystem.from_uri(path)
-
-
-def files_under(path: str) -> list[tuple[str, int]]:
-    """(file, bytes) of a file or of all files in a folder, in order."""
-    from pyarrow import fs
-
-    system, place = opened(path)
-    info = system.get_file_info(place)
-    found = system.get_file_info(fs.FileSelector(place)) if info.type == fs.FileType.Directory else [info]
-    lead = path[: len(path) - len(place)] if path.endswith(place) else ""
-    return sorted((lead + f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
-
-
-def shared_path(spark: SparkSession, path: str) -> str:
-    """`path`, which must name its file system where executors don't share a local one; mounts that only Spark knows (viewfs) are followed to the store behind them."""
-    if ":" not in path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{path} has no scheme: executors would each write to their own disk")
-    return located(spark, path) if path.startswith("viewfs:") else path
-
-
 @dataclass
 class Stretch(InputPartition):
     """Samples start .. stop of a file; of some channels, or of all."""
@@ -334,8 +308,10 @@ def triggers(recording: DataFrame, descriptor: DataFrame) -> DataFrame:
 
 
 def write_files(df: DataFrame, key: str, folder: str, build: Callable[[str, pa.Table], bytes]) -> DataFrame:
-    """(name, bytes): one file a group, written by its task under another name and then moved, so that a repeated task does no harm; empty groups have none. A group is a file's worth of rows."""
+    """(name, bytes): one file a group, written by its task under another name and then moved, so that a repeated task does no harm; empty groups have none. A group is a file's worth of rows. Where pyarrow doesn't open the store, Spark writes them at once."""
     folder = shared_path(df.sparkSession, folder).rstrip("/")
+    if not direct(folder):
+        return put_groups(df, key, folder, build)
 
     def run(rows: pa.Table) -> pa.Table:
         name = str(rows[key][0].as_py())
