@@ -88,3 +88,11 @@ def test_sync_files_in_a_store_that_only_spark_opens(spark, sf, hidden, tmp_path
     bodies = {name: (tmp_path / "syncs" / name).read_bytes()[300:] for name in ends}
     assert bodies == {name: x.to_bytes(4, "little", signed=True) * 3 for name, x in ends.items()}
     assert as_its_sql(spark, "sync_files", sf)
+
+
+def test_signal_files_in_a_store_that_only_spark_opens(spark, sf, hidden):
+    rows = spark.createDataFrame([("rec.0001", 0, 0, 1.0), ("rec.0001", 1, 1, -1.0), ("rec.0002", 0, 0, 2.0)], "file string, ch int, t long, x double")
+    assert [tuple(r) for r in recordings.write_signals(rows, f"{hidden}/signals", 1000, channels=2).collect()] == [("rec.0001", 98), ("rec.0002", 94)]
+    got = recordings.scan(spark, f"{hidden}/signals", per_task=1).select(F.element_at(F.split("file", "/"), -1), "ch", "t0", F.col("x")[0]).collect()
+    assert sorted(tuple(r) for r in got) == [("rec.0001", 0, 0, 1), ("rec.0001", 0, 1, 0), ("rec.0001", 1, 0, 0), ("rec.0001", 1, 1, -1), ("rec.0002", 0, 0, 2), ("rec.0002", 1, 0, 0)]
+    assert as_its_sql(spark, "signal_files", sf)

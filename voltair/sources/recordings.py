@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from . import CHUNK, signal_bytes, signal_header, sync_bytes, waveform_bytes
-from .stores import direct, files_under, opened, put_groups, shared_path
+from .stores import direct, files_under, listed, opened, put_groups, shared_path
 
 #: Sample types by the code in an Npt header.
 NPT_TYPES = {1: "u1", 2: "u1", 3: "i1", 4: "i2", 5: "i4", 6: "i8", 7: "u1", 8: "u2", 9: "u4", 10: "u8", 11: "f2", 12: "f4", 13: "f8", 14: "f8"}
@@ -112,7 +112,11 @@ class RecordingReader(DataSourceReader):
         path, size = file
         system, place = opened(path)
         with system.open_input_file(place) as f:
-            head = header_of(f.read(HEAD).ljust(HEAD, b"\0"), self.layout)
+            return self.stretches(path, size, f.read(HEAD))
+
+    def stretches(self, path: str, size: int, raw: bytes) -> list[Stretch]:
+        """raw: the file's first bytes."""
+        head = header_of(raw.ljust(HEAD, b"\0"), self.layout)
         samples = (size - head.size) // (np.dtype(head.kind).itemsize * head.channels)
         if self.only_headers:
             return [Stretch(path, head, 0, samples)]
@@ -136,29 +140,33 @@ class RecordingReader(DataSourceReader):
         if self.only_headers:
             yield pa.record_batch([pa.array([part.path]), pa.array([h.rate]), pa.array([h.channels]), pa.array([part.stop])], names=["file", "rate", "channels", "samples"])
             return
-        width = np.dtype(h.kind).itemsize * h.channels
-        chosen = list(range(h.channels)) if part.channels is None else list(part.channels)
         system, place = opened(part.path)
         with system.open_input_file(place) as f:
-            for t in range(part.start, part.stop, CHUNK):
-                n = min(CHUNK, part.stop - t)
-                x = np.frombuffer(f.read_at(n * width, h.size + t * width), "<" + h.kind).reshape(-1, h.channels)[:, chosen].astype(float)
-                if self.by_sample:
-                    for c, column in zip(chosen, x.T, strict=True):
-                        yield pa.record_batch([pa.repeat(pa.scalar(part.path), n), pa.array(np.full(n, h.rate, np.int64)), pa.array(np.full(n, c, np.int32)), pa.array(t + np.arange(n)), pa.array(np.ascontiguousarray(column))], names=["file", "rate", "ch", "t", "x"])
-                    continue
-                many = len(chosen)
-                columns = {
-                    "file": pa.array([part.path] * many),
-                    "rate": pa.array(np.full(many, h.rate, np.int64)),
-                    "ch": pa.array(np.array(chosen, dtype=np.int32)),
-                    "t0": pa.array(np.full(many, t, np.int64)),
-                    "x": pa.array(list(x.T), pa.list_(pa.float64())),
-                    "low": pa.array(np.full(many, h.low)),
-                    "high": pa.array(np.full(many, h.high)),
-                    "bits": pa.array(np.full(many, h.bits, np.int32)),
-                }
-                yield pa.record_batch(list(columns.values()), names=list(columns))
+            yield from self.rows(part, f)
+
+    def rows(self, part: Stretch, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        h = part.head
+        width = np.dtype(h.kind).itemsize * h.channels
+        chosen = list(range(h.channels)) if part.channels is None else list(part.channels)
+        for t in range(part.start, part.stop, CHUNK):
+            n = min(CHUNK, part.stop - t)
+            x = np.frombuffer(f.read_at(n * width, h.size + t * width), "<" + h.kind).reshape(-1, h.channels)[:, chosen].astype(float)
+            if self.by_sample:
+                for c, column in zip(chosen, x.T, strict=True):
+                    yield pa.record_batch([pa.repeat(pa.scalar(part.path), n), pa.array(np.full(n, h.rate, np.int64)), pa.array(np.full(n, c, np.int32)), pa.array(t + np.arange(n)), pa.array(np.ascontiguousarray(column))], names=["file", "rate", "ch", "t", "x"])
+                continue
+            many = len(chosen)
+            columns = {
+                "file": pa.array([part.path] * many),
+                "rate": pa.array(np.full(many, h.rate, np.int64)),
+                "ch": pa.array(np.array(chosen, dtype=np.int32)),
+                "t0": pa.array(np.full(many, t, np.int64)),
+                "x": pa.array(list(x.T), pa.list_(pa.float64())),
+                "low": pa.array(np.full(many, h.low)),
+                "high": pa.array(np.full(many, h.high)),
+                "bits": pa.array(np.full(many, h.bits, np.int32)),
+            }
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
 
 @dataclass
@@ -274,15 +282,32 @@ def reader(spark: SparkSession) -> DataFrameReader:
     return spark.read.format("recording")
 
 
+def loaded(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The source's rows. Where pyarrow doesn't open the store, Spark reads whole files (each below 2 GB), and predicates hold after that."""
+    path = shared_path(spark, path)
+    if direct(path):
+        return reader(spark).options(**options).load(path)
+    given = {"path": path} | {k.lower(): str(v) for k, v in options.items()}
+    source = RecordingReader(given, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b["path"].to_pylist(), b["content"], strict=True):
+                buffer = raw.as_buffer()
+                for part in source.stretches(name, buffer.size, buffer[:HEAD].to_pybytes()):
+                    yield from source.rows(part, pa.BufferReader(buffer))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, Recordings(given).schema())
+
+
 def samples(spark: SparkSession, path: str, layout: str = "signal", per_task: int = 16 * CHUNK) -> DataFrame:
     """(file, rate, ch int, t, x), a row a sample; predicates on file, ch and t become byte ranges of the files."""
-    return reader(spark).option("layout", layout).option("samples", "true").option("samplesPerTask", per_task).load(shared_path(spark, path))
+    return loaded(spark, path, layout=layout, samples="true", samplesPerTask=per_task)
 
 
 def scan(spark: SparkSession, path: str, layout: str = "signal", start: int = 0, stop: int | None = None, per_task: int = 16 * CHUNK) -> DataFrame:
     """(file, rate, ch, t0, x array<double>, low, high, bits): samples start .. stop of each file, in chunks."""
-    found = reader(spark).option("layout", layout).option("start", start).option("samplesPerTask", per_task)
-    return (found if stop is None else found.option("stop", stop)).load(shared_path(spark, path))
+    return loaded(spark, path, layout=layout, start=start, samplesPerTask=per_task, **({} if stop is None else {"stop": stop}))
 
 
 def headers(spark: SparkSession, path: str, layout: str = "signal") -> DataFrame:
@@ -336,8 +361,12 @@ def write_signals(samples: DataFrame, folder: str, rate: int, layout: str = "sig
     spark, folder = samples.sparkSession, shared_path(samples.sparkSession, folder)
     spark.dataSource.register(Recordings)
     rows = samples.select(F.col("file").cast("string").alias("file"), F.col("ch").cast("int").alias("ch"), F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"))
-    sink = rows.repartition("file").sortWithinPartitions("file", "t").write.format("recording").mode("append").options(layout=layout, rate=rate, **options)
-    (sink if channels is None else sink.option("channels", channels)).save(folder)
+    given = {"layout": layout, "rate": rate, **options} | ({} if channels is None else {"channels": channels})
+    if not direct(folder):
+        writer = RecordingWriter({"path": folder, **given})
+        put_groups(rows, "file", folder, lambda _, group: writer.build(group))
+        return spark.createDataFrame(listed(spark, folder), "name string, bytes long")
+    rows.repartition("file").sortWithinPartitions("file", "t").write.format("recording").mode("append").options(**given).save(folder)
     return spark.createDataFrame([(path.rsplit("/", 1)[-1], size) for path, size in files_under(folder)], "name string, bytes long")
 
 

@@ -50,6 +50,13 @@ def shared_path(spark: SparkSession, path: str) -> str:
     return located(spark, path) if path.startswith("viewfs:") else path
 
 
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(name, bytes) of all files in a folder, in order, by Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [(x.getPath().getName(), x.getLen()) for x in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place) if x.isFile()]
+    return sorted(x for x in found if not x[0].startswith((".", "_")))
+
+
 def put_files(files: DataFrame, folder: str) -> list[tuple[str, int]]:
     """Write (name, content binary, never empty) as files of these very bytes, by Spark's writer of text; (name, bytes) of them.
 
