@@ -96,3 +96,11 @@ def test_signal_files_in_a_store_that_only_spark_opens(spark, sf, hidden):
     got = recordings.scan(spark, f"{hidden}/signals", per_task=1).select(F.element_at(F.split("file", "/"), -1), "ch", "t0", F.col("x")[0]).collect()
     assert sorted(tuple(r) for r in got) == [("rec.0001", 0, 0, 1), ("rec.0001", 0, 1, 0), ("rec.0001", 1, 0, 0), ("rec.0001", 1, 1, -1), ("rec.0002", 0, 0, 2), ("rec.0002", 1, 0, 0)]
     assert as_its_sql(spark, "signal_files", sf)
+
+
+def test_signal_headers_in_a_store_that_only_spark_opens(spark, sf, hidden):
+    rows = spark.createDataFrame([("b", 0, 1, 1.0), ("a", 0, 0, 2.0)], "file string, ch int, t long, x double")
+    recordings.write_signals(rows, f"{hidden}/headers", 30_000, "uei", channels=3)
+    got = recordings.headers(spark, f"{hidden}/headers", "uei").orderBy("file").select(F.element_at(F.split("file", "/"), -1), "rate", "channels", "samples")
+    assert [tuple(r) for r in got.collect()] == [("a", 29_990, 3, 1), ("b", 29_990, 3, 1)]
+    assert as_its_sql(spark, "signal_headers", sf)

@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from . import CHUNK, signal_bytes, signal_header, sync_bytes, waveform_bytes
-from .stores import direct, files_under, listed, opened, put_groups, shared_path
+from .stores import direct, files_under, heads, listed, opened, put_groups, shared_path
 
 #: Sample types by the code in an Npt header.
 NPT_TYPES = {1: "u1", 2: "u1", 3: "i1", 4: "i2", 5: "i4", 6: "i8", 7: "u1", 8: "u2", 9: "u4", 10: "u8", 11: "f2", 12: "f4", 13: "f8", 14: "f8"}
@@ -312,7 +312,13 @@ def scan(spark: SparkSession, path: str, layout: str = "signal", start: int = 0,
 
 def headers(spark: SparkSession, path: str, layout: str = "signal") -> DataFrame:
     """(file, rate, channels, samples) without reading the bodies."""
-    return reader(spark).option("layout", layout).option("headers", "true").load(shared_path(spark, path))
+    path = shared_path(spark, path)
+    if direct(path):
+        return reader(spark).option("layout", layout).option("headers", "true").load(path)
+    given = {"path": path, "layout": layout, "headers": "true"}
+    source = RecordingReader(given, None)
+    found = [source.stretches(*file)[0] for file in heads(spark, path, HEAD)]
+    return spark.createDataFrame([(part.path, part.head.rate, part.head.channels, part.stop) for part in found], Recordings(given).schema())
 
 
 def uei(spark: SparkSession, path: str, channels: list[int] | None = None, unit: str = "volts", start: int = 0, stop: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -50,11 +51,31 @@ def shared_path(spark: SparkSession, path: str) -> str:
     return located(spark, path) if path.startswith("viewfs:") else path
 
 
-def listed(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    """(name, bytes) of all files in a folder, in order, by Spark's file systems."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = [(x.getPath().getName(), x.getLen()) for x in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place) if x.isFile()]
-    return sorted(x for x in found if not x[0].startswith((".", "_")))
+def seen(spark: SparkSession, path: str):
+    """(Hadoop's file system, what it says of a file or of all files in a folder)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, [x for x in system.listStatus(place) if x.isFile() and not x.getPath().getName().startswith((".", "_"))]
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of a file or of all files in a folder, in order."""
+    return sorted((x.getPath().getName(), x.getLen()) for x in seen(spark, path)[1])
+
+
+def heads(spark: SparkSession, path: str, size: int) -> list[tuple[str, int, bytes]]:
+    """(file, bytes, its first `size` bytes) of a file or of all files in a folder, read by 16 threads of the driver."""
+    system, found = seen(spark, path)
+
+    def head(status) -> tuple[str, int, bytes]:
+        stream = system.open(status.getPath())
+        try:
+            return status.getPath().toString(), status.getLen(), bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return sorted(pool.map(head, found))
 
 
 def put_files(files: DataFrame, folder: str) -> list[tuple[str, int]]:
