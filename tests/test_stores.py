@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltair import shared
-from voltair.sources import read_syncs, recordings
+from voltair.sources import mat, read_syncs, recordings
 
 
 def test_files_in_a_mounted_store(spark, tmp_path):
@@ -104,3 +104,11 @@ def test_signal_headers_in_a_store_that_only_spark_opens(spark, sf, hidden):
     got = recordings.headers(spark, f"{hidden}/headers", "uei").orderBy("file").select(F.element_at(F.split("file", "/"), -1), "rate", "channels", "samples")
     assert [tuple(r) for r in got.collect()] == [("a", 29_990, 3, 1), ("b", 29_990, 3, 1)]
     assert as_its_sql(spark, "signal_headers", sf)
+
+
+def test_spiketrain_files_in_a_store_that_only_spark_opens(spark, sf, hidden):
+    trains = spark.createDataFrame([("one", [1.0, 2.5], [[3.0, -4.0]]), ("two", [0.5], [[1.0, 5.0]])], "cell string, ts_ms array<double>, spike_form array<array<double>>")
+    mat.write_spiketrains(trains, f"{hidden}/trains")
+    got = {(r.file.rsplit("/", 1)[-1], r.name): (r.dims, r.x) for r in mat.read(spark, f"{hidden}/trains").collect()}
+    assert got == {("one.mat", "timestamps"): ([1, 2], [1.0, 2.5]), ("one.mat", "spikeForm"): ([1, 2], [3.0, -4.0]), ("two.mat", "timestamps"): ([1, 1], [0.5]), ("two.mat", "spikeForm"): ([1, 2], [1.0, 5.0])}
+    assert as_its_sql(spark, "spiketrain_files", sf)
