@@ -112,3 +112,11 @@ def test_spiketrain_files_in_a_store_that_only_spark_opens(spark, sf, hidden):
     got = {(r.file.rsplit("/", 1)[-1], r.name): (r.dims, r.x) for r in mat.read(spark, f"{hidden}/trains").collect()}
     assert got == {("one.mat", "timestamps"): ([1, 2], [1.0, 2.5]), ("one.mat", "spikeForm"): ([1, 2], [3.0, -4.0]), ("two.mat", "timestamps"): ([1, 1], [0.5]), ("two.mat", "spikeForm"): ([1, 2], [1.0, 5.0])}
     assert as_its_sql(spark, "spiketrain_files", sf)
+
+
+def test_signal_pushdown_in_a_store_that_only_spark_opens(spark, sf, hidden):
+    rows = spark.range(400).select(F.lit("rec").alias("file"), (F.col("id") % 2).cast("int").alias("ch"), F.floor(F.col("id") / 2).alias("t"), F.col("id").cast("double").alias("x"))
+    recordings.write_signals(rows, f"{hidden}/many", 1000)
+    got = recordings.samples(spark, f"{hidden}/many", per_task=50).where("ch = 1 AND t BETWEEN 98 AND 101").select("t", "x").collect()
+    assert sorted(tuple(r) for r in got) == [(t, 2.0 * t + 1) for t in range(98, 102)]
+    assert as_its_sql(spark, "signal_pushdown", sf)
