@@ -120,3 +120,12 @@ def test_signal_pushdown_in_a_store_that_only_spark_opens(spark, sf, hidden):
     got = recordings.samples(spark, f"{hidden}/many", per_task=50).where("ch = 1 AND t BETWEEN 98 AND 101").select("t", "x").collect()
     assert sorted(tuple(r) for r in got) == [(t, 2.0 * t + 1) for t in range(98, 102)]
     assert as_its_sql(spark, "signal_pushdown", sf)
+
+
+def test_signal_range_in_a_store_that_only_spark_opens(spark, sf, hidden):
+    recordings.write_signals(spark.createDataFrame([("rec", 0, t, float(t)) for t in range(10)], "file string, ch int, t long, x double"), f"{hidden}/ten", 1000)
+    got = recordings.scan(spark, f"{hidden}/ten", start=3, stop=8, per_task=2).select("t0", "x").collect()
+    assert sorted((r.t0, r.x) for r in got) == [(3, [3, 4]), (5, [5, 6]), (7, [7])]
+    with pytest.raises(Exception, match="has 10 samples, none of them 3 to 11"):
+        recordings.scan(spark, f"{hidden}/ten", start=3, stop=11).collect()
+    assert as_its_sql(spark, "signal_range", sf)
