@@ -129,3 +129,10 @@ def test_signal_range_in_a_store_that_only_spark_opens(spark, sf, hidden):
     with pytest.raises(Exception, match="has 10 samples, none of them 3 to 11"):
         recordings.scan(spark, f"{hidden}/ten", start=3, stop=11).collect()
     assert as_its_sql(spark, "signal_range", sf)
+
+
+def test_trigger_samples_in_a_store_that_only_spark_opens(spark, sf, hidden):
+    recordings.write_signals(spark.createDataFrame([("rec", ch, 0, float(ch)) for ch in range(3)], "file string, ch int, t long, x double"), f"{hidden}/three", 1000)
+    descriptor = spark.createDataFrame([(1, "electrode"), (2, "presenter"), (3, "electrode")], "nr int, type string")
+    assert [(r.ch, r.x) for r in recordings.triggers(recordings.scan(spark, f"{hidden}/three"), descriptor).collect()] == [(1, [1.0])]
+    assert as_its_sql(spark, "trigger_samples", sf)
