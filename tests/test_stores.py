@@ -136,3 +136,11 @@ def test_trigger_samples_in_a_store_that_only_spark_opens(spark, sf, hidden):
     descriptor = spark.createDataFrame([(1, "electrode"), (2, "presenter"), (3, "electrode")], "nr int, type string")
     assert [(r.ch, r.x) for r in recordings.triggers(recordings.scan(spark, f"{hidden}/three"), descriptor).collect()] == [(1, [1.0])]
     assert as_its_sql(spark, "trigger_samples", sf)
+
+
+def test_uei_units_in_a_store_that_only_spark_opens(spark, sf, hidden):
+    rows = spark.createDataFrame([("rec", 0, 0, 16384.0), ("rec", 1, 0, -16384.0)], "file string, ch int, t long, x double")
+    recordings.write_signals(rows, f"{hidden}/uei", 30_000, "uei", low=-10.0, high=10.0, bits=14)
+    got = {u: [r.x for r in recordings.uei(spark, f"{hidden}/uei", [1], u).collect()] for u in ("volts", "millivolts", "daq")}
+    assert got == {"volts": [-5.0], "millivolts": [-5000.0], "daq": [-16384.0]}
+    assert as_its_sql(spark, "uei_units", sf)
