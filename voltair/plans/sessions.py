@@ -214,5 +214,6 @@ def spiketrain_files(s, d):
     sig, path = v.sig(s, d), folder(s, "spiketrains")
     shapes = signals.snippets(sig, signals.spikes(sig, 3.0)).select(F.col("ch").alias("unit"), F.lit(0).alias("ch"), "pos", F.col("x").alias("v"))
     mat.write_spiketrains(sessions.spiketrains(v.train(s, d), shapes, {"click": "merged", "view": "merged"}, ["purchase"]), path)
-    rows = mat.read(s, path).select(F.regexp_extract("file", "([^/]*)[.]mat$", 1).alias("cell"), "name", F.posexplode("x").alias("i", "x"))
+    named = mat.read(s, path).select(F.regexp_extract("file", "([^/]*)[.]mat$", 1).alias("cell"), "name", "x")  # a row a variable
+    rows = named.select("cell", "name", F.posexplode("x").alias("i", "x"))
     return rows.withColumn("i", F.col("i").cast("long")).withColumn("x", F.when(F.col("name") == "timestamps", F.round("x", 3)).otherwise(F.round("x", 9)) + 0.0)
