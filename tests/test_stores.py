@@ -144,3 +144,44 @@ def test_uei_units_in_a_store_that_only_spark_opens(spark, sf, hidden):
     got = {u: [r.x for r in recordings.uei(spark, f"{hidden}/uei", [1], u).collect()] for u in ("volts", "millivolts", "daq")}
     assert got == {"volts": [-5.0], "millivolts": [-5000.0], "daq": [-16384.0]}
     assert as_its_sql(spark, "uei_units", sf)
+
+
+@pytest.fixture
+def few(tmp_path):
+    """Makes tables of so many events of one type."""
+    import duckdb
+
+    def made(n):
+        folder = tmp_path / f"few-{n}"
+        folder.mkdir()
+        duckdb.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * i AS ts, 'a' AS event_type, i * 1.5::DOUBLE AS value FROM range({n}) r(i)) TO '{folder}/events.parquet' (FORMAT parquet)")
+        os.symlink("/root/testdata/sf0.001/nation.parquet", folder / "nation.parquet")
+        return str(folder)
+
+    return made
+
+
+def as_its_empty_sql(spark, name, sf):
+    """Whether neither a query nor its SQL has a row."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    got, db = entry.queries()[name](spark, sf), duckdb.connect()
+    for table in ("events", "nation"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    return got.collect() == db.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall() == []
+
+
+def test_signal_pushdown_where_predicates_leave_nothing(spark, few, tmp_path):
+    """One channel, of which channels 1 and 2 are asked; values that are null."""
+    rows = spark.createDataFrame([("rec", ch, t, float(t)) for ch in range(2) for t in range(3)], "file string, ch int, t long, x double")
+    recordings.write_signals(rows, f"file://{tmp_path}/nine", 1000)
+    found = recordings.samples(spark, f"file://{tmp_path}/nine")
+    assert found.where("t >= 3").collect() == found.where("ch IN (2, 3)").collect() == found.where("file = 'none'").collect() == []
+    assert sorted((r.ch, r.t) for r in found.where("ch IN (1, NULL)").collect()) == [(1, 0), (1, 1), (1, 2)]
+    assert as_its_empty_sql(spark, "signal_pushdown", few(1000))
+
+
+def test_a_folder_without_mat_files(spark, tmp_path):
+    assert mat.read(spark, f"file://{tmp_path}").collect() == []

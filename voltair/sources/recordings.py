@@ -95,7 +95,7 @@ class RecordingReader(DataSourceReader):
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") else ""
             if isinstance(f, EqualTo | In) and name in ("ch", "file"):
-                values = set(f.value) if isinstance(f, In) else {f.value}
+                values = set(f.value) - {None} if isinstance(f, In) else {f.value}
                 known = self.channels if name == "ch" else self.files
                 values = values if known is None else known & values
                 self.channels, self.files = (values, self.files) if name == "ch" else (self.channels, values)
@@ -135,7 +135,9 @@ class RecordingReader(DataSourceReader):
         with ThreadPoolExecutor(16) as pool:  # a small read a file
             return [part for parts in pool.map(self.headed, found) for part in parts]
 
-    def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark's one task where the plan has no part
+            return
         h = part.head
         if self.only_headers:
             yield pa.record_batch([pa.array([part.path]), pa.array([h.rate]), pa.array([h.channels]), pa.array([part.stop])], names=["file", "rate", "channels", "samples"])
