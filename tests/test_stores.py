@@ -185,3 +185,8 @@ def test_signal_pushdown_where_predicates_leave_nothing(spark, few, tmp_path):
 
 def test_a_folder_without_mat_files(spark, tmp_path):
     assert mat.read(spark, f"file://{tmp_path}").collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 89])
+def test_signal_range_where_no_file_has_as_many(spark, few, n):
+    assert as_its_empty_sql(spark, "signal_range", few(n))
