@@ -190,3 +190,7 @@ def test_a_folder_without_mat_files(spark, tmp_path):
 @pytest.mark.parametrize("n", [0, 1, 89])
 def test_signal_range_where_no_file_has_as_many(spark, few, n):
     assert as_its_empty_sql(spark, "signal_range", few(n))
+
+
+def test_trigger_samples_without_recordings(spark, few):
+    assert as_its_empty_sql(spark, "trigger_samples", few(0))
