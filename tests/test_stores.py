@@ -194,3 +194,11 @@ def test_signal_range_where_no_file_has_as_many(spark, few, n):
 
 def test_trigger_samples_without_recordings(spark, few):
     assert as_its_empty_sql(spark, "trigger_samples", few(0))
+
+
+def test_uei_units_without_recordings(spark, few, hidden, tmp_path, monkeypatch):
+    """In a store that only Spark opens, and on a local folder."""
+    empty = few(0)
+    assert as_its_empty_sql(spark, "uei_units", empty)
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert as_its_empty_sql(spark, "uei_units", empty)

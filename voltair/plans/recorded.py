@@ -85,7 +85,8 @@ def npt_files(s, d):
 def uei_units(s, d):
     """Counts of a converter from -10 to 10 volts, in millivolts, without channel 0."""
     path = written(s, d, "uei", layout="uei", low=-10.0, high=10.0, bits=14)
-    chosen = list(range(1, recordings.headers(s, path, "uei").agg(F.max("channels")).first()[0]))
+    channels = recordings.headers(s, path, "uei").agg(F.max("channels")).first()[0] or 0  # null without files
+    chosen = list(range(1, channels))
     return rounded(put_together(recordings.uei(s, path, chosen, "millivolts")), "x")
 
 
