@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voltair.llm import decontaminate, lm, pieces, quality
@@ -92,6 +94,37 @@ def test_lanes_of_a_long_document_score_as_one(order):
     assert lm.traverse(s, machine, order, 7) == pytest.approx(lm.traverse(s, machine, order, 10_000))
 
 
+def test_words_of_a_shard_are_those_of_a_plain_split():
+    texts = [b"B a\x0bA \xc3\x84\x00b\x1c \xc3\x84\x00b\x1c", b"", b"\r\n\f\t ", b"x" * 5000 + b" " + b"x" * 4999 + b"y x", b"a" * 1024 + b" " + b"a" * 1025]
+    s, names, bucket = lm.Shard.of(texts, np.zeros(len(texts), bool), 7)
+    assert [names[i] for i in s.token.tolist()] == [w for text in texts for w in (*text.lower().split(), lm.END)]
+    assert s.count.tolist() == [len(text.split()) + 1 for text in texts] and names[s.begin] == lm.BEGIN
+    assert list(zip(bucket.tolist(), names, strict=True)) == sorted(zip(bucket.tolist(), names, strict=True))
+    again = lm.Shard.of([b"x", *texts[::-1]], np.zeros(6, bool), 7)
+    assert dict(zip(names, bucket, strict=True)) == dict(zip(again[1], again[2], strict=True))
+
+
+def test_words_are_counted_without_an_object_each():
+    """A shard's first step takes less CPU time than a dict of its words alone."""
+    r = np.random.default_rng(1)
+    texts = [" ".join(map(str, r.integers(0, 10**7, 1000))) for _ in range(300)]
+    documents = pa.record_batch([pa.array(range(300)), pa.array(texts), pa.array([False] * 300)], names=["doc_id", "text", "held_out"])
+
+    def plain():
+        number = {}
+        for text in texts:
+            for w in text.encode().lower().split():
+                number.setdefault(w, len(number))
+        return sorted(number)
+
+    def seconds(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    assert min(seconds(lambda: lm.shard_rows([documents], 0, 10)) for _ in range(5)) < min(seconds(plain) for _ in range(5))
+
+
 def test_shards_of_any_size_give_the_same_scores(spark):
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in DOCS], "doc_id long, text string, shard int, held_out string")
     one, many = (sorted((str(x.doc_id), *x[1:]) for x in lm.scores(df, shard_bytes=size).collect()) for size in (1 << 30, 500))

@@ -35,18 +35,18 @@ its own size; other columns are left out, whatever their names.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_1, U64, materialise, mix, shuffle_partitions, sized, texts_of
+from .common import BYTE_CODE, MIX_1, U64, Words, materialise, mix, powers, shuffle_partitions, sized, texts_of, word_table
 from .segments import from_planes, planes
 
 ORDER, PRIOR = 3, 5.0
@@ -55,6 +55,8 @@ FOLDS, HELD_OUT = 7, 2
 SHARD_BYTES, SHARDS_A_BUCKET = 6 << 20, 3
 #: Names of the end token and of the start of a document; no word has them.
 END, BEGIN = b"", b"\n"
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 1 << 10
 #: Tokens of a lane.
 LANE = 256
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -65,12 +67,26 @@ def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
-class Numbering(dict):
-    """Numbers for keys, in the order in which they first come."""
+def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Byte strings that stand one behind the other."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
+
+def word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each of some words, none of them empty, by a hash of its bytes."""
+    key, lengths = np.zeros(len(words), U64), pc.binary_length(words).to_numpy()
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        key[i] = xxhash.xxh3_64_intdigest(words[i].as_py())
+    short = lengths <= LONG_WORD
+    if short.any():
+        few, lengths = words.filter(pa.array(short)), lengths[short]
+        stop = np.cumsum(lengths)
+        at = np.arange(stop[-1]) - np.repeat(stop - lengths, lengths)
+        data = np.frombuffer(few.buffers()[2], np.uint8, stop[-1])
+        key[short] = np.add.reduceat(BYTE_CODE[data] * powers(LONG_WORD)[0][at], stop - lengths)
+    return ((mix(key) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
 class Shard:
@@ -85,21 +101,30 @@ class Shard:
     @classmethod
     def of(cls, texts: list[bytes], held: np.ndarray, buckets: int = 1) -> tuple[Shard, list[bytes], np.ndarray]:
         """The shard of some texts, the names of its words, and their buckets; words are numbered by bucket and name."""
-        number, flat = Numbering({END: 0, BEGIN: 1}), array("i")
-        count = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            had = len(flat)
-            flat.extend(map(number.__getitem__, text.lower().split()))  # bytes: lowers A-Z only and splits at the six space bytes
-            flat.append(0)
-            count[i] = len(flat) - had
-        names = sorted(number)
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
-        order = np.argsort(bucket, kind="stable")
-        names = [names[i] for i in order.tolist()]
+        shard, names, bucket = cls.coded(texts, held, buckets)
+        return shard, names.to_pylist(), bucket
+
+    @classmethod
+    def coded(cls, texts: list[bytes], held: np.ndarray, buckets: int) -> tuple[Shard, pa.Array, np.ndarray]:
+        """`of` without an object a word."""
+        text = Words(texts, lower=True)
+        coded = strings(text.buf[word_table("space")[text.buf]], text.stop - text.start).dictionary_encode()  # told apart by their bytes
+        names = pa.concat_arrays([pa.array([END, BEGIN], pa.large_binary()), coded.dictionary])
+        count = text.count[: len(texts)] + 1
+        flat = np.zeros(len(coded) + len(texts), np.int32)  # 0: an end
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum(count) - 1] = False
+        flat[inside] = coded.indices.to_numpy() + 2
+        del text
+        order = pc.array_sort_indices(names).to_numpy().astype(np.int64)
+        bucket = np.concatenate([[0, 0], word_buckets(coded.dictionary, buckets)])[order]
+        by_bucket = np.argsort(bucket, kind="stable")
+        order, bucket = order[by_bucket], bucket[by_bucket]
+        names = names.take(pa.array(order))
         place = np.empty(len(names), np.int32)
-        place[np.fromiter(map(number.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
-        token = place[np.frombuffer(flat, np.int32)] if len(flat) else np.zeros(0, np.int32)
-        return cls(token, count, held, len(names), int(place[1])), names, bucket[order]
+        place[order] = np.arange(len(names), dtype=np.int32)
+        token = place[flat]
+        return cls(token, count, held, len(names), int(place[1])), names, bucket
 
     def word_counts(self) -> np.ndarray:
         """How often each word stands in training; the begin mark once a document."""
@@ -222,10 +247,12 @@ def ask_words(buckets: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBat
 
 def shard_rows(held: list[pa.RecordBatch], shard: int, buckets: int) -> pa.RecordBatch:
     documents = pa.Table.from_batches(held).combine_chunks()
-    s, names, bucket = Shard.of(texts_of(documents["text"]), documents["held_out"].to_numpy(), buckets)
+    s, names, bucket = Shard.coded(texts_of(documents["text"]), documents["held_out"].to_numpy(), buckets)
     counts = s.word_counts().astype(np.int64)
     rows = [(shard, -1, 0, 0, 0, s.pack(documents["doc_id"].combine_chunks()))]
-    rows += [(shard, b, 1, 0, 0, zipped((z - a).to_bytes(4, "little"), planes(counts[a:z]), b" ".join(names[a:z]), level=5)) for b, a, z in runs_of(bucket)]
+    for b, a, z in runs_of(bucket):
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, z - a], names[a:z]), pa.scalar(b" ", names.type))
+        rows.append((shard, b, 1, 0, 0, zipped((z - a).to_bytes(4, "little"), planes(counts[a:z]), joined[0].as_py(), level=5)))
     return rows_of(rows)
 
 
@@ -234,28 +261,33 @@ def tell_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for asked in gathered(batches, "bucket"):
-            total: dict[bytes, int] = {}
-            for row in asked:
-                for w, c in zip(*sent_words(row["blob"]), strict=True):
-                    total[w] = total.get(w, 0) + c
-            bucket = asked[0]["bucket"]
-            number = {w: k * buckets + bucket for k, w in enumerate(sorted(total, key=lambda w: (-total[w], w)))}
-            counted = [c for w, c in total.items() if w != BEGIN and c > 0]
-            tokens, types, rows = sum(counted), len(counted), []
-            for row in asked:
-                words, _ = sent_words(row["blob"])
-                both = (np.fromiter(map(f.__getitem__, words), np.int64, len(words)) for f in (number, total))
+            sent = [sent_words(row["blob"]) for row in asked]
+            coded = pa.concat_arrays([words for words, _ in sent]).dictionary_encode()  # told apart by their bytes
+            words, code = coded.dictionary, coded.indices.to_numpy()
+            total, bucket = np.zeros(len(words), np.int64), asked[0]["bucket"]
+            np.add.at(total, code, np.concatenate([counts for _, counts in sent]))
+            by_name = pc.array_sort_indices(words).to_numpy().astype(np.int64)
+            number = np.empty(len(words), np.int64)
+            number[by_name[np.argsort(-total[by_name], kind="stable")]] = np.arange(len(words)) * buckets + bucket
+            counted = total[(total > 0) & pc.not_equal(words, pa.scalar(BEGIN, words.type)).to_numpy(zero_copy_only=False)]
+            tokens, types, rows, at = int(counted.sum()), len(counted), [], 0
+            for row, (own, _) in zip(asked, sent, strict=True):
+                both = (x[code[at : at + len(own)]] for x in (number, total))
                 rows.append((row["shard"], bucket, 1, tokens, types, zipped(*map(planes, both))))
                 tokens = types = 0  # once a bucket
+                at += len(own)
             yield rows_of(rows)
 
     return run
 
 
-def sent_words(blob: bytes) -> tuple[list[bytes], list[int]]:
+def sent_words(blob: bytes) -> tuple[pa.Array, np.ndarray]:
     raw = unzipped(blob)
     n = int.from_bytes(raw[:4], "little")
-    return raw[4 + 8 * n :].split(b" "), from_planes(raw, "i8", n, 4).tolist()
+    body = np.frombuffer(raw, np.uint8, offset=4 + 8 * n)
+    space = body == 0x20  # between words
+    lengths = np.diff(np.flatnonzero(space), prepend=-1, append=len(body)) - 1
+    return strings(body[~space], lengths), from_planes(raw, "i8", n, 4)
 
 
 def word_replies(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
