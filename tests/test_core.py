@@ -239,6 +239,17 @@ def test_sources_round_trip(spark, tmp_path):
     assert [x.ch_nr for x in rows] == [1, None, 2, 3] and [x.nr for x in rows if x.missing] == [2]
 
 
+@pytest.mark.parametrize("first", [0, 50_000_000_001])
+def test_waveform_files_round_as_sql(spark, tmp_path, first):
+    """Floats next to every half of a thousandth: a thousand times as much is a half as a float, and mostly isn't as a double. Stamps of many digits."""
+    path = tmp_path / "embeddings.parquet"
+    duckdb.execute(f"COPY (SELECT {first} + i + 600 AS vec_id, [((2 * i + 1) / 2000)::FLOAT] AS embedding, (i & 3)::INT AS label FROM range(-600, 600) r(i)) TO '{path}' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    got = plans.QUERIES["waveform_files"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.SQL['waveform_files']})").fetchall())
+
+
 def test_stream_finds_what_the_batch_finds(spark, tmp_path):
     r = np.random.default_rng(4)
     x = r.normal(0, 1, 90)

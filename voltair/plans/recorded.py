@@ -111,10 +111,12 @@ def train_tables(s, d):
 def waveform_files(s, d):
     """One waveform file a unit, written and read back."""
     path = folder(s, "waveforms")
-    w = F.array(F.transform("embedding", lambda e: F.bround(e.cast("double") * 1000).cast("short")))
+    thousand = F.lit(1000).cast("float")  # the product is a float, as in SQL: a double one falls on the other side of some halves
+    w = F.array(F.transform("embedding", lambda e: F.bround(e * thousand).cast("short")))
     recordings.write_waveforms(v.table(s, d, "embeddings").select(F.col("label").cast("string").alias("grp"), F.col("vec_id").cast("double").alias("ts"), w.alias("w")), path).collect()
     total = F.aggregate(F.col("w")[0], F.lit(0).cast("long"), lambda a, e: a + e)
-    return read_waveforms(s, path).select(F.element_at(F.split("file", "/"), -1).alias("grp"), "spike", F.round("ts_ms", 6).alias("ts_ms"), total.alias("total"))
+    back = read_waveforms(s, path, 1.0)  # stamps in microseconds, as they stand in the file; a factor of 0.001 is rounded, and large stamps show it
+    return back.select(F.element_at(F.split("file", "/"), -1).alias("grp"), "spike", (F.col("ts_ms") / 1000).alias("ts_ms"), total.alias("total"))
 
 
 @query("SELECT n_regionkey::VARCHAR AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS idx, n_nationkey::INT AS sync FROM nation")
